@@ -33,14 +33,14 @@ def pct_rank(x, part: Sequence[str]) -> Column:
     return avg_rank(x, part) / F.count(x).over(whole)
 
 
-def ordered_blocks(df: DataFrame, order: Sequence[str], blocks: int | None = None) -> DataFrame:
+def ordered_blocks(df: DataFrame, order: Sequence, blocks: int | None = None) -> DataFrame:
     """Cut a whole table into consecutive blocks of its sort order, stored with a block id.
 
     The ids come from a range partitioning and are written out before use, so a
     recomputed task cannot see other boundaries.
     """
     n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(n, *[F.col(c) for c in order])
+    cut = df.repartitionByRange(n, *[F.col(c) if isinstance(c, str) else c for c in order])
     return materialize(cut.withColumn("blk", F.spark_partition_id()))
 
 

@@ -20,7 +20,11 @@ QUANTILES = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
 
 
 def forward_return(
-    panel: DataFrame, horizon: int = 1, out: str = "future_return", dates: int | None = None
+    panel: DataFrame,
+    horizon: int = 1,
+    out: str = "future_return",
+    dates: int | None = None,
+    part: Sequence[str] = ("code",),
 ) -> DataFrame:
     """close[h rows later] / close - 1 over the rows each code has.
 
@@ -32,27 +36,30 @@ def forward_return(
     if dates is None:
         dates = panel.select("trade_time").distinct().count()
     if dates <= SEGMENT:
-        later = F.lead("close", horizon).over(Window.partitionBy("code").orderBy("trade_time"))
+        later = F.lead("close", horizon).over(Window.partitionBy(*part).orderBy("trade_time"))
         return panel.withColumn(out, nz(div(later, "close") - 1))
-    return lead_by_number(panel, horizon, out)
+    return lead_by_number(panel, horizon, out, part=part)
 
 
-def lead_by_number(panel: DataFrame, horizon: int, out: str, block: str = "month") -> DataFrame:
+def lead_by_number(
+    panel: DataFrame, horizon: int, out: str, block: str = "month", part: Sequence[str] = ("code",)
+) -> DataFrame:
     """`forward_return` without a window over a whole code."""
+    part = list(part)
     cut = panel.withColumn("_blk", F.date_trunc(block, "trade_time"))
-    sizes = cut.groupBy("code", "_blk").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("code").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("code", "_blk", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("_off"))
-    pos = F.row_number().over(Window.partitionBy("code", "_blk").orderBy("trade_time"))
+    sizes = cut.groupBy(*part, "_blk").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*part, "_blk", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("_off"))
+    pos = F.row_number().over(Window.partitionBy(*part, "_blk").orderBy("trade_time"))
     rows = (
         cut.withColumn("_pos", pos)
-        .join(before, ["code", "_blk"])
+        .join(before, [*part, "_blk"])
         .withColumn("_no", F.col("_off") + F.col("_pos"))
         .drop("_blk", "_off", "_pos")
     )
-    later = rows.select("code", (F.col("_no") - horizon).alias("_no"), F.col("close").alias("_later"))
+    later = rows.select(*part, (F.col("_no") - horizon).alias("_no"), F.col("close").alias("_later"))
     return (
-        rows.join(later, ["code", "_no"], "left")
+        rows.join(later, [*part, "_no"], "left")
         .withColumn(out, nz(div("_later", "close") - 1))
         .drop("_no", "_later")
     )

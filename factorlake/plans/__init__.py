@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("series", "evaluation")
+MODULES = ("series", "evaluation", "library")
 
 
 def load():

@@ -132,3 +132,64 @@ FILLS_SQL = """SELECT l_shipdate AS dt, l_orderkey AS ref,
       l_linestatus || '-' || CAST(l_linenumber AS VARCHAR) AS reason,
       CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS is_liq
     FROM lineitem"""
+
+
+def ledger(spark, sf) -> DataFrame:
+    """Candidate ledger from events: one candidate per event, one round per day."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    mutant = F.col("user_id") % 2 == 1
+    broken = k % 10 == 0
+    ic = F.when(~broken, (F.col("value") - 50) / 1000)
+    ok = F.coalesce(ic > 0.01, F.lit(False))
+    return table(spark, sf, "events").select(
+        F.col("event_id").alias("candidate_index"),
+        (F.datediff(F.to_date("ts"), F.lit("2024-01-01")) + 1).alias("round"),
+        F.concat(F.lit("Cand"), F.col("event_id")).alias("module"),
+        F.col("event_type").alias("branch"),
+        F.when(mutant, "mutation").otherwise("novelty").alias("mode"),
+        F.when(mutant, F.concat(F.lit("axis"), F.col("user_id") % 5)).alias("axis"),
+        F.when(mutant, F.concat(F.lit("parent"), F.col("user_id") % 20)).alias("parent"),
+        k.alias("k"),
+        ic.alias("ic"),
+        F.when(broken, F.when(k % 20 == 0, "NameError").otherwise("KeyError")).alias("error_type"),
+        F.when(broken, F.concat(F.lit("item "), k, F.lit(" is missing"))).alias("error"),
+        ok.alias("ok"),
+        F.when(ok & (k % 7 == 0), "duplicate").when(ok, "average").otherwise("failed").alias("label"),
+        (ok & (k % 7 != 0) & F.coalesce(ic > 0.03, F.lit(False))).alias("accepted"),
+    )
+
+
+LEDGER_SQL = """SELECT *, CASE WHEN ok AND k % 7 = 0 THEN 'duplicate' WHEN ok THEN 'average' ELSE 'failed' END AS label,
+      ok AND k % 7 <> 0 AND coalesce(ic > 0.03, false) AS accepted
+    FROM (SELECT *, coalesce(ic > 0.01, false) AS ok FROM (
+      SELECT event_id AS candidate_index, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS INTEGER) AS round,
+        'Cand' || event_id AS module, event_type AS branch,
+        CASE WHEN user_id % 2 = 1 THEN 'mutation' ELSE 'novelty' END AS mode,
+        CASE WHEN user_id % 2 = 1 THEN 'axis' || (user_id % 5) END AS axis,
+        CASE WHEN user_id % 2 = 1 THEN 'parent' || (user_id % 20) END AS parent, k,
+        CASE WHEN k % 10 <> 0 THEN (value - 50) / 1000 END AS ic,
+        CASE WHEN k % 20 = 0 THEN 'NameError' WHEN k % 10 = 0 THEN 'KeyError' END AS error_type,
+        CASE WHEN k % 10 = 0 THEN 'item ' || k || ' is missing' END AS error
+      FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)))"""
+
+
+def metric_docs(spark, sf) -> DataFrame:
+    """Metric records as JSON texts, one shape per event."""
+    v = F.col("value").cast("string")
+    shapes = [
+        F.concat(F.lit('{"daily_rank_ic_mean": '), v, F.lit(', "rank_ic": 0.5}')),
+        F.concat(F.lit('{"daily_rank_ic_mean": "nan", "rank_ic_distribution": {"mean": '), v, F.lit("}}")),
+        F.concat(F.lit('{"rank_ic": '), v, F.lit(', "daily_ic_mean": 1.0}')),
+        F.concat(F.lit('{"ic_distribution": {"mean": '), v, F.lit("}}")),
+        F.lit('{"rank_ic": null}'),
+    ]
+    pick = F.get(F.array(*shapes), (F.col("event_id") % 5).cast("int"))
+    return table(spark, sf, "events").select("event_id", pick.alias("doc"))
+
+
+METRIC_DOCS_SQL = """SELECT event_id, CASE event_id % 5
+      WHEN 0 THEN '{"daily_rank_ic_mean": ' || value || ', "rank_ic": 0.5}'
+      WHEN 1 THEN '{"daily_rank_ic_mean": "nan", "rank_ic_distribution": {"mean": ' || value || '}}'
+      WHEN 2 THEN '{"rank_ic": ' || value || ', "daily_ic_mean": 1.0}'
+      WHEN 3 THEN '{"ic_distribution": {"mean": ' || value || '}}'
+      ELSE '{"rank_ic": null}' END AS doc FROM events"""
