@@ -84,3 +84,37 @@ def pooled_ranks(df: DataFrame, group: Sequence[str], value: str, out: str) -> D
     """`df` with the average rank of `value` inside groups of any size."""
     ranks = value_ranks(df, group, value).select(*group, value, F.col("ranks")[0].alias(out))
     return df.join(ranks, [*group, value], "left")
+
+
+def exact_percentiles(df: DataFrame, group: Sequence[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """Linear-interpolated percentiles of groups of any size, one row per group.
+
+    Works on value counts in ordered blocks, so neither all values nor all
+    distinct values of a group meet in one task.
+    """
+    counts = (
+        df.where(F.col(value).isNotNull())
+        .groupBy(*group, value)
+        .agg(F.count("*").cast("bigint").alias("n"))
+    )
+    cut = ordered_blocks(counts, [*group, value])
+    keys = [*group, "blk"]
+    totals = cut.groupBy(*keys).agg(F.sum("n").alias("n"))
+    part = list(group) or [F.lit(0)]
+    whole = Window.partitionBy(*part)
+    offsets = totals.select(*keys, *_before(["n"], part, ["blk"]), F.sum("n").over(whole).alias("_size"))
+    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    rows = cut.withColumn("_upto", F.sum("n").over(upto)).join(offsets, keys)
+    last = F.col("before_n") + F.col("_upto")  # position after this value's last copy
+    first = last - F.col("n")
+
+    def at(pos):
+        return F.max(F.when((first <= pos) & (pos < last), F.col(value)))
+
+    cols = []
+    for name, q in qs.items():
+        pos = (F.col("_size") - 1) * F.lit(float(q))
+        low, high = at(F.floor(pos)), at(F.ceil(pos))
+        frac = F.max(pos - F.floor(pos))
+        cols.append((low + (high - low) * frac).alias(name))
+    return rows.groupBy(*group).agg(*cols)

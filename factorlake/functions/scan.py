@@ -60,3 +60,51 @@ def numbered(df: DataFrame, part: Sequence[str], order: Sequence, out: str = "no
     """Row numbers from 1 inside `part`; `order` must be unique there."""
     blocks = cut(df.withColumn("_one", F.lit(1).cast("bigint")), part, order)
     return scan(blocks, part, order, sums={out: "_one"}).drop("_one", "blk")
+
+
+def neighbour(
+    df: DataFrame, part: Sequence[str], order: str, bucket, cols: Sequence[str], ahead: bool = False, suffix: str = "_prev"
+) -> DataFrame:
+    """Values of `cols` in the previous (or next) row of the group, without a window over the group.
+
+    `bucket` is a Column rising with `order`, such as the day; windows run inside
+    (group, bucket) and a bucket's edge comes from one summary row per bucket.
+    """
+    keys = [*part, "_bkt"]
+    rows = df.withColumn("_bkt", bucket)
+    value = F.struct(*cols)
+    pick = F.min_by if ahead else F.max_by
+    edges = rows.groupBy(*keys).agg(pick(value, order).alias("_edge"))
+    step = F.lead if ahead else F.lag
+    across = edges.select(*keys, step("_edge").over(Window.partitionBy(*part).orderBy("_bkt")).alias("_out"))
+    near = step(value).over(Window.partitionBy(*keys).orderBy(order))
+    both = rows.withColumn("_in", near).join(across, keys)
+    pickd = F.coalesce("_in", "_out")
+    return both.select(*df.columns, *[pickd[c].alias(c + suffix) for c in cols])
+
+
+def asof_backward(
+    left: DataFrame, right: DataFrame, by: Sequence[str], on: str, cols: Sequence[str], bucket=None
+) -> DataFrame:
+    """Left rows with the last known right values at or before their time, per group.
+
+    Both sides are united and filled inside (group, bucket); the last known
+    values of earlier buckets come from one summary row per bucket.
+    """
+    bucket = F.date_trunc("month", on) if bucket is None else bucket
+    keys = [*by, "_bkt"]
+    mine = left.select(*[F.col(c) for c in left.columns], F.lit(1).alias("_side"))
+    other = right.select(*by, on, *cols, F.lit(0).alias("_side"))
+    both = mine.unionByName(other, allowMissingColumns=True).withColumn("_bkt", bucket)
+    ends = both.groupBy(*keys).agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(on))).alias(c) for c in cols]
+    )
+    w = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*keys, *[F.last(c, ignorenulls=True).over(w).alias(f"_c_{c}") for c in cols])
+    here = Window.partitionBy(*keys).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.withColumns({f"_h_{c}": F.last(c, ignorenulls=True).over(here) for c in cols})
+    return (
+        filled.where("_side = 1")
+        .join(carry, keys)
+        .select(*left.columns, *[F.coalesce(f"_h_{c}", f"_c_{c}").alias(c) for c in cols])
+    )

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("series", "evaluation", "library")
+MODULES = ("series", "evaluation", "library", "barlake", "portfolio")
 
 
 def load():
