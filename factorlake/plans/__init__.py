@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("series", "evaluation", "library", "barlake", "portfolio")
+MODULES = ("series", "evaluation", "library", "barlake", "portfolio", "journal")
 
 
 def load():

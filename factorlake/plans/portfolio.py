@@ -39,7 +39,7 @@ def trade_report(spark, sf):
 
 @query("drawdown", f"""{EQUITY} SELECT ref, {out("equity", "equity", 5)}, {out("peak", "peak", 5)}, {out("equity - peak", "drawdown", 5)} FROM dd""")
 def drawdown(spark, sf):
-    return rounded(T.equity(V.trades(spark, sf)).select("ref", "equity", "peak", "drawdown"), digits=2)
+    return rounded(T.equity(V.trades(spark, sf)).select("ref", "equity", "peak", "drawdown"), digits=5)
 
 
 @query("loss_streak", f"{EQUITY} SELECT n AS loss_streak FROM streak")
