@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("series", "evaluation", "library", "barlake", "portfolio", "journal")
+MODULES = ("series", "evaluation", "library", "barlake", "portfolio", "journal", "panelops", "single", "streams")
 
 
 def load():
