@@ -1,9 +1,9 @@
 """Average-tie ranks.
 
 `avg_rank` and `pct_rank` are windows for groups of bounded size (one date's
-names).  `pooled_ranks` is for groups of any size, down to a single group
-holding every row: it ranks value counts in range-partitioned blocks, so no
-task ever sorts a whole group and a heavily tied value is one row.
+names).  `row_ranks` is for groups of any size, down to a single group holding
+every row: rows are ranked in range-partitioned blocks, so no task ever sorts a
+whole group or gathers all copies of a tied value.
 """
 
 from collections.abc import Sequence
@@ -44,46 +44,71 @@ def ordered_blocks(df: DataFrame, order: Sequence, blocks: int | None = None) ->
     return materialize(cut.withColumn("blk", F.spark_partition_id()))
 
 
-def _before(cols: Sequence[str], part: Sequence[str], order: Sequence[str]):
+def _before(cols: Sequence[str], part: Sequence, order: Sequence[str]):
     w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return [F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"before_{c}") for c in cols]
 
 
-def value_ranks(
-    df: DataFrame, group: Sequence[str], value: str, masks: Sequence[Column] | None = None
+def row_ranks(
+    df: DataFrame, group: Sequence[str], value: str, out: str, masks: Sequence[Column] | None = None
 ) -> DataFrame:
-    """One row per (group, value): the average rank of that value, per row mask.
+    """Rows with a value, and its average rank in a group of any size.
 
-    Columns: group, value, `ranks` array (one entry per mask).  With no mask all
-    rows count.
+    With `masks` the rank is an array: entry i ranks the value among the rows
+    where mask i holds.  Rows are cut into blocks by (group, value, row hash), so
+    even equal values are spread; a value that crosses a block border gets its
+    rank from a small table of such values.
     """
-    masks = masks or [F.lit(True)]
-    names = [f"n{i}" for i in range(len(masks))]
-    counts = (
-        df.where(F.col(value).isNotNull())
+    group = list(group)
+    flags = [f"_f{i}" for i in range(len(masks or [0]))]
+    marks = [m.cast("bigint") for m in masks] if masks else [F.lit(1).cast("bigint")]
+    rows = df.where(F.col(value).isNotNull()).withColumns(dict(zip(flags, marks)))
+    cut = ordered_blocks(rows.withColumn("_salt", F.xxhash64(*df.columns)), [*group, value, "_salt"])
+    cut = cut.drop("_salt")
+    keys, part = [*group, "blk"], group or [F.lit(0)]
+    edges = cut.groupBy(*keys).agg(
+        F.min(value).alias("_lo"), F.max(value).alias("_hi"), *[F.sum(f).alias(f) for f in flags]
+    )
+    following = F.lead("_lo").over(Window.partitionBy(*part).orderBy("blk"))
+    edges = materialize(
+        edges.select("*", *_before(flags, part, ["blk"]), (F.col("_hi") == following).alias("_cross"))
+    )
+    crossing = edges.where("_cross").select(*group, F.col("_hi").alias(value)).distinct()
+    copies = cut.join(crossing, [*group, value]).groupBy(*keys, value).agg(*[F.sum(f).alias(f"_c{f}") for f in flags])
+    # the first block that holds a crossing value ends with it
+    crossed = (
+        copies.join(edges, keys)
         .groupBy(*group, value)
-        .agg(*[F.sum(F.when(m, 1).otherwise(0)).alias(n) for m, n in zip(masks, names)])
+        .agg(
+            F.min_by(
+                F.array(*[F.col(f"before_{f}") + F.col(f) - F.col(f"_c{f}") for f in flags]), "blk"
+            ).alias("_less"),
+            F.array(*[F.sum(f"_c{f}") for f in flags]).alias("_same"),
+        )
     )
-    cut = ordered_blocks(counts, [*group, value])
-    keys = [*group, "blk"]
-    totals = cut.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
-    part = list(group) or [F.lit(0)]
-    offsets = totals.select(*keys, *_before(names, part, ["blk"]))
     run = Window.partitionBy(*keys).orderBy(value)
-    upto = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = cut.select(
-        *keys, value, *names, *[F.sum(n).over(upto).alias(f"upto_{n}") for n in names]
+    upto = run.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    same = run.rangeBetween(Window.currentRow, Window.currentRow)
+    local = cut.withColumns(
+        {**{f"_u{f}": F.sum(f).over(upto) for f in flags}, **{f"_t{f}": F.sum(f).over(same) for f in flags}}
     )
-    ranks = F.array(
-        *[F.col(f"before_{n}") + F.col(f"upto_{n}") - (F.col(n) - 1) / F.lit(2.0) for n in names]
+    offsets = edges.select(*keys, *[f"before_{f}" for f in flags])
+    ranks = []
+    for i, f in enumerate(flags):
+        inside = F.col(f"before_{f}") + F.col(f"_u{f}") - (F.col(f"_t{f}") - 1) / F.lit(2.0)
+        across = F.col("_less")[i] + (F.col("_same")[i] + 1) / F.lit(2.0)
+        ranks.append(F.coalesce(across, inside))
+    result = F.array(*ranks) if masks else ranks[0]
+    return (
+        local.join(offsets, keys)
+        .join(crossed, [*group, value], "left")
+        .select(*df.columns, result.alias(out))
     )
-    return local.join(offsets, keys).select(*group, value, ranks.alias("ranks"))
 
 
 def pooled_ranks(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
-    """`df` with the average rank of `value` inside groups of any size."""
-    ranks = value_ranks(df, group, value).select(*group, value, F.col("ranks")[0].alias(out))
-    return df.join(ranks, [*group, value], "left")
+    """`row_ranks` without masks: one rank column; rows without a value are dropped."""
+    return row_ranks(df, group, value, out)
 
 
 def exact_percentiles(df: DataFrame, group: Sequence[str], value: str, qs: dict[str, float]) -> DataFrame:

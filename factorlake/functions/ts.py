@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from .numeric import div, nz
+from .numeric import div
 
 SERIES = ["code", "seg"]
 
@@ -42,8 +42,11 @@ def ts_shift(x, k: int) -> Column:
 
 
 def ts_return(x, k: int = 1) -> Column:
-    """x[t] / x[t-k] - 1, NULL where either side is missing."""
-    return nz(div(x, ts_shift(x, k)) - 1)
+    """x[t] / x[t-k] - 1, NULL where either side is missing.
+
+    The dense panel holds no NaN or infinity, and factor columns are cleaned at the end.
+    """
+    return div(x, ts_shift(x, k)) - 1
 
 
 def ts_diff(x, k: int = 1) -> Column:

@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nz, safe_corr
-from ..functions.ranks import value_ranks
+from ..functions.ranks import row_ranks
 from ..session import materialize
-from .panel import KEYS, melt
+from .panel import KEYS
 
 BATCH_DUPLICATE = 0.98
 LIBRARY_DUPLICATE = 0.95
@@ -85,13 +85,19 @@ def spearman_matrix(frame: DataFrame, factors: Sequence[str], keys: Sequence[str
             reps.append(i)
             same = len(reps) - 1
         cls.append(same)
-    flags = {f"_m{c}": F.col(factors[r]).isNotNull() for c, r in enumerate(reps)}
-    long = melt(frame.withColumns(flags), factors, [*keys, *flags]).where(F.col("score").isNotNull())
-    ranks = value_ranks(long, ["factor"], "score", [F.col(m) for m in flags])
-    rows = long.select(*keys, "factor", "score").join(ranks, ["factor", "score"])
-    held = rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("factor", "ranks"))).alias("m"))
+    # factors as numbers and cells as one hash-joinable key keep the shuffled rows small
+    wide = frame.select(
+        *keys,
+        *[F.col(factors[r]).isNotNull().alias(f"_m{c}") for c, r in enumerate(reps)],
+        *[F.col(f).alias(f"_x{i}") for i, f in enumerate(factors)],
+    )
+    masks = [f"_m{c}" for c in range(len(reps))]
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_x{i}").alias("x")) for i in range(k)])
+    long = wide.select(*keys, *masks, F.explode(cells).alias("c")).select(*keys, *masks, "c.i", "c.x")
+    ranked = row_ranks(long, ["i"], "x", "ranks", [F.col(m) for m in masks])
+    held = ranked.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "ranks"))).alias("m"))
     none = F.array_repeat(F.lit(float("nan")), len(reps))
-    flat = F.flatten(F.array(*[F.coalesce(F.col("m")[F.lit(f)], none) for f in factors]))
+    flat = F.flatten(F.array(*[F.coalesce(F.col("m")[F.lit(i)], none) for i in range(k)]))
     sums = (
         held.select(flat.alias("flat"))
         .mapInArrow(_pair_sums(k, len(reps), cls, shared), PAIR_SCHEMA)

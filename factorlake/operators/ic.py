@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import div, mean_over_std, nz, safe_corr
 from ..functions.ranks import avg_rank, pooled_ranks
+from ..session import materialize
 from .panel import KEYS, SEGMENT, melt
 
 NAMES = 1_000_000
@@ -67,8 +68,12 @@ def lead_by_number(
 
 def labelled(frame: DataFrame, factors: Sequence[str], horizon: int = 1, dates: int | None = None) -> DataFrame:
     """Long scores with the forward return as label, rows with both."""
-    wide = forward_return(frame, horizon, "label", dates)
-    long = melt(wide, factors, [*KEYS, "label"])
+    return long_scores(forward_return(frame, horizon, "label", dates), factors)
+
+
+def long_scores(wide: DataFrame, factors: Sequence[str]) -> DataFrame:
+    """Rows (factor, time, code, score, label) with both numbers."""
+    long = melt(wide.where("label IS NOT NULL"), factors, [*KEYS, "label"])
     return long.select("factor", *KEYS, nz("score").alias("score"), "label").dropna(subset=["score", "label"])
 
 
@@ -230,8 +235,14 @@ def prediction_ic(label: DataFrame, pred: DataFrame) -> DataFrame:
 def factor_analyze(
     frame: DataFrame, factors: Sequence[str], horizon: int = 1, dates: int | None = None, names: int | None = None
 ) -> DataFrame:
-    """The full metric record of every factor, all factors in one plan."""
-    long = labelled(frame, factors, horizon, dates)
+    """The full metric record of every factor, all factors in one plan.
+
+    Panel, factors and label are stored once; every part of the record reads
+    that copy, whose rows are already one per (date, code).
+    """
+    frame = frame.select(*KEYS, "close", *factors)
+    frame = materialize(forward_return(frame, horizon, "label", dates))
+    long = long_scores(frame, factors)
     daily = daily_ic(long, names=names)
     scalars = daily.groupBy("factor").agg(
         *summary_columns(),
@@ -239,10 +250,10 @@ def factor_analyze(
         F.struct(*distribution_columns("rank_ic")).alias("rank_ic_distribution"),
     )
     pooled = pooled_ic(long).select("factor", "ic", "rank_ic", F.col("rows").alias("joined_rows"))
-    record = [c for c in layered_ic(long).columns if c not in ("factor", "layer_name")]
+    layered = layered_ic(long)
+    record = [c for c in layered.columns if c not in ("factor", "layer_name")]
     layers = (
-        layered_ic(long)
-        .groupBy("factor")
+        layered.groupBy("factor")
         .agg(
             F.map_from_entries(
                 F.array_sort(F.collect_list(F.struct("layer_name", F.struct(*record).alias("record"))))

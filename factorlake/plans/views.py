@@ -14,16 +14,19 @@ def trunc(unit: str, col: str):
     return F.date_trunc(unit, col).cast("timestamp_ntz")
 
 
+def period(unit: str, col: str):
+    """First day of the period as a date: a cheaper group key than a timestamp."""
+    day = F.to_date(col)
+    return day if unit == "day" else F.trunc(day, unit)
+
+
 def bars(spark: SparkSession, sf: str, unit: str = "month") -> DataFrame:
     """Bars per supplier and period from line items; ties in time by the full line key."""
     price = F.col("l_extendedprice") / F.col("l_quantity")
     seq = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
-    return (
+    grouped = (
         table(spark, sf, "lineitem")
-        .groupBy(
-            trunc(unit, "l_shipdate").alias("trade_time"),
-            F.col("l_suppkey").cast("string").alias("code"),
-        )
+        .groupBy(period(unit, "l_shipdate").alias("day"), "l_suppkey")
         .agg(
             F.min_by(price, seq).alias("open"),
             F.max(price).alias("high"),
@@ -33,6 +36,9 @@ def bars(spark: SparkSession, sf: str, unit: str = "month") -> DataFrame:
             F.sum("l_extendedprice").alias("amount"),
         )
     )
+    return grouped.select(
+        F.col("day").cast("timestamp_ntz").alias("trade_time"), F.col("l_suppkey").cast("string").alias("code"), *P.FIELDS
+    )
 
 
 def bars_sql(unit: str = "month") -> str:
@@ -47,11 +53,12 @@ def bars_sql(unit: str = "month") -> str:
 
 
 def calendar(spark: SparkSession, sf: str, unit: str = "month") -> DataFrame:
-    return table(spark, sf, "lineitem").select(trunc(unit, "l_shipdate").alias("trade_time")).distinct()
+    days = table(spark, sf, "lineitem").select(period(unit, "l_shipdate").alias("day")).distinct()
+    return days.select(F.col("day").cast("timestamp_ntz").alias("trade_time"))
 
 
 def codes(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("code")).distinct()
+    return table(spark, sf, "lineitem").select("l_suppkey").distinct().select(F.col("l_suppkey").cast("string").alias("code"))
 
 
 def dense(spark, sf, lookback: int = 0, unit: str = "month", fields=P.FIELDS) -> DataFrame:
