@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nz, safe_corr
-from ..functions.ranks import row_ranks
+from ..functions.ranks import ordered_blocks
 from ..session import materialize
 from .panel import KEYS
 
 BATCH_DUPLICATE = 0.98
 LIBRARY_DUPLICATE = 0.95
+# cells whose ranks one task holds at a time
+CELLS_PER_BUCKET = 20_000
 PAIR_SCHEMA = "i int, j int, sxy double, sxx double, syy double"
 
 
@@ -30,77 +32,161 @@ def widen(long: DataFrame, factors: Sequence[str], keys: Sequence[str] = KEYS) -
     )
 
 
-def _shared_counts(frame: DataFrame, factors: Sequence[str]) -> np.ndarray:
-    k = len(factors)
-    known = [F.col(f).isNotNull() for f in factors]
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    row = frame.agg(*[F.count(F.when(known[i] & known[j], 1)).alias(f"c{i}_{j}") for i, j in pairs]).first()
-    n = np.zeros((k, k))
-    for i, j in pairs:
-        n[i, j] = n[j, i] = row[f"c{i}_{j}"]
-    return n
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    """Double columns of a batch as an array with NaN for NULL."""
+    cols = [c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in batch.columns]
+    return np.column_stack(cols) if len(batch) else np.empty((0, batch.num_columns))
 
 
-def _pair_sums(k: int, classes: int, cls: list[int], shared: np.ndarray):
-    """Arrow batches of flattened rank arrays to partial sums per pair."""
+def _count_shared(k: int):
+    """Arrow batches to the number of rows where both columns are known, per pair."""
 
     def run(batches):
-        sums = np.zeros((3, k, k))
+        both = np.zeros((k, k))
+        rows = 0
         for batch in batches:
-            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-            ranks = flat.reshape(-1, k, classes)
-            mine = [np.where(np.isnan(ranks[:, i, cls[i]]), np.nan, 0.0) for i in range(k)]
-            for i in range(k):
-                for j in range(i + 1, k):
-                    mid = (shared[i, j] + 1) / 2
-                    both = mine[i] + mine[j]
-                    x = np.nan_to_num(ranks[:, i, cls[j]] - mid + both)
-                    y = np.nan_to_num(ranks[:, j, cls[i]] - mid + both)
-                    sums[0, i, j] += x @ y
-                    sums[1, i, j] += x @ x
-                    sums[2, i, j] += y @ y
-        i, j = np.triu_indices(k, 1)
-        cols = [pa.array(v) for v in (i.astype("int32"), j.astype("int32"), *sums[:, i, j])]
-        yield pa.RecordBatch.from_arrays(cols, names=["i", "j", "sxy", "sxx", "syy"])
+            known = (~np.isnan(_matrix(batch))).astype("float64")
+            both += known.T @ known
+            rows += len(known)
+        i, j = np.triu_indices(k)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(v) for v in (i.astype("int32"), j.astype("int32"), both[i, j], np.full(len(i), float(rows)))],
+            names=["i", "j", "n", "cells"],
+        )
+
+    return run
+
+
+def _shared_counts(frame: DataFrame, factors: Sequence[str]) -> tuple[np.ndarray, int]:
+    k = len(factors)
+    parts = frame.select(*factors).mapInArrow(_count_shared(k), "i int, j int, n double, cells double")
+    n, cells = np.zeros((k, k)), 0
+    for r in parts.groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("cells").alias("cells")).collect():
+        n[r["i"], r["j"]] = n[r["j"], r["i"]] = r["n"]
+        cells = int(r["cells"])
+    return n, cells
+
+
+WORD = 62
+
+
+def _rank_block(keys: Sequence[str], need: list[list[int]]):
+    """One block of one column, with the counts before it, to a rank per needed row class.
+
+    `right` has a row without x holding the counts before the block per class,
+    and a row per value that other blocks share: rows below it, and its copies.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        i = left.column("i")[0].as_py()
+        x = left.column("x").to_numpy()
+        order = np.argsort(x, kind="stable")
+        sx = x[order]
+        starts = np.flatnonzero(np.r_[True, sx[1:] != sx[:-1]])
+        ends = np.r_[starts[1:], len(sx)]
+        group = np.repeat(np.arange(len(starts)), ends - starts)
+        facts = right.to_pylist()
+        before = next(f["a"] for f in facts if f["x"] is None)
+        ranks = np.empty((len(x), len(need[i])))
+        for c, cls in enumerate(need[i]):
+            word = left.column(f"b{cls // WORD}").to_numpy()[order]
+            cum = np.r_[0, np.cumsum((word >> (cls % WORD)) & 1)]
+            same = cum[ends] - cum[starts]
+            per = before[cls] + cum[ends] - (same - 1) / 2.0
+            for f in facts:
+                if f["x"] is not None:
+                    at = np.searchsorted(sx[starts], f["x"])
+                    per[at] = f["a"][cls] + (f["b"][cls] + 1) / 2.0
+            ranks[order, c] = per[group]
+        offsets = np.arange(0, ranks.size + 1, len(need[i]) or 1, dtype="int32")
+        lists = pa.ListArray.from_arrays(offsets[: len(x) + 1], pa.array(ranks.ravel()))
+        return pa.table([*[left.column(c) for c in keys], left.column("i"), lists], names=[*keys, "i", "ranks"])
+
+    return run
+
+
+def _pair_sums(keys: Sequence[str], k: int, need: list[list[int]], cls: list[int], pairs: np.ndarray, shared: np.ndarray):
+    """Rank rows of one bucket of cells to partial sums per pair, ranks centred on their known mean."""
+    slot = [{c: n for n, c in enumerate(need[i])} for i in range(k)]
+
+    def run(table: pa.Table) -> pa.Table:
+        cell = np.zeros(len(table), dtype="int64")
+        for c in keys:
+            codes = table.column(c).combine_chunks().dictionary_encode()
+            cell = cell * len(codes.dictionary) + codes.indices.to_numpy()
+        cell = np.unique(cell, return_inverse=True)[1]
+        ranks = table.column("ranks").combine_chunks()
+        starts, flat = ranks.offsets.to_numpy()[:-1], ranks.values.to_numpy()
+        column = table.column("i").to_numpy()
+        size = int(cell.max()) + 1
+        dense: dict = {}
+        for i in range(k):
+            rows = column == i
+            for c, n in slot[i].items():
+                v = np.full(size, np.nan)
+                v[cell[rows]] = flat[starts[rows] + n]
+                dense[i, c] = v
+        sums = np.zeros((3, len(pairs)))
+        for p, (i, j) in enumerate(pairs):
+            mid = (shared[i, j] + 1) / 2
+            x, y = dense[i, cls[j]] - mid, dense[j, cls[i]] - mid
+            both = ~(np.isnan(x) | np.isnan(y))
+            x, y = x[both], y[both]
+            sums[:, p] = x @ y, x @ x, y @ y
+        cols = [pairs[:, 0].astype("int32"), pairs[:, 1].astype("int32"), *sums]
+        return pa.table([pa.array(v) for v in cols], names=["i", "j", "sxy", "sxx", "syy"])
 
     return run
 
 
-def spearman_matrix(frame: DataFrame, factors: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
-    """(left, right, n, spearman) for every pair of factor columns, left before right.
+def spearman_matrix(
+    frame: DataFrame,
+    factors: Sequence[str],
+    keys: Sequence[str] = KEYS,
+    pairs: Sequence[tuple[str, str]] | None = None,
+) -> DataFrame:
+    """(left, right, n, spearman) for every pair of columns, left before right, or for chosen pairs.
 
     Needs unique keys.  `spearman` is NULL below two shared rows or for a
-    constant side.
+    constant side.  The work is N rows per column: sorted into blocks once,
+    ranked block by block, then brought together by cell in buckets.
     """
-    factors = list(factors)
+    factors, keys = list(factors), list(keys)
     k = len(factors)
     frame = frame.select(*keys, *[nz(f).alias(f) for f in factors])
-    shared = _shared_counts(frame, factors)
+    shared, cells = _shared_counts(frame, factors)
     cls, reps = [], []
     for i in range(k):
-        same = next(
-            (c for c, r in enumerate(reps) if shared[i, r] == shared[i, i] == shared[r, r]), None
-        )
+        same = next((c for c, r in enumerate(reps) if shared[i, r] == shared[i, i] == shared[r, r]), None)
         if same is None:
             reps.append(i)
             same = len(reps) - 1
         cls.append(same)
-    # factors as numbers and cells as one hash-joinable key keep the shuffled rows small
-    wide = frame.select(
-        *keys,
-        *[F.col(factors[r]).isNotNull().alias(f"_m{c}") for c, r in enumerate(reps)],
-        *[F.col(f).alias(f"_x{i}") for i, f in enumerate(factors)],
-    )
-    masks = [f"_m{c}" for c in range(len(reps))]
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_x{i}").alias("x")) for i in range(k)])
-    long = wide.select(*keys, *masks, F.explode(cells).alias("c")).select(*keys, *masks, "c.i", "c.x")
-    ranked = row_ranks(long, ["i"], "x", "ranks", [F.col(m) for m in masks])
-    held = ranked.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "ranks"))).alias("m"))
-    none = F.array_repeat(F.lit(float("nan")), len(reps))
-    flat = F.flatten(F.array(*[F.coalesce(F.col("m")[F.lit(i)], none) for i in range(k)]))
+    place = {f: i for i, f in enumerate(factors)}
+    wanted = [(place[a], place[b]) for a, b in pairs] if pairs else [(i, j) for i in range(k) for j in range(i + 1, k)]
+    need = [sorted({cls[b] for a, b in wanted if a == i} | {cls[a] for a, b in wanted if b == i}) for i in range(k)]
+    words = [f"b{w}" for w in range(-(-len(reps) // WORD))]
+    bits = []
+    for w in range(len(words)):
+        part = F.lit(0).cast("bigint")
+        for c, r in enumerate(reps[w * WORD : (w + 1) * WORD]):
+            part = part + F.when(F.col(factors[r]).isNotNull(), F.lit(1 << c)).otherwise(F.lit(0))
+        bits.append(part.alias(words[w]))
+    columns = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f).alias("x")) for i, f in enumerate(factors)])
+    long = frame.select(*keys, *bits, F.explode(columns).alias("c")).select(*keys, "c.i", "c.x", *words)
+    long = long.where(F.col("x").isNotNull()).withColumn("_salt", F.xxhash64(*keys))
+    cut = ordered_blocks(long, ["i", "x", "_salt"]).drop("_salt")
+    right = _block_facts(cut, len(reps))
+    types = dict(cut.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", i int, ranks array<double>"
+    ranked = (
+        cut.groupBy("i", "blk").cogroup(right.groupBy("i", "blk")).applyInArrow(_rank_block(keys, need), schema)
+    )
+    tasks = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(tasks, -(-cells // CELLS_PER_BUCKET))
     sums = (
-        held.select(flat.alias("flat"))
-        .mapInArrow(_pair_sums(k, len(reps), cls, shared), PAIR_SCHEMA)
+        ranked.groupBy(F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("bucket"))
+        .applyInArrow(_pair_sums(keys, k, need, cls, np.array(wanted), shared), PAIR_SCHEMA)
         .groupBy("i", "j")
         .agg(F.sum("sxy").alias("sxy"), F.sum("sxx").alias("sxx"), F.sum("syy").alias("syy"))
     )
@@ -115,6 +201,45 @@ def spearman_matrix(frame: DataFrame, factors: Sequence[str], keys: Sequence[str
     )
 
 
+def _block_facts(cut: DataFrame, classes: int) -> DataFrame:
+    """Per (i, blk): counts of each row class in earlier blocks, and the values that cross block borders."""
+
+    def count(c):
+        word, bit = F.col(f"b{c // WORD}"), c % WORD
+        return F.sum(F.shiftright(word, bit).bitwiseAND(F.lit(1))).alias(f"n{c}")
+
+    counts = [count(c) for c in range(classes)]
+    n = [f"n{c}" for c in range(classes)]
+    edges = cut.groupBy("i", "blk").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), *counts)
+    by_block = Window.partitionBy("i").orderBy("blk")
+    earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
+    edges = materialize(
+        edges.select(
+            "i",
+            "blk",
+            "hi",
+            (F.col("hi") == F.lead("lo").over(by_block)).alias("cross"),
+            F.array(*[F.coalesce(F.sum(c).over(earlier), F.lit(0)).cast("double") for c in n]).alias("a"),
+            F.array(*[F.col(c).cast("double") for c in n]).alias("own"),
+        )
+    )
+    none = F.lit(None).cast("array<double>")
+    base = edges.select("i", "blk", F.lit(None).cast("double").alias("x"), "a", none.alias("b"))
+    crossing = edges.where("cross").select("i", F.col("hi").alias("x")).distinct()
+    copies = (
+        cut.join(crossing, ["i", "x"])
+        .groupBy("i", "x", "blk")
+        .agg(*counts)
+        .select("i", "x", "blk", F.array(*[F.col(c).cast("double") for c in n]).alias("c"))
+    )
+    # the first block that holds a crossing value ends with it
+    below = F.zip_with(F.zip_with("a", "own", lambda p, q: p + q), "c", lambda p, q: p - q)
+    sums = F.array(*[F.sum(F.col("c")[j]) for j in range(classes)])
+    known = copies.join(edges.select("i", "blk", "a", "own"), ["i", "blk"]).withColumn("below", below)
+    crossed = known.groupBy("i", "x").agg(F.min_by("below", "blk").alias("a"), sums.alias("b"))
+    return base.unionByName(copies.select("i", "x", "blk").join(crossed, ["i", "x"]))
+
+
 def factor_corr_matrix(frame: DataFrame, factors: Sequence[str]) -> DataFrame:
     """Full symmetric matrix as rows (left, right, spearman), diagonal included."""
     half = spearman_matrix(frame, factors).select("left", "right", "spearman")

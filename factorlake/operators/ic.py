@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import div, mean_over_std, nz, safe_corr
 from ..functions.ranks import avg_rank, pooled_ranks
 from ..session import materialize
+from .corr import spearman_matrix
 from .panel import KEYS, SEGMENT, melt
 
 NAMES = 1_000_000
@@ -107,6 +108,21 @@ def pooled_ic(long: DataFrame) -> DataFrame:
     )
 
 
+def pooled_ic_wide(wide: DataFrame, factors: Sequence[str], label: str = "label") -> DataFrame:
+    """`pooled_ic` of many factor columns: the label is one more column of the rank matrix."""
+    names = [*factors, label]
+    pairs = spearman_matrix(wide, names, pairs=[(f, label) for f in factors])
+    one = wide.agg(*[safe_corr(_both(f, label), _both(label, f)).alias(f) for f in factors])
+    pearson = one.unpivot([], list(factors), "factor", "ic")
+    return pearson.join(
+        pairs.select(F.col("left").alias("factor"), F.col("spearman").alias("rank_ic"), F.col("n").alias("rows")), "factor"
+    )
+
+
+def _both(x: str, y: str):
+    return F.when(nz(x).isNotNull() & nz(y).isNotNull(), nz(x))
+
+
 def summary_columns():
     """Aggregates over daily ICs; `icir` is the rank ICIR by definition."""
     ic, rk = F.col("ic"), F.col("rank_ic")
@@ -249,7 +265,7 @@ def factor_analyze(
         F.struct(*distribution_columns("ic")).alias("ic_distribution"),
         F.struct(*distribution_columns("rank_ic")).alias("rank_ic_distribution"),
     )
-    pooled = pooled_ic(long).select("factor", "ic", "rank_ic", F.col("rows").alias("joined_rows"))
+    pooled = pooled_ic_wide(frame, factors).select("factor", "ic", "rank_ic", F.col("rows").alias("joined_rows"))
     layered = layered_ic(long)
     record = [c for c in layered.columns if c not in ("factor", "layer_name")]
     layers = (
