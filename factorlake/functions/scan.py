@@ -67,11 +67,16 @@ def neighbour(
 ) -> DataFrame:
     """Values of `cols` in the previous (or next) row of the group, without a window over the group.
 
-    `bucket` is a Column rising with `order`, such as the day; windows run inside
-    (group, bucket) and a bucket's edge comes from one summary row per bucket.
+    `bucket` is a Column rising with `order` that bounds the rows of a group in
+    it, such as the day of bars; without one the table is cut into even blocks.
+    Windows run inside (group, bucket), and a bucket's edge comes from one
+    summary row per bucket.
     """
     keys = [*part, "_bkt"]
-    rows = df.withColumn("_bkt", bucket)
+    if bucket is None:
+        rows = cut(df, part, [order]).withColumnRenamed("blk", "_bkt")
+    else:
+        rows = df.withColumn("_bkt", bucket)
     value = F.struct(*cols)
     pick = F.min_by if ahead else F.max_by
     edges = rows.groupBy(*keys).agg(pick(value, order).alias("_edge"))

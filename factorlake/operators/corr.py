@@ -144,16 +144,20 @@ def spearman_matrix(
     factors: Sequence[str],
     keys: Sequence[str] = KEYS,
     pairs: Sequence[tuple[str, str]] | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """(left, right, n, spearman) for every pair of columns, left before right, or for chosen pairs.
 
     Needs unique keys.  `spearman` is NULL below two shared rows or for a
     constant side.  The work is N rows per column: sorted into blocks once,
-    ranked block by block, then brought together by cell in buckets.
+    ranked block by block, then brought together by cell in buckets.  The columns
+    are read three times, so they are stored first unless the caller has done so.
     """
     factors, keys = list(factors), list(keys)
     k = len(factors)
     frame = frame.select(*keys, *[nz(f).alias(f) for f in factors])
+    if not stored:
+        frame = materialize(frame)
     shared, cells = _shared_counts(frame, factors)
     cls, reps = [], []
     for i in range(k):
@@ -242,7 +246,8 @@ def _block_facts(cut: DataFrame, classes: int) -> DataFrame:
 
 def factor_corr_matrix(frame: DataFrame, factors: Sequence[str]) -> DataFrame:
     """Full symmetric matrix as rows (left, right, spearman), diagonal included."""
-    half = spearman_matrix(frame, factors).select("left", "right", "spearman")
+    frame = materialize(frame.select(*KEYS, *factors))
+    half = spearman_matrix(frame, factors, stored=True).select("left", "right", "spearman")
     other = half.select(F.col("right").alias("left"), F.col("left").alias("right"), "spearman")
     diag = frame.agg(*[F.when(F.max(nz(f)) > F.min(nz(f)), 1.0).alias(f) for f in factors])
     diag = diag.unpivot([], list(factors), "left", "spearman")

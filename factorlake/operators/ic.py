@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import div, mean_over_std, nz, safe_corr
 from ..functions.ranks import avg_rank, pooled_ranks
+from ..functions.scan import numbered
 from ..session import materialize
 from .corr import spearman_matrix
 from .panel import KEYS, SEGMENT, melt
@@ -109,9 +110,9 @@ def pooled_ic(long: DataFrame) -> DataFrame:
 
 
 def pooled_ic_wide(wide: DataFrame, factors: Sequence[str], label: str = "label") -> DataFrame:
-    """`pooled_ic` of many factor columns: the label is one more column of the rank matrix."""
+    """`pooled_ic` of many columns of a stored frame: the label is one more column of the rank matrix."""
     names = [*factors, label]
-    pairs = spearman_matrix(wide, names, pairs=[(f, label) for f in factors])
+    pairs = spearman_matrix(wide, names, pairs=[(f, label) for f in factors], stored=True)
     one = wide.agg(*[safe_corr(_both(f, label), _both(label, f)).alias(f) for f in factors])
     pearson = one.unpivot([], list(factors), "factor", "ic")
     return pearson.join(
@@ -168,31 +169,37 @@ def ic_distribution(daily: DataFrame, col: str = "rank_ic", part: Sequence[str]
 
 
 def decile_layer(
-    long: DataFrame, part: Sequence[str] = ("factor", "trade_time"), layers: int = LAYERS, descending: bool = True
+    long: DataFrame,
+    part: Sequence[str] = ("factor", "trade_time"),
+    layers: int = LAYERS,
+    descending: bool = True,
+    names: int | None = None,
 ) -> DataFrame:
     """Equal-count layers per date by first-come rank, layer 1 the highest; none under `layers` names."""
     order = F.col("score").desc() if descending else F.col("score").asc()
-    w = Window.partitionBy(*part).orderBy(order, "code")
-    r = F.row_number().over(w)
-    n = F.count("*").over(Window.partitionBy(*part))
+    sizes = long.groupBy(*part).agg(F.count("*").alias("_n"))
+    if names is None or names <= NAMES:
+        placed = long.withColumn("_r", F.row_number().over(Window.partitionBy(*part).orderBy(order, "code")))
+        placed = placed.withColumn("_n", F.count("*").over(Window.partitionBy(*part)))
+    else:
+        placed = numbered(long, part, [order, F.col("code").asc()], "_r").join(sizes, list(part))
     # ceil((r - 1) * layers / (n - 1)) in integers
-    up = F.floor(((r - 1) * layers + n - 2) / (n - 1)).cast("int")
-    return long.withColumn("layer", F.when(n >= layers, F.greatest(F.lit(1), up)))
+    up = F.floor(((F.col("_r") - 1) * layers + F.col("_n") - 2) / (F.col("_n") - 1)).cast("int")
+    layer = F.when(F.col("_n") >= layers, F.greatest(F.lit(1), up))
+    return placed.withColumn("layer", layer).drop("_r", "_n")
 
 
-def layered_ic(long: DataFrame, layers: int = LAYERS) -> DataFrame:
+def layered_ic(long: DataFrame, layers: int = LAYERS, names: int | None = None) -> DataFrame:
     """Daily ICs inside each decile layer, summarised; all layer names present."""
-    cut = decile_layer(long).where(F.col("layer").isNotNull())
-    daily = daily_ic(cut, ("factor", "layer", "trade_time"))
-    got = ic_summary(daily.withColumnRenamed("names", "n"), ("factor", "layer"))
-    sizes = cut.groupBy("factor", "layer").agg(F.count("*").alias("rows"))
-    slots = long.select("factor").distinct().select(
-        "factor", F.explode(F.sequence(F.lit(1), F.lit(layers))).alias("layer")
+    cut = decile_layer(long, layers=layers, names=names).where(F.col("layer").isNotNull())
+    daily = daily_ic(cut, ("factor", "layer", "trade_time"), names)
+    got = daily.groupBy("factor", "layer").agg(*summary_columns(), F.sum("names").alias("rows"))
+    slots = (
+        long.select("factor").distinct().select("factor", F.explode(F.sequence(F.lit(1), F.lit(layers))).alias("layer"))
     )
     zero = {c: 0 for c in ("rows", "daily_ic_count", "daily_rank_ic_count")}
     return (
         slots.join(got, ["factor", "layer"], "left")
-        .join(sizes, ["factor", "layer"], "left")
         .fillna(zero)
         .select(F.concat(F.lit("Decile"), F.col("layer")).alias("layer_name"), "*")
         .drop("layer")
@@ -266,7 +273,7 @@ def factor_analyze(
         F.struct(*distribution_columns("rank_ic")).alias("rank_ic_distribution"),
     )
     pooled = pooled_ic_wide(frame, factors).select("factor", "ic", "rank_ic", F.col("rows").alias("joined_rows"))
-    layered = layered_ic(long)
+    layered = layered_ic(long, names=names)
     record = [c for c in layered.columns if c not in ("factor", "layer_name")]
     layers = (
         layered.groupBy("factor")

@@ -102,9 +102,8 @@ def minute_grid(prices: DataFrame, part: Sequence[str], time: str, tie: str, val
     """
     micros = F.unix_micros(F.col(time).cast("timestamp"))
     one = prices.groupBy(*part, time).agg(F.max_by(value, tie).alias(value)).withColumn("_u", micros)
-    day = F.floor(F.col("_u") / 86_400_000_000)
     step = step_seconds * 1_000_000
-    nxt = neighbour(one, part, "_u", day, ["_u"], ahead=True, suffix="_next")
+    nxt = neighbour(one, part, "_u", None, ["_u"], ahead=True, suffix="_next")
     first = F.ceil(F.col("_u") / step)
     # the last observation holds only at its own instant
     last = F.ceil(F.coalesce(F.col("_u_next"), F.col("_u") + 1) / step) - 1

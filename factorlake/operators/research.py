@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import div, mean_over_std, nz, safe_corr
+from ..functions.numeric import mean_over_std, nz, safe_corr
 from ..functions.ranks import avg_rank, exact_percentiles, pooled_ranks
 from ..functions.scan import neighbour, numbered
 from .ic import forward_return
@@ -154,82 +154,113 @@ def bar_seconds(panel: DataFrame, part: Sequence[str] = ("code",)) -> DataFrame:
     return sizes.join(median, list(part), "left").select(*part, F.coalesce(value, F.lit(60)).cast("bigint").alias("bar_seconds"))
 
 
+def _dates(panel: DataFrame, dates: int | None) -> int:
+    return panel.select("trade_time").distinct().count() if dates is None else dates
+
+
+def smoothed(panel: DataFrame, col: str, n: int, out: str, dates: int | None = None) -> DataFrame:
+    """Rolling mean of the last n rows of a code, NULL below n values."""
+    if n == 1:
+        return panel.withColumn(out, F.col(col))
+    rows = chunked(panel, ["code"], "trade_time", n - 1, dates)
+    w = Window.partitionBy("code", "_chunk").orderBy("_no").rowsBetween(-(n - 1), 0)
+    mean = F.when(F.count(col).over(w) >= n, F.avg(col).over(w))
+    return rows.withColumn(out, mean).where(~F.col("_lead")).drop("_no", "_chunk", "_lead")
+
+
+def _lagged(panel: DataFrame, cols: Sequence[str], dates: int) -> DataFrame:
+    """Columns one row late per code."""
+    if dates <= SEGMENT:
+        w = Window.partitionBy("code").orderBy("trade_time")
+        return panel.withColumns({c: F.lag(c).over(w) for c in cols})
+    got = neighbour(panel, ["code"], "trade_time", None, cols)
+    return got.withColumns({c: F.col(f"{c}_prev") for c in cols}).drop(*[f"{c}_prev" for c in cols])
+
+
 def eval_frame(
-    panel: DataFrame, signals: Sequence[str], horizon: int, smooth: int = 1, step_seconds: int = 60, lag: bool = True
+    panel: DataFrame,
+    signals: Sequence[str],
+    horizon: int,
+    smooth: int = 1,
+    step_seconds: int = 60,
+    lag: bool = True,
+    dates: int | None = None,
 ) -> DataFrame:
     """Smoothed price, forward return and, by default, signals one row late.
 
-    A horizon above 1400 bars switches to the last row of each day, with the
-    horizon in days.  A code's rows are bounded by the calendar.
+    A horizon above 1400 bars switches to the last known values of each day,
+    with the horizon in days.
     """
     if horizon < 1:
         raise ValueError("horizon must be positive")
-    w = Window.partitionBy("code").orderBy("trade_time")
-    frame = w.rowsBetween(-(smooth - 1), 0)
-    price = F.when(F.count("close").over(frame) >= smooth, F.avg("close").over(frame))
-    df = panel.select("code", "trade_time", *[nz(s).alias(s) for s in signals], price.alias("price"))
+    df = panel.select("code", "trade_time", *[nz(s).alias(s) for s in signals], "close")
+    df = smoothed(df, "close", smooth, "close", dates)
     h = horizon
     if horizon > DAILY_SWITCH:
-        per_day = max(1, round(DAY_SECONDS / step_seconds))
-        h = max(1, round(horizon / per_day))
+        h = max(1, round(horizon / max(1, round(DAY_SECONDS / step_seconds))))
         last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("trade_time"))).alias(c)
         day = F.date_trunc("day", "trade_time").cast("timestamp_ntz").alias("trade_time")
-        df = df.groupBy("code", day).agg(*[last(c) for c in [*signals, "price"]])
-    cols = {"ret": nz(div(F.lead("price", h).over(w), "price") - 1)}
-    if lag:
-        cols |= {s: F.lag(s, 1).over(w) for s in signals}
-    return df.withColumns(cols)
+        df = df.groupBy("code", day).agg(*[last(c) for c in [*signals, "close"]])
+        dates = None
+    n = _dates(df, dates)
+    df = forward_return(df, h, "ret", n).withColumnRenamed("close", "price")
+    return _lagged(df, signals, n) if lag else df
 
 
-def ic_curve(panel: DataFrame, signals: Sequence[str], horizons: Sequence[int]) -> DataFrame:
+def ic_curve(panel: DataFrame, signals: Sequence[str], horizons: Sequence[int], dates: int | None = None) -> DataFrame:
     """Spearman of each signal with the forward return of each horizon, complete rows, per code."""
-    w = Window.partitionBy("code").orderBy("trade_time")
-    rets = {f"_r{h}": nz(div(F.lead("close", h).over(w), "close") - 1) for h in horizons}
-    lagged = {s: F.lag(nz(s), 1).over(w) for s in signals}
-    wide = panel.withColumns(rets).withColumns(lagged)
-    by_h = wide.select(
-        "code", "trade_time", *signals,
-        F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"_r{h}").alias("y")) for h in horizons])).alias("o"),
-    ).select("code", "trade_time", *signals, "o.horizon", "o.y").dropna()
+    n = _dates(panel, dates)
+    wide = panel.select("code", "trade_time", "close", *[nz(s).alias(s) for s in signals])
+    for h in horizons:
+        wide = forward_return(wide, h, f"_r{h}", n)
+    wide = _lagged(wide, signals, n)
+    returns = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"_r{h}").alias("y")) for h in horizons])
+    by_h = wide.select("code", "trade_time", *signals, F.explode(returns).alias("o"))
+    by_h = by_h.select("code", "trade_time", *signals, "o.horizon", "o.y").dropna()
     long = by_h.unpivot(["code", "trade_time", "horizon", "y"], list(signals), "signal", "x")
     part = ["code", "horizon", "signal"]
-    ranked = long.withColumns({"rx": avg_rank("x", part), "ry": avg_rank("y", part)})
+    if n <= SEGMENT:
+        ranked = long.withColumns({"rx": avg_rank("x", part), "ry": avg_rank("y", part)})
+    else:
+        ranked = pooled_ranks(pooled_ranks(long, part, "x", "rx"), part, "y", "ry")
     return ranked.groupBy(*part).agg(safe_corr("rx", "ry").alias("ic"))
 
 
-def bucket_test(rows: DataFrame, buckets: int = 5, part: Sequence[str] = ("code",)) -> DataFrame:
+def bucket_test(rows: DataFrame, buckets: int = 5, part: Sequence[str] = ("code",), dates: int | None = None) -> DataFrame:
     """Mean forward return of equal-count buckets of a signal, lowest first; needs `buckets` distinct values.
 
     `rows` has (part..., trade_time, x, y); equal values are ordered by time.
     """
     known = rows.dropna(subset=["x", "y"])
-    distinct = known.select(*part, "x").distinct().groupBy(*part).agg(F.count("*").alias("_d"))
-    sizes = known.groupBy(*part).agg(F.count("*").alias("_n"))
-    r = F.row_number().over(Window.partitionBy(*part).orderBy("x", "trade_time"))
-    placed = known.withColumn("_r", r).join(sizes, list(part)).join(distinct, list(part)).where(F.col("_d") >= buckets)
+    values = known.select(*part, "x").distinct().groupBy(*part).agg(F.count("*").alias("_d"))
+    sizes = known.groupBy(*part).agg(F.count("*").alias("_n")).join(values, list(part)).where(F.col("_d") >= buckets)
+    if dates is not None and dates <= SEGMENT:
+        r = F.row_number().over(Window.partitionBy(*part).orderBy("x", "trade_time"))
+        placed = known.withColumn("_r", r)
+    else:
+        placed = numbered(known, part, ["x", "trade_time"], "_r")
     up = F.floor(((F.col("_r") - 1) * buckets + F.col("_n") - 2) / (F.col("_n") - 1)).cast("int")
+    bucket = (F.greatest(F.lit(1), up) - 1).alias("bucket")
     return (
-        placed.groupBy(*part, (F.greatest(F.lit(1), up) - 1).alias("bucket"))
-        .agg(F.avg("y").alias("mean_return"), F.count("*").alias("n"))
+        placed.join(sizes, list(part)).groupBy(*part, bucket).agg(F.avg("y").alias("mean_return"), F.count("*").alias("n"))
     )
 
 
-def rolling_ic(rows: DataFrame, n: int, part: Sequence[str] = ("code",)) -> DataFrame:
+def rolling_ic(rows: DataFrame, n: int, part: Sequence[str] = ("code",), dates: int | None = None) -> DataFrame:
     """Rolling Pearson of x and y over complete rows."""
-    known = rows.dropna(subset=["x", "y"])
-    w = Window.partitionBy(*part).orderBy("trade_time").rowsBetween(-(n - 1), 0)
+    known = chunked(rows.dropna(subset=["x", "y"]), part, "trade_time", n - 1, dates)
+    w = Window.partitionBy(*part, "_chunk").orderBy("_no").rowsBetween(-(n - 1), 0)
     x, y = F.col("x"), F.col("y")
     corr = F.try_divide(F.covar_pop(x, y).over(w), F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w))
-    return known.withColumn("ic", F.when(F.count(x).over(w) >= n, corr))
+    scored = known.withColumn("ic", F.when(F.count(x).over(w) >= n, corr))
+    return scored.where(~F.col("_lead")).drop("_no", "_chunk", "_lead")
 
 
-def hit_rate(panel: DataFrame, signal: str, smooth: int = 20) -> DataFrame:
+def hit_rate(panel: DataFrame, signal: str, smooth: int = 20, dates: int | None = None) -> DataFrame:
     """Share of non-zero signals whose sign the next return of the smoothed close has, per code."""
-    w = Window.partitionBy("code").orderBy("trade_time")
-    frame = w.rowsBetween(-(smooth - 1), 0)
-    ma = F.when(F.count("close").over(frame) >= smooth, F.avg("close").over(frame))
-    df = panel.select("code", "trade_time", nz(signal).alias("s"), ma.alias("ma"))
-    df = df.withColumn("r", nz(div(F.lead("ma").over(w), "ma") - 1))
+    n = _dates(panel, dates)
+    df = panel.select("code", "trade_time", nz(signal).alias("s"), "close")
+    df = forward_return(smoothed(df, "close", smooth, "close", n), 1, "r", n)
     valid = df.where("r IS NOT NULL AND s IS NOT NULL AND s != 0")
     hit = (F.signum("s") == F.signum("r")).cast("double")
     return valid.groupBy("code").agg(F.avg(hit).alias("hit_rate"), F.count("*").alias("n"))

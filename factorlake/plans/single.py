@@ -90,7 +90,7 @@ def bar_seconds(spark, sf):
       WINDOW q AS (PARTITION BY code ORDER BY trade_time ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))
     SELECT code, trade_time, {out("lag(x) OVER w", "x")}, {out("lead(price, 5) OVER w / nullif(price, 0) - 1", "ret")} FROM p WINDOW w AS (PARTITION BY code ORDER BY trade_time)""")
 def eval_frame(spark, sf):
-    return rounded(R.eval_frame(_panel(spark, sf), ["x"], 5, smooth=4).select("code", "trade_time", "x", "ret"))
+    return rounded(R.eval_frame(_panel(spark, sf), ["x"], 5, smooth=4, dates=_dates(spark, sf)).select("code", "trade_time", "x", "ret"))
 
 
 @query("eval_frame_daily", f"""WITH e AS (SELECT event_type AS code, ts, value, user_id::DOUBLE AS sig FROM events),
@@ -130,20 +130,20 @@ HORIZONS = (1, 3, 6)
     rr AS (SELECT *, {C.rank_sql("x", "code, horizon, signal")} AS rx, {C.rank_sql("y", "code, horizon, signal")} AS ry FROM rows_)
     SELECT code, CAST(horizon AS BIGINT) AS horizon, signal, {out(C.corr_sql("rx", "ry"), "ic")} FROM rr GROUP BY 1, 2, 3""".replace(", ,", ",").replace(",  ,", ","))
 def ic_curve(spark, sf):
-    return rounded(R.ic_curve(C.frame(spark, sf).select(*P.KEYS, "close", "mom_1", "vol_6"), ["mom_1", "vol_6"], HORIZONS))
+    return rounded(R.ic_curve(C.frame(spark, sf).select(*P.KEYS, "close", "mom_1", "vol_6"), ["mom_1", "vol_6"], HORIZONS, C.dates(spark, sf)))
 
 
 @query("bucket_test", f"""{PAIRS}, n AS (SELECT *, count(*) OVER (PARTITION BY code) AS n, row_number() OVER (PARTITION BY code ORDER BY x, trade_time) AS r FROM pairs_),
     ok AS (SELECT code FROM pairs_ GROUP BY 1 HAVING count(DISTINCT x) >= 5)
     SELECT code, greatest(1, ((r - 1) * 5 + n - 2) // (n - 1)) - 1 AS bucket, {out("avg(y)", "mean_return")}, count(*) AS n FROM n JOIN ok USING (code) GROUP BY 1, 2""")
 def bucket_test(spark, sf):
-    return rounded(R.bucket_test(_pairs(spark, sf)))
+    return rounded(R.bucket_test(_pairs(spark, sf), dates=_dates(spark, sf)))
 
 
 @query("rolling_ic", f"""{PAIRS} SELECT code, trade_time, {out("CASE WHEN count(x) OVER q >= 12 AND stddev_pop(x) OVER q > 0 AND stddev_pop(y) OVER q > 0 THEN covar_pop(x, y) OVER q / (stddev_pop(x) OVER q * stddev_pop(y) OVER q) END", "ic")}
     FROM pairs_ WINDOW q AS (PARTITION BY code ORDER BY trade_time ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)""")
 def rolling_ic(spark, sf):
-    return rounded(R.rolling_ic(_pairs(spark, sf), 12).select("code", "trade_time", "ic"))
+    return rounded(R.rolling_ic(_pairs(spark, sf), 12, dates=_dates(spark, sf)).select("code", "trade_time", "ic"))
 
 
 @query("hit_rate", f"""{MOM}, m AS (SELECT code, trade_time, x, CASE WHEN count(close) OVER q >= 20 THEN avg(close) OVER q END AS ma FROM panel
@@ -151,6 +151,6 @@ def rolling_ic(spark, sf):
     r AS (SELECT *, lead(ma) OVER (PARTITION BY code ORDER BY trade_time) / nullif(ma, 0) - 1 AS r FROM m)
     SELECT code, {out("avg(CASE WHEN sign(x) = sign(r) THEN 1.0 ELSE 0.0 END)", "hit_rate")}, count(*) AS n FROM r WHERE r IS NOT NULL AND x IS NOT NULL AND x <> 0 GROUP BY 1""")
 def hit_rate(spark, sf):
-    return rounded(R.hit_rate(_panel(spark, sf), "x"))
+    return rounded(R.hit_rate(_panel(spark, sf), "x", dates=_dates(spark, sf)))
 
 
