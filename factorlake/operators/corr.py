@@ -98,7 +98,7 @@ def _rank_block(keys: Sequence[str], need: list[list[int]]):
                     at = np.searchsorted(sx[starts], f["x"])
                     per[at] = f["a"][cls] + (f["b"][cls] + 1) / 2.0
             ranks[order, c] = per[group]
-        offsets = np.arange(0, ranks.size + 1, len(need[i]) or 1, dtype="int32")
+        offsets = np.arange(0, ranks.size + 1, len(need[i]), dtype="int32")
         lists = pa.ListArray.from_arrays(offsets[: len(x) + 1], pa.array(ranks.ravel()))
         return pa.table([*[left.column(c) for c in keys], left.column("i"), lists], names=[*keys, "i", "ranks"])
 
@@ -153,7 +153,8 @@ def spearman_matrix(
     ranked block by block, then brought together by cell in buckets.  The columns
     are read three times, so they are stored first unless the caller has done so.
     """
-    factors, keys = list(factors), list(keys)
+    used = {f for pair in pairs for f in pair} if pairs else set(factors)
+    factors, keys = [f for f in factors if f in used], list(keys)
     k = len(factors)
     frame = frame.select(*keys, *[nz(f).alias(f) for f in factors])
     if not stored:
