@@ -37,10 +37,12 @@ def ordered_blocks(df: DataFrame, order: Sequence, blocks: int | None = None) ->
     """Cut a whole table into consecutive blocks of its sort order, stored with a block id.
 
     The ids come from a range partitioning and are written out before use, so a
-    recomputed task cannot see other boundaries.
+    recomputed task cannot see other boundaries.  Without a given number the
+    shuffle's own size decides: adaptive execution joins neighbouring partitions
+    that are small.
     """
-    n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(n, *[F.col(c) if isinstance(c, str) else c for c in order])
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    cut = df.repartitionByRange(blocks, *cols) if blocks else df.repartitionByRange(*cols)
     return materialize(cut.withColumn("blk", F.spark_partition_id()))
 
 

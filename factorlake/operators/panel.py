@@ -95,24 +95,28 @@ def densify(
         raise ValueError("lookback must be shorter than a segment")
     cal, n = index_calendar(bars if times is None else times)
     names = (bars if codes is None else codes).select("code").distinct()
-    empty = names.select(
-        "code",
-        F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("t"),
-        *[F.lit(None).cast("double").alias(c) for c in fields],
-        F.lit(0).alias("observed"),
+    # cells segment by segment, each with its leading rows
+    last = max(n - 1, 0) // segment
+    first = F.greatest(F.col("seg") * segment - (lookback if last else 0), F.lit(0))
+    stop = F.least((F.col("seg") + 1) * segment, F.lit(n)) - 1
+    empty = (
+        names.select("code", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("seg"))
+        .select("code", "seg", F.explode(F.sequence(first, stop)).alias("t"))
+        .select(
+            "code", "seg", "t", *[F.lit(None).cast("double").alias(c) for c in fields], F.lit(0).alias("observed")
+        )
     )
     placed = bars.join(small(cal, n), "trade_time").select(
         "code", "t", *[nz(c).alias(c) for c in fields], F.lit(1).alias("observed")
     )
     home = F.floor(F.col("t") / segment).cast("int")
-    if lookback and n > segment:
-        edge = F.col("t") % segment >= segment - lookback
-        segs = F.explode(F.when(edge, F.array(home, home + 1)).otherwise(F.array(home)))
+    if lookback and last:
+        early = (F.col("t") % segment >= segment - lookback) & (home < last)
+        placed = placed.withColumn("seg", F.explode(F.when(early, F.array(home, home + 1)).otherwise(F.array(home))))
     else:
-        segs = home
+        placed = placed.withColumn("seg", home)
     cells = (
         empty.unionByName(placed)
-        .withColumn("seg", segs)
         .repartition(*SERIES)
         .groupBy(*SERIES, "t")
         .agg(*[F.avg(c).alias(c) for c in fields], F.max("observed").alias("observed"))

@@ -214,8 +214,7 @@ RESAMPLED = ("15m", "1h", "4h", "1d")
 
 @query("bars_resample", f"{WITH} " + " UNION ALL ".join(resampled_sql(L.INTERVAL_MS[t], t) for t in RESAMPLED))
 def bars_resample(spark, sf):
-    bars = materialize(unique_klines(spark, sf))
-    made = [L.resample(bars, t) for t in RESAMPLED]
+    made = list(L.resample_chain(unique_klines(spark, sf), RESAMPLED).values())
     all_bars = made[0]
     for m in made[1:]:
         all_bars = all_bars.unionByName(m)

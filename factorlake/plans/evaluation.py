@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import rnd
 from ..operators import corr, ic
 from ..operators import panel as P
+from ..session import materialize
 from . import cands as C
 from . import views as V
 from .registry import out, query
@@ -51,7 +52,8 @@ def forward_return_blocks(spark, sf):
 @query("pooled_ic", f"""{C.long_sql()}, {C.daily_sql("factor")}
     SELECT factor, {out("ic", "ic")}, {out("rank_ic", "rank_ic")}, names AS "rows" FROM daily""")
 def pooled_ic(spark, sf):
-    return rounded(ic.pooled_ic(C.long(spark, sf)))
+    wide = ic.forward_return(C.frame(spark, sf), 1, "label", C.dates(spark, sf))
+    return rounded(ic.pooled_ic_wide(materialize(wide.select(*P.KEYS, *C.NAMES, "label")), C.NAMES))
 
 
 @query("daily_ic", f"""{C.long_sql()}, {C.daily_sql()}

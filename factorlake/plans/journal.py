@@ -682,11 +682,11 @@ def round_record(spark, sf):
     h = history(spark, sf)
     nested = h.select(
         "round",
-        F.struct(F.lit("built").alias("status"), "score_rows", "composite_rank_ic").alias("factor_library_portfolio"),
+        F.struct(F.lit("built").alias("status"), "score_rows", "composite_rank_ic").alias("portfolio"),
         F.struct(
             F.when(F.col("admitted_factors") == "", "rejected").otherwise("accepted").alias("status"),
             F.filter(F.split("admitted_factors", ","), lambda v: v != "").alias("accepted_candidates"),
-        ).alias("factor_library_admission"),
+        ).alias("admission"),
         F.struct(F.col("round_best_rank_ic").alias("best_ic")).alias("round_ic"),
     )
     return rounded(S.round_record(nested))

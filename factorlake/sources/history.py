@@ -58,7 +58,7 @@ def deltas(df: DataFrame) -> DataFrame:
 
 def round_record(summary: DataFrame) -> DataFrame:
     """Nested round summary to the flat history row."""
-    p, a = "factor_library_portfolio", "factor_library_admission"
+    p, a = "portfolio", "admission"
     return summary.select(
         "round",
         f"{p}.status",

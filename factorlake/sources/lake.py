@@ -243,3 +243,13 @@ def resample(bars: DataFrame, target: str) -> DataFrame:
     )
 
 
+def resample_chain(bars: DataFrame, targets: Sequence[str]) -> dict[str, DataFrame]:
+    """Several targets from one pass over the fine bars: each coarser bar is built from the next finer one."""
+    made: dict[str, DataFrame] = {}
+    source = bars
+    for target in sorted(targets, key=INTERVAL_MS.__getitem__):
+        made[target] = resample(source, target)
+        if source is bars:
+            made[target] = materialize(made[target])
+        source = made[target]
+    return made
