@@ -13,23 +13,23 @@ from . import views as V
 from .evaluation import rounded
 from .registry import query
 
-DELIVERIES = 4
+DELIVERIES = 3
 
 
 def _dir(spark, kind):
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def _arrivals(spark, df, order):
-    """Deliveries in time order, one write after the other, read back as a stream of several batches."""
+def _deliver(spark, df, order, start):
+    """Deliveries in time order: after each, the query is started again from its checkpoint and run dry."""
     path = _dir(spark, "arrivals")
     blocks = max(DELIVERIES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     per = -(-blocks // DELIVERIES)
     cut = ordered_blocks(df, [order], blocks)
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
     for first in range(0, blocks, per):
         cut.where(F.col("blk").between(first, first + per - 1)).drop("blk").write.mode("append").parquet(path)
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    return B.read_files(spark, path, schema, files_per_trigger=per)
+        B.drain(start(B.read_files(spark, path, schema)))
 
 
 def _ticks(spark, sf):
@@ -46,9 +46,9 @@ def _ticks(spark, sf):
     min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*)::DOUBLE AS volume, count(*) AS num_trades FROM events GROUP BY 1, 2""")
 def stream_bars(spark, sf):
     """Four-hour bars in update mode; the latest version of each bar equals the batch result."""
-    bars = B.bars_from_ticks(_arrivals(spark, _ticks(spark, sf), "ts"), "4 hours")
-    path = _dir(spark, "bars")
-    B.drain(B.versioned_sink(bars, path, _dir(spark, "checkpoint")))
+    path, check = _dir(spark, "bars"), _dir(spark, "checkpoint")
+    bars = lambda ticks: B.bars_from_ticks(ticks, "4 hours")
+    _deliver(spark, _ticks(spark, sf), "ts", lambda s: B.versioned_sink(bars(s), path, check))
     done = B.latest_version(spark.read.parquet(path), ["symbol", "bar_time"])
     return done.withColumn("bar_time", F.col("bar_time").cast("timestamp_ntz"))
 
@@ -56,9 +56,9 @@ def stream_bars(spark, sf):
 @query("stream_bars_append")
 def stream_bars_append(spark, sf):
     """Append mode: only bars the watermark has closed."""
-    bars = B.bars_from_ticks(_arrivals(spark, _ticks(spark, sf), "ts"), "4 hours")
-    path = _dir(spark, "bars")
-    B.drain(B.versioned_sink(bars, path, _dir(spark, "checkpoint"), mode="append"))
+    path, check = _dir(spark, "bars"), _dir(spark, "checkpoint")
+    bars = lambda ticks: B.bars_from_ticks(ticks, "4 hours")
+    _deliver(spark, _ticks(spark, sf), "ts", lambda s: B.versioned_sink(bars(s), path, check, mode="append"))
     return rounded(spark.read.parquet(path).groupBy("symbol").agg(F.count("*").alias("bars"), F.max("close").alias("top")))
 
 
@@ -69,18 +69,17 @@ def _klines(spark, sf):
 
 @query("stream_dedup", f"WITH raw AS ({K.RAW_SQL}) SELECT DISTINCT symbol, open_time, date FROM raw")
 def stream_dedup(spark, sf):
-    stream = B.dedup_stream(_arrivals(spark, _klines(spark, sf), "open_time"), ["symbol", "open_time"])
-    path = _dir(spark, "unique")
-    B.drain(B.versioned_sink(stream, path, _dir(spark, "checkpoint"), mode="append"))
+    path, check = _dir(spark, "unique"), _dir(spark, "checkpoint")
+    unique = lambda s: B.dedup_stream(s, ["symbol", "open_time"])
+    _deliver(spark, _klines(spark, sf), "open_time", lambda s: B.versioned_sink(unique(s), path, check, mode="append"))
     return spark.read.parquet(path).select("symbol", "open_time", "date")
 
 
 @query("stream_lake_sink", f"""{K.WITH} SELECT symbol, open_time, close, (SELECT max(m.open_time) FROM bars m WHERE m.symbol = bars.symbol) AS last_open_time FROM bars""")
 def stream_lake_sink(spark, sf):
     """Bars arriving in several batches: the lake and its marks afterwards."""
-    path, marks = _dir(spark, "lake"), _dir(spark, "marks")
-    stream = _arrivals(spark, _klines(spark, sf).drop("ts"), "ingest")
-    B.drain(B.lake_sink(stream, path, marks, _dir(spark, "checkpoint")))
+    path, marks, check = _dir(spark, "lake"), _dir(spark, "marks"), _dir(spark, "checkpoint")
+    _deliver(spark, _klines(spark, sf).drop("ts"), "ingest", lambda s: B.lake_sink(s, path, marks, check))
     stored = L.query(L.scan(spark, path), columns=[*L.SERIES, "open_time", "close"])
     return stored.join(B.read_marks(spark, marks), L.SERIES).select("symbol", "open_time", "close", "last_open_time")
 
@@ -88,16 +87,14 @@ def stream_lake_sink(spark, sf):
 @query("stream_gap_alert", f"""{K.WITH}, step AS (SELECT symbol, open_time, lag(open_time) OVER (PARTITION BY symbol ORDER BY open_time) AS prev FROM bars)
     SELECT symbol, prev + 60000 AS gap_start, open_time - 60000 AS gap_end FROM step WHERE open_time - prev > 60000""")
 def stream_gap_alert(spark, sf):
-    path = _dir(spark, "alerts")
-    stream = _arrivals(spark, _klines(spark, sf).drop("ts"), "open_time")
-    B.drain(B.gap_alerts(stream, path, _dir(spark, "marks"), _dir(spark, "checkpoint")))
+    path, marks, check = _dir(spark, "alerts"), _dir(spark, "marks"), _dir(spark, "checkpoint")
+    _deliver(spark, _klines(spark, sf).drop("ts"), "open_time", lambda s: B.gap_alerts(s, path, marks, check))
     return spark.read.parquet(path).select("symbol", "gap_start", "gap_end")
 
 
 @query("stream_resample", f"{K.WITH} {K.resampled_sql(3_600_000, '1h')}")
 def stream_resample(spark, sf):
     """Coarser bars from the lake a stream has filled."""
-    path, marks = _dir(spark, "lake"), _dir(spark, "marks")
-    stream = _arrivals(spark, _klines(spark, sf).drop("ts"), "ingest")
-    B.drain(B.lake_sink(stream, path, marks, _dir(spark, "checkpoint")))
+    path, marks, check = _dir(spark, "lake"), _dir(spark, "marks"), _dir(spark, "checkpoint")
+    _deliver(spark, _klines(spark, sf).drop("ts"), "ingest", lambda s: B.lake_sink(s, path, marks, check))
     return K.round_sums(L.resample(materialize(L.query(L.scan(spark, path))), "1h"))
