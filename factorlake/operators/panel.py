@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import nz
 from ..functions.ranks import ordered_blocks
 from ..functions.ts import SERIES, ts_shift
-from ..session import broadcast_rows, small
+from ..session import broadcast_rows, materialize, small
 
 KEYS = ["trade_time", "code"]
 FIELDS = ["open", "high", "low", "close", "volume", "amount"]
@@ -56,8 +56,11 @@ def _keep(df, keys, order, pick) -> DataFrame:
 
 
 def index_calendar(times: DataFrame) -> tuple[DataFrame, int]:
-    """(trade_time, t) with t = 0, 1, ... in time order, and the number of dates."""
-    cal = times.select("trade_time").distinct()
+    """(trade_time, t) with t = 0, 1, ... in time order, and the number of dates.
+
+    The distinct times are stored, so the table they come from is scanned once.
+    """
+    cal = materialize(times.select("trade_time").distinct())
     n = cal.count()
     if n <= broadcast_rows(times.sparkSession):
         return cal.select(

@@ -35,14 +35,15 @@ def _dates(spark, sf):
     return V.calendar(spark, sf, "week").count()
 
 
-def _pairs(spark, sf):
+def _pairs(spark, sf, dates=None):
     known = _panel(spark, sf).dropna(subset=["x", "close"])
-    return ic.forward_return(known, 1, "y", _dates(spark, sf)).dropna(subset=["y"])
+    return ic.forward_return(known, 1, "y", dates or _dates(spark, sf)).dropna(subset=["y"])
 
 
 @query("rolling_rank_ic", f"{ROLLED} SELECT code, trade_time, {out('rank_ic', 'rank_ic')} FROM roll")
 def rolling_rank_ic(spark, sf):
-    return rounded(R.rolling_rank_ic(_pairs(spark, sf), 60, dates=_dates(spark, sf)).select("code", "trade_time", "rank_ic"))
+    n = _dates(spark, sf)
+    return rounded(R.rolling_rank_ic(_pairs(spark, sf, n), 60, dates=n).select("code", "trade_time", "rank_ic"))
 
 
 @query("rolling_rank_ic_chunks", f"{ROLLED} SELECT code, trade_time, {out('rank_ic', 'rank_ic')} FROM roll")
@@ -137,13 +138,15 @@ def ic_curve(spark, sf):
     ok AS (SELECT code FROM pairs_ GROUP BY 1 HAVING count(DISTINCT x) >= 5)
     SELECT code, greatest(1, ((r - 1) * 5 + n - 2) // (n - 1)) - 1 AS bucket, {out("avg(y)", "mean_return")}, count(*) AS n FROM n JOIN ok USING (code) GROUP BY 1, 2""")
 def bucket_test(spark, sf):
-    return rounded(R.bucket_test(_pairs(spark, sf), dates=_dates(spark, sf)))
+    n = _dates(spark, sf)
+    return rounded(R.bucket_test(_pairs(spark, sf, n), dates=n))
 
 
 @query("rolling_ic", f"""{PAIRS} SELECT code, trade_time, {out("CASE WHEN count(x) OVER q >= 12 AND stddev_pop(x) OVER q > 0 AND stddev_pop(y) OVER q > 0 THEN covar_pop(x, y) OVER q / (stddev_pop(x) OVER q * stddev_pop(y) OVER q) END", "ic")}
     FROM pairs_ WINDOW q AS (PARTITION BY code ORDER BY trade_time ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)""")
 def rolling_ic(spark, sf):
-    return rounded(R.rolling_ic(_pairs(spark, sf), 12, dates=_dates(spark, sf)).select("code", "trade_time", "ic"))
+    n = _dates(spark, sf)
+    return rounded(R.rolling_ic(_pairs(spark, sf, n), 12, dates=n).select("code", "trade_time", "ic"))
 
 
 @query("hit_rate", f"""{MOM}, m AS (SELECT code, trade_time, x, CASE WHEN count(close) OVER q >= 20 THEN avg(close) OVER q END AS ma FROM panel
