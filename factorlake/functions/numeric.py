@@ -35,13 +35,3 @@ def safe_corr(x, y) -> Column:
 def rnd(x, digits: int = 6) -> Column:
     """Rounded for output; the added zero removes a negative zero."""
     return F.round(_c(x).cast("double"), digits) + F.lit(0.0)
-
-
-def skew_adjusted(x) -> Column:
-    """Bias-corrected sample skewness (G1)."""
-    n = F.count(x).cast("double")
-    g1 = F.try_divide(
-        F.avg(x * x * x) - 3 * F.avg(x) * F.avg(x * x) + 2 * F.pow(F.avg(x), F.lit(3)),
-        F.pow(F.var_pop(x), F.lit(1.5)),
-    )
-    return F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2))
