@@ -3,8 +3,8 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, warc
-from .common import table
+from . import bpe, html, linededup, lm, packing, quality, simhash, toxicity, vectors, warc
+from .common import held, table
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -57,3 +57,67 @@ def op9_bpe_codec(spark, sf):
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op1_toxicity_cnn")
+def op1_toxicity_cnn(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    net = toxicity.fit(docs, labels, where=~held(1, 3))
+    done = toxicity.scored(docs.select("doc_id", "text"), net)
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
+    return done.select("doc_id", held(1, 3).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query("op2_simhash_anchors")
+def op2_simhash_anchors(spark, sf):
+    groups = simhash.near_groups(table(spark, sf, "documents"))
+    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return groups.select(F.col("id").alias("doc_id"), hexed.alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query("op4_html_main_text")
+def op4_html_main_text(spark, sf):
+    pages = table(spark, sf, "pages")
+    done = html.extracted(pages.select("page_id", "url", "html"), html.fit(pages))
+    return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query(
+    "op5_vector_pivots",
+    """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a),
+roots AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n_links FROM pairs GROUP BY a)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, e.vec_id) AS component_id,
+       e.vec_id = coalesce(component_id, e.vec_id) AS kept
+FROM embeddings AS e LEFT JOIN roots ON roots.a = e.vec_id LEFT JOIN counts ON counts.a = e.vec_id""",
+)
+def op5_vector_pivots(spark, sf):
+    done = vectors.near_vectors(table(spark, sf, "embeddings"))
+    kept = F.col("id") == F.col("component")
+    return done.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), kept.alias("kept"))
+
+
+@query("op6_bm25_packing")
+def op6_bm25_packing(spark, sf):
+    return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op7_line_field")
+def op7_line_field(spark, sf):
+    docs = quality.judged(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
+    return docs.select("doc_id", *[F.col("verdict")[c].alias(c) for c in names])
+
+
+@query("op10_backoff_automaton")
+def op10_backoff_automaton(spark, sf):
+    docs = table(spark, sf, "documents")
+    out = lm.log_probabilities(docs, ~held(1, 5))
+    return out.select(F.col("id").alias("doc_id"), held(1, 5, "id").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
