@@ -16,14 +16,19 @@ also rows of equal or null ids. Sequence numbers are unique; which documents sha
 sequence depends on how the input is partitioned.
 """
 
+import json
+import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from .bpe import byte_letters
 from .common import texts, tuned, worker_state
 
 WINDOW = 4096
@@ -34,34 +39,79 @@ QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 #: Pieces of text whose ids a worker remembers; beyond, it starts again.
 REMEMBERED = 400_000
+#: Stands for the end of a word inside the encoder; pieces that hold it are left to the library.
+END_SIGN = "\x01"
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordIds:
-    """Ids of texts under a vocabulary that never joins over white space."""
+    """Ids of texts under a vocabulary that never joins over white space.
+
+    Words are encoded by the ranks of the merges. The end of a word is one more sign, `END_SIGN`, and
+    joining it with the last letter comes before all merges of the vocabulary.
+    """
 
     def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, suffix = spec["model"], spec["model"]["end_of_word_suffix"]
+        letters = byte_letters()
+        raw = lambda t: bytes(letters[c] for c in t.removesuffix(suffix)) + END_SIGN.encode() * t.endswith(suffix)
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        single = {letter: bytes([b]) for letter, b in letters.items()}
+        ranks = {b: i for i, b in enumerate(sorted(single.values()))}
+        ranks |= {b + END_SIGN.encode(): 256 + i for i, b in enumerate(sorted(single.values()))}
+        ranks |= {raw(t): 512 + i for i, t in enumerate(merged)}
+        self.id_of = np.zeros(512 + len(merged), dtype="<u4")
+        for token, i in model["vocab"].items():
+            if (r := ranks.get(raw(token))) is not None:
+                self.id_of[r] = i
+        self.ends = np.zeros(len(self.id_of), dtype=bool)
+        self.ends[[r for t, r in ranks.items() if t.endswith(END_SIGN.encode())]] = True
+        self.ranked = tiktoken.Encoding("words", pat_str=f"[^{END_SIGN}]*{END_SIGN}", mergeable_ranks=ranks, special_tokens={})
+        self.odd = [t["content"].encode() for t in spec["added_tokens"]] + [END_SIGN.encode()]
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.split = regex.compile(rf"{pattern}|\n").findall
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.words: dict[str, bytes] = {}
         self.seen: dict[bytes, bytes] = {}
 
-    def learn(self, pieces) -> None:
-        new = list({p for p in pieces if p not in self.seen})
+    def learn_words(self, words: set[str]) -> None:
+        """Ids of normalised words, each encoded on its own in one call."""
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        new = list(words.difference(self.words))
+        if new:
+            ranks = np.array(self.ranked.encode_ordinary(END_SIGN.join(new) + END_SIGN))
+            flat = self.id_of[ranks].tobytes()
+            cuts = (4 * np.flatnonzero(self.ends[ranks]) + 4).tolist()
+            self.words.update((w, flat[i:j]) for w, i, j in zip(new, [0, *cuts], cuts, strict=False))
+
+    def learn(self, pieces: set[bytes]) -> None:
+        """Ids of pieces between white space: normalised, cut into words, each word encoded."""
+        new = pieces.difference(self.seen)
         if len(self.seen) + len(new) > REMEMBERED:
             self.seen.clear()
-            new = list(set(pieces))
-        found = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-        self.seen.update((p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(new, found, strict=True))
+            new = pieces
+        # sign strings of the vocabulary inside a piece are the library's matter
+        odd = [p for x in self.odd if x in b" ".join(new) for p in new if x in p]
+        for p in odd:
+            self.seen[p] = np.array(self.tokenizer.encode(p.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        rest = list(new.difference(odd))
+        text = b"\n".join(rest).decode()
+        words = self.split(text.lower() if text.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", text))))
+        self.learn_words(set(words) - {"\n"})
+        at = [-1, *[i for i, w in enumerate(words) if w == "\n"], len(words)]
+        known = self.words
+        for p, i, j in zip(rest, at, at[1:], strict=False):
+            self.seen[p] = known[words[i + 1]] if j == i + 2 else b"".join([known[w] for w in words[i + 1 : j]])
 
-    def encode(self, text: bytes) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        pieces = text.split()
-        try:
-            return b"".join([self.seen[p] for p in pieces])
-        except KeyError:
-            self.learn(pieces)
-            return b"".join([self.seen[p] for p in pieces])
+    def encode(self, batch: list[bytes]) -> list[bytes]:
+        """Ids of some texts as little-endian unsigned 32-bit numbers; their new pieces are encoded together."""
+        split = [t.split() for t in batch]
+        self.learn(set().union(*split))
+        seen = self.seen
+        return [b"".join([seen[p] for p in pieces]) for pieces in split]
 
 
 class Index:
@@ -187,8 +237,8 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", wind
 
         for b in batches:
             kind = b.schema.field(0).type
-            for i, t in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
-                ids = words.encode(t) + end
+            for i, ids in zip(b.column(0).to_pylist(), words.encode(texts(b.column(1))), strict=True):
+                ids += end
                 shard.append(((i,), ids))
                 size += len(ids) // 4
                 if size >= shard_tokens:

@@ -50,7 +50,7 @@ def op8_warc_segments(spark, sf):
 @query("op9_bpe_codec")
 def op9_bpe_codec(spark, sf):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = bpe.decode(bpe.encode(table(spark, sf, "documents"), path), path)
+    coded = bpe.encode(table(spark, sf, "documents"), path, decoded=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
