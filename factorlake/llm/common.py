@@ -1,10 +1,12 @@
 """Helpers shared by the operators: batches, words, state of a Python worker, tables."""
 
+import pickle
 import sys
 import types
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,12 @@ def worker_state(name: str, make):
     return holder.__dict__[name]
 
 
+def ship(spark: SparkSession, model):
+    """Broadcasts a model of fixed size, its class included; the function returned loads it in a worker."""
+    blob = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+    return lambda: pickle.loads(blob.value)
+
+
 def texts(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tuned, worker_state
+from .common import ship, tuned, worker_state
 
 #: Pages that the labeller is trained on, and the most blocks of a page in training.
 SAMPLE, LONGEST = 400, 60
@@ -374,12 +374,13 @@ def main_texts(model: Labeller, pages: list[str]) -> list[str]:
 
 def main_text(column: Column, model: Labeller, spark) -> Column:
     """Main text of a page; blocks in page order, an empty line between them."""
-    shipped = spark.sparkContext.broadcast(model)  # of fixed size
+    load = ship(spark, model)
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        labeller = load()
         for some in batches:
-            yield pd.Series(main_texts(shipped.value, [x or "" for x in some]), dtype=object)
+            yield pd.Series(main_texts(labeller, [x or "" for x in some]), dtype=object)
 
     return run(column)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import fold
+from .common import fold, fresh
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -116,6 +116,6 @@ def drop_repeated(
     kept = F.array_join(F.filter("lines", lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
     return full.select(
         *[(kept if c == text else F.col("doc")[c]).alias(c) for c in df.columns],
-        F.size("lines").cast("long").alias("n_lines"),
-        F.size("gone").cast("long").alias("n_dropped"),
+        F.size("lines").cast("long").alias(fresh(df, "n_lines")),
+        F.size("gone").cast("long").alias(fresh(df, "n_dropped")),
     )

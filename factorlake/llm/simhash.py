@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, small
-from .common import texts, tuned
-from .components import components, forest
+from .common import list_array, texts, tuned
+from .components import components, forest, strongest
 
 SEED = 42
 #: Rows at one anchor beyond which it is split.
 HOT_ROWS = 20_000
-#: Comparisons made at once.
-AT_ONCE = 2_000_000
+#: Rows that a task holds at a time, and comparisons that it makes at once.
+HELD_ROWS, AT_ONCE = 50_000, 2_000_000
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -115,24 +115,21 @@ class Code:
 
 
 def at_anchors(fps: DataFrame, bits: int) -> DataFrame:
-    """(anchor, role, fp, rep) for every anchor of every block."""
-    blocks = blocks_for(bits)
+    """(anchor, role, *columns of fps) for every anchor of every block."""
+    blocks, kinds = blocks_for(bits), ", ".join(f"{c} long" for c in fps.columns)
     width = 64 // blocks
 
     def run(batches):
         code = Code(width)
         for b in batches:
-            fp = b.column("fp").to_numpy().view(np.uint64)
-            rep = b.column("rep").to_numpy()
+            columns = {c: b.column(c).to_numpy() for c in b.schema.names}
+            fp = columns["fp"].view(np.uint64)
             for i in range(blocks):
-                block = (fp >> np.uint64(i * width)) & np.uint64((1 << width) - 1)
-                at, anchor, role = code.rows(block)
+                at, anchor, role = code.rows((fp >> np.uint64(i * width)) & np.uint64((1 << width) - 1))
                 anchor = (anchor | np.uint64(i << 32)).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), pa.array(role), pa.array(fp[at].view(np.int64)), pa.array(rep[at])], names=["anchor", "role", "fp", "rep"]
-                )
+                yield pa.RecordBatch.from_pydict({"anchor": anchor, "role": role} | {c: x[at] for c, x in columns.items()})
 
-    return fps.select("fp", "rep").mapInArrow(run, "anchor long, role tinyint, fp long, rep long")
+    return fps.mapInArrow(run, f"anchor long, role tinyint, {kinds}")
 
 
 def split_hot(rows: DataFrame, limit: int) -> DataFrame:
@@ -146,50 +143,74 @@ def split_hot(rows: DataFrame, limit: int) -> DataFrame:
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     role = F.when(F.col("part") == F.col("own"), F.col("role")).otherwise(1).cast("tinyint")
-    return dealt.select("anchor", role.alias("role"), "fp", "rep", "part")
+    return dealt.withColumn("role", role).drop("hot", "parts", "own")
 
 
-def near(group: np.ndarray, role: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (row, home) within `bits`, for rows sorted by group and, in it, homes first."""
+def near(group: np.ndarray, role: np.ndarray, fp: np.ndarray, bits: int):
+    """Positions (rows, homes) within `bits`, a bounded number of comparisons at a time.
+
+    Rows are sorted by group and, in it, homes first.
+    """
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
-    homes = np.add.reduceat(role == 0, starts) if len(starts) else starts
+    homes = np.add.reduceat((role == 0).astype(np.int64), starts)
     first, many = np.repeat(starts, sizes), np.repeat(homes, sizes)
-    ends = np.cumsum(many)
-    out_a, out_b, i = [], [], 0
+    ends, i = np.cumsum(many), 0
     while i < len(group):
         done = ends[i - 1] if i else 0
         j = max(i + 1, int(np.searchsorted(ends, done + AT_ONCE, side="right")))
         row = np.repeat(np.arange(i, j), many[i:j])
         home = np.arange(len(row)) - np.repeat(ends[i:j] - many[i:j] - done, many[i:j]) + np.repeat(first[i:j], many[i:j])
         close = (np.bitwise_count(fp[row] ^ fp[home]) <= bits) & (row != home)
-        out_a.append(row[close])
-        out_b.append(home[close])
+        yield row[close], home[close]
         i = j
-    return np.concatenate(out_a or [starts]), np.concatenate(out_b or [starts])
 
 
-def links(fps: DataFrame, bits: int, limit: int = HOT_ROWS) -> DataFrame:
-    """(a, b) between the representatives of distinct fingerprints: all that lie within `bits` are connected by these."""
+def met(fps: DataFrame, bits: int, limit: int, found, schema: str) -> DataFrame:
+    """What `found(columns, chunks of (rows, homes))` makes of the pairs within `bits` that meet at an anchor.
+
+    Rows stream through a task in order of anchors, homes first: a block of them is held, and the homes of its last anchor.
+    """
     rows = split_hot(at_anchors(fps, bits), limit)
     rows = rows.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "role")
 
-    def run(batches):
-        left = None  # homes of the last group so far
+    def blocks(batches):
+        some, size = [], 0
         for b in batches:
-            anchor, part, role, fp, rep = (b.column(c).to_numpy() for c in ("anchor", "part", "role", "fp", "rep"))
-            if left is not None and len(anchor) and left[0][0] == anchor[0] and left[1][0] == part[0]:
-                anchor, part, role, fp, rep = (np.concatenate([x, y]) for x, y in zip(left, (anchor, part, role, fp, rep), strict=True))
-            if len(anchor) == 0:
-                continue
+            some.append(b)
+            size += b.num_rows
+            if size >= HELD_ROWS:
+                yield pa.Table.from_batches(some)
+                some, size = [], 0
+        if size:
+            yield pa.Table.from_batches(some)
+
+    def run(batches):
+        left = None  # homes of the last anchor so far
+        for block in blocks(batches):
+            now = {c: block.column(c).to_numpy() for c in block.schema.names}
+            if left is not None and left["anchor"][0] == now["anchor"][0] and left["part"][0] == now["part"][0]:
+                now = {c: np.concatenate([left[c], x]) for c, x in now.items()}
+            anchor, part = now["anchor"], now["part"]
             group = np.cumsum(np.r_[0, (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])])
-            x, y = near(group, role, fp.view(np.uint64), bits)
-            last = (group == group[-1]) & (role == 0)
-            left = [c[last] for c in (anchor, part, role, fp, rep)] if last.any() else None
-            a, c = forest(rep[x], rep[y])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
+            out = found(now, near(group, now["role"], now["fp"].view(np.uint64), bits))
+            last = (group == group[-1]) & (now["role"] == 0)
+            left = {c: v[last] for c, v in now.items()} if last.any() else None
+            yield pa.RecordBatch.from_pydict(dict(zip(("a", "b"), out, strict=True)))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, schema)
+
+
+def links(fps: DataFrame, bits: int, limit: int = HOT_ROWS) -> DataFrame:
+    """(a, b) between the representatives of distinct fingerprints: all that lie within `bits` are connected by these."""
+
+    def found(now, chunks):
+        a = b = np.empty(0, dtype=np.int64)
+        for x, y in chunks:
+            a, b = forest(np.concatenate([a, now["rep"][x]]), np.concatenate([b, now["rep"][y]]))
+        return a, b
+
+    return met(fps.select("fp", "rep"), bits, limit, found, "a long, b long")
 
 
 def grouped(prints: DataFrame, bits: int) -> DataFrame:
@@ -206,3 +227,105 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: in
     groups = grouped(prints, bits)
     joined = prints.join(groups, F.col("fp") == F.col("of"), "left")
     return joined.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+
+
+#: The near-duplicate stage: words in a shingle, similarity from which texts are near-duplicates, bits of
+#: the word-set fingerprint within which texts are compared, and bits of 128 within which they are looked at.
+SHINGLE, SIMILARITY, SET_BITS, SIGNATURE_BITS = 5, 0.8, 7, 30
+
+
+def sides(words: list[bytes], size: int) -> np.ndarray:
+    """128-bit hashes of the distinct shingles, a row of bits each."""
+    line = b" ".join(words)
+    size = min(size, len(words))
+    if size == 0:
+        return np.zeros((0, 128), dtype=np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = [0, *(ends[:-1] + 1).tolist()]
+    found = {line[i:j] for i, j in zip(starts, ends[size - 1 :].tolist(), strict=False)}
+    raw = b"".join([xxhash.xxh3_128_digest(x, SEED) for x in found])
+    return np.unpackbits(np.frombuffer(raw, dtype=np.uint8).reshape(-1, 16), axis=1)
+
+
+def signed(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(id, fp, s1, s2): fingerprint of the set of words, and a 128-bit one of the set of shingles."""
+
+    def run(batches):
+        for b in batches:
+            fps, signs = [], []
+            for t in texts(b.column(1)):
+                words = t.lower().split()
+                fps.append(fingerprint(word_hashes(words)))
+                bits = sides(words, size)
+                signs.append(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(bits)).tobytes())
+            sign = np.frombuffer(b"".join(signs), dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sign[:, 0].copy()), pa.array(sign[:, 1].copy())],
+                names=["id", "fp", "s1", "s2"],
+            )
+
+    tuned(df.sparkSession)
+    return df.select(F.col(key).cast("long"), text).mapInArrow(run, "id long, fp long, s1 long, s2 long")
+
+
+def shingle_sets(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(id, shingles): distinct 64-bit hashes of the shingles."""
+
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.lower().split(), size).astype(np.uint64)).view(np.int64) for t in texts(b.column(1))]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), list_array(np.concatenate([np.empty(0, np.int64), *sets]), [len(x) for x in sets], pa.int64())], names=["id", "shingles"]
+            )
+
+    return df.select(F.col(key).cast("long"), text).mapInArrow(run, "id long, shingles array<long>")
+
+
+def candidates(fps: DataFrame, bits: int, signature_bits: int, limit: int = HOT_ROWS) -> DataFrame:
+    """(a, b) pairs whose signatures are close: of each anchor's pairs the strongest ones that connect them."""
+
+    def found(now, chunks):
+        kept = tuple(np.empty(0, dtype=np.int64) for _ in "abd")
+        for x, y in chunks:
+            d = sum(np.bitwise_count(now[s][x].view(np.uint64) ^ now[s][y].view(np.uint64)).astype(np.int64) for s in ("s1", "s2"))
+            close = d <= signature_bits
+            new = now["rep"][x[close]], now["rep"][y[close]], d[close]
+            kept = strongest(*[np.concatenate(z) for z in zip(kept, new, strict=True)])
+        return kept[:2]
+
+    return met(fps.select("fp", "s1", "s2", "rep"), bits, limit, found, "a long, b long")
+
+
+def same_text_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, component) of texts in groups of near-duplicates: connected by a Jaccard similarity of their shingle sets.
+
+    Texts are candidates if their word-set fingerprints lie within `SET_BITS` and their shingle signatures within
+    `SIGNATURE_BITS`; the similarity of a candidate pair is then taken exactly. Texts with equal fingerprint
+    and signature count as equal. Ids alone in their group do not appear.
+    """
+    prints = materialize(signed(df, key, text, size).where("id IS NOT NULL"))
+    by = ["fp", "s1", "s2"]
+    classes = materialize(prints.groupBy(*by).agg(F.min("id").alias("rep")))
+    pairs = candidates(classes, SET_BITS, SIGNATURE_BITS)
+    pairs = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    ends = pairs.select(F.col("a").alias("end")).unionByName(pairs.select(F.col("b").alias("end"))).distinct()
+    of_ends = df.join(ends, F.col(key) == F.col("end"), "left_semi")
+    sets = materialize(shingle_sets(of_ends, key, text, size).dropDuplicates(["id"]))
+    one, two = (sets.select(F.col("id").alias(f"id_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab")
+    both = pairs.join(one, F.col("a") == F.col("id_a")).join(two, F.col("b") == F.col("id_b"))
+    shared = F.size(F.array_intersect("s_a", "s_b"))
+    good = shared >= similarity * (F.size("s_a") + F.size("s_b") - shared)
+    roots = components(both.where(good).select("a", "b"))
+    known = materialize(classes.join(roots, F.col("rep") == F.col("node"), "left").select(*[F.col(c).alias(f"c_{c}") for c in by], F.coalesce("root", "rep").alias("component")))
+    joined = prints.join(known, [F.col(c) == F.col(f"c_{c}") for c in by])
+    return joined.select("id", "component")
+
+
+def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of which one text of each group of near-duplicates stays, the one with the smallest id.
+
+    Rows of one id are one document; rows with a null id stay.
+    """
+    groups = same_text_groups(df, key, text)
+    gone = materialize(groups.groupBy(F.col("id").alias("gone")).agg(F.min("component").alias("c")).where("c < gone").select("gone"))
+    return df.join(gone, F.col(key) == F.col("gone"), "left_anti")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tuned
+from .common import ship, tuned
 from .samples import labelled
 
 #: Documents per label that the classifier is fitted on.
@@ -301,11 +301,11 @@ def score(text: Column, net: Net | None, spark) -> Column:
     """Score of a text between 0 and 1."""
     if net is None:
         return F.lit(0.0)
-    shipped = spark.sparkContext.broadcast(net)  # of fixed size, whatever the corpus
+    load = ship(spark, net)
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(shipped.value)
+        scorer = Scorer(load())
         for column in batches:
             yield pd.Series([scorer.score(b"" if x is None else x.encode()) for x in column], dtype=float)
 
