@@ -213,10 +213,10 @@ def links(fps: DataFrame, bits: int, limit: int = HOT_ROWS) -> DataFrame:
     return met(fps.select("fp", "rep"), bits, limit, found, "a long, b long")
 
 
-def grouped(prints: DataFrame, bits: int) -> DataFrame:
+def grouped(prints: DataFrame, bits: int, limit: int = HOT_ROWS) -> DataFrame:
     """(fp, component): the smallest id reachable over links within `bits`, for every fingerprint that some id has."""
     fps = materialize(prints.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep")))
-    roots = components(links(fps, bits))
+    roots = components(links(fps, bits, limit))
     joined = fps.join(roots, F.col("rep") == F.col("node"), "left")
     return materialize(joined.select(F.col("fp").alias("of"), F.coalesce("root", "rep").alias("component")))
 
