@@ -39,7 +39,7 @@ def test_base_numbers(spark, sf, odd_docs, no_docs, no_labels):
         assert all(base(r.verdict) == brute(r.text) for r in got)
         assert all(r.verdict.kept == (not r.verdict.base_failed) for r in got)  # nothing learned: all lines are content
     assert Q.judged(no_docs, no_labels).count() == 0
-    assert Q.repeated_words([b"a b", b"c"] * 2 + [b"d"]) == 4
+    assert Q.repeated_words([b"ab", b"c"] * 3 + [b"d"]) == 6
 
 
 def test_viterbi_finds_the_best_labels():
