@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from .common import ship, tuned, worker_state
 
 #: Pages that the labeller is trained on, and the most blocks of a page in training.
-SAMPLE, LONGEST = 400, 60
+SAMPLE, LONGEST = 200, 80
 PATH_BUCKETS, WORD_BUCKETS, PATH_SIZE, WORD_SIZE, HIDDEN = 1 << 12, 1 << 13, 16, 6, 16
 NUMBERS = 4
-EPOCHS, BATCH, RATE = 10, 32, 0.02
+EPOCHS, BATCH, RATE = 8, 32, 0.02
 REMEMBERED = 200_000
 
 #: Elements that start a block of their own. Fixed by HTML.
@@ -305,7 +305,7 @@ def laid_out(texts, rng) -> tuple[list, np.ndarray]:
     tag, attributes = CONTAINERS[kind]
     furniture = lambda most: "".join(element(*PARTS[i], texts, rng) for i in rng.integers(0, len(PARTS), int(rng.integers(0, most + 1))))
     body = []
-    for i in range(int(rng.integers(1, 12))):
+    for i in range(int(rng.integers(1, 12)) if rng.random() < 0.97 else int(rng.integers(40, LONGEST))):
         t = texts[int(rng.integers(0, len(texts)))]
         name = "h1" if i == 0 and rng.random() < 0.7 else rng.choice(["p", "p", "p", "p", "p", "h2", "li", "blockquote", "pre", "td", "div"])
         inner = f"<b>{mark}{t}" if rng.random() < 0.15 else mark + (f'{t} <a href="/y">{t.split()[0]}</a>' if rng.random() < 0.2 else t)
@@ -314,8 +314,10 @@ def laid_out(texts, rng) -> tuple[list, np.ndarray]:
         if rng.random() < 0.1:
             body.append(element(*PARTS[int(rng.integers(0, len(PARTS)))], texts, rng))
     outer = rng.random() < 0.4
-    page = f"<html><head><title>{texts[0][:60]}</title></head><body>{'<div class=wrapper>' if outer else ''}{furniture(5)}"
-    page += f"<{tag} {attributes}>{''.join(body)}{furniture(1) if rng.random() < 0.5 else ''}</{tag}>{furniture(4)}</body></html>"
+    head = "" if rng.random() < 0.2 else f"<html><head><title>{texts[0][:60]}</title></head><body>"
+    before, after = ("" if rng.random() < 0.25 else furniture(5)), ("" if rng.random() < 0.25 else furniture(4))
+    page = f"{head}{'<div class=wrapper>' if outer else ''}{before}"
+    page += f"<{tag} {attributes}>{''.join(body)}{furniture(1) if rng.random() < 0.5 else ''}</{tag}>{after}</body></html>"
     found = blocks(page)
     labels = np.array([mark in t for _, t, _ in found], dtype=float)
     return [(p, t.replace(mark, ""), k) for p, t, k in found], labels
@@ -339,7 +341,11 @@ def train(pages: list, seed: int = 11, epochs: int = EPOCHS) -> Labeller:
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs) + 1e-3
-        for batch in np.array_split(rng.permutation(len(cases)), max(1, len(cases) // BATCH)):
+        # pages of like length go together, so that few steps run for few pages
+        order = np.argsort([len(c[0]) * rng.uniform(0.8, 1.25) for c in cases])
+        batches = np.array_split(order, max(1, len(cases) // BATCH))
+        for i in rng.permutation(len(batches)):
+            batch = batches[i]
             some = [cases[i][0] for i in batch]
             f = features(some, path_ids, word_ids)
             sizes = np.array([len(p) for p in some])

@@ -197,7 +197,7 @@ class Automaton:
             first_arc = sum(len(t) for t in target)
             codes = context * self.words + word
             self.arcs.update(zip(codes[known].tolist(), (first_arc + np.flatnonzero(known)).tolist(), strict=True))
-            target.append(self.state_of[k] if k < order - 1 else self.state_of[0][word])
+            target.append(self.state_of[k] if k < order - 1 else self.state_of[k - 1][short])
         self.log = np.log10(np.concatenate(chance)).tolist()
         self.next = np.concatenate(target).tolist()
         self.fail, self.fail_log = fail.tolist(), np.log10(prior / (seen + prior)).tolist()
