@@ -3,6 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# a deviation this small beside the mean is rounding, not spread
 STD_FLOOR = 1e-12
 
 
@@ -21,9 +22,14 @@ def div(a, b) -> Column:
     return F.try_divide(_c(a).cast("double"), _c(b).cast("double"))
 
 
+def spread(std, mean) -> Column:
+    """The deviation, NULL where it is zero but for the rounding of values of this size."""
+    return F.when((_c(std) > 0) & (_c(std) >= STD_FLOOR * F.abs(_c(mean))), _c(std))
+
+
 def mean_over_std(mean, std) -> Column:
-    """Information ratio; a standard deviation under the floor counts as zero."""
-    return F.when(_c(std) >= STD_FLOOR, _c(mean) / _c(std))
+    """Information ratio; NULL without a spread."""
+    return _c(mean) / spread(std, mean)
 
 
 def safe_corr(x, y) -> Column:

@@ -32,18 +32,23 @@ def safe_token(x, fallback: str = "pattern", limit: int = 64) -> Column:
     return F.when(F.length(cut) > 0, cut).otherwise(fallback)
 
 
-def compact(x, limit: int = 1200) -> Column:
-    """Whitespace runs to one space; cut with a note beyond the limit."""
+# Notes behind a shortened text, and what a text is shortened by to make room for them.
+NOTE, LINE_NOTE = " ... [truncated]", "\n... [truncated]"
+LIST_MARGIN, INLINE_MARGIN, LINES_MARGIN = 36, 15, 18
+
+
+def compact(x, limit: int = 1200, margin: int = LIST_MARGIN) -> Column:
+    """Whitespace runs to one space; beyond the limit cut by the margin, with a note."""
     flat = strip(F.regexp_replace(F.coalesce(_c(x), F.lit("")), SPACE, " "))
-    head = F.regexp_replace(F.substring(flat, 1, limit - 36), r"(?U)\s+$", "")
-    return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(head, F.lit(" ... [truncated]")))
+    head = F.regexp_replace(F.substring(flat, 1, limit - margin), r"(?U)\s+$", "")
+    return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(head, F.lit(NOTE)))
 
 
 def compact_lines(x, limit: int) -> Column:
     """Cut beyond the limit, line breaks kept."""
     text = F.coalesce(_c(x), F.lit(""))
-    head = F.regexp_replace(F.substring(text, 1, max(0, limit - 18)), r"(?U)\s+$", "")
-    return F.when(F.length(text) <= limit, text).otherwise(F.concat(head, F.lit("\n... [truncated]")))
+    head = F.regexp_replace(F.substring(text, 1, max(0, limit - LINES_MARGIN)), r"(?U)\s+$", "")
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(head, F.lit(LINE_NOTE)))
 
 
 def unique_list(arr: Column) -> Column:
@@ -59,8 +64,22 @@ def list_items(x) -> Column:
     return unique_list(F.transform(parts, lambda v: strip(v, " \\-`'\\t\"")))
 
 
-def section(x, heading: str) -> Column:
-    """Text between a `## heading` line and the next `## ` line, NULL if absent."""
-    esc = "".join("\\" + c if not c.isalnum() and c != " " else c for c in heading)
-    pattern = rf"(?ims)^[ \t]*##[ ][# \t]*{esc}[# \t]*$\n?(.*?)(?=^[ \t]*##[ ]|\z)"
+def _named(heading: str) -> str:
+    """Pattern of a heading's name between blanks and hashes."""
+    return "[# \\t]*" + "".join("\\" + c if not c.isalnum() and c != " " else c for c in heading) + "[# \\t]*$"
+
+
+def section(x, heading: str, run: bool = False) -> Column:
+    """Text between a `## heading` line and the next `## ` line, NULL if absent.
+
+    With `run` directly following sections of that name belong to it; their heading lines stay in the text.
+    """
+    other = f"(?!{_named(heading)})" if run else ""
+    pattern = rf"(?ims)^[ \t]*##[ ]{_named(heading)}\n?(.*?)(?=^[ \t]*##[ ]{other}|\z)"
     return F.when(_c(x).rlike(pattern), F.regexp_extract(_c(x), pattern, 1))
+
+
+def sections(x, heading: str) -> Column:
+    """Texts of all sections of a name, in order."""
+    pattern = rf"(?ims)^[ \t]*##[ ]{_named(heading)}\n?(.*?)(?=^[ \t]*##[ ]|\z)"
+    return F.regexp_extract_all(_c(x), F.lit(pattern), F.lit(1))

@@ -91,11 +91,12 @@ def ewm_block(alpha: float, floor: float = 1e-16) -> int:
 
 
 def ts_ewm(x, alpha: float, floor: float = 1e-16) -> Column:
-    """Exponentially weighted mean, adjusted form; missing slots keep their age.
+    """Exponentially weighted mean, adjusted form, at the slots that have a value; missing slots keep their age.
 
     Values scaled by (1-alpha)^-(t mod L) are summed up to now inside the block
-    of L rows, and over the block before; older rows weigh less than `floor`.
-    Linear in rows.  Lookback: 2 L.
+    of L rows, and over the block before; beside a value of now, older rows weigh less
+    than `floor`.  Linear in rows.  Lookback: 2 L.  A slot without a value has the
+    mean of the last slot that has one, however long ago: `panel.ewm` fills it in.
     """
     x, size = _c(x), ewm_block(alpha, floor)
     blk = F.floor(F.col("t") / size)
@@ -111,7 +112,7 @@ def ts_ewm(x, alpha: float, floor: float = 1e-16) -> Column:
             F.sum(z).over(prior), F.lit(0.0)
         )
 
-    return div(total(scale * x), total(scale))
+    return F.when(x.isNotNull(), div(total(scale * x), total(scale)))
 
 
 def ts_breakout(close, high, low, n: int) -> tuple[Column, Column]:

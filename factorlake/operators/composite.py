@@ -35,7 +35,7 @@ def composite_rank(scores: DataFrame, names: int | None = None) -> DataFrame:
     """Per factor and date the percentile rank minus one half."""
     known = scores.where(nz("score").isNotNull())
     part = ["factor", "trade_time"]
-    if names is None or names <= I.NAMES:
+    if I.largest(known, part, names) <= I.NAMES:
         return known.withColumn("rank", pct_rank("score", part) - 0.5)
     sizes = known.groupBy(*part).agg(F.count("*").alias("_n"))
     ranked = pooled_ranks(known, part, "score", "_r").join(sizes, part)

@@ -79,9 +79,17 @@ def long_scores(wide: DataFrame, factors: Sequence[str]) -> DataFrame:
     return long.select("factor", *KEYS, nz("score").alias("score"), "label").dropna(subset=["score", "label"])
 
 
+def largest(df: DataFrame, part: Sequence[str], names: int | None = None) -> int:
+    """Rows of the largest group, counted unless given."""
+    if names is None:
+        names = df.groupBy(*part).count().agg(F.max("count")).first()[0] or 0
+    return names
+
+
 def ranked(df: DataFrame, part: Sequence[str], names: int | None = None) -> DataFrame:
-    """Average ranks of score and label inside `part` as rx and ry."""
-    if names is None or names <= NAMES:
+    """Average ranks of score and label inside `part` as rx and ry; rows without both are dropped."""
+    df = df.where(F.col("score").isNotNull() & F.col("label").isNotNull())
+    if largest(df, part, names) <= NAMES:
         return df.withColumns({"rx": avg_rank("score", part), "ry": avg_rank("label", part)})
     return pooled_ranks(pooled_ranks(df, part, "score", "rx"), part, "label", "ry")
 
@@ -178,7 +186,7 @@ def decile_layer(
     """Equal-count layers per date by first-come rank, layer 1 the highest; none under `layers` names."""
     order = F.col("score").desc() if descending else F.col("score").asc()
     sizes = long.groupBy(*part).agg(F.count("*").alias("_n"))
-    if names is None or names <= NAMES:
+    if largest(long, part, names) <= NAMES:
         placed = long.withColumn("_r", F.row_number().over(Window.partitionBy(*part).orderBy(order, "code")))
         placed = placed.withColumn("_n", F.count("*").over(Window.partitionBy(*part)))
     else:

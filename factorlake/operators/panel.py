@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import nz
 from ..functions.ranks import ordered_blocks
-from ..functions.ts import SERIES, ts_shift
+from ..functions.ts import SERIES, ewm_block, ts_ewm, ts_shift
 from ..session import broadcast_rows, materialize, small
 
 KEYS = ["trade_time", "code"]
@@ -160,6 +160,12 @@ def pad(frame: DataFrame, col: str, lookback: int = 0, segment: int = SEGMENT) -
     )
 
 
+def ewm(frame: DataFrame, col: str, out: str, alpha: float, segment: int = SEGMENT) -> DataFrame:
+    """Exponentially weighted mean of a dense frame with a lookback of two blocks, carried over gaps of any length."""
+    lookback = 2 * ewm_block(alpha)
+    return pad(frame.withColumn(out, ts_ewm(col, alpha)), out, lookback, segment)
+
+
 @dataclass(frozen=True)
 class Factor:
     """A named factor: stages of Column expressions over the dense panel.

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import STD_FLOOR, nz
+from ..functions.numeric import nz, spread
 from ..functions.scan import cut, neighbour, scan
 from .ic import forward_return
 from .panel import KEYS, SEGMENT
@@ -78,14 +78,14 @@ def risk_table(report: DataFrame, periods: float = 238.0) -> DataFrame:
         mean.alias("mean"),
         std.alias("std"),
         (mean * periods).alias("annualized_return"),
-        F.when(std >= STD_FLOOR, mean / std * math.sqrt(periods)).alias("information_ratio"),
+        (mean / spread(std, mean) * math.sqrt(periods)).alias("information_ratio"),
         F.min(F.col("cum") - F.col("peak")).alias("max_drawdown"),
     )
 
 
 def sharpe(df: DataFrame, col: str, periods: int = 365, part: Sequence[str] = ()) -> DataFrame:
     std = F.stddev_samp(col)
-    return df.groupBy(*part).agg(F.when(std >= STD_FLOOR, F.avg(col) / std * math.sqrt(periods)).alias("sharpe"))
+    return df.groupBy(*part).agg((F.avg(col) / spread(std, F.avg(col)) * math.sqrt(periods)).alias("sharpe"))
 
 
 def excess_ratio(df: DataFrame, strategy: str, bench: str) -> DataFrame:

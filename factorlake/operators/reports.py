@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import compact, compact_lines, list_items, section, strip
+from ..functions.text import INLINE_MARGIN, compact, compact_lines, list_items, section, sections, strip
 
-# Keys whose value is a list, keys that belong to a record, words that name no error.
+# Keys whose value is a list, keys that belong to a record, fields of an error line, words that name no error.
 LIST_KEYS = ("keywords", "operators", "data_fields", "failure_types", "tools_or_functions", "data_contracts")
 RECORD_KEYS = (
     "hypothesis",
@@ -27,17 +27,40 @@ RECORD_KEYS = (
     "forbidden_construction",
     "allowed_exception",
 )
+ERROR_FIELDS = ("error_type", "count", "frequency", "cause", "evidence", "fix")
 NO_ERROR = ("", "error_type", "repeated failure classes", "none", "n/a", "na", "unknown")
+# Headings of the direction sections, and the metadata list that each record key fills;
+# of several keys of a list the first with a new value counts.
 DIRECTION_HEADINGS = {
     "recommended": "recommended directions (p_succ)",
     "forbidden": "forbidden directions (p_fail)",
 }
+DIRECTION_LISTS = {
+    ("recommended", "recommended_hypotheses"): ["hypothesis"],
+    ("recommended", "recommended_selection"): ["selection_reason"],
+    ("recommended", "recommended_construction"): ["hypothesis_construction", "construction_rule"],
+    ("recommended", "mutation_guidance"): ["mutation_guidance"],
+    ("recommended", "duplicate_avoidance"): ["duplicate_avoidance", "avoid_duplicate_note"],
+    ("recommended", "recommended_examples"): ["example"],
+    ("forbidden", "forbidden_hypotheses"): ["hypothesis"],
+    ("forbidden", "forbidden_reasons"): ["rejection_reason", "reason"],
+    ("forbidden", "forbidden_construction"): ["forbidden_construction"],
+    ("forbidden", "allowed_exceptions"): ["allowed_exception"],
+    ("forbidden", "forbidden_examples"): ["example"],
+}
 
 
 def section_lines(df: DataFrame, key: str, text: str, heading: str) -> DataFrame:
-    """(key, pos, line) of one section, lines stripped, empties dropped."""
-    body = section(text, heading)
+    """(key, pos, line) of the first section of a name and those of the same name right behind it."""
+    body = section(text, heading, run=True)
     lines = df.where(body.isNotNull()).select(key, F.posexplode(F.split(body, "\n")).alias("pos", "line"))
+    return lines.withColumn("line", strip("line")).where((F.length("line") > 0) & ~F.col("line").startswith("## "))
+
+
+def all_section_lines(df: DataFrame, key: str, text: str, heading: str) -> DataFrame:
+    """(key, part, pos, line) of all sections of a name, numbered by part."""
+    parts = df.select(key, F.posexplode(sections(text, heading)).alias("part", "body"))
+    lines = parts.select(key, "part", F.posexplode(F.split("body", "\n")).alias("pos", "line"))
     return lines.withColumn("line", strip("line")).where(F.length("line") > 0)
 
 
@@ -49,9 +72,19 @@ def _key(text: Column) -> Column:
     return F.regexp_replace(F.lower(strip(text)), "[ -]", "_")
 
 
-def _field(entry: Column, name: str, stops: str) -> Column:
-    pattern = rf"(?i)\b{name}\s*[=:]\s*([^;]+?)(?=\s*;\s*(?:{stops})\s*[=:]|$)"
-    return strip(F.regexp_extract(entry, pattern, 1), " ,;")
+def _named(entry: Column) -> Column:
+    """Map from the known names of a line to what follows them up to a semicolon; the first of a name counts.
+
+    The numbers and the type may also end at a comma.
+    """
+    before = rf"(?i)^.*?\b({'|'.join(ERROR_FIELDS)})\s*[=:]"
+    pieces = F.split(F.regexp_replace(entry, r"(?i),\s*(?=(?:count|frequency|error_type)\s*[=:])", ";"), ";")
+    pairs = F.transform(
+        F.filter(pieces, lambda p: p.rlike(before)),
+        lambda p: F.struct(F.lower(F.regexp_extract(p, before, 1)).alias("k"), strip(F.regexp_replace(p, before, ""), " ,;").alias("v")),
+    )
+    names = F.transform(pairs, lambda s: s["k"])
+    return F.map_from_entries(F.filter(pairs, lambda s, i: F.array_position(names, s["k"]) == i + 1))
 
 
 def error_reports(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -60,28 +93,29 @@ def error_reports(df: DataFrame, key: str, text: str) -> DataFrame:
     One row per (text, error type); counts of repeated lines are added, other
     fields come from the first line that has them.
     """
-    e = F.col("entry")
-    explicit = strip(F.regexp_extract(e, r"(?i)\berror_type\s*[=:]\s*([^,;]+)", 1))
-    has = e.rlike(r"(?i)\berror_type\s*[=:]\s*[^,;]+")
-    prefixed = e.rlike(r"^[^:]+:")
-    kind = F.when(has, explicit).when(prefixed, strip(F.regexp_extract(e, r"^([^:]+):", 1))).otherwise("")
-    rest = F.when(~has & prefixed, strip(F.regexp_extract(e, r"^[^:]+:\s*(.*)$", 1))).otherwise(e)
-    count = F.regexp_extract(e, r"(?i)\bcount\s*[=:]\s*(\d+)", 1)
-    freq = F.regexp_extract(e, r"(?i)\bfrequency\s*[=:]\s*([0-9]*\.?[0-9]+)", 1)
-    cause = _field(e, "cause", "evidence|fix")
+    e, named = F.col("entry"), F.col("named")
+    text_of = lambda name: F.coalesce(named[name], F.lit(""))
+    number = lambda name: F.regexp_extract(text_of(name), r"^[0-9]*\.?[0-9]+", 0)
+    # an entry without its own type is named by what stands before the first colon
+    explicit = strip(F.split(text_of("error_type"), ",")[0])
+    has, prefixed = F.length(explicit) > 0, F.locate(":", e) > 1
+    kind = F.when(has, explicit).when(prefixed, strip(F.substring_index(e, ":", 1))).otherwise("")
+    rest = F.when(~has & prefixed, strip(e.substr(F.locate(":", e) + 1, F.length(e)))).otherwise(e)
+    cause = text_of("cause")
     lines = (
         section_lines(df, key, text, "error frequency")
         .withColumn("entry", _entry(F.col("line")))
         .where(F.length("entry") > 0)
+        .withColumn("named", _named(e))
         .select(
             key,
             "pos",
             kind.alias("error_type"),
-            F.coalesce(count.try_cast("bigint"), F.lit(1)).alias("count"),
-            freq.try_cast("double").alias("frequency"),
+            F.coalesce(F.regexp_extract(number("count"), r"^\d+", 0).try_cast("bigint"), F.lit(1)).alias("count"),
+            number("frequency").try_cast("double").alias("frequency"),
             F.when(F.length(cause) > 0, cause).otherwise(rest).alias("cause"),
-            _field(e, "evidence", "fix|cause").alias("evidence"),
-            _field(e, "fix", "cause|evidence").alias("fix"),
+            text_of("evidence").alias("evidence"),
+            text_of("fix").alias("fix"),
         )
         .where(~F.lower(strip("error_type", "<>")).isin(*NO_ERROR))
     )
@@ -125,8 +159,10 @@ def search_metadata(df: DataFrame, key: str, text: str) -> DataFrame:
 def hypothesis_list(df: DataFrame, key: str, text: str) -> DataFrame:
     """Items of the next-hypotheses section without numbering, each once per text."""
     e = _entry(F.col("line"))
-    e = F.regexp_replace(e, r"(?i)^(?:H|hypothesis)\s*\d+\s*[:.)-]\s*", "")
-    e = strip(F.regexp_replace(e, r"^\d+\s*[:.)-]\s*", ""))
+    # a number, alone or behind its word, with a closing mark; a plain number may follow a numbered word
+    for word in ("(?i)(?:hypothesis|h)", ""):
+        e = F.regexp_replace(e, rf"^{word}\s*\d+\s*[-:.)]\s*", "")
+    e = strip(e)
     rows = section_lines(df, key, text, "next round hypotheses").select(key, "pos", e.alias("text"))
     kept = rows.where(F.length("text") > 0).groupBy(key, F.lower("text").alias("_t")).agg(
         F.min_by("text", "pos").alias("text"), F.min("pos").alias("pos")
@@ -139,16 +175,17 @@ def direction_reports(df: DataFrame, key: str, text: str) -> DataFrame:
     """Records of the two direction sections as rows (key, section, record, name, value).
 
     A bullet without a known key, or a `hypothesis:` line, opens a record; other
-    `key: value` lines fill it, plain lines become its notes.
+    `key: value` lines fill it, plain lines become its notes. A heading closes it, so
+    the first such line under a heading opens a record too.
     """
     parts = []
     for name, heading in DIRECTION_HEADINGS.items():
-        parts.append(section_lines(df, key, text, heading).withColumn("section", F.lit(name)))
+        parts.append(all_section_lines(df, key, text, heading).withColumn("section", F.lit(name)))
     lines = parts[0].unionByName(parts[1])
     line = F.col("line")
     bullet = line.rlike(r"^[-*] ")
     entry = F.when(bullet, strip(F.regexp_replace(line, r"^[-*] ", ""))).otherwise(line)
-    rows = lines.select(key, "section", "pos", bullet.alias("bullet"), entry.alias("entry")).where(F.length("entry") > 0)
+    rows = lines.select(key, "section", "part", "pos", bullet.alias("bullet"), entry.alias("entry")).where(F.length("entry") > 0)
     e = F.col("entry")
     pair = e.contains(":")
     name = _key(F.regexp_extract(e, r"^([^:]*):", 1))
@@ -158,28 +195,62 @@ def direction_reports(df: DataFrame, key: str, text: str) -> DataFrame:
     typed = rows.select(
         key,
         "section",
+        "part",
         "pos",
-        opens.cast("int").alias("opens"),
+        opens.alias("opens"),
         F.when(whole, "hypothesis").when(pair, name).otherwise("notes").alias("name"),
         F.when(whole, e).when(pair, value).otherwise(e).alias("value"),
         (~whole & ~pair).alias("note"),
     )
-    w = Window.partitionBy(key, "section").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    # a note before any record has nothing to attach to
-    seen = F.max((~F.col("note")).cast("int")).over(w)
-    numbered = typed.withColumns({"record": F.sum("opens").over(w).cast("int"), "_seen": seen}).where("_seen = 1")
+    # a note before any record of its part has nothing to attach to
+    here = Window.partitionBy(key, "section", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    known = F.sum((~F.col("note")).cast("int")).over(here)
+    first = typed.withColumn("_known", known).where("_known > 0")
+    opened = (F.col("opens") | (~F.col("note") & (F.col("_known") == 1))).cast("int")
+    w = Window.partitionBy(key, "section").orderBy("part", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = first.withColumn("record", F.sum(opened).over(w).cast("int"))
+    at = F.struct("part", "pos")
     notes = F.array_join(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]), " "
+        F.transform(F.sort_array(F.collect_list(F.struct("part", "pos", "value"))), lambda s: s["value"]), " "
     )
     return (
         numbered.groupBy(key, "section", "record", "name")
         .agg(
-            F.when(F.col("name") == "notes", notes).otherwise(F.max_by("value", "pos")).alias("value")
+            F.when(F.col("name") == "notes", notes).otherwise(F.max_by("value", at)).alias("value")
         )
         .where(F.length("value") > 0)
     )
 
 
+def direction_metadata(records: DataFrame, key: str) -> DataFrame:
+    """(key, name, values) of `direction_reports` rows: the lists that the records fill, each value once per list.
+
+    Records come in order; of the keys of a list a record gives the first value that is new.
+    """
+    rules = [
+        F.struct(F.lit(s).alias("section"), F.lit(name).alias("list"), F.lit(k).alias("name"), F.lit(i).alias("choice"))
+        for (s, name), keys in DIRECTION_LISTS.items()
+        for i, k in enumerate(keys)
+    ]
+    mine = records.withColumn("rule", F.explode(F.array(*rules))).where("rule.section = section AND rule.name = name")
+    offers = mine.select(key, F.col("rule.list").alias("list"), F.struct("record", "rule.choice", "value").alias("offer"))
+    ordered = offers.groupBy(key, "list").agg(F.sort_array(F.collect_list("offer")).alias("offers"))
+    start = F.struct(F.array().cast("array<string>").alias("values"), F.array().cast("array<string>").alias("seen"), F.lit(-1).alias("record"))
+
+    def take(acc, offer):
+        fresh = (offer["record"] != acc["record"]) & ~F.array_contains(acc["seen"], F.lower(offer["value"]))
+        return F.when(
+            fresh,
+            F.struct(
+                F.array_append(acc["values"], offer["value"]).alias("values"),
+                F.array_append(acc["seen"], F.lower(offer["value"])).alias("seen"),
+                offer["record"].alias("record"),
+            ),
+        ).otherwise(acc)
+
+    return ordered.select(key, F.col("list").alias("name"), F.aggregate("offers", start, take)["values"].alias("values"))
+
+
 def card_sections(df: DataFrame, key: str, text: str, heading: str = "Summary") -> DataFrame:
     """The summary section of a card and its `hypothesis:` block."""
     body = strip(section(text, heading))
@@ -226,6 +297,6 @@ def trajectories(df: DataFrame, key: str, doc: str) -> DataFrame:
         compact_lines("b.code", 4000).alias("code"),
         compact_lines("b.stdout", 1200).alias("stdout"),
         compact_lines("b.stderr", 1200).alias("stderr"),
-        compact("b.error", 300).alias("error"),
-        compact("b.final_answer", 500).alias("final_answer"),
+        compact("b.error", 300, INLINE_MARGIN).alias("error"),
+        compact("b.final_answer", 500, INLINE_MARGIN).alias("final_answer"),
     )

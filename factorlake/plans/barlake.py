@@ -221,6 +221,50 @@ def bars_resample(spark, sf):
     return round_sums(all_bars)
 
 
+@query("bars_resample_mixed", f"{WITH} {resampled_sql(L.INTERVAL_MS['1h'], '1h')}")
+def bars_resample_mixed(spark, sf):
+    """Hours out of a lake that holds the minutes and the five-minute bars made of them."""
+    bars, path = unique_klines(spark, sf), _path(spark)
+    L.write(bars.withColumn("ingest", F.lit(1)), path, 1)
+    L.write(L.resample(bars, "5m").withColumn("ingest", F.lit(1)), path, 2)
+    return round_sums(L.resample(L.query(L.scan(spark, path)), "1h"))
+
+
+@query("gap_fill", f"""{WITH}, stored AS (SELECT * FROM bars WHERE open_time % 420000 <> 0 AND NOT (symbol = 'view' AND open_time BETWEEN {START} AND {END})),
+    ends AS (SELECT symbol, min(open_time) AS a, max(open_time) AS b FROM stored WHERE open_time BETWEEN {START} AND {END} GROUP BY 1),
+    back AS (SELECT b.* FROM bars b LEFT JOIN ends e USING (symbol) LEFT JOIN stored s ON s.symbol = b.symbol AND s.open_time = b.open_time
+      WHERE s.symbol IS NULL AND b.open_time BETWEEN {START} AND {END} AND (e.a IS NULL OR b.open_time > e.a AND b.open_time < e.b)),
+    done AS (SELECT * FROM stored UNION ALL SELECT * FROM back)
+    SELECT symbol, open_time, close, (SELECT max(d.open_time) FROM done d WHERE d.symbol = done.symbol) AS last_open_time FROM done""")
+def gap_fill(spark, sf):
+    """A lake without every seventh minute, and without one series in the window, filled from a late delivery of all bars."""
+    bars, path = materialize(unique_klines(spark, sf)), _path(spark)
+    gone = (F.col("symbol") == "view") & F.col("open_time").between(START, END)
+    L.write(bars.where((F.col("open_time") % 420_000 != 0) & ~gone).withColumn("ingest", F.lit(1)), path, 1)
+    before = L.watermark(L.scan(spark, path))
+    late = materialize(L.fill_rows(bars, L.query(L.scan(spark, path)), START, END))
+    L.write(late.withColumn("ingest", F.lit(1)), path, 2)
+    marks = L.watermark_advance(before, L.watermark(late))
+    return L.query(L.scan(spark, path)).join(marks, L.SERIES).select("symbol", "open_time", "close", "last_open_time")
+
+
+@query("gap_windows", f"""{WITH}, have AS (SELECT symbol FROM bars WHERE open_time BETWEEN {START} AND {END} AND symbol <> 'view' GROUP BY 1)
+    SELECT symbol, {START} AS gap_start, {END} AS gap_end FROM (SELECT DISTINCT symbol FROM bars) WHERE symbol NOT IN (SELECT symbol FROM have)""")
+def gap_windows(spark, sf):
+    """Series without any bar in the window: all of it is missing."""
+    bars = klines(spark, sf)
+    asked = bars.select(*L.SERIES).distinct()
+    return H.missing_windows(asked, bars.where("symbol <> 'view'"), START, END).select("symbol", "gap_start", "gap_end")
+
+
+@query("gap_ranges_all", f"""{WITH}, step AS (SELECT symbol, open_time, lag(open_time) OVER (PARTITION BY symbol ORDER BY open_time) AS prev
+      FROM (SELECT DISTINCT symbol, open_time FROM bars))
+    SELECT symbol, prev + 60000 AS gap_start, open_time - 60000 AS gap_end FROM step WHERE open_time - prev > 60000""")
+def gap_ranges_all(spark, sf):
+    """Interior gaps without a window."""
+    return H.gap_ranges(klines(spark, sf)).select("symbol", "gap_start", "gap_end")
+
+
 GAPS = f"""{WITH}, step AS (SELECT symbol, open_time, lag(open_time) OVER (PARTITION BY symbol ORDER BY open_time) AS prev
       FROM (SELECT DISTINCT symbol, open_time FROM bars WHERE open_time BETWEEN {START} AND {END})),
     gaps AS (SELECT symbol, prev + 60000 AS gap_start, open_time - 60000 AS gap_end FROM step WHERE open_time - prev > 60000)"""

@@ -139,6 +139,8 @@ REPORT_LINES = (
     "",
     "- keyerror: second time, count=2; fix=look it up",
     "- none: nothing",
+    "## error frequency",
+    "- ValueError: cause=right behind; evidence=run {k}",
     "## Recommended Directions (P_succ)",
     "- Hypothesis: {branch} momentum",
     "  selection-reason: works for {mode}",
@@ -151,12 +153,29 @@ REPORT_LINES = (
     "stray note",
     "* {mode} of {branch}",
     "  rejection_reason: too {mode}",
+    "## Search Metadata",
+    "- Keywords: too late",
+    "## Recommended Directions (P_succ)",
+    "stray again",
+    "example: opens a record {k}",
+    "- Hypothesis: {branch} MOMENTUM",
+    "  mutation guidance: slower {mode}",
+    "construction rule: by {branch}",
+    "## Forbidden Directions (P_fail)",
+    "* no {branch}",
+    "reason: too {mode}",
     "## Next Round Hypotheses",
     "- H1: combine {branch} with volume",
     "2. reverse {mode}",
     "* hypothesis 3) Combine {branch} with VOLUME",
+    "## Next Round Hypotheses ##",
+    "- 4: from the section behind",
     "## End",
     "- error_type=Late; count=99",
+    "## Error Frequency",
+    "- error_type=Later; count=99",
+    "## Next Round Hypotheses",
+    "- another section, not read",
 )
 
 
@@ -189,18 +208,23 @@ LINES = f"""{LW}, docs AS (SELECT candidate_index, round, [{", ".join(_line_sql(
     marked AS (SELECT *, trim(raw) AS line, CASE WHEN raw LIKE '## %' THEN lower(trim(raw, '# ')) END AS head FROM raw),
     lines AS (SELECT *, last_value(head IGNORE NULLS) OVER (PARTITION BY candidate_index ORDER BY pos
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sec FROM marked),
-    body AS (SELECT candidate_index, round, pos, sec, line, trim(regexp_replace(line, '^[-* ]+', '')) AS entry FROM lines
-      WHERE head IS NULL AND line <> '')"""
+    heads AS (SELECT candidate_index, pos, head, lag(head) OVER (PARTITION BY candidate_index ORDER BY pos) AS before FROM marked WHERE head IS NOT NULL),
+    runs AS (SELECT candidate_index, pos AS start, head, row_number() OVER (PARTITION BY candidate_index, head ORDER BY pos) AS run,
+      lead(pos, 1, 1000000) OVER (PARTITION BY candidate_index ORDER BY pos) AS stop FROM heads WHERE before IS DISTINCT FROM head),
+    body AS (SELECT l.candidate_index, round, pos, sec, run, (SELECT max(h.pos) FROM heads h WHERE h.candidate_index = l.candidate_index AND h.pos < l.pos) AS part,
+      line, trim(ltrim(line, '-* ')) AS entry FROM lines l JOIN runs r ON r.candidate_index = l.candidate_index AND l.pos > start AND l.pos < stop
+      WHERE l.head IS NULL AND line <> '')"""
 
 
 def _grab(name):
-    return f"coalesce(trim(regexp_extract(entry, '(?i)\\b{name}\\s*[=:]\\s*([^;]+)', 1), ' ,;'), '')"
+    """What stands behind `name=` up to the next semicolon, by positions in the text."""
+    low = f"strpos(lower(entry), '{name}=')"
+    return f"CASE WHEN {low} > 0 THEN trim(split_part(substr(entry, {low} + {len(name) + 1}), ';', 1), ' ,;') ELSE '' END"
 
 
 ERRORS = f"""{LINES}, e AS (SELECT candidate_index, round, pos, entry, CASE WHEN entry LIKE '%error_type=%' THEN trim(regexp_extract(entry, 'error_type=([^,;]+)', 1))
-      ELSE trim(split_part(entry, ':', 1)) END AS error_type, entry LIKE '%error_type=%' AS explicit FROM body WHERE sec = 'error frequency'),
-    f AS (SELECT *, coalesce(try_cast(regexp_extract(entry, '(?i)\\bcount\\s*[=:]\\s*(\\d+)', 1) AS BIGINT), 1) AS n,
-      try_cast(regexp_extract(entry, '(?i)\\bfrequency\\s*[=:]\\s*([0-9]*\\.?[0-9]+)', 1) AS DOUBLE) AS frequency,
+      ELSE trim(split_part(entry, ':', 1)) END AS error_type, entry LIKE '%error_type=%' AS explicit FROM body WHERE sec = 'error frequency' AND run = 1),
+    f AS (SELECT *, coalesce(try_cast({_grab("count")} AS BIGINT), 1) AS n, try_cast({_grab("frequency")} AS DOUBLE) AS frequency,
       CASE WHEN {_grab("cause")} <> '' THEN {_grab("cause")} WHEN explicit THEN entry ELSE trim(substr(entry, strpos(entry, ':') + 1)) END AS cause,
       {_grab("evidence")} AS evidence, {_grab("fix")} AS fix FROM e WHERE lower(error_type) <> 'none'),
     errors AS (SELECT candidate_index, arg_min(error_type, pos) AS error_type, CAST(sum(n) AS BIGINT) AS count, first(frequency ORDER BY pos) AS frequency,
@@ -238,7 +262,7 @@ def failure_topn(spark, sf):
 
 
 @query("search_metadata_extract", f"""{LINES}, kv AS (SELECT candidate_index, pos, replace(lower(trim(split_part(entry, ':', 1))), ' ', '_') AS name,
-      trim(substr(entry, strpos(entry, ':') + 1)) AS value FROM body WHERE sec = 'search metadata' AND entry LIKE '%:%'),
+      trim(substr(entry, strpos(entry, ':') + 1)) AS value FROM body WHERE sec = 'search metadata' AND run = 1 AND entry LIKE '%:%'),
     items AS (SELECT candidate_index, name, i, trim(unnest(parts)) AS v, generate_subscripts(parts, 1) AS ix FROM
       (SELECT candidate_index, name, 1 AS i, CASE WHEN name IN ('keywords', 'data_fields') THEN regexp_split_to_array(value, '[,;]+') ELSE [value] END AS parts FROM kv)),
     uniq AS (SELECT candidate_index, name, lower(v) AS lv, arg_min(v, ix) AS v, min(ix) AS ix FROM items WHERE v <> '' GROUP BY 1, 2, 3)
@@ -249,7 +273,8 @@ def search_metadata_extract(spark, sf):
 
 
 @query("hypothesis_list_extract", f"""{LINES}, h AS (SELECT candidate_index, pos,
-      trim(regexp_replace(regexp_replace(entry, '(?i)^(?:H|hypothesis)\\s*\\d+\\s*[:.)-]\\s*', ''), '^\\d+\\s*[:.)-]\\s*', '')) AS text FROM body WHERE sec = 'next round hypotheses'),
+      trim(CASE WHEN entry SIMILAR TO '[0-9].*' OR entry SIMILAR TO '(H|h|hypothesis) ?[0-9].*'
+      THEN substr(entry, strpos(translate(entry, '.)-', ':::'), ':') + 1) ELSE entry END) AS text FROM body WHERE sec = 'next round hypotheses' AND run = 1),
     u AS (SELECT candidate_index, arg_min(text, pos) AS text, min(pos) AS pos FROM h WHERE text <> '' GROUP BY candidate_index, lower(text))
     SELECT candidate_index, text, row_number() OVER (PARTITION BY candidate_index ORDER BY pos) AS place FROM u""")
 def hypothesis_list_extract(spark, sf):
@@ -259,21 +284,37 @@ def hypothesis_list_extract(spark, sf):
 KNOWN = ", ".join(f"'{k}'" for k in Rp.RECORD_KEYS)
 
 
-@query("direction_report_extract", f"""{LINES}, d AS (SELECT candidate_index, CASE sec WHEN 'recommended directions (p_succ)' THEN 'recommended' ELSE 'forbidden' END AS section, pos,
+DIRECTIONS = f"""{LINES}, d AS (SELECT candidate_index, CASE sec WHEN 'recommended directions (p_succ)' THEN 'recommended' ELSE 'forbidden' END AS section, part, pos,
       line LIKE '- %' OR line LIKE '* %' AS bullet, CASE WHEN line LIKE '- %' OR line LIKE '* %' THEN trim(substr(line, 3)) ELSE line END AS e
       FROM body WHERE sec IN ('recommended directions (p_succ)', 'forbidden directions (p_fail)')),
     t AS (SELECT *, e LIKE '%:%' AS pair, replace(replace(lower(trim(split_part(e, ':', 1))), ' ', '_'), '-', '_') AS nm, trim(substr(e, strpos(e, ':') + 1)) AS val FROM d),
     w AS (SELECT *, bullet AND (NOT pair OR nm NOT IN ({KNOWN})) AS whole FROM t),
     o AS (SELECT *, CASE WHEN whole THEN 'hypothesis' WHEN pair THEN nm ELSE 'notes' END AS name, CASE WHEN whole OR NOT pair THEN e ELSE val END AS value,
       whole OR (pair AND nm = 'hypothesis') AS opens, NOT whole AND NOT pair AS note FROM w),
-    n AS (SELECT *, CAST(sum(opens::INT) OVER q AS INTEGER) AS record, max((NOT note)::INT) OVER q AS seen FROM o
-      WINDOW q AS (PARTITION BY candidate_index, section ORDER BY pos ROWS UNBOUNDED PRECEDING))
-    SELECT candidate_index, section, record, name, CASE WHEN name = 'notes' THEN string_agg(value, ' ' ORDER BY pos) ELSE arg_max(value, pos) END AS value
-    FROM n WHERE seen = 1 GROUP BY candidate_index, section, record, name""")
+    p AS (SELECT *, (SELECT min(z.pos) FROM o z WHERE z.candidate_index = o.candidate_index AND z.part = o.part AND NOT z.note) AS begins FROM o),
+    n AS (SELECT *, CAST(sum((opens OR pos = begins)::INT) OVER q AS INTEGER) AS record FROM p WHERE pos >= begins
+      WINDOW q AS (PARTITION BY candidate_index, section ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+    records AS (SELECT candidate_index, section, record, name, CASE WHEN name = 'notes' THEN string_agg(value, ' ' ORDER BY pos) ELSE arg_max(value, pos) END AS value
+      FROM n GROUP BY candidate_index, section, record, name)"""
+
+
+@query("direction_report_extract", f"{DIRECTIONS} SELECT * FROM records")
 def direction_report_extract(spark, sf):
     return Rp.direction_reports(report_texts(spark, sf), "candidate_index", "text")
 
 
+@query("direction_metadata", f"""{DIRECTIONS}, lists(section, list, name, choice) AS (VALUES
+      {", ".join(f"('{s}', '{name}', '{k}', {i})" for (s, name), keys in Rp.DIRECTION_LISTS.items() for i, k in enumerate(keys))}),
+    offers AS (SELECT candidate_index, list, record, choice, value FROM records JOIN lists USING (section, name)),
+    chosen AS (SELECT candidate_index, list, record, arg_min(value, choice) AS value FROM offers GROUP BY 1, 2, 3),
+    once AS (SELECT candidate_index, list, lower(value) AS low, arg_min(value, record) AS value, min(record) AS record FROM chosen GROUP BY 1, 2, 3)
+    SELECT candidate_index, list AS name, string_agg(value, '|' ORDER BY record) AS values FROM once GROUP BY 1, 2""")
+def direction_metadata(spark, sf):
+    records = Rp.direction_reports(report_texts(spark, sf), "candidate_index", "text")
+    got = Rp.direction_metadata(records, "candidate_index")
+    return got.withColumn("values", F.array_join("values", "|"))
+
+
 @query("card_section_extract", f"""{LW} SELECT candidate_index, 'type: ' || branch || chr(10) || 'hypothesis:' || chr(10) || '  hp1: ' || mode || ' rises' || chr(10)
     || '  hp2: k is ' || k || chr(10) || 'factor: f' || k AS summary, 'hypothesis:' || chr(10) || '  hp1: ' || mode || ' rises' || chr(10) || '  hp2: k is ' || k AS hypothesis FROM l""")
 def card_section_extract(spark, sf):
@@ -300,21 +341,27 @@ def code_block_extract(spark, sf):
     return Rp.code_blocks(docs, "id", "text", "repl").select("id.conv_id", "id.turn", "block", "code")
 
 
-@query("trajectory_flatten", """WITH c AS (SELECT conv_id, turn, role, CASE WHEN length(text) <= 4000 THEN text ELSE rtrim(substr(text, 1, 3982), E' \\n\\t') || chr(10) || '... [truncated]' END AS code FROM conversations)
-    SELECT conv_id, turn, turn AS iteration, 0 AS block_index, code, role AS stdout, '' AS error FROM c
-    UNION ALL SELECT conv_id, turn, turn, 1, 'y = 1', '', 'bad ' || role FROM c
-    UNION ALL SELECT conv_id, turn, 1, 0, 'z', '', '' FROM c WHERE role = 'user'""")
+def _shortened(expr, limit):
+    """A text on one line, with a note where it is too long."""
+    flat = f"trim(regexp_replace({expr}, '\\s+', ' ', 'g'))"
+    return f"CASE WHEN length({flat}) <= {limit} THEN {flat} ELSE rtrim(substr({flat}, 1, {limit - 15})) || ' ... [truncated]' END"
+
+
+@query("trajectory_flatten", f"""WITH c AS (SELECT conv_id, turn, role, text, CASE WHEN length(text) <= 4000 THEN text ELSE rtrim(substr(text, 1, 3982), E' \\n\\t') || chr(10) || '... [truncated]' END AS code FROM conversations)
+    SELECT conv_id, turn, turn AS iteration, 0 AS block_index, code, role AS stdout, '' AS error, '' AS final_answer FROM c
+    UNION ALL SELECT conv_id, turn, turn, 1, 'y = 1', '', {_shortened("'bad ' || role || ' ' || repeat(text, 3)", 300)}, {_shortened("repeat(text, 5)", 500)} FROM c
+    UNION ALL SELECT conv_id, turn, 1, 0, 'z', '', '', '' FROM c WHERE role = 'user'""")
 def trajectory_flatten(spark, sf):
     """JSON trajectories made from conversation turns; some keep the iterations under metadata."""
-    block = lambda code, stdout, error: F.struct(
-        code.alias("code"), stdout.alias("stdout"), error.alias("error")
-    )
     none = F.lit(None).cast("string")
+    block = lambda code, stdout, error, final=none: F.struct(
+        code.alias("code"), stdout.alias("stdout"), error.alias("error"), final.alias("final_answer")
+    )
     first = F.struct(
         F.col("turn").alias("iteration"),
         F.array(
             block(F.col("text"), F.col("role"), none),
-            block(F.lit("y = 1"), none, F.concat(F.lit("bad  "), "role")),
+            block(F.lit("y = 1"), none, F.concat(F.lit("bad  "), "role", F.lit(" "), F.repeat("text", F.lit(3))), F.repeat("text", F.lit(5))),
         ).alias("code_blocks"),
     )
     second = F.struct(
@@ -326,7 +373,7 @@ def trajectory_flatten(spark, sf):
         F.struct("conv_id", "turn").alias("id"), F.when(F.col("role") == "user", under).otherwise(flat).alias("doc")
     )
     got = Rp.trajectories(docs, "id", "doc")
-    return got.select("id.conv_id", "id.turn", "iteration", "block_index", "code", "stdout", "error")
+    return got.select("id.conv_id", "id.turn", "iteration", "block_index", "code", "stdout", "error", "final_answer")
 
 
 # patterns and insights

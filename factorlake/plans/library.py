@@ -437,14 +437,21 @@ def factor_store_review(spark, sf):
 
 
 @query("archive_event", f"""WITH {EVENTS}, c AS (SELECT name, arg_max(status, seq) AS status, arg_max(ic, seq) AS ic FROM events_ GROUP BY name)
-    SELECT name, CASE WHEN status = 'accepted' AND ic < 0.03 THEN 'archived' ELSE status END AS status,
-    CASE WHEN status = 'accepted' AND ic < 0.03 THEN '{{"reason": "replaced"}}' END AS review FROM c""")
+    SELECT name, CASE WHEN status = 'accepted' AND ic < 0.03 THEN CASE WHEN ic < 0.01 THEN 'candidate' ELSE 'archived' END ELSE status END AS status,
+    CASE WHEN status = 'accepted' AND ic < 0.03 THEN CASE WHEN ic < 0.02
+      THEN '{{"verdict": "kept", "archive_history": [{{"reason": "replaced"}}, {{"reason": "again"}}], "latest_archive_event": {{"reason": "again"}}}}'
+      ELSE '{{"archive_history": [{{"reason": "replaced"}}], "latest_archive_event": {{"reason": "replaced"}}}}' END END AS review FROM c""")
 def archive_event(spark, sf):
-    """Accepted factors with a low IC archived by an appended event, then the latest view."""
+    """Accepted factors with a low IC archived, some with a review and twice, some saved anew afterwards."""
     store = _store(spark)
-    store.save(S.latest(_events(spark, sf), "name", SEQ, ["status", "ic"]))
-    low = store.current().where("status = 'accepted' AND ic < 0.03")
-    store.archive(low.select("name", F.lit('{"reason": "replaced"}').alias("review")))
+    saved = materialize(S.latest(_events(spark, sf), "name", SEQ, ["status", "ic"]))
+    store.save(saved)
+    low = saved.where("status = 'accepted' AND ic < 0.03").select("name", "ic")
+    event = lambda reason: F.lit(f'{{"reason": "{reason}"}}').alias("review")
+    store.add_review(low.where("ic < 0.02").select("name", F.lit('{"verdict": "kept"}').alias("review")))
+    store.archive(low.select("name", event("replaced")))
+    store.archive(low.where("ic < 0.02").select("name", event("again")))
+    store.save(low.where("ic < 0.01"), overwrite=True)
     return store.current().select("name", "status", "review")
 
 
@@ -453,7 +460,7 @@ def _store(spark):
 
 
 @query("factor_store_save", """SELECT 'f' || p_partkey AS name, p_type AS description, 'candidate' AS status,
-    CAST(p_size AS BIGINT) AS horizon, p_retailprice / 10000 AS ic FROM part""")
+    CAST(1 AS BIGINT) AS horizon, 'rlm' AS source, p_retailprice / 10000 AS ic FROM part""")
 def factor_store_save(spark, sf):
     store = _store(spark)
     part = V.table(spark, sf, "part")
@@ -462,6 +469,7 @@ def factor_store_save(spark, sf):
             F.concat(F.lit("f"), F.col("p_partkey")).alias("name"),
             F.lit("old text").alias("description"),
             F.col("p_size").alias("horizon"),
+            F.lit("t").alias("source"),
         )
     )
     store.save(
@@ -472,7 +480,7 @@ def factor_store_save(spark, sf):
         ),
         overwrite=True,
     )
-    return store.current().select("name", "description", "status", F.col("horizon").cast("bigint").alias("horizon"), "ic")
+    return store.current().select("name", "description", "status", F.col("horizon").cast("bigint").alias("horizon"), "source", "ic")
 
 
 @query("factor_store_list", f"""WITH {EVENTS}, c AS (SELECT name, arg_max(status, seq) AS status, arg_max(ic, seq) AS ic FROM events_ GROUP BY name)

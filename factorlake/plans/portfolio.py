@@ -312,7 +312,7 @@ def minute_grid_ffill(spark, sf):
 
 SCORED = f"""{V.dense_sql()}{C.case_sql(5, 20, 10)},
     scored AS (SELECT code, trade_time, close, score, lead(close) OVER (PARTITION BY code ORDER BY trade_time) / nullif(close, 0) - 1 AS next_return
-      FROM factor WHERE observed AND trade_time >= '1997-01-01')"""
+      FROM factor WHERE observed)"""
 SIZES = "sizes AS (SELECT trade_time, count(*) AS n FROM scored WHERE score IS NOT NULL GROUP BY 1)"
 TOPK = f"""{SCORED}, {SIZES}, k AS (SELECT greatest(1, least(20, min(n))) AS k FROM sizes),
     placed AS (SELECT *, row_number() OVER (PARTITION BY trade_time ORDER BY score DESC, code) AS place FROM scored WHERE score IS NOT NULL),
@@ -320,8 +320,7 @@ TOPK = f"""{SCORED}, {SIZES}, k AS (SELECT greatest(1, least(20, min(n))) AS k F
 
 
 def _scored(spark, sf):
-    frame = V.factor_frame(spark, sf, [C.lib.case_momentum_vol(name="score")])
-    return frame.where(F.col("trade_time") >= F.lit("1997-01-01").cast("timestamp_ntz")).select(*P.KEYS, "close", "score")
+    return V.factor_frame(spark, sf, [C.lib.case_momentum_vol(name="score")]).select(*P.KEYS, "close", "score")
 
 
 @query("min_daily_names", f"""{SCORED}, {SIZES} SELECT min(n) AS min_daily_names, greatest(1, least(50, min(n))) AS topk,

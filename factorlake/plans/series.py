@@ -128,7 +128,8 @@ def ts_vwap(spark, sf):
     GROUP BY 1, 2""",
 )
 def ts_ewm(spark, sf):
-    return _ts(spark, sf, 2 * ts.ewm_block(0.3), {"ewm": ts.ts_ewm("close", 0.3)}, unit="week")
+    df = P.ewm(V.dense(spark, sf, 2 * ts.ewm_block(0.3), "week"), "close", "ewm", 0.3)
+    return df.where(~F.col("halo")).select("code", "trade_time", rnd("ewm").alias("ewm"))
 
 
 @query(

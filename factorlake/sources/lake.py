@@ -1,5 +1,6 @@
 """The bar lake: Parquet under venue / symbol / interval / date, append-only, latest copy wins."""
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,15 +82,12 @@ def normalize(raw: DataFrame, **keys: str) -> DataFrame:
 
 
 def write(df: DataFrame, path: str, ingest: int, rows_per_file: int = 2_000_000) -> None:
-    """Append one delivery.  Copies inside it keep the last by `ingest` if given.
+    """Append one delivery under the version `ingest`.  Copies inside it keep the last by their own `ingest` column.
 
     Range partitioning by the full key splits a hot symbol or day over tasks and
     leaves every file sorted by time.
     """
-    if "ingest" in df.columns:
-        df = keep_last(df, KEYS, ["ingest"]).drop("ingest")
-    else:
-        df = df.dropDuplicates(KEYS)
+    df = keep_last(require(df, ["ingest"]), KEYS, ["ingest"]).drop("ingest")
     order = [*PARTITIONS, "open_time"]
     (
         df.withColumn("ingest", F.lit(ingest).cast("bigint"))
@@ -102,6 +100,11 @@ def write(df: DataFrame, path: str, ingest: int, rows_per_file: int = 2_000_000)
     )
 
 
+def now_version() -> int:
+    """A version by the clock, so that deliveries of several writers are ordered by when they came."""
+    return time.time_ns() // 1000
+
+
 def scan(spark: SparkSession, path: str) -> DataFrame:
     types = {**dict.fromkeys(LONGS, "bigint"), **dict.fromkeys(DOUBLES, "double"), "ingest": "bigint"}
     schema = ", ".join(f"`{c}` {types.get(c, 'string')}" for c in [*COLUMNS, "ingest"])
@@ -210,8 +213,25 @@ def new_rows(batch: DataFrame, mark: DataFrame) -> DataFrame:
     )
 
 
-def resample(bars: DataFrame, target: str) -> DataFrame:
-    """Finer bars to 5m, 15m, 1h, 4h or 1d: first open, max high, min low, last close, sums.
+def fill_rows(delivery: DataFrame, stored: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
+    """Rows of a delivery that fall into gaps of the stored bars inside a window (both ends included).
+
+    A gap is a missing time between two stored ones; a series without any bar in the
+    window misses all of it. A time lies in a gap if it is not stored and stands between the
+    first and the last stored one, so no gap list is joined by range.
+    """
+    window = F.col("open_time").between(start_ms, end_ms)
+    have = stored.where(window).select(*SERIES, "open_time").distinct()
+    ends = have.groupBy(*SERIES).agg(F.min("open_time").alias("_first"), F.max("open_time").alias("_last"))
+    late = delivery.where(window).join(have, KEYS, "left_anti").join(ends, SERIES, "left")
+    inside = F.col("_first").isNull() | F.col("open_time").between(F.col("_first"), F.col("_last"))
+    return late.where(inside).drop("_first", "_last")
+
+
+def resample(bars: DataFrame, target: str, source: str = "1m") -> DataFrame:
+    """Bars of the source interval to 5m, 15m, 1h, 4h or 1d: first open, max high, min low, last close, sums.
+
+    Bars of other intervals in the table are not read.
 
     Bins are left-closed and left-labelled in UTC; empty bins are not made.  All
     aggregate buffers are longs and doubles, so the aggregation stays a hash
@@ -220,6 +240,9 @@ def resample(bars: DataFrame, target: str) -> DataFrame:
     if target not in RESAMPLE_TARGETS:
         raise ValueError(f"target interval must be one of {RESAMPLE_TARGETS}")
     step, t = INTERVAL_MS[target], F.col("open_time")
+    if step % INTERVAL_MS[source] or step == INTERVAL_MS[source]:
+        raise ValueError(f"{target} bars cannot be built from {source} bars")
+    bars = bars.where(F.col("interval") == source)
     sums = ["volume", "quote_volume", "taker_buy_base_vol", "taker_buy_quote_vol"]
     out = bars.groupBy("venue", "symbol", (t - F.pmod(t, F.lit(step))).alias("bin")).agg(
         F.min_by("open", "open_time").alias("open"),
@@ -246,10 +269,10 @@ def resample(bars: DataFrame, target: str) -> DataFrame:
 def resample_chain(bars: DataFrame, targets: Sequence[str]) -> dict[str, DataFrame]:
     """Several targets from one pass over the fine bars: each coarser bar is built from the next finer one."""
     made: dict[str, DataFrame] = {}
-    source = bars
+    source, interval = bars, "1m"
     for target in sorted(targets, key=INTERVAL_MS.__getitem__):
-        made[target] = resample(source, target)
+        made[target] = resample(source, target, interval)
         if source is bars:
             made[target] = materialize(made[target])
-        source = made[target]
+        source, interval = made[target], target
     return made

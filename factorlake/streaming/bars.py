@@ -81,7 +81,7 @@ def lake_sink(bars: DataFrame, path: str, marks: str, checkpoint: str):
     def put(df: DataFrame, epoch: int) -> None:
         df = df.persist()
         try:
-            L.write(df, path, epoch)
+            L.write(df, path, L.now_version())
             L.watermark(df).write.mode("overwrite").parquet(f"{marks}/epoch={epoch}")
         finally:
             df.unpersist()
@@ -98,19 +98,20 @@ def read_marks(spark: SparkSession, marks: str) -> DataFrame:
 def gap_alerts(bars: DataFrame, path: str, marks: str, checkpoint: str):
     """A row for every gap over one step, as bars arrive in time order.
 
-    A batch is judged together with the last time of each series before it, which
-    is kept as a small table per batch.
+    A batch is judged together with the last time of each series before it. Only times behind
+    that mark count: a bar that comes again, or late, makes no gap (whether a late bar fills
+    one is a question to the lake). Each batch writes one table with the marks of all series.
     """
 
     def put(df: DataFrame, epoch: int) -> None:
         spark = df.sparkSession
         times = df.select(*L.SERIES, "open_time").distinct().persist()
         try:
-            known = times
+            known, reached = times, L.watermark(times)
             if epoch:
-                earlier = spark.read.parquet(marks).where(F.col("epoch") < epoch)
-                old = earlier.groupBy(*L.SERIES).agg(F.max("last_open_time").alias("open_time"))
-                known = times.unionByName(old).distinct()
+                old = spark.read.parquet(f"{marks}/epoch={epoch - 1}")
+                reached = L.watermark_advance(old, reached)
+                known = L.new_rows(times, old).unionByName(old.withColumnRenamed("last_open_time", "open_time"))
             day = F.floor(F.col("open_time") / L.DAY_MS)
             steps = neighbour(known, L.SERIES, "open_time", day, ["open_time"])
             size = F.create_map(*[F.lit(x) for kv in L.INTERVAL_MS.items() for x in kv])[F.col("interval")]
@@ -120,7 +121,7 @@ def gap_alerts(bars: DataFrame, path: str, marks: str, checkpoint: str):
                 (F.col("open_time") - size).alias("gap_end"),
             )
             gaps.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-            L.watermark(times).write.mode("overwrite").parquet(f"{marks}/epoch={epoch}")
+            reached.write.mode("overwrite").parquet(f"{marks}/epoch={epoch}")
         finally:
             times.unpersist()
 

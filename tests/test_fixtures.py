@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factorlake.functions import text as X
 from factorlake.functions import ts
+from factorlake.functions.numeric import mean_over_std
 from factorlake.operators import admission, composite, corr, decide, ic, reports
 from factorlake.operators import ledger as G
 from factorlake.operators import library_factors as lib
@@ -76,10 +77,21 @@ def test_ewm_equals_pandas(spark):
     values[rng.random(400) < 0.2] = np.nan
     panel = bars(spark, 400, ["a"], lambda i, j: values[i])
     dense = P.densify(panel, lookback=2 * ts.ewm_block(0.4), segment=150)
-    got = dense.withColumn("e", ts.ts_ewm("close", 0.4)).where("NOT halo").orderBy("t").toPandas()["e"]
+    got = P.ewm(dense, "close", "e", 0.4, segment=150).where("NOT halo").orderBy("t").toPandas()["e"]
     np.testing.assert_allclose(got, pd.Series(values).ewm(alpha=0.4).mean(), rtol=1e-10)
 
 
+def test_ewm_over_long_gaps(spark):
+    """Three values, nearly four hundred empty slots, one value, and empty slots again."""
+    values = np.full(560, np.nan)
+    values[[0, 1, 2, 399]] = 1.0, 2.5, 2.4, 7.0
+    days = bars(spark, 560, ["a", "b"], lambda i, j: values[i] if j == 0 else 1.0)
+    for segment in (220, 65_536):
+        dense = P.densify(days, lookback=2 * ts.ewm_block(0.3), segment=segment)
+        got = P.ewm(dense, "close", "e", 0.3, segment=segment).where("NOT halo AND code = 'a'").orderBy("t").toPandas()["e"]
+        np.testing.assert_allclose(got, pd.Series(values).ewm(alpha=0.3).mean(), rtol=1e-10)
+
+
 def decile_panel(spark, days=5, names=20):
     return bars(spark, days, [f"SH60{j:04d}" for j in range(names)], lambda i, j: 100 + i * (j + 1.0)).withColumn(
         "score", F.substring("code", 5, 4).cast("double")
@@ -282,7 +294,7 @@ def test_kline_import_and_compaction(spark):
     rows = [(t0 + i * 60_000, 100.0 + i, 100.5 + i, 99.5 + i, 100.2 + i, 1.0, t0 + i * 60_000 + 59_999, 2.0, 3, 0.5, 0.5) for i in range(10)]
     cols = "open_time bigint, open double, high double, low double, close double, volume double, close_time bigint, quote_volume double, num_trades bigint, taker_buy_base_vol double, taker_buy_quote_vol double"
     path = f"{shared_dir(spark)}/klines-{np.random.default_rng().integers(1 << 40)}"
-    df = L.normalize(spark.createDataFrame(rows, cols), venue="v", symbol="s", interval="1m")
+    df = L.normalize(spark.createDataFrame(rows, cols), venue="v", symbol="s", interval="1m").withColumn("ingest", F.lit(1))
     L.write(df, path, 1)
     L.write(df, path, 2)
     assert L.query(L.scan(spark, path), "v", ["s"], "1m").count() == 10
@@ -300,7 +312,10 @@ def test_lake_query_prunes_days(spark):
     path = f"{shared_dir(spark)}/prune-{np.random.default_rng().integers(1 << 40)}"
     rows = [(i * 43_200_000, *[1.0] * 5, i * 43_200_000 + 1, 1.0, 1, 1.0, 1.0) for i in range(8)]
     cols = "open_time bigint, open double, high double, low double, close double, volume double, close_time bigint, quote_volume double, num_trades bigint, taker_buy_base_vol double, taker_buy_quote_vol double"
-    L.write(L.normalize(spark.createDataFrame(rows, cols), venue="v", symbol="s", interval="1m"), path, 1)
+    bars = L.normalize(spark.createDataFrame(rows, cols), venue="v", symbol="s", interval="1m")
+    with pytest.raises(ValueError, match="ingest"):
+        L.write(bars, path, 1)
+    L.write(bars.withColumn("ingest", F.lit(1)), path, 1)
     got = L.query(L.scan(spark, path), "v", ["s"], "1m", L.DAY_MS, 2 * L.DAY_MS, ["open_time"])
     plan = got._jdf.queryExecution().executedPlan().toString()
     part = plan[plan.index("PartitionFilters") :]
@@ -324,6 +339,41 @@ def test_store_rules(spark):
     store.add_review(spark.createDataFrame([("good-1", '{"ok": true}')], "name string, review string"))
     got = store.read("good-1").first()
     assert (got["ic"], got["status"], got["review"]) == (0.2, "accepted", '{"ok": true}')
+    ghost = spark.createDataFrame([("ghost", "accepted", "{}")], "name string, status string, review string")
+    for change in (store.set_status, store.add_review, store.archive):
+        with pytest.raises(KeyError, match="ghost"):
+            change(ghost)
+    with pytest.raises(KeyError):
+        store.read("ghost")
+    other = FactorStore(spark, store.path)
+    for writer, event in ((other, '{"n": 1}'), (store, '{"n": 2}')):
+        writer.archive(spark.createDataFrame([("good-1", event)], "name string, review string"))
+    got = store.read("good-1").first()
+    assert got["status"] == "archived"
+    assert got["review"] == '{"ok": true, "archive_history": [{"n": 1}, {"n": 2}], "latest_archive_event": {"n": 2}}'
+    store.save(spark.createDataFrame([("good-1", "new")], "name string, description string"), overwrite=True)
+    got = store.read("good-1").first()
+    assert (got["ic"], got["status"], got["horizon"], got["source"]) == (None, "candidate", 1, "rlm")
+    assert [r["review"] for r in store.archive_history().collect()] == ['{"n": 1}', '{"n": 2}']
+
+
+def test_resample_reads_one_interval(spark):
+    row = lambda t, n: (t, *[1.0] * 4, 1.0, t + n * 60_000 - 1, 1.0, 1, 1.0, 1.0)
+    cols = "open_time bigint, open double, high double, low double, close double, volume double, close_time bigint, quote_volume double, num_trades bigint, taker_buy_base_vol double, taker_buy_quote_vol double"
+    one = L.normalize(spark.createDataFrame([row(i * 60_000, 1) for i in range(60)], cols), venue="v", symbol="s", interval="1m")
+    five = L.resample(one, "5m")
+    assert L.resample(one.unionByName(five), "1h").first()["volume"] == 60
+    assert L.resample(one.unionByName(five), "1h", "5m").first()["volume"] == 60
+    for target, source in (("5m", "15m"), ("5m", "5m"), ("2h", "1m")):
+        with pytest.raises(ValueError):
+            L.resample(one, target, source)
+
+
+def test_spread_is_relative(spark):
+    tiny = spark.createDataFrame([(1e-15,), (3e-15,), (2e-15,)], "x double")
+    flat = spark.createDataFrame([(0.1 + 0.2,), (0.3,)], "x double")
+    ratio = lambda df: df.agg(mean_over_std(F.avg("x"), F.stddev_samp("x"))).first()[0]
+    assert ratio(tiny) == pytest.approx(2.0) and ratio(flat) is None
 
 
 def test_slot_registry(spark):

@@ -17,7 +17,7 @@ review_metrics label_candidates factor_store_status archive_event lake_query lak
 adj_factor_prepare adj_factor_compat health_stats trade_report drawdown holding_stats pnl_histogram return_curve risk_table
 relative_equity minute_grid_ffill topk_portfolio signal_backtest library_size branch_rank error_report_extract
 direction_report_extract trajectory_flatten merge_unique plateau_fold_strategy plateau_fold_signal history_scan
-panel_segments slot_run ts_udf cs_udf rolling_rank_ic_chunks rank_ic_single eval_frame_daily stream_bars stream_gap_alert""".split()
+direction_metadata bars_resample_mixed gap_fill gap_windows min_daily_names daily_topk panel_segments slot_run ts_udf cs_udf rolling_rank_ic_chunks rank_ic_single eval_frame_daily stream_bars stream_gap_alert""".split()
 
 
 @pytest.mark.parametrize("name", sorted(REG.ORACLES) if os.environ.get("FACTORLAKE_ALL") else SOME)
