@@ -89,6 +89,18 @@ class Counted:
             self.at.append(where)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts as a byte each; those from 255 on follow as 64-bit numbers."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    """`n` counts from their packed form."""
+    counts = np.frombuffer(raw, dtype=np.uint8, count=n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(raw, dtype="<i8", offset=n)
+    return counts
+
+
 def blocks(keys: np.ndarray, shards: int):
     """(shard, positions of its keys in order) for each shard that has keys."""
     shard = (keys % np.uint64(shards)).astype(np.int64)
@@ -115,7 +127,7 @@ def counted_blocks(docs: DataFrame, order: int, shards: int) -> DataFrame:
         bucket, rows = table.column("bucket")[0].as_py(), []
         for k in range(order):
             for shard, at in blocks(c.keys[k], shards):
-                rows.append((k, shard, bucket, c.keys[k][at].tobytes(), c.counts[k][at].astype("<u4").tobytes()))
+                rows.append((k, shard, bucket, c.keys[k][at].tobytes(), packed(c.counts[k][at])))
         return pa.table(dict(zip(("k", "shard", "bucket", "keys", "counts"), map(list, zip(*rows, strict=True)), strict=True)), schema=BLOCK)
 
     ordered = docs.select("bucket", "text", "train")
@@ -133,18 +145,17 @@ def answered(sent: DataFrame) -> DataFrame:
 
     def run(table):
         keys = [np.frombuffer(x, dtype="<u8") for x in table.column("keys").to_pylist()]
-        counts = [np.frombuffer(x, dtype="<u4") for x in table.column("counts").to_pylist()]
+        counts = [unpacked(x, len(k)) for x, k in zip(table.column("counts").to_pylist(), keys, strict=True)]
         _, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
         cuts = np.cumsum([len(x) for x in keys])[:-1]
         k, shard = table.column("k")[0].as_py(), table.column("shard")[0].as_py()
-        back = [t.astype("<u8" if len(t) and t.max() > 0xFFFFFFFF else "<u4") for t in np.split(total[at], cuts)]
-        wide = [x.itemsize == 8 for x in back]
+        back = [packed(t) for t in np.split(total[at], cuts)]
         n = len(back)
         return pa.table(
             {
                 "k": [k] * (n + 1), "shard": [shard] * (n + 1), "bucket": [*table.column("bucket").to_pylist(), None],
-                "totals": [*[(b"8" if w else b"4") + x.tobytes() for x, w in zip(back, wide, strict=True)], None],
+                "totals": [*back, None],
                 "tokens": [None] * n + [int(total.sum())], "kinds": [None] * n + [int((total > 0).sum())],
             },
             schema=ANSWER,
@@ -230,8 +241,7 @@ def scored(docs: DataFrame, answers: DataFrame, order: int, shards: int, tokens:
         for k in range(order):
             total = np.zeros(len(c.keys[k]), dtype=np.int64)
             for shard, at in blocks(c.keys[k], shards):
-                packed = got[k, shard]
-                total[at] = np.frombuffer(packed, dtype="<u8" if packed[:1] == b"8" else "<u4", offset=1)
+                total[at] = unpacked(got[k, shard], len(at))
             full.append(total)
         a = Automaton(c, full, tokens, kinds, prior)
         first = np.cumsum(c.sizes) - c.sizes

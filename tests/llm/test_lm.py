@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from factorlake.llm import lm as M
@@ -65,6 +66,12 @@ def test_formula(spark, sf, order, bucket, shard):
     same(run(docs, order=order, bucket_chars=bucket, shard_keys=shard), want)
 
 
+def test_packed_counts():
+    counts = np.array([0, 1, 254, 255, 256, 1 << 40, 3])
+    assert M.unpacked(M.packed(counts), len(counts)).tolist() == counts.tolist()
+    assert len(M.packed(counts)) == 7 + 3 * 8
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     same(run(odd_docs), brute([(r.doc_id, r.text) for r in odd_docs.collect()], 2, M.PRIOR))
     assert run(no_docs) == []
