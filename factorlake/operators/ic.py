@@ -7,6 +7,8 @@ is under `NAMES`; beyond it the same ranks come from `pooled_ranks`.
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -199,12 +201,16 @@ def decile_layer(
 
 def layered_ic(long: DataFrame, layers: int = LAYERS, names: int | None = None) -> DataFrame:
     """Daily ICs inside each decile layer, summarised; all layer names present."""
+    names = largest(long, ("factor", "trade_time"), names)
     cut = decile_layer(long, layers=layers, names=names).where(F.col("layer").isNotNull())
     daily = daily_ic(cut, ("factor", "layer", "trade_time"), names)
     got = daily.groupBy("factor", "layer").agg(*summary_columns(), F.sum("names").alias("rows"))
-    slots = (
-        long.select("factor").distinct().select("factor", F.explode(F.sequence(F.lit(1), F.lit(layers))).alias("layer"))
-    )
+    return with_all_layers(got, long.select("factor").distinct(), layers)
+
+
+def with_all_layers(got: DataFrame, factors: DataFrame, layers: int) -> DataFrame:
+    """One row for every layer of every factor; counts of a layer without rows are zero."""
+    slots = factors.select("factor", F.explode(F.sequence(F.lit(1), F.lit(layers))).alias("layer"))
     zero = {c: 0 for c in ("rows", "daily_ic_count", "daily_rank_ic_count")}
     return (
         slots.join(got, ["factor", "layer"], "left")
@@ -263,32 +269,107 @@ def prediction_ic(label: DataFrame, pred: DataFrame) -> DataFrame:
     )
 
 
+def _average_ranks(x: np.ndarray) -> np.ndarray:
+    _, at, counts = np.unique(x, return_inverse=True, return_counts=True)
+    ends = np.cumsum(counts)
+    return (ends - (counts - 1) / 2.0)[at]
+
+
+def _correlation(x: np.ndarray, y: np.ndarray) -> float | None:
+    if len(x) < 2 or x.max() == x.min() or y.max() == y.min():
+        return None
+    dx, dy = x - x.mean(), y - y.mean()
+    return float((dx @ dy) / np.sqrt((dx @ dx) * (dy @ dy)))
+
+
+def ics_by_date(wide: DataFrame, factors: Sequence[str], layers: int = LAYERS) -> DataFrame:
+    """(factor, layer, trade_time, ic, rank_ic, names) of every date, layer 0 being the whole date.
+
+    The wide table is exchanged once, by date, and a date's names fit into a task (`NAMES`).
+    There every label ranking is made once per set of rows that a factor has,
+    and the same sorted scores give ranks and layers.
+    """
+    factors, columns = list(factors), ["factor", "layer", "trade_time", "ic", "rank_ic", "names"]
+    time_type = wide.schema["trade_time"].dataType.simpleString()
+
+    def run(table):
+        label = table.column("label").to_numpy()
+        code = np.argsort(np.argsort(np.array(table.column("code").to_pylist(), dtype=object), kind="stable"))
+        known_label, at, ranked_label, rows = np.isfinite(label), table.column("trade_time")[0], {}, []
+
+        def add(factor, layer, score, y, ry):
+            rows.append((factor, layer, _correlation(score, y), _correlation(_average_ranks(score), ry), len(score)))
+
+        for f in factors:
+            score = table.column(f).to_numpy().astype(float)
+            has = known_label & np.isfinite(score)
+            n = int(has.sum())
+            if n == 0:
+                continue
+            x, y = score[has], label[has]
+            mask = has.tobytes()
+            if mask not in ranked_label:
+                ranked_label[mask] = _average_ranks(y)
+            add(f, 0, x, y, ranked_label[mask])
+            if n >= layers:
+                order = np.lexsort((code[has], -x))
+                layer = np.maximum(1, (np.arange(n) * layers + n - 2) // (n - 1))
+                for k in range(1, layers + 1):
+                    some = order[layer == k]
+                    if len(some):
+                        add(f, k, x[some], y[some], _average_ranks(y[some]))
+        cols = list(zip(*rows, strict=True)) or [(), (), (), (), ()]
+        kinds = (pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.int64())
+        factor, layer, ic_value, rank_ic, names = (pa.array(c, t) for c, t in zip(cols, kinds, strict=True))
+        times = pa.array([at.as_py()] * len(rows), at.type)
+        return pa.table([factor, layer, times, ic_value, rank_ic, names], names=columns)
+
+    kept = wide.where("label IS NOT NULL").select("trade_time", "code", "label", *[nz(f).alias(f) for f in factors])
+    schema = f"factor string, layer int, trade_time {time_type}, ic double, rank_ic double, names long"
+    return kept.groupBy("trade_time").applyInArrow(run, schema)
+
+
+def frame_summary(frame: DataFrame) -> DataFrame:
+    """Rows, instruments and the first and last date of a factor frame, in one row."""
+    codes = frame.select("code").distinct().agg(F.count("*").alias("instruments"))
+    ends = frame.agg(F.count("*").alias("rows"), F.min("trade_time").alias("start"), F.max("trade_time").alias("end"))
+    return ends.crossJoin(F.broadcast(codes))
+
+
 def factor_analyze(
     frame: DataFrame, factors: Sequence[str], horizon: int = 1, dates: int | None = None, names: int | None = None
 ) -> DataFrame:
     """The full metric record of every factor, all factors in one plan.
 
     Panel, factors and label are stored once; every part of the record reads
-    that copy, whose rows are already one per (date, code).
+    that copy, whose rows are already one per (date, code). Daily and layered ICs come
+    out of one exchange by date; beyond `NAMES` names on a date they come from block ranks.
     """
     frame = frame.select(*KEYS, "close", *factors)
     frame = materialize(forward_return(frame, horizon, "label", dates))
-    long = long_scores(frame, factors)
-    daily = daily_ic(long, names=names)
+    if largest(frame, ["trade_time"], names) <= NAMES:
+        by_date = materialize(ics_by_date(frame, factors))
+        daily = by_date.where("layer = 0")
+        layered = by_date.where("layer > 0").groupBy("factor", "layer").agg(*summary_columns(), F.sum("names").alias("rows"))
+        layered = with_all_layers(layered, daily.select("factor").distinct(), LAYERS)
+    else:
+        long = long_scores(frame, factors)
+        daily = daily_ic(long, names=names)
+        layered = layered_ic(long, names=names)
     scalars = daily.groupBy("factor").agg(
         *summary_columns(),
         F.struct(*distribution_columns("ic")).alias("ic_distribution"),
         F.struct(*distribution_columns("rank_ic")).alias("rank_ic_distribution"),
     )
     pooled = pooled_ic_wide(frame, factors).select("factor", "ic", "rank_ic", F.col("rows").alias("joined_rows"))
-    layered = layered_ic(long, names=names)
     record = [c for c in layered.columns if c not in ("factor", "layer_name")]
     layers = (
         layered.groupBy("factor")
         .agg(
             F.map_from_entries(
                 F.array_sort(F.collect_list(F.struct("layer_name", F.struct(*record).alias("record"))))
-            ).alias("deciles")
+            ).alias("deciles"),
+            F.sum("rows").alias("layered_rows"),
         )
     )
     return (

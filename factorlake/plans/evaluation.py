@@ -187,12 +187,25 @@ def pred_label_join(spark, sf):
     return rounded(label.join(pred, P.KEYS, "left").dropna(subset=["label", "pred"]))
 
 
+@query("frame_summary", f"""{C.frame_sql()} SELECT count(*) AS "rows", count(DISTINCT code) AS instruments, min(trade_time) AS start, max(trade_time) AS "end" FROM frame""")
+def frame_summary(spark, sf):
+    return ic.frame_summary(C.frame(spark, sf))
+
+
+@query("layers_in_blocks", f"""{C.long_sql()}, {LAYERED} SELECT factor, layer_name, daily_rank_ic_mean, "rows" FROM layered""")
+def layers_in_blocks(spark, sf):
+    """The way for dates with more names than a task may hold."""
+    got = ic.layered_ic(C.long(spark, sf), names=ic.NAMES + 1)
+    return rounded(got.select("factor", "layer_name", "daily_rank_ic_mean", "rows"))
+
+
 @query("factor_analyze", f"""{C.long_sql()}, {C.daily_sql()}, {C.daily_sql("factor", name="total")}, {LAYERED},
     cov AS ({" UNION ALL ".join(f"SELECT '{n}' AS factor, avg(CASE WHEN {n} IS NULL THEN 0.0 ELSE 1.0 END) AS coverage FROM frame" for n in C.NAMES)}),
     byfactor AS (SELECT factor, {C.summary_sql()}, {C.distribution_sql("ic", "ic_")}, {C.distribution_sql("rank_ic", "rank_ic_")}
       FROM daily GROUP BY factor)
     SELECT byfactor.*, {out("total.ic", "ic")}, {out("total.rank_ic", "rank_ic")}, total.names AS joined_rows,
       {out("coverage", "coverage")}, {out("1 - coverage", "missing_rate")},
+      (SELECT CAST(sum("rows") AS BIGINT) FROM layered WHERE layered.factor = byfactor.factor) AS layered_rows,
       {", ".join(f"l{i}.daily_rank_ic_mean AS decile{i}_rank_ic, l{i}.rows AS decile{i}_rows" for i in (1, 5, 10))}
     FROM byfactor JOIN total USING (factor) JOIN cov USING (factor)
     {" ".join(f"JOIN layered l{i} ON l{i}.factor = byfactor.factor AND l{i}.layer_name = 'Decile{i}'" for i in (1, 5, 10))}""")

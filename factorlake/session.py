@@ -6,6 +6,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tables written by this process; `drop_tables` removes them.
+WRITTEN: list[str] = []
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 BROADCAST_ROWS_KEY = "factorlake.broadcast.rows"
 DEFAULT_BROADCAST_ROWS = 500_000
@@ -33,9 +35,20 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> int:
+    """Deletes the intermediate tables of this process, at the end of a run; results read from them must be stored before."""
+    jvm, count = spark.sparkContext._jvm, 0
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        count += path.getFileSystem(conf).delete(path, True)
+    return count
+
+
 def broadcast_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_ROWS_KEY, str(DEFAULT_BROADCAST_ROWS)))
 

@@ -2,6 +2,7 @@
 
 import math
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -29,6 +30,7 @@ def session() -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="factorlake-tests-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
