@@ -1,6 +1,6 @@
 """Checks of stored bars: gaps, duplicates, completeness, files, watermarks."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scan import neighbour
@@ -87,14 +87,17 @@ def daily_completeness(bars: DataFrame, share: float = 0.98) -> DataFrame:
 
 
 def storage_stats(lake: DataFrame, small: int = SMALL_FILE) -> DataFrame:
-    """Files, bytes, small files and most parts on one date, per series."""
+    """Files, bytes, small files, most parts on one date and the five dates with most parts, per series."""
     files = partition_files(lake)
     dates = files.groupBy(*SERIES, "date").agg(
         F.count("*").alias("parts"),
         F.sum("bytes").alias("bytes"),
         F.sum((F.col("bytes") < small).cast("bigint")).alias("small_files"),
     )
-    return dates.groupBy(*SERIES).agg(
+    first = Window.partitionBy(*SERIES).orderBy(F.desc("parts"), "date")
+    top = F.when(F.col("place") <= 5, F.struct("place", "date", "parts"))
+    return dates.withColumn("place", F.row_number().over(first)).groupBy(*SERIES).agg(
+        F.transform(F.sort_array(F.collect_list(top)), lambda t: F.struct(t["date"].alias("date"), t["parts"].alias("parts"))).alias("parts_per_date_top"),
         F.sum("parts").alias("files"),
         F.sum("bytes").alias("total_bytes"),
         F.sum("small_files").alias("small_files"),

@@ -125,7 +125,7 @@ def lake_compact(spark, sf):
     files AS (SELECT symbol, date, count(DISTINCT ingest) AS n FROM copies GROUP BY 1, 2),
     rows_ AS (SELECT symbol, date, count(*) AS n FROM lake GROUP BY 1, 2)
     SELECT a.symbol, a.date, CASE WHEN f.n IS NULL THEN 'missing_partition' WHEN f.n <= 1 THEN 'skip_small' ELSE 'compacted' END AS status,
-      CASE WHEN f.n > 1 THEN r.n ELSE 0 END AS "rows"
+      CASE WHEN f.n > 1 THEN r.n ELSE 0 END AS "rows", CAST(CASE WHEN f.n > 1 THEN 1 ELSE 0 END AS BIGINT) AS written_files, CAST(0 AS BIGINT) AS left
     FROM asked a LEFT JOIN files f USING (symbol, date) LEFT JOIN rows_ r USING (symbol, date)""")
 def lake_compact_status(spark, sf):
     path = _path(spark)
@@ -139,7 +139,9 @@ def lake_compact_status(spark, sf):
     asked = daily.select(*L.PARTITIONS).distinct().unionByName(
         daily.limit(1).select("venue", F.lit("click").alias("symbol"), "interval", F.lit("1999-01-01").alias("date"))
     )
-    return L.compact(spark, one, asked).select("symbol", "date", "status", "rows")
+    first = materialize(L.compact(spark, one, asked).select("symbol", "date", "status", "rows", "written_files"))
+    again = L.compact(spark, one, asked).where("status = 'compacted'").select(F.count("*").alias("left"))
+    return first.crossJoin(F.broadcast(again))
 
 
 @query("watermark_rebuild", f"{WITH} SELECT venue, symbol, interval, max(open_time) AS last_open_time FROM bars GROUP BY 1, 2, 3")
@@ -299,10 +301,29 @@ def daily_completeness(spark, sf):
     return H.daily_completeness(klines(spark, sf))
 
 
-@query("storage_stats")
+FILES = 31
+
+
+def many_files(spark, sf):
+    """A lake with one file per day of most series, and one per delivery and day of the clicks, which come in many deliveries."""
+    path, bars = _path(spark), materialize(klines(spark, sf))
+    for i in range(FILES):
+        part = bars.where((F.col("symbol") == "click") & (F.col("ingest") % FILES == i) | (F.col("symbol") != "click") & F.lit(i == 0))
+        part.repartition(*L.PARTITIONS).write.mode("append").partitionBy(*L.PARTITIONS).parquet(path)
+    return L.scan(spark, path)
+
+
+PARTS = f"""parts AS (SELECT symbol, date, count(DISTINCT CASE WHEN symbol = 'click' THEN ingest % {FILES} ELSE 0 END) AS n FROM raw GROUP BY 1, 2)"""
+
+
+@query("storage_stats", f"""{WITH}, {PARTS}, placed AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY n DESC, date) AS place FROM parts)
+    SELECT symbol, CAST(sum(n) AS BIGINT) AS files, CAST(sum(n) AS BIGINT) AS small_files, max(n) AS max_parts_per_date,
+      string_agg(date || ':' || n, ' ' ORDER BY place) FILTER (WHERE place <= 5) AS top FROM placed GROUP BY 1""")
 def storage_stats(spark, sf):
-    path = _path(spark)
-    return H.storage_stats(two_deliveries(spark, sf, path))
+    """Without the bytes, which depend on the writer; all files here are small ones."""
+    stats = H.storage_stats(many_files(spark, sf))
+    top = F.array_join(F.transform("parts_per_date_top", lambda t: F.concat(t["date"], F.lit(":"), t["parts"].cast("string"))), " ")
+    return stats.select("symbol", "files", "small_files", "max_parts_per_date", top.alias("top"))
 
 
 CHECK = f"""{WITH}, {OLD}, local AS (SELECT venue, symbol, interval, max(open_time) AS local_max FROM raw GROUP BY 1, 2, 3),
@@ -323,27 +344,22 @@ def watermark_check(spark, sf):
     return _checked(spark, sf)[1]
 
 
-@query("health_recommend", f"""{CHECK}, g AS (SELECT symbol, count(*) AS gaps FROM (SELECT symbol, open_time - lag(open_time)
+@query("health_recommend", f"""{CHECK}, {PARTS}, g AS (SELECT symbol, count(*) AS gaps FROM (SELECT symbol, open_time - lag(open_time)
       OVER (PARTITION BY symbol ORDER BY open_time) AS d FROM bars) WHERE d > 60000 GROUP BY 1),
-    p AS (SELECT symbol, max(n) AS parts, CAST(sum(n) AS BIGINT) AS small FROM (SELECT symbol, date, count(*) AS n FROM raw GROUP BY 1, 2) GROUP BY 1),
+    p AS (SELECT symbol, max(n) AS parts, CAST(sum(n) AS BIGINT) AS small FROM parts GROUP BY 1),
     r AS (SELECT symbol, list_filter([CASE WHEN status = 'missing_watermark' THEN 'rebuild the watermark, then sync' END,
       CASE WHEN status = 'mismatch' THEN 'watermark differs from the stored bars: rebuild it' END,
       CASE WHEN small >= 50 THEN 'many small files: compact recent dates' END,
-      CASE WHEN parts >= 70 THEN 'many files on one date: compact it' END, CASE WHEN gaps > 0 THEN 'gaps found: fill them' END],
+      CASE WHEN parts >= 30 THEN 'many files on one date: compact it' END, CASE WHEN gaps > 0 THEN 'gaps found: fill them' END],
       lambda x: x IS NOT NULL) AS advice FROM status JOIN g USING (symbol) JOIN p USING (symbol))
     SELECT symbol, array_to_string(advice, '; ') AS advice FROM r""")
 def health_recommend(spark, sf):
-    """Files are stood in for by deliveries: one part per event."""
+    """Advice from the marks, the gaps and the files of the lake."""
     bars, status = _checked(spark, sf)
     gaps = H.gap_ranges(bars).groupBy("symbol").agg(F.count("*").alias("gaps"))
-    parts = (
-        bars.groupBy("symbol", "date")
-        .agg(F.count("*").alias("n"))
-        .groupBy("symbol")
-        .agg(F.max("n").alias("max_parts_per_date"), F.sum("n").alias("small_files"))
-    )
+    parts = H.storage_stats(many_files(spark, sf)).select("symbol", "max_parts_per_date", "small_files")
     report = status.join(gaps, "symbol", "left").join(parts, "symbol", "left")
-    return H.recommend(report, parts_per_date=70).select("symbol", F.array_join("advice", "; ").alias("advice"))
+    return H.recommend(report).select("symbol", F.array_join("advice", "; ").alias("advice"))
 
 
 @query("time_floor", f"""SELECT event_id, (epoch_us(ts) // 60000000) * 60000 AS floored FROM events""")

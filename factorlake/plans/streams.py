@@ -53,7 +53,9 @@ def stream_bars(spark, sf):
     return done.withColumn("bar_time", F.col("bar_time").cast("timestamp_ntz"))
 
 
-@query("stream_bars_append")
+@query("stream_bars_append", """WITH b AS (SELECT event_type AS symbol, time_bucket(INTERVAL 4 HOUR, ts) AS bar_time, arg_max(value, (ts, event_id)) AS close FROM events GROUP BY 1, 2)
+    SELECT symbol, count(*) AS bars, round(max(close), 6) + 0.0 AS top FROM b
+    WHERE bar_time + INTERVAL 4 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1""")
 def stream_bars_append(spark, sf):
     """Append mode: only bars the watermark has closed."""
     path, check = _dir(spark, "bars"), _dir(spark, "checkpoint")

@@ -158,33 +158,49 @@ def compact(
 ) -> DataFrame:
     """Rewrite partitions: latest copy per key, sorted, few files.  Returns a status per partition.
 
-    `asked` (venue, symbol, interval, date) limits the work; partitions with one
-    file are skipped unless forced.  Only the chosen partitions are replaced, by
-    a dynamic overwrite from a checkpointed copy.
+    `asked` (venue, symbol, interval, date) limits the work; partitions that have one copy of each
+    key and as few files as their rows need are skipped unless forced.  A partition is written by one task, or by
+    one per `rows_per_file` rows of it, each with a stretch of the day, so a second run finds nothing
+    to do.  Only the chosen partitions are replaced, by a dynamic overwrite from a checkpointed copy.
     """
     lake = scan(spark, path)
-    files = partition_files(lake).groupBy(*PARTITIONS).agg(F.count("*").alias("input_files"))
+    files = partition_files(lake).groupBy(*PARTITIONS).agg(
+        F.count("*").alias("input_files"), F.ceil(F.sum("rows") / rows_per_file).alias("_needed")
+    )
+    # stretches of unequal size make up to twice as many files
+    enough = F.when(F.col("_needed") > 1, 2 * F.col("_needed")).otherwise(1)
+    few = files.where((F.col("input_files") > 1) & (F.col("input_files") <= enough)).select(*PARTITIONS)
+    copies = lake.join(few, PARTITIONS, "left_semi").groupBy(*PARTITIONS, "open_time").count().where("count > 1")
+    files = files.join(copies.select(*PARTITIONS, F.lit(True).alias("_copies")).distinct(), PARTITIONS, "left")
     asked = files.select(*PARTITIONS) if asked is None else asked.select(*PARTITIONS).distinct()
     state = (
         F.when(F.col("input_files").isNull(), "missing_partition")
-        .when((F.col("input_files") <= 1) & F.lit(not force), "skip_small")
+        .when((F.col("input_files") <= enough) & F.col("_copies").isNull() & F.lit(not force), "skip_small")
         .otherwise("compacted")
     )
     status = materialize(asked.join(files, PARTITIONS, "left").withColumn("status", state))
     todo = status.where("status = 'compacted'").select(*PARTITIONS)
     kept = materialize(keep_last(lake.join(todo, PARTITIONS, "left_semi"), KEYS, ["ingest"]))
+    rows = materialize(kept.groupBy(*PARTITIONS).agg(F.count("*").alias("rows")))
     order = [*PARTITIONS, "open_time"]
+    parts = F.ceil(F.col("rows") / rows_per_file)
+    stretch = F.floor(F.pmod("open_time", F.lit(DAY_MS)) * parts / DAY_MS).cast("int")
     (
-        kept.repartitionByRange(*order)
+        kept.join(rows, PARTITIONS)
+        .withColumn("_stretch", stretch)
+        .repartition(*PARTITIONS, "_stretch")
         .sortWithinPartitions(*order)
+        .select(*kept.columns)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", rows_per_file)
         .partitionBy(*PARTITIONS)
         .parquet(path)
     )
-    rows = kept.groupBy(*PARTITIONS).agg(F.count("*").alias("rows"))
-    return status.join(rows, PARTITIONS, "left").fillna(0, ["rows", "input_files"])
+    written = partition_files(scan(spark, path)).join(todo, PARTITIONS, "left_semi")
+    written = written.groupBy(*PARTITIONS).agg(F.count("*").alias("written_files"))
+    done = status.drop("_needed", "_copies").join(rows, PARTITIONS, "left").join(materialize(written), PARTITIONS, "left")
+    return done.fillna(0, ["rows", "input_files", "written_files"])
 
 
 def watermark(lake: DataFrame) -> DataFrame:

@@ -436,3 +436,19 @@ def test_shared_dir_comes_from_the_session():
     with pytest.raises(ValueError):
         shared_dir(FakeSession("spark://host", {}))
     assert shared_dir(FakeSession("local[2]", {}))
+
+
+def test_compaction_comes_to_an_end(spark):
+    """Many days in several deliveries: after one pass nothing is left to do, also where a day takes several files."""
+    cols = "open_time bigint, open double, high double, low double, close double, volume double, close_time bigint, quote_volume double, num_trades bigint, taker_buy_base_vol double, taker_buy_quote_vol double"
+    rows = [(d * L.DAY_MS + m * 60_000, *[1.0] * 4, 1.0, 0, 1.0, 1, 1.0, 1.0) for d in range(20) for m in range(0, 1440, 30)]
+    bars = L.normalize(spark.createDataFrame(rows, cols), venue="v", symbol="s", interval="1m").withColumn("ingest", F.lit(1))
+    for per_file in (2_000_000, 10):
+        path = f"{shared_dir(spark)}/compact-{np.random.default_rng().integers(1 << 40)}"
+        for version in (1, 2, 3):
+            L.write(bars, path, version)
+        first = L.compact(spark, path, rows_per_file=per_file).collect()
+        assert {r["status"] for r in first} == {"compacted"} and all(r["rows"] == 48 for r in first)
+        assert all(r["written_files"] == 1 if per_file > 48 else 5 <= r["written_files"] <= 10 for r in first)
+        assert {r["status"] for r in L.compact(spark, path, rows_per_file=per_file).collect()} == {"skip_small"}
+        assert L.scan(spark, path).count() == len(rows)
