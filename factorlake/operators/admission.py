@@ -6,6 +6,7 @@ judged against the library its predecessors left: the driver holds one small
 row per factor, and runs one composite plan per candidate that reaches the gate.
 """
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -16,6 +17,9 @@ from . import composite as C
 from . import corr, decide, ic
 from .panel import KEYS, melt
 
+# Fixed value: the reason in an archive event.
+REPLACED = "replaced_by_higher_ic_correlated_factor"
+TYPES = {"ic": "double", "horizon": "int", "factor_shift": "int", "tags": "array<string>"}
 SCHEMA = """attempt int, factor string, ic double, status string, reason string, failed_checks array<string>,
  replaced array<string>, blocking array<string>, baseline_rank_ic double, with_candidate_rank_ic double"""
 
@@ -44,28 +48,31 @@ def admit_candidates(
     horizon: int = 1,
     dates: int | None = None,
     store=None,
+    record: dict | None = None,
 ) -> DataFrame:
     """Walk candidates by IC: screen, review, correlation, gate; save and archive as it goes.
 
-    `accepted` names factor columns already in the library.  One row per attempt.
+    `accepted` names factor columns already in the library; `record` holds further fields of the
+    stored records (universe, factor_shift, tags, signal_class, source).  One row per attempt.
     """
     spark = frame.sparkSession
     names = [*accepted, *[c for c in candidates if c not in accepted]]
     frame = materialize(frame.select(*KEYS, "close", *names))
-    scores = melt(frame, names)
+    scores, most = melt(frame, names), ic.largest(frame, ["trade_time"])
+    ranked = materialize(C.composite_rank(scores, most))
     records = {r["factor"]: r for r in reviewed(frame, names, horizon, dates).collect()}
-    near = {}
+    near: dict = {}
     pairs = corr.spearman_matrix(frame, names)
     for r in pairs.where(F.abs("spearman") >= corr.LIBRARY_DUPLICATE).collect():
-        near.setdefault(r["left"], set()).add(r["right"])
-        near.setdefault(r["right"], set()).add(r["left"])
+        near.setdefault(r["left"], {})[r["right"]] = r["spearman"]
+        near.setdefault(r["right"], {})[r["left"]] = r["spearman"]
     value = lambda n: records[n]["ic"]
     library = [n for n in accepted]
     walk = sorted(candidates, key=lambda n: (value(n) is None, -(value(n) or 0.0), n))
     rows = []
     for attempt, name in enumerate(walk, 1):
         own = records[name]
-        close = sorted(near.get(name, set()) & set(library))
+        close = sorted(near.get(name, {}).keys() & set(library))
         better = value(name) is not None
         replaced = [m for m in close if better and (value(m) is None or value(name) > value(m))]
         blocking = [m for m in close if m not in replaced]
@@ -78,13 +85,14 @@ def admit_candidates(
                 [(n, float(value(n) or 0.0)) for n in ns], "factor string, weight double"
             )
             gate = C.marginal_gate(
-                scores, table(members), table([name]), table(replaced), min_delta, horizon, dates
+                scores, table(members), table([name]), table(replaced), min_delta, horizon, dates, most, ranked
             ).first()
             status, reason = ("accepted", "") if gate["passed"] else ("rejected", "marginal_contribution_gate_failed")
         if status == "accepted":
             library = [m for m in library if m not in replaced and m != name] + [name]
             if store is not None:
-                _record(spark, store, name, value(name), replaced)
+                archived = {m: {"replaced_factor_ic": value(m), "spearman": near[name][m]} for m in replaced}
+                _record(spark, store, own, gate, archived, {"horizon": horizon} | (record or {}))
         rows.append(
             (
                 attempt,
@@ -102,11 +110,15 @@ def admit_candidates(
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def _record(spark, store, name: str, ic_value: float, replaced: Sequence[str]) -> None:
-    store.save(
-        spark.createDataFrame([(name, ic_value, "accepted")], "name string, ic double, status string"),
-        overwrite=True,
-    )
-    if replaced:
-        note = [(m, f'{{"archived_by": "{name}", "reason": "replaced_by_higher_ic_correlated_factor"}}') for m in replaced]
+def _record(spark, store, own, gate, archived: dict, fields: dict) -> None:
+    """The accepted factor with its metrics and review, and an archive event for each factor that it replaces."""
+    metrics = {k: v for k, v in own.asDict(recursive=True).items() if k not in ("factor", "verdict", "failed_checks")}
+    review = {"verdict": own["verdict"], "failed_checks": own["failed_checks"], "marginal_gate": gate and gate.asDict()}
+    row = {"name": own["factor"], "ic": own["ic"], "status": "accepted", "metrics": json.dumps(metrics), **fields}
+    schema = ", ".join(f"{k} {TYPES.get(k, 'string')}" for k in row)
+    store.save(spark.createDataFrame([tuple(row.values())], schema), overwrite=True)
+    store.add_review(spark.createDataFrame([(own["factor"], json.dumps(review))], "name string, review string"))
+    if archived:
+        event = {"archived_by": own["factor"], "reason": REPLACED, "replacement_ic": own["ic"], "threshold": corr.LIBRARY_DUPLICATE}
+        note = [(m, json.dumps(event | more)) for m, more in archived.items()]
         store.archive(spark.createDataFrame(note, "name string, review string"))

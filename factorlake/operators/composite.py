@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nz, safe_corr
-from ..functions.ranks import avg_rank, pct_rank, pooled_ranks
+from ..functions.ranks import pct_rank, pooled_ranks
 from . import ic as I
 from .panel import KEYS
 
@@ -67,14 +67,14 @@ def with_order(weights: DataFrame, part: Sequence[str] = ()) -> DataFrame:
 
 
 def composite_ic(
-    composite: DataFrame, part: Sequence[str] = (), horizon: int = 1, dates: int | None = None
+    composite: DataFrame, part: Sequence[str] = (), horizon: int = 1, dates: int | None = None, names: int | None = None
 ) -> DataFrame:
-    """Daily rank IC mean and count of each scenario's composite over its own rows."""
+    """Daily rank IC mean and count of each scenario's composite over its own rows; `names` bounds those of a date."""
     lab = I.forward_return(composite, horizon, "label", dates, (*part, "code"))
     rows = lab.where("label IS NOT NULL")
     day = [*part, "trade_time"]
     daily = (
-        rows.withColumns({"rx": avg_rank("score", day), "ry": avg_rank("label", day)})
+        I.ranked(rows, day, names)
         .groupBy(*day)
         .agg(safe_corr("rx", "ry").alias("rank_ic"))
     )
@@ -95,10 +95,13 @@ def marginal_gate(
     min_delta: float = MIN_DELTA,
     horizon: int = 1,
     dates: int | None = None,
+    names: int | None = None,
+    ranked: DataFrame | None = None,
 ) -> DataFrame:
     """Composite rank IC with the candidate minus without; one row with the verdict.
 
-    `library` and `candidate` have (factor, weight).
+    `library` and `candidate` have (factor, weight). A factor's ranks do not depend on the
+    library: a caller with many candidates passes the stored `composite_rank` of all scores.
     """
     replaced = library.limit(0) if replaced is None else replaced
     base = library.select("factor", "weight")
@@ -108,8 +111,9 @@ def marginal_gate(
     )
     weights = with_order(both, ["scenario"])
     # rank each needed factor once, whatever the number of scenarios
-    ranked = composite_rank(scores.join(weights.select("factor").distinct(), "factor", "left_semi"))
-    ics = composite_ic(composite_score(ranked, weights, ["scenario"]), ["scenario"], horizon, dates)
+    if ranked is None:
+        ranked = composite_rank(scores.join(weights.select("factor").distinct(), "factor", "left_semi"), names)
+    ics = composite_ic(composite_score(ranked, weights, ["scenario"]), ["scenario"], horizon, dates, names)
     pick = lambda s: F.max(F.when(F.col("scenario") == s, F.col("rank_ic")))
     sizes = both.agg(
         F.count(F.when(F.col("scenario") == "baseline", 1)).alias("baseline_count"),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nz
-from ..functions.scan import cut, scan
+from ..functions.scan import cut, numbered, scan
 from .panel import keep_first
 
 # Weights of the direction score and of its sums.
@@ -147,17 +147,16 @@ def axis_rank(stats: DataFrame, axes: DataFrame) -> DataFrame:
     """Mutation axes by score of axis and 0.3 of mutation+axis; ties by name."""
     c = _scored(axes.select("axis"), stats, "axis", F.col("axis"), "_a")
     c = _scored(c, stats, "mode_axis", F.concat_ws("|", F.lit("mutation"), F.col("axis")), "_b")
-    w = Window.orderBy(F.desc("score"), "axis")
     out = c.select("axis", (F.col("_a") + MODE_AXIS_WEIGHT * F.col("_b")).alias("score"))
-    return out.withColumn("place", F.row_number().over(w))
+    return numbered(out, [], [F.desc("score"), F.col("axis")], "place")
 
 
 def parent_rank(stats: DataFrame, parents: DataFrame) -> DataFrame:
     """Parents (parent, ic) by score plus twice the clipped IC; ties by name."""
     c = _scored(parents.select("parent", "ic"), stats, "parent", F.col("parent"), "_a")
     gain = IC_GAIN * F.greatest(F.lit(0.0), F.least(F.coalesce(nz("ic"), F.lit(0.0)), F.lit(IC_CLIP)))
-    w = Window.orderBy(F.desc("score"), "parent")
-    return c.select("parent", (F.col("_a") + gain).alias("score")).withColumn("place", F.row_number().over(w))
+    out = c.select("parent", (F.col("_a") + gain).alias("score"))
+    return numbered(out, [], [F.desc("score"), F.col("parent")], "place")
 
 
 def failure_stats(reports: DataFrame) -> DataFrame:

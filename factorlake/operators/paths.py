@@ -107,8 +107,12 @@ def minute_grid(prices: DataFrame, part: Sequence[str], time: str, tie: str, val
     first = F.ceil(F.col("_u") / step)
     # the last observation holds only at its own instant
     last = F.ceil(F.coalesce(F.col("_u_next"), F.col("_u") + 1) / step) - 1
-    minutes = F.when(first <= last, F.sequence(first, last))
-    ticks = nxt.select(*part, value, F.explode(minutes).alias("_m"))
+    # day by day, so that a hole of years is many rows and no long array
+    day = max(1, 86_400 // step_seconds)
+    days = nxt.select(*part, value, first.alias("_a"), last.alias("_b")).where("_a <= _b")
+    days = days.withColumn("_d", F.explode(F.sequence(F.floor(F.col("_a") / day), F.floor(F.col("_b") / day))))
+    start, stop = F.greatest("_a", F.col("_d") * day), F.least("_b", F.col("_d") * day + (day - 1))
+    ticks = days.select(*part, value, F.explode(F.sequence(start, stop)).alias("_m"))
     return ticks.select(
         *part, F.timestamp_micros(F.col("_m") * step).cast("timestamp_ntz").alias("minute"), value
     )

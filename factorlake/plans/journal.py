@@ -722,21 +722,42 @@ def history_delta(spark, sf):
     return rounded(S.deltas(history(spark, sf)).select("round", "composite_rank_ic_change", "accepted_factor_count"))
 
 
-@query("round_record", f"""{HISTORY} SELECT CAST(round AS BIGINT) AS round, 'built' AS status, {HISTORY_COLUMNS},
-    CASE WHEN admitted_factors = '' THEN 'rejected' ELSE 'accepted' END AS admission_status FROM history""")
+@query("round_record", f"""{HISTORY} SELECT CAST(round AS BIGINT) AS round, 'built' AS status, CAST(NULL AS BIGINT) AS component_count, score_rows,
+    {out("composite_rank_ic", "composite_rank_ic")}, 'rank_ic' AS composite_rank_ic_name, {out("round_best_rank_ic", "round_best_rank_ic")},
+    'm' || round AS round_best_module, round % 2 = 0 AS round_best_improved, 'done' AS composite_analysis_status, 'a.json' AS composite_analysis_json,
+    CASE WHEN admitted_factors = '' THEN 'rejected' ELSE 'accepted' END AS admission_status, 'only' || round AS admitted_factor,
+    CASE WHEN admitted_factors = '' THEN 'only' || round ELSE admitted_factors END AS admitted_factors, 'c.csv' AS composite_factor_csv, 'w.json' AS weights_json,
+    CAST(NULL AS VARCHAR) AS portfolio_json, {out("composite_rank_ic * 2", "cumulative_return")}, {out("composite_rank_ic", "cumulative_return_after_cost")},
+    0.5::DOUBLE AS cumulative_benchmark_return, {out("composite_rank_ic - 0.5", "cumulative_excess_return_after_cost")}, CAST(NULL AS DOUBLE) AS latest_return_after_cost,
+    CAST(50 AS BIGINT) AS topk, CAST(5 AS BIGINT) AS n_drop, score_rows AS prediction_rows, '2024-01-01' AS prediction_start, '2024-02-01' AS prediction_end,
+    CASE WHEN round % 5 = 0 THEN 'ValueError' END AS error_type, CASE WHEN round % 5 = 0 THEN 'bad round ' || round END AS error FROM history""")
 def round_record(spark, sf):
-    """A nested round result flattened to the history row."""
-    h = history(spark, sf)
+    """A nested round result flattened to the history row; some parts are not there."""
+    h, word = history(spark, sf), lambda text: F.concat(F.lit(text), F.col("round").cast("string"))
+    ic, bad = F.col("composite_rank_ic"), F.col("round") % 5 == 0
+    inner = F.struct(
+        (ic * 2).alias("cumulative_return"), ic.alias("cumulative_return_after_cost"), F.lit(0.5).alias("cumulative_benchmark_return"),
+        (ic - 0.5).alias("cumulative_excess_return_after_cost"), F.lit(50).cast("bigint").alias("topk"), F.lit(5).cast("bigint").alias("n_drop"),
+        F.col("score_rows").alias("prediction_rows"), F.lit("2024-01-01").alias("prediction_start"), F.lit("2024-02-01").alias("prediction_end"),
+    )
     nested = h.select(
         "round",
-        F.struct(F.lit("built").alias("status"), "score_rows", "composite_rank_ic").alias("portfolio"),
+        F.struct(
+            F.lit("built").alias("status"), "score_rows", "composite_rank_ic", F.lit("rank_ic").alias("composite_rank_ic_name"),
+            F.struct(F.lit("done").alias("status")).alias("composite_analysis"), F.lit("a.json").alias("composite_analysis_json"),
+            F.lit("c.csv").alias("composite_factor_csv"), F.lit("w.json").alias("weights_json"), inner.alias("portfolio"),
+            F.when(bad, "ValueError").alias("error_type"), F.when(bad, word("bad round ")).alias("error"),
+        ).alias("portfolio"),
         F.struct(
             F.when(F.col("admitted_factors") == "", "rejected").otherwise("accepted").alias("status"),
-            F.filter(F.split("admitted_factors", ","), lambda v: v != "").alias("accepted_candidates"),
+            word("only").alias("factor_name"),
+            F.transform(F.split("admitted_factors", ","), lambda v: F.struct(v.alias("factor_name"))).alias("accepted_candidates"),
         ).alias("admission"),
-        F.struct(F.col("round_best_rank_ic").alias("best_ic")).alias("round_ic"),
-    )
-    return rounded(S.round_record(nested))
+        F.struct(F.col("round_best_rank_ic").alias("best_ic"), word("m").alias("best_module"), (F.col("round") % 2 == 0).alias("improved")).alias("round_ic"),
+    )
+    got = S.round_record(nested)
+    typed = {"component_count": "bigint", "portfolio_json": "string", "latest_return_after_cost": "double"}
+    return rounded(got.withColumns({c: F.col(c).cast(t) for c, t in typed.items()}))
 
 
 CURVES = """curves AS (SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS INTEGER) AS round, date_trunc('hour', ts) AS datetime,

@@ -56,18 +56,45 @@ def deltas(df: DataFrame) -> DataFrame:
     )
 
 
+#: Columns of the history row after the round, and where a nested summary has them. Fixed values.
+RECORD = {
+    "status": "portfolio.status", "component_count": "portfolio.component_count", "score_rows": "portfolio.score_rows",
+    "composite_rank_ic": "portfolio.composite_rank_ic", "composite_rank_ic_name": "portfolio.composite_rank_ic_name",
+    "round_best_rank_ic": "round_ic.best_ic", "round_best_module": "round_ic.best_module", "round_best_improved": "round_ic.improved",
+    "composite_analysis_status": "portfolio.composite_analysis.status", "composite_analysis_json": "portfolio.composite_analysis_json",
+    "admission_status": "admission.status", "admitted_factor": "admission.factor_name", "admitted_factors": "",
+    "composite_factor_csv": "portfolio.composite_factor_csv", "weights_json": "portfolio.weights_json", "portfolio_json": "portfolio.portfolio_json",
+    "cumulative_return": "portfolio.portfolio.cumulative_return", "cumulative_return_after_cost": "portfolio.portfolio.cumulative_return_after_cost",
+    "cumulative_benchmark_return": "portfolio.portfolio.cumulative_benchmark_return",
+    "cumulative_excess_return_after_cost": "portfolio.portfolio.cumulative_excess_return_after_cost",
+    "latest_return_after_cost": "portfolio.portfolio.latest_return_after_cost", "topk": "portfolio.portfolio.topk", "n_drop": "portfolio.portfolio.n_drop",
+    "prediction_rows": "portfolio.portfolio.prediction_rows", "prediction_start": "portfolio.portfolio.prediction_start",
+    "prediction_end": "portfolio.portfolio.prediction_end", "error_type": "portfolio.error_type", "error": "portfolio.error",
+}
+
+
+def _has(schema, path: str) -> bool:
+    for name in path.split("."):
+        if name not in getattr(schema, "names", []):
+            return False
+        schema = schema[name].dataType
+    return True
+
+
 def round_record(summary: DataFrame) -> DataFrame:
-    """Nested round summary to the flat history row."""
-    p, a = "portfolio", "admission"
-    return summary.select(
-        "round",
-        f"{p}.status",
-        f"{p}.score_rows",
-        f"{p}.composite_rank_ic",
-        F.col("round_ic.best_ic").alias("round_best_rank_ic"),
-        F.col(f"{a}.status").alias("admission_status"),
-        F.array_join(f"{a}.accepted_candidates", ",").alias("admitted_factors"),
-    )
+    """Nested round summary (round, portfolio, admission, round_ic) to the flat history row; missing parts are NULL.
+
+    Admitted are the names of the accepted candidates, or else the one factor of the admission.
+    """
+    at = lambda path: F.col(path) if _has(summary.schema, path) else F.lit(None)
+    single = at("admission.factor_name").cast("string")
+    names = F.lit(None).cast("string")
+    if _has(summary.schema, "admission.accepted_candidates"):
+        many = summary.schema["admission"].dataType["accepted_candidates"].dataType.elementType
+        found = F.col("admission.accepted_candidates.factor_name" if hasattr(many, "names") else "admission.accepted_candidates")
+        names = F.array_join(F.filter(found, lambda v: F.length(v) > 0), ",")
+    admitted = F.coalesce(F.when(F.length(names) > 0, names), single, F.lit(""))
+    return summary.select("round", *[(admitted if c == "admitted_factors" else at(path)).alias(c) for c, path in RECORD.items()])
 
 
 def write_curves(df: DataFrame, path: str) -> None:
