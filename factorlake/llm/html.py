@@ -26,12 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, tuned, worker_state
+from .samples import sampled
 
-#: Pages that the labeller is trained on, and the most blocks of a page in training.
-SAMPLE, LONGEST = 200, 80
+#: Pages that the labeller is trained on, the most blocks of a page in training, and the fewest pages laid out anew.
+SAMPLE, LONGEST, MADE = 200, 80, 600
 PATH_BUCKETS, WORD_BUCKETS, PATH_SIZE, WORD_SIZE, HIDDEN = 1 << 12, 1 << 13, 16, 6, 16
 NUMBERS = 4
-EPOCHS, BATCH, RATE = 8, 32, 0.02
+EPOCHS, BATCH, RATE = 10, 32, 0.02
 REMEMBERED = 200_000
 
 #: Elements that start a block of their own. Fixed by HTML.
@@ -59,6 +60,11 @@ NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", r
 SPLIT_NAME = re.compile(r"[^a-z0-9]+")
 
 
+def named(word: str) -> str:
+    """A class or id word of a path; one thing and many of them count as the same name."""
+    return "." + (word[:-1] if word.endswith("s") and not word.endswith("ss") and len(word) > 2 else word)
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(path words, text, linked characters) of every block that has text, in page order."""
     out, stack, parts, linked = [], [], [], 0
@@ -129,7 +135,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             flush()
         words = [name]
         for value in NAMES.findall(found[3]) if found[3] else ():
-            words += [f".{w}" for w in SPLIT_NAME.split(value.lower().strip("\"'")) if w]
+            words += [named(w) for w in SPLIT_NAME.split(value.lower().strip("\"'")) if w]
         stack.append((name, words))
         links += name == "a"
         path = tuple(w for _, ws in stack for w in ws if w in BLOCK or w[0] == "." or w == "a")
@@ -252,12 +258,12 @@ def features(pages, path_ids, word_ids):
 
 
 #: Names that mark page furniture, and containers that mark main text, for the training labels.
-FURNITURE = set(
+FURNITURE = {w if w[0] != "." else named(w[1:]) for w in (
     "nav header footer aside form menu button select label legend textarea option dialog .nav .navbar .menu .header .footer .sidebar .side .ad .ads "
     ".advert .advertisement .banner .promo .sponsored .cookie .cookies .consent .notice .popup .modal .newsletter .subscribe .share "
     ".sharing .social .related .recommended .breadcrumb .breadcrumbs .pagination .comment .comments .respond .replies .disqus .login .search "
-    ".toolbar .widget .copyright .legal .tags .author-box head title".split()
-)
+    ".toolbar .widget .copyright .legal .tags .alert .notification .disclaimer .topbar .masthead head title".split()
+)}
 CONTAINERS = [
     ("article", ""), ("main", ""), ("div", 'class="content"'), ("div", 'id="content"'), ("div", 'class="article-body"'), ("div", 'class="post-content"'),
     ("section", 'class="entry-content"'), ("div", 'class="story"'), ("div", 'id="main"'), ("div", 'role="main"'), ("article", 'class="post"'),
@@ -273,6 +279,12 @@ PARTS = [
     ("div", 'class="subscribe"', "form"), ("div", 'class="login"', "form"), ("div", 'class="share"', "a"), ("div", 'class="social"', "a"),
     ("div", 'class="related"', "ul"), ("section", 'class="recommended"', "ul"), ("section", 'class="comments"', "p"), ("div", 'id="comments"', "p"),
     ("div", 'class="comment"', "p"), ("ol", 'class="comments"', "li"), ("div", 'class="pagination"', "a"), ("div", 'class="widget"', "p"), ("div", 'class="copyright"', ""),
+    ("div", 'role="navigation"', "ul"), ("div", 'role="banner"', "p"), ("div", 'role="contentinfo"', "p"), ("div", 'role="complementary"', "p"),
+    ("div", 'role="search"', "form"), ("div", 'role="dialog"', "p"), ("div", 'role="alert"', ""), ("div", 'class="alert"', "p"),
+    ("div", 'class="notification"', ""), ("div", 'class="disclaimer"', "p"), ("div", 'class="topbar"', "a"), ("div", 'class="left sidebar"', "ul"),
+    ("div", 'id="nav"', "ul"), ("ul", 'class="menu"', "li"), ("ol", 'class="breadcrumb"', "li"), ("section", 'id="reader-comments"', "p"),
+    ("div", 'class="user-comment"', "p"), ("aside", 'class="ad"', "p"), ("p", 'class="notice"', ""), ("p", 'class="ad"', ""),
+    ("section", 'class="related"', "p"), ("dialog", "", "p"), ("div", 'class="ads"', ""), ("header", 'class="masthead"', "p"), ("footer", "", "p"),
 ]
 
 
@@ -295,6 +307,11 @@ def element(kind, attributes, inner, texts, rng) -> str:
         body = "".join(f"<{inner}>{t}</{inner}>" for t in some)
     else:
         body = some[0]
+    if inner not in ("", "li") and rng.random() < 0.35:
+        size = int(rng.integers(1, 5))
+        body = f"<h{size}>{' '.join(some[-1].split()[:4])}</h{size}>{body}"
+    if inner not in ("", "li") and rng.random() < 0.25:
+        body = f'<div class="{rng.choice(["inner", "box", "wrap", "item", "content"])}">{body}</div>'
     return f"<{kind} {attributes}>{body}</{kind}>"
 
 
@@ -332,7 +349,7 @@ def train(pages: list, seed: int = 11, epochs: int = EPOCHS) -> Labeller:
         if short:
             cases.append((short, np.array([is_main(p) for p, _, _ in short], dtype=float)))
     texts = [" ".join(t.split()[:60]) for page, _ in cases for _, t, _ in page] or ["a text"]
-    for _ in range(max(3 * len(cases), SAMPLE)):
+    for _ in range(max(3 * len(cases), MADE)):
         some = [texts[i] for i in rng.integers(0, len(texts), 12)]
         page, labels = laid_out(some, rng)
         if page:
@@ -361,8 +378,8 @@ def train(pages: list, seed: int = 11, epochs: int = EPOCHS) -> Labeller:
 
 def fit(pages: DataFrame, key: str = "page_id", column: str = "html", sample: int = SAMPLE) -> Labeller:
     """The labeller trained on a bounded sample of pages, the first ones in hash order."""
-    rows = pages.where(F.col(column).isNotNull()).orderBy(F.xxhash64(F.col(key)), F.xxhash64(F.col(column))).limit(sample).select(column).collect()
-    model = train([blocks(r[0]) for r in rows])
+    rows = sampled(pages.where(F.col(column).isNotNull()).select(key, column), [key, column], sample).collect()
+    model = train([blocks(r[1]) for r in rows])
     model.p = {k: v.astype(np.float32) for k, v in model.p.items()}
     return model
 

@@ -4,6 +4,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+GRAIN = 1 << 30
+
+
+def sampled(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """At most `most` rows, nearly the first ones by the hash of their keys.
+
+    Where there are many more, a bound on the hash leaves little more than wanted, so that all
+    tasks together send that few rows and not `most` each.
+    """
+    n, mark = df.count(), F.pmod(F.xxhash64(*keys), F.lit(GRAIN))
+    if n > 2 * most:
+        df = df.where(mark < int(GRAIN * (1.2 * most + 100) / n))
+    return df.orderBy(mark, *keys).limit(most)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, column: str, per_class: int, where=None, columns=("text",)) -> list:
     """Rows (label, *columns) of at most `per_class` ids of either label, the first ones in hash order.
 
@@ -14,7 +29,7 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, per_class: int, wh
         marks = marks.where(where)
     chosen: dict = {}
     for label in (0, 1):
-        rows = marks.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()
+        rows = sampled(marks.where(F.col("label") == label), ["doc_id"], per_class).collect()
         chosen |= {r["doc_id"]: label for r in rows}
     if not chosen:
         return []

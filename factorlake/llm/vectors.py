@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .common import tuned
 from .components import components, settle
+from .samples import sampled
 
 COSINE = 0.93
 #: Most pivots, and the homes of a cell that are wanted.
@@ -62,7 +63,7 @@ def sample_pivots(classes: DataFrame, most: int, cell: int) -> dict[int, np.ndar
     out = {}
     for size, n in sizes.items():
         k = max(1, min(most, -(-n // cell)))
-        rows = classes.where(F.col("size") == size).orderBy(F.xxhash64("rep"), "rep").limit(k).select("v").collect()
+        rows = sampled(classes.where(F.col("size") == size).select("rep", "v"), ["rep"], k).collect()
         out[size] = unit(np.array([r["v"] for r in rows]))
     return out
 
