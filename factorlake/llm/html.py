@@ -324,6 +324,8 @@ def laid_out(texts, rng) -> tuple[list, np.ndarray]:
     body = []
     for i in range(int(rng.integers(1, 12)) if rng.random() < 0.97 else int(rng.integers(40, LONGEST))):
         t = texts[int(rng.integers(0, len(texts)))]
+        if rng.random() < 0.2:  # paragraphs may be as short as a menu entry
+            t = " ".join(t.split()[: int(rng.integers(1, 4))])
         name = "h1" if i == 0 and rng.random() < 0.7 else rng.choice(["p", "p", "p", "p", "p", "h2", "li", "blockquote", "pre", "td", "div"])
         inner = f"<b>{mark}{t}" if rng.random() < 0.15 else mark + (f'{t} <a href="/y">{t.split()[0]}</a>' if rng.random() < 0.2 else t)
         whole = {"li": f"<ul><li>{inner}</li></ul>", "td": f"<table><tr><td>{inner}</td></tr></table>"}.get(name)
@@ -348,12 +350,15 @@ def train(pages: list, seed: int = 11, epochs: int = EPOCHS) -> Labeller:
         short = page if len(page) <= LONGEST else page[: LONGEST // 2] + page[-LONGEST // 2 :]
         if short:
             cases.append((short, np.array([is_main(p) for p, _, _ in short], dtype=float)))
+    own = len(cases)
     texts = [" ".join(t.split()[:60]) for page, _ in cases for _, t, _ in page] or ["a text"]
-    for _ in range(max(3 * len(cases), MADE)):
+    for _ in range(max(3 * own, MADE)):
         some = [texts[i] for i in rng.integers(0, len(texts), 12)]
         page, labels = laid_out(some, rng)
         if page:
             cases.append((page, labels))
+    # a small sample counts as often as a full one would
+    cases += cases[:own] * (SAMPLE // max(1, own) - 1)
     model, path_ids, word_ids = Labeller(rng), PathIds(), WordIds()
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
     for epoch in range(epochs):
@@ -364,7 +369,9 @@ def train(pages: list, seed: int = 11, epochs: int = EPOCHS) -> Labeller:
         for i in rng.permutation(len(batches)):
             batch = batches[i]
             some = [cases[i][0] for i in batch]
-            f = features(some, path_ids, word_ids)
+            # half of the blocks are learned without their words, so that names and places carry the decision
+            f = features([[(p, t if rng.random() < 0.5 else t[-1:], k) for p, t, k in page] for page in some], path_ids, word_ids)
+            f = (*f[:2], np.concatenate([numbers(page) for page in some]))
             sizes = np.array([len(p) for p in some])
             grads = model.gradients(f, model.inputs(f), sizes, np.concatenate([cases[i][1] for i in batch]))
             for k, grad in grads.items():
