@@ -5,10 +5,11 @@ to one segment of dates its window is used, beyond it rows are numbered in
 blocks and cut into chunks that carry the leading rows a frame needs.
 """
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,30 +57,28 @@ def rolling_rank_ic(
 ) -> DataFrame:
     """Spearman of x and y over the last n rows, for every row that has n.
 
-    A frame holds exactly n pairs, so arrays are bounded by the window; their
-    ranks are taken by numpy over Arrow batches, without expanding rows.
+    A chunk of rows is shipped once; numpy slides over it, a bounded number of windows at a time.
     """
     rows = chunked(pairs.select(*part, "trade_time", "x", "y"), part, "trade_time", n - 1, dates, segment)
-    w = Window.partitionBy(*part, "_chunk").orderBy("_no").rowsBetween(-(n - 1), 0)
-    full = (
-        rows.withColumns({"xs": F.collect_list("x").over(w), "ys": F.collect_list("y").over(w)})
-        .where(~F.col("_lead") & (F.size("xs") == n))
-        .select(*part, "trade_time", "xs", "ys")
-    )
-    types = dict(full.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in [*part, "trade_time"]) + ", rank_ic double"
     keep = [*part, "trade_time"]
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", rank_ic double"
     step = max(1, 4_000_000 // (n * n))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for a in range(0, len(pdf), step):
-                cut = pdf.iloc[a : a + step]
-                out = cut[keep].copy()
-                out["rank_ic"] = _spearman_rows(np.stack(cut["xs"].to_list()), np.stack(cut["ys"].to_list()))
-                yield out
-
-    return full.mapInPandas(run, schema).withColumn("rank_ic", nz("rank_ic"))
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("_no").to_numpy())
+        ends = order[n - 1 :]
+        x, y = (table.column(c).to_numpy()[order] for c in ("x", "y"))
+        ic = np.empty(len(ends))
+        if len(ends):
+            xs, ys = sliding_window_view(x, n), sliding_window_view(y, n)
+            for a in range(0, len(ends), step):
+                ic[a : a + step] = _spearman_rows(xs[a : a + step], ys[a : a + step])
+        own = ~table.column("_lead").to_numpy()[ends]
+        return table.select(keep).take(pa.array(ends[own])).append_column("rank_ic", pa.array(ic[own]))
+
+    full = rows.groupBy(*part, "_chunk").applyInArrow(run, schema)
+    return full.withColumn("rank_ic", nz("rank_ic"))
 
 
 def rank_ic_single(
