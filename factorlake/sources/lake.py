@@ -111,6 +111,16 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def newest(df: DataFrame) -> DataFrame:
+    """Latest copy per key; a key has one copy of each version.
+
+    All buffers are numbers, so this is a hash aggregate; the date follows from the time.
+    """
+    rest = [c for c in df.columns if c not in (*KEYS, "ingest", "date")]
+    one = df.groupBy(*KEYS).agg(*[F.max_by(c, "ingest").alias(c) for c in rest], F.max("ingest").alias("ingest"))
+    return one.withColumn("date", ms_date("open_time")).select(*df.columns)
+
+
 def query(
     lake: DataFrame,
     venue: str | None = None,
@@ -137,8 +147,7 @@ def query(
     if end_ms is not None:
         df = df.where((F.col("date") <= ms_date(F.lit(end_ms))) & (F.col("open_time") <= end_ms))
     need = list(columns or COLUMNS)
-    df = df.select(*dict.fromkeys([*KEYS, *need, "ingest"]))
-    return keep_last(df, KEYS, ["ingest"]).select(*need)
+    return newest(df.select(*dict.fromkeys([*KEYS, *need, "ingest"]))).select(*need)
 
 
 def partition_files(lake: DataFrame) -> DataFrame:
@@ -180,7 +189,7 @@ def compact(
     )
     status = materialize(asked.join(files, PARTITIONS, "left").withColumn("status", state))
     todo = status.where("status = 'compacted'").select(*PARTITIONS)
-    kept = materialize(keep_last(lake.join(todo, PARTITIONS, "left_semi"), KEYS, ["ingest"]))
+    kept = materialize(newest(lake.join(todo, PARTITIONS, "left_semi")))
     rows = materialize(kept.groupBy(*PARTITIONS).agg(F.count("*").alias("rows")))
     order = [*PARTITIONS, "open_time"]
     parts = F.ceil(F.col("rows") / rows_per_file)

@@ -452,3 +452,10 @@ def test_compaction_comes_to_an_end(spark):
         assert all(r["written_files"] == 1 if per_file > 48 else 5 <= r["written_files"] <= 10 for r in first)
         assert {r["status"] for r in L.compact(spark, path, rows_per_file=per_file).collect()} == {"skip_small"}
         assert L.scan(spark, path).count() == len(rows)
+
+
+def test_lake_query_is_a_hash_aggregate(spark):
+    cols = ", ".join(f"{c} {'string' if c in (*L.SERIES, 'date') else 'bigint' if c in L.LONGS else 'double'}" for c in L.COLUMNS)
+    lake = spark.createDataFrame([], cols + ", ingest bigint")
+    plan = L.query(lake)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
