@@ -42,7 +42,7 @@ EPOCHS, BATCH, RATE = 4, 16, 0.01
 #: Share of the sample that calibrates, and the fewest texts of either label that give a language its own threshold.
 CALIBRATION, FEWEST = 0.25, 6
 #: Raw words whose vectors a worker remembers; beyond, it starts again.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -281,7 +281,7 @@ def fit_rows(rows: list) -> Net | None:
         return None
     raw, words = [(r[1] or "").encode() for r in rows], Words()
     texts = [np.array([words[w] for w in t.split()], dtype=np.int64) for t in raw]
-    buckets = np.array([parts_of(w) for w in words] or [[0] * PARTS])
+    buckets = np.fromiter((p for w in words or [b""] for p in parts_of(w)), dtype=np.int32).reshape(-1, PARTS)
     y = np.array([r[0] for r in rows])
     apart = np.random.default_rng(3).random(len(rows)) < CALIBRATION
     used = np.flatnonzero(~apart)
