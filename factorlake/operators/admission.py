@@ -76,6 +76,7 @@ def admit_candidates(
         better = value(name) is not None
         replaced = [m for m in close if better and (value(m) is None or value(name) > value(m))]
         blocking = [m for m in close if m not in replaced]
+        # fixed values: states and reasons
         gate, status, reason = None, "rejected", "deterministic_review_or_library_correlation_failed"
         if value(name) is None or value(name) <= decide.FAST_SCREEN:
             reason = "rank_ic_fast_screen_failed"

@@ -60,6 +60,7 @@ def review(df: DataFrame, layers: Column) -> DataFrame:
     Uses columns runs_ok, coverage, missing_rate, ic, icir, ic_count; `layers`
     is the number of decile layers present.  Adds failed_checks and verdict.
     """
+    # fixed values: names of the checks and verdicts
     checks = {
         "runs_without_error": F.col("runs_ok"),
         "coverage_ok": nz("coverage") >= MIN_COVERAGE,
@@ -100,6 +101,7 @@ def label_candidates(ledger: DataFrame) -> DataFrame:
 def failure_reason(label: Column, error_type: Column, error: Column, ic: Column, ok: Column) -> Column:
     has = lambda c: F.coalesce(F.length(c) > 0, F.lit(False))
     weak = ~passes_screen(ic)
+    # fixed values: labels and reasons
     return (
         F.when(label == "best", "none")
         .when(label == "duplicate", "duplicate")

@@ -26,6 +26,7 @@ INTERVAL_MS = {
 }
 # Targets a bar can be built for.
 RESAMPLE_TARGETS = ("5m", "15m", "1h", "4h", "1d")
+# Columns of a stored bar.
 DOUBLES = ["open", "high", "low", "close", "volume", "quote_volume", "taker_buy_base_vol", "taker_buy_quote_vol"]
 LONGS = ["open_time", "close_time", "num_trades"]
 REQUIRED = [*LONGS, *DOUBLES]
