@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, small
-from .common import list_array, texts, tuned
+from .common import list_array, ship, texts, tuned
 from .components import components, forest, strongest
 
 SEED = 42
@@ -146,8 +146,8 @@ def split_hot(rows: DataFrame, limit: int) -> DataFrame:
     return dealt.withColumn("role", role).drop("hot", "parts", "own")
 
 
-def near(group: np.ndarray, role: np.ndarray, fp: np.ndarray, bits: int):
-    """Positions (rows, homes) within `bits`, a bounded number of comparisons at a time.
+def compared(group: np.ndarray, role: np.ndarray, close):
+    """Positions (rows, homes) of one group for which `close` holds, a bounded number of comparisons at a time.
 
     Rows are sorted by group and, in it, homes first.
     """
@@ -161,17 +161,22 @@ def near(group: np.ndarray, role: np.ndarray, fp: np.ndarray, bits: int):
         j = max(i + 1, int(np.searchsorted(ends, done + AT_ONCE, side="right")))
         row = np.repeat(np.arange(i, j), many[i:j])
         home = np.arange(len(row)) - np.repeat(ends[i:j] - many[i:j] - done, many[i:j]) + np.repeat(first[i:j], many[i:j])
-        close = (np.bitwise_count(fp[row] ^ fp[home]) <= bits) & (row != home)
-        yield row[close], home[close]
+        hit = close(row, home) & (row != home)
+        yield row[hit], home[hit]
         i = j
 
 
-def met(fps: DataFrame, bits: int, limit: int, found, schema: str) -> DataFrame:
-    """What `found(columns, chunks of (rows, homes))` makes of the pairs within `bits` that meet at an anchor.
+def near(group: np.ndarray, role: np.ndarray, fp: np.ndarray, bits: int):
+    """Positions (rows, homes) within `bits`."""
+    return compared(group, role, lambda x, y: np.bitwise_count(fp[x] ^ fp[y]) <= bits)
+
+
+def met(rows: DataFrame, limit: int, pairs, found, schema: str) -> DataFrame:
+    """What `found(columns, chunks of (rows, homes))` makes of the pairs that `pairs(columns, group)` finds at the anchors.
 
     Rows stream through a task in order of anchors, homes first: a block of them is held, and the homes of its last anchor.
     """
-    rows = split_hot(at_anchors(fps, bits), limit)
+    rows = split_hot(rows, limit)
     rows = rows.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "role")
 
     def blocks(batches):
@@ -193,7 +198,7 @@ def met(fps: DataFrame, bits: int, limit: int, found, schema: str) -> DataFrame:
                 now = {c: np.concatenate([left[c], x]) for c, x in now.items()}
             anchor, part = now["anchor"], now["part"]
             group = np.cumsum(np.r_[0, (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])])
-            out = found(now, near(group, now["role"], now["fp"].view(np.uint64), bits))
+            out = found(now, pairs(now, group))
             last = (group == group[-1]) & (now["role"] == 0)
             left = {c: v[last] for c, v in now.items()} if last.any() else None
             yield pa.RecordBatch.from_pydict(dict(zip(("a", "b"), out, strict=True)))
@@ -210,7 +215,10 @@ def links(fps: DataFrame, bits: int, limit: int = HOT_ROWS) -> DataFrame:
             a, b = forest(np.concatenate([a, now["rep"][x]]), np.concatenate([b, now["rep"][y]]))
         return a, b
 
-    return met(fps.select("fp", "rep"), bits, limit, found, "a long, b long")
+    def pairs(now, group):
+        return near(group, now["role"], now["fp"].view(np.uint64), bits)
+
+    return met(at_anchors(fps.select("fp", "rep"), bits), limit, pairs, found, "a long, b long")
 
 
 def grouped(prints: DataFrame, bits: int, limit: int = HOT_ROWS) -> DataFrame:
@@ -229,96 +237,168 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: in
     return joined.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
-#: The near-duplicate stage: words in a shingle, similarity from which texts are near-duplicates, bits of
-#: the word-set fingerprint within which texts are compared, and bits of 128 within which they are looked at.
-SHINGLE, SIMILARITY, SET_BITS, SIGNATURE_BITS = 5, 0.8, 7, 30
+#: The near-duplicate stage: words in a shingle, and similarity from which texts are near-duplicates.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Texts looked at for common shingles, times one must occur in them, and the most that are told apart. These steer only the work.
+LOOKED_AT, COMMON, MOST_COMMON = 20_000, 8, 200_000
 
 
-def sides(words: list[bytes], size: int) -> np.ndarray:
-    """128-bit hashes of the distinct shingles, a row of bits each."""
-    line = b" ".join(words)
-    size = min(size, len(words))
-    if size == 0:
-        return np.zeros((0, 128), dtype=np.uint8)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = [0, *(ends[:-1] + 1).tolist()]
-    found = {line[i:j] for i, j in zip(starts, ends[size - 1 :].tolist(), strict=False)}
-    raw = b"".join([xxhash.xxh3_128_digest(x, SEED) for x in found])
-    return np.unpackbits(np.frombuffer(raw, dtype=np.uint8).reshape(-1, 16), axis=1)
+def least_shared(n, share: float):
+    """Smallest whole number that is `share` of n at least; rounding errors lower it."""
+    return np.ceil(share * n - 1e-9).astype(np.int64)
 
 
-def signed(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(id, fp, s1, s2): fingerprint of the set of words, and a 128-bit one of the set of shingles."""
+def distinct_shingles(text: bytes, size: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles, in order."""
+    return np.unique(shingle_hashes(text.lower().split(), size).astype(np.uint64)).view(np.int64)
+
+
+def common_shingles(df: DataFrame, key: str, text: str, size: int) -> np.ndarray:
+    """Shingles that many texts of a sample have, in order."""
+    n = df.count()
+    sample = df.where(F.pmod(F.xxhash64(key), F.lit(max(1, n // LOOKED_AT))) == 0)
 
     def run(batches):
         for b in batches:
-            fps, signs = [], []
-            for t in texts(b.column(1)):
-                words = t.lower().split()
-                fps.append(fingerprint(word_hashes(words)))
-                bits = sides(words, size)
-                signs.append(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(bits)).tobytes())
-            sign = np.frombuffer(b"".join(signs), dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sign[:, 0].copy()), pa.array(sign[:, 1].copy())],
-                names=["id", "fp", "s1", "s2"],
-            )
+            found = [np.empty(0, np.int64), *[distinct_shingles(t, size) for t in texts(b.column(0))]]
+            yield pa.RecordBatch.from_pydict({"shingle": np.concatenate(found)})
 
-    tuned(df.sparkSession)
-    return df.select(F.col(key).cast("long"), text).mapInArrow(run, "id long, fp long, s1 long, s2 long")
+    counts = sample.select(text).mapInArrow(run, "shingle long").groupBy("shingle").count().where(F.col("count") >= COMMON)
+    counts = counts.orderBy(F.col("count").desc(), "shingle").limit(MOST_COMMON)
+    return np.sort(np.array([r[0] for r in counts.select("shingle").collect()], dtype=np.int64))
 
 
-def shingle_sets(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(id, shingles): distinct 64-bit hashes of the shingles."""
+def prefixed(df: DataFrame, key: str, text: str, size: int, similarity: float) -> DataFrame:
+    """(id, cls, n, sig, keys): hash, size and fingerprint of the set of shingles, and its first shingles in one order of all.
+
+    Common shingles come last in the order. The keys are so many that a similar set, not larger, has one of them.
+    """
+    tuned(df.sparkSession)
+    common = ship(df.sparkSession, common_shingles(df, key, text, size))
 
     def run(batches):
+        last = common()
         for b in batches:
-            sets = [np.unique(shingle_hashes(t.lower().split(), size).astype(np.uint64)).view(np.int64) for t in texts(b.column(1))]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), list_array(np.concatenate([np.empty(0, np.int64), *sets]), [len(x) for x in sets], pa.int64())], names=["id", "shingles"]
-            )
+            cls, n, sig, keys = [], [], [], [np.empty(0, np.int64)]
+            for t in texts(b.column(1)):
+                found = distinct_shingles(t, size)
+                cls.append(xxhash.xxh3_64_intdigest(found.tobytes(), SEED))
+                n.append(len(found))
+                sig.append(fingerprint(found))
+                if len(last):
+                    late = last[np.minimum(np.searchsorted(last, found), len(last) - 1)] == found
+                    found = np.concatenate([found[~late], found[late]])
+                keys.append(found[: len(found) - least_shared(len(found), similarity) + 1])
+            numbers = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (cls, sig)]
+            lists = list_array(np.concatenate(keys), [len(k) for k in keys[1:]], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), numbers[0], pa.array(n, pa.int64()), numbers[1], lists], names=["id", "cls", "n", "sig", "keys"])
+
+    return df.select(F.col(key).cast("long"), text).mapInArrow(run, "id long, cls long, n long, sig long, keys array<long>")
+
+
+def meetings(classes: DataFrame, similarity: float) -> DataFrame:
+    """(anchor, role, cls, n, sig, place) of the keys that several sets have.
+
+    Sets of which one may be similar to the other meet at a key that is at home with the smaller one:
+    both share `2 s / (1 + s)` of its size at least, so its first keys without so many are enough.
+    """
 
-    return df.select(F.col(key).cast("long"), text).mapInArrow(run, "id long, shingles array<long>")
+    def spread(batches):
+        for b in batches:
+            lists = b.column("keys")
+            many = np.diff(lists.offsets.to_numpy())
+            at = np.repeat(np.arange(len(many)), many)
+            place = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+            columns = {c: b.column(c).to_numpy()[at] for c in ("cls", "n", "sig")}
+            home = place <= columns["n"] - least_shared(columns["n"], 2 * similarity / (1 + similarity))
+            yield pa.RecordBatch.from_pydict({"anchor": lists.flatten().to_numpy(), "role": (~home).astype(np.int8)} | columns | {"place": place})
+
+    def several(batches):
+        last, follows = None, False  # the row that ended the batch before, and if the one before it has its key
+        for b in batches:
+            now = pa.Table.from_batches([b] if last is None else [last, b]).combine_chunks()
+            anchor = now.column("anchor").to_numpy()
+            if len(anchor) == 0:
+                continue
+            same = np.r_[follows, anchor[1:] == anchor[:-1]]
+            yield from now.slice(0, len(anchor) - 1).filter(pa.array(same[:-1] | same[1:])).to_batches()
+            last, follows = now.slice(len(anchor) - 1).to_batches()[0], bool(same[-1])
+        if follows:
+            yield last
+
+    schema = "anchor long, role tinyint, cls long, n long, sig long, place long"
+    rows = classes.select("cls", "n", "sig", "keys").mapInArrow(spread, schema)
+    rows = rows.repartition("anchor").sortWithinPartitions("anchor")
+    return rows.mapInArrow(several, schema)
+
+
+def candidates(rows: DataFrame, similarity: float, limit: int = HOT_ROWS) -> DataFrame:
+    """(a, b) pairs that may be similar by their sizes and places: of each key's pairs the strongest ones that connect them."""
 
+    def pairs(now, group):
+        n, place = now["n"], now["place"]
 
-def candidates(fps: DataFrame, bits: int, signature_bits: int, limit: int = HOT_ROWS) -> DataFrame:
-    """(a, b) pairs whose signatures are close: of each anchor's pairs the strongest ones that connect them."""
+        def close(x, y):
+            most = np.minimum(place[x], place[y]) + np.minimum(n[x] - place[x], n[y] - place[y])
+            return (n[x] >= n[y]) & (most >= least_shared(n[x] + n[y], similarity / (1 + similarity)))
+
+        return compared(group, now["role"], close)
 
     def found(now, chunks):
         kept = tuple(np.empty(0, dtype=np.int64) for _ in "abd")
         for x, y in chunks:
-            d = sum(np.bitwise_count(now[s][x].view(np.uint64) ^ now[s][y].view(np.uint64)).astype(np.int64) for s in ("s1", "s2"))
-            close = d <= signature_bits
-            new = now["rep"][x[close]], now["rep"][y[close]], d[close]
-            kept = strongest(*[np.concatenate(z) for z in zip(kept, new, strict=True)])
+            d = np.bitwise_count(now["sig"][x].view(np.uint64) ^ now["sig"][y].view(np.uint64)).astype(np.int64)
+            kept = strongest(*[np.concatenate(z) for z in zip(kept, (now["cls"][x], now["cls"][y], d), strict=True)])
         return kept[:2]
 
-    return met(fps.select("fp", "s1", "s2", "rep"), bits, limit, found, "a long, b long")
+    found = met(rows, limit, pairs, found, "a long, b long")
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def shingle_sets(df: DataFrame, text: str, size: int) -> DataFrame:
+    """(cls, shingles): distinct 64-bit hashes of the shingles, and their hash."""
+
+    def run(batches):
+        for b in batches:
+            sets = [distinct_shingles(t, size) for t in texts(b.column(0))]
+            cls = np.array([xxhash.xxh3_64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
+            lists = list_array(np.concatenate([np.empty(0, np.int64), *sets]), [len(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(cls), lists], names=["cls", "shingles"])
+
+    return df.select(text).mapInArrow(run, "cls long, shingles array<long>")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, df: DataFrame, key: str, text: str, size: int, similarity: float) -> DataFrame:
+    """(a, b, good): whether the similarity of a pair, taken exactly, is large enough."""
+    ends = pairs.select(F.col("a").alias("end")).unionByName(pairs.select(F.col("b").alias("end"))).distinct()
+    ends = materialize(classes.join(ends, F.col("cls") == F.col("end"), "left_semi").select("cls", "rep"))
+    n = ends.count()
+    of_ends = df.join(small(ends.select("rep").distinct(), n), F.col(key) == F.col("rep"), "left_semi")
+    sets = materialize(shingle_sets(of_ends, text, size).dropDuplicates(["cls"]))
+    one, two = (sets.select(F.col("cls").alias(f"cls_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab")
+    both = pairs.join(one, F.col("a") == F.col("cls_a")).join(two, F.col("b") == F.col("cls_b"))
+    shared = F.size(F.array_intersect("s_a", "s_b"))
+    return both.select("a", "b", (shared >= similarity * (F.size("s_a") + F.size("s_b") - shared)).alias("good"))
 
 
 def same_text_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(id, component) of texts in groups of near-duplicates: connected by a Jaccard similarity of their shingle sets.
 
-    Texts are candidates if their word-set fingerprints lie within `SET_BITS` and their shingle signatures within
-    `SIGNATURE_BITS`; the similarity of a candidate pair is then taken exactly. Texts with equal fingerprint
-    and signature count as equal. Ids alone in their group do not appear.
+    Texts with equal sets are one class. Classes are candidates if they share one of their first shingles, which all
+    that are similar enough do; the similarity of a candidate pair is then taken exactly.
     """
-    prints = materialize(signed(df, key, text, size).where("id IS NOT NULL"))
-    by = ["fp", "s1", "s2"]
-    classes = materialize(prints.groupBy(*by).agg(F.min("id").alias("rep")))
-    pairs = candidates(classes, SET_BITS, SIGNATURE_BITS)
-    pairs = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    ends = pairs.select(F.col("a").alias("end")).unionByName(pairs.select(F.col("b").alias("end"))).distinct()
-    of_ends = df.join(ends, F.col(key) == F.col("end"), "left_semi")
-    sets = materialize(shingle_sets(of_ends, key, text, size).dropDuplicates(["id"]))
-    one, two = (sets.select(F.col("id").alias(f"id_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab")
-    both = pairs.join(one, F.col("a") == F.col("id_a")).join(two, F.col("b") == F.col("id_b"))
-    shared = F.size(F.array_intersect("s_a", "s_b"))
-    good = shared >= similarity * (F.size("s_a") + F.size("s_b") - shared)
-    roots = components(both.where(good).select("a", "b"))
-    known = materialize(classes.join(roots, F.col("rep") == F.col("node"), "left").select(*[F.col(c).alias(f"c_{c}") for c in by], F.coalesce("root", "rep").alias("component")))
-    joined = prints.join(known, [F.col(c) == F.col(f"c_{c}") for c in by])
-    return joined.select("id", "component")
+    prints = materialize(prefixed(df.where(F.col(key).isNotNull()), key, text, size, similarity))
+    firsts = [F.first(c).alias(c) for c in ("n", "sig", "keys")]
+    rows = materialize(meetings(prints.groupBy("cls").agg(*firsts), similarity))
+    classes = materialize(prints.groupBy("cls").agg(F.min("id").alias("rep")))
+    pairs = materialize(candidates(rows, similarity))
+    links = verified(pairs, classes, df, key, text, size, similarity).where("good")
+    roots = components(links.select("a", "b"))
+    member = classes.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
+    member = materialize(member.select("cls", "root", "rep"))
+    least = member.groupBy("root").agg(F.min("rep").alias("component"))
+    known = materialize(member.join(least, "root").select(F.col("cls").alias("of"), "component"))
+    return prints.join(known, F.col("cls") == F.col("of")).select("id", "component")
 
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -119,3 +119,32 @@ def test_stage_equals_exact_similarity(spark):
     assert len(gone) > 60
     assert not set(texts) - gone - kept  # nothing else is lost
     assert len(gone & kept) <= 0.02 * len(gone)
+
+
+def edited(rng, vocabulary, words, share, kind):
+    """A copy that keeps about `share` of the similarity: with a passage appended, cut off, or cut out of the middle."""
+    if kind == "appended":
+        return words + [rng.choice(vocabulary) for _ in range(int(len(words) * (1 / share - 1)))]
+    gone = len(words) - int(len(words) * share)
+    if kind == "cut off":
+        return words[: len(words) - gone]
+    at = (len(words) - gone) // 2
+    return words[:at] + words[at + gone :]
+
+
+def test_stage_finds_all_similar_texts(spark):
+    rng = random.Random(15)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
+    texts = {}
+    for kind in ("appended", "cut off", "middle"):
+        for share in (0.8, 0.81, 0.83, 0.85, 0.9, 0.95):
+            for _ in range(12):
+                words = [rng.choice(vocabulary) for _ in range(rng.choice((12, 60, 100, 200, 400)))]
+                for w in (words, edited(rng, vocabulary, words, share, kind)):
+                    texts[len(texts)] = " ".join(w)
+    sets = {i: set(shingles(t, 5)) for i, t in texts.items()}
+    similar = {i for i in texts if i % 2 and len(sets[i] & sets[i - 1]) >= 0.8 * len(sets[i] | sets[i - 1])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r.doc_id for r in S.deduplicated(df).collect()}
+    assert len(similar) > 120
+    assert kept == set(texts) - similar
