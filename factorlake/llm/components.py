@@ -64,16 +64,22 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def strongest(a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links (a, b, distance) of a spanning forest that prefers small distances: every component takes its nearest link out."""
+    """Links (a, b, distance) of a spanning forest that prefers small distances."""
+    at = strongest_at(a, b, distance)
+    return a[at], b[at], distance[at]
+
+
+def strongest_at(a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Positions of the links of a spanning forest that prefers small distances: every component takes its nearest link out."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y = at[: len(a)], at[len(a) :]
     order = np.lexsort((np.maximum(x, y), np.minimum(x, y), distance))
-    x, y, distance = x[order], y[order], distance[order]
+    x, y = x[order], y[order]
     label, taken = np.arange(len(nodes)), np.zeros(len(x), dtype=bool)
     while True:
         out = np.flatnonzero(label[x] != label[y])
         if len(out) == 0:
-            return nodes[x[taken]], nodes[y[taken]], distance[taken]
+            return order[taken]
         first = np.full(len(nodes), len(x))
         np.minimum.at(first, label[x[out]], out)
         np.minimum.at(first, label[y[out]], out)

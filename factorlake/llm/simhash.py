@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, small
 from .common import list_array, ship, texts, tuned
-from .components import components, forest, strongest
+from .components import components, forest, strongest_at
 
 SEED = 42
 #: Rows at one anchor beyond which it is split.
@@ -172,7 +172,7 @@ def near(group: np.ndarray, role: np.ndarray, fp: np.ndarray, bits: int):
 
 
 def met(rows: DataFrame, limit: int, pairs, found, schema: str) -> DataFrame:
-    """What `found(columns, chunks of (rows, homes))` makes of the pairs that `pairs(columns, group)` finds at the anchors.
+    """What `found(columns, chunks of (rows, homes))` yields of the pairs that `pairs(columns, group)` finds at the anchors.
 
     Rows stream through a task in order of anchors, homes first: a block of them is held, and the homes of its last anchor.
     """
@@ -198,10 +198,10 @@ def met(rows: DataFrame, limit: int, pairs, found, schema: str) -> DataFrame:
                 now = {c: np.concatenate([left[c], x]) for c, x in now.items()}
             anchor, part = now["anchor"], now["part"]
             group = np.cumsum(np.r_[0, (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])])
-            out = found(now, pairs(now, group))
+            for out in found(now, pairs(now, group)):
+                yield pa.RecordBatch.from_pydict(dict(zip(("a", "b"), out, strict=True)))
             last = (group == group[-1]) & (now["role"] == 0)
             left = {c: v[last] for c, v in now.items()} if last.any() else None
-            yield pa.RecordBatch.from_pydict(dict(zip(("a", "b"), out, strict=True)))
 
     return rows.mapInArrow(run, schema)
 
@@ -213,7 +213,7 @@ def links(fps: DataFrame, bits: int, limit: int = HOT_ROWS) -> DataFrame:
         a = b = np.empty(0, dtype=np.int64)
         for x, y in chunks:
             a, b = forest(np.concatenate([a, now["rep"][x]]), np.concatenate([b, now["rep"][y]]))
-        return a, b
+        yield a, b
 
     def pairs(now, group):
         return near(group, now["role"], now["fp"].view(np.uint64), bits)
@@ -241,6 +241,8 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: in
 SHINGLE, SIMILARITY = 5, 0.8
 #: Texts looked at for common shingles, times one must occur in them, and the most that are told apart. These steer only the work.
 LOOKED_AT, COMMON, MOST_COMMON = 20_000, 8, 200_000
+#: Rounds that test the strongest candidates only, before all that are left are tested.
+FOREST_ROUNDS = 3
 
 
 def least_shared(n, share: float):
@@ -332,24 +334,32 @@ def meetings(classes: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(several, schema)
 
 
-def candidates(rows: DataFrame, similarity: float, limit: int = HOT_ROWS) -> DataFrame:
-    """(a, b) pairs that may be similar by their sizes and places: of each key's pairs the strongest ones that connect them."""
+def candidates(rows: DataFrame, similarity: float, whole: bool, limit: int = HOT_ROWS) -> DataFrame:
+    """(a, b) pairs of different components that may be similar by their sizes and places.
+
+    All of them if whole, else of each key's pairs the strongest ones that connect their components.
+    """
 
     def pairs(now, group):
-        n, place = now["n"], now["place"]
+        n, place, comp = now["n"], now["place"], now["comp"]
 
         def close(x, y):
             most = np.minimum(place[x], place[y]) + np.minimum(n[x] - place[x], n[y] - place[y])
-            return (n[x] >= n[y]) & (most >= least_shared(n[x] + n[y], similarity / (1 + similarity)))
+            return (comp[x] != comp[y]) & (n[x] >= n[y]) & (most >= least_shared(n[x] + n[y], similarity / (1 + similarity)))
 
         return compared(group, now["role"], close)
 
     def found(now, chunks):
-        kept = tuple(np.empty(0, dtype=np.int64) for _ in "abd")
+        kept = tuple(np.empty(0, dtype=np.int64) for _ in "xy")
         for x, y in chunks:
+            if whole:
+                yield now["cls"][x], now["cls"][y]
+                continue
+            x, y = (np.concatenate(z) for z in zip(kept, (x, y), strict=True))
             d = np.bitwise_count(now["sig"][x].view(np.uint64) ^ now["sig"][y].view(np.uint64)).astype(np.int64)
-            kept = strongest(*[np.concatenate(z) for z in zip(kept, (now["cls"][x], now["cls"][y], d), strict=True)])
-        return kept[:2]
+            taken = strongest_at(now["comp"][x], now["comp"][y], d)
+            kept = x[taken], y[taken]
+        yield now["cls"][kept[0]], now["cls"][kept[1]]
 
     found = met(rows, limit, pairs, found, "a long, b long")
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -381,19 +391,51 @@ def verified(pairs: DataFrame, classes: DataFrame, df: DataFrame, key: str, text
     return both.select("a", "b", (shared >= similarity * (F.size("s_a") + F.size("s_b") - shared)).alias("good"))
 
 
+def linked(rows: DataFrame, classes: DataFrame, df: DataFrame, key: str, text: str, size: int, similarity: float) -> DataFrame:
+    """(node, root) of the classes that similar pairs connect.
+
+    Rounds test the strongest candidates between components and merge what passed, so that a dense group costs few pairs;
+    the last round tests all that are left between components.
+    """
+    roots = tested = None
+    rounds, whole = 0, False
+    while True:
+        if roots is None:
+            here = rows.withColumn("comp", F.col("cls"))
+        else:
+            here = rows.join(roots, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cls")).drop("node", "root")
+            here = materialize(here)
+            open_keys = here.groupBy("anchor").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+            here = here.join(open_keys.select(F.col("anchor").alias("open")), F.col("anchor") == F.col("open"), "left_semi")
+        pairs = candidates(here, similarity, whole)
+        if tested is not None:
+            done = tested.select(F.col("a").alias("done_a"), F.col("b").alias("done_b"))
+            pairs = pairs.join(done, (F.col("a") == F.col("done_a")) & (F.col("b") == F.col("done_b")), "left_anti")
+        pairs = materialize(pairs)
+        passed = 0
+        if not pairs.isEmpty():
+            now = materialize(verified(pairs, classes, df, key, text, size, similarity))
+            passed = now.where("good").count()
+            tested = now if tested is None else tested.unionByName(now)
+        if passed or roots is None:
+            roots = components((pairs.withColumn("good", F.lit(False)) if tested is None else tested).where("good").select("a", "b"))
+        if whole:
+            return roots
+        rounds += 1
+        whole = not passed or rounds == FOREST_ROUNDS
+
+
 def same_text_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(id, component) of texts in groups of near-duplicates: connected by a Jaccard similarity of their shingle sets.
 
     Texts with equal sets are one class. Classes are candidates if they share one of their first shingles, which all
-    that are similar enough do; the similarity of a candidate pair is then taken exactly.
+    that are similar enough do. Every candidate pair either has its similarity taken exactly or is already connected.
     """
     prints = materialize(prefixed(df.where(F.col(key).isNotNull()), key, text, size, similarity))
     firsts = [F.first(c).alias(c) for c in ("n", "sig", "keys")]
     rows = materialize(meetings(prints.groupBy("cls").agg(*firsts), similarity))
     classes = materialize(prints.groupBy("cls").agg(F.min("id").alias("rep")))
-    pairs = materialize(candidates(rows, similarity))
-    links = verified(pairs, classes, df, key, text, size, similarity).where("good")
-    roots = components(links.select("a", "b"))
+    roots = linked(rows, classes, df, key, text, size, similarity)
     member = classes.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
     member = materialize(member.select("cls", "root", "rep"))
     least = member.groupBy("root").agg(F.min("rep").alias("component"))

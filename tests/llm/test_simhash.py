@@ -148,3 +148,40 @@ def test_stage_finds_all_similar_texts(spark):
     kept = {r.doc_id for r in S.deduplicated(df).collect()}
     assert len(similar) > 120
     assert kept == set(texts) - similar
+
+
+def test_stage_tests_pairs_beside_a_path_that_fails(spark):
+    """A and B are similar, C lies between them but is similar to neither."""
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
+    alike = lambda a, b: len(a & b) / len(a | b)
+    texts = {}
+    while len(texts) < 180:
+        a = [rng.choice(vocabulary) for _ in range(200)]
+        edits = {rng.randrange(200): rng.choice(vocabulary) for _ in range(4)}
+        own = {rng.randrange(200): rng.choice(vocabulary) for _ in range(rng.randint(1, 4))}
+        half = dict(rng.sample(sorted(edits.items()), 2))
+        b, c = ([e.get(i, w) for i, w in enumerate(a)] for e in (edits, half | own))
+        trio = [" ".join(w) for w in (a, b, c)]
+        x, y, z = (set(shingles(t, 5)) for t in trio)
+        if alike(x, y) >= 0.8 and 0.76 < alike(x, z) < 0.8 and 0.76 < alike(y, z) < 0.8:
+            texts |= {len(texts) + i: t for i, t in enumerate(trio)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in S.deduplicated(df).collect()} == {i for i in texts if i % 3 != 1}
+
+
+def test_stage_with_graded_copies(spark, monkeypatch):
+    monkeypatch.setattr(S, "HELD_ROWS", 50)
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(900)]
+    start, texts = [rng.choice(vocabulary) for _ in range(90)], []
+    for _ in range(160):
+        copy = list(start)
+        for _ in range(rng.randint(0, 5)):
+            copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+        texts.append(" ".join(copy))
+    sets = [set(shingles(t, 5)) for t in texts]
+    links = [(a, b) for a in range(160) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in S.deduplicated(df).collect()}
+    assert kept == set(range(160)) - {n for n, r in roots(links).items() if n != r}
