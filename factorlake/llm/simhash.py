@@ -140,7 +140,8 @@ def split_hot(rows: DataFrame, limit: int) -> DataFrame:
     if n == 0:
         return rows.withColumn("part", F.lit(0))
     dealt = rows.join(small(hot, n), F.col("anchor") == F.col("hot"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    own = F.xxhash64(*[c for c in rows.columns if c not in ("anchor", "role")])
+    dealt = dealt.withColumn("own", F.pmod(own, F.col("parts")).cast("int"))
     dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     role = F.when(F.col("part") == F.col("own"), F.col("role")).otherwise(1).cast("tinyint")
     return dealt.withColumn("role", role).drop("hot", "parts", "own")

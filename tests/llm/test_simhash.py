@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 from test_components import roots
 
 from factorlake.llm import simhash as S
@@ -185,3 +186,19 @@ def test_stage_with_graded_copies(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = {r.doc_id for r in S.deduplicated(df).collect()}
     assert kept == set(range(160)) - {n for n, r in roots(links).items() if n != r}
+
+
+def test_hot_anchors_of_one_fingerprint_are_split(spark):
+    rows = spark.createDataFrame([(7, 0, 5, i) for i in range(1000)], "anchor long, role tinyint, fp long, rep long")
+    homes = S.split_hot(rows, 100).where("role = 0").groupBy("part").count().collect()
+    assert sum(r["count"] for r in homes) == 1000
+    assert max(r["count"] for r in homes) < 200
+
+
+def test_hot_keys_of_the_stage_change_nothing(spark):
+    rng = random.Random(3)
+    sets = [{rng.randrange(300) for _ in range(8)} for _ in range(200)]
+    classes = spark.createDataFrame([(i, len(s), 0, sorted(s)) for i, s in enumerate(sets)], "cls long, n long, sig long, keys array<long>")
+    rows = S.meetings(classes, 0.01).withColumn("comp", F.col("cls"))
+    found = [{tuple(r) for r in S.candidates(rows, 0.01, True, limit).collect()} for limit in (20_000, 3)]
+    assert found[0] == found[1] and len(found[0]) > 1000
