@@ -242,6 +242,8 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: in
 SHINGLE, SIMILARITY = 5, 0.8
 #: Texts looked at for common shingles, times one must occur in them, and the most that are told apart. These steer only the work.
 LOOKED_AT, COMMON, MOST_COMMON = 20_000, 8, 200_000
+#: Parities by which pairs are ruled out, a multiple of 8.
+PARITIES = 1024
 #: Rounds that test the strongest candidates only, before all that are left are tested.
 FOREST_ROUNDS = 3
 
@@ -256,6 +258,11 @@ def distinct_shingles(text: bytes, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(text.lower().split(), size).astype(np.uint64)).view(np.int64)
 
 
+def parities(found: np.ndarray) -> bytes:
+    """A bit for each part of the hashes: whether an odd number of them is there."""
+    return np.packbits(np.bincount((found & (PARITIES - 1)), minlength=PARITIES) & 1).tobytes()
+
+
 def common_shingles(df: DataFrame, key: str, text: str, size: int) -> np.ndarray:
     """Shingles that many texts of a sample have, in order."""
     n = df.count()
@@ -272,7 +279,7 @@ def common_shingles(df: DataFrame, key: str, text: str, size: int) -> np.ndarray
 
 
 def prefixed(df: DataFrame, key: str, text: str, size: int, similarity: float) -> DataFrame:
-    """(id, cls, n, sig, keys): hash, size and fingerprint of the set of shingles, and its first shingles in one order of all.
+    """(id, cls, n, sig, odd, keys): hash, size, fingerprint and parities of the set of shingles, and its first shingles in one order of all.
 
     Common shingles come last in the order. The keys are so many that a similar set, not larger, has one of them.
     """
@@ -282,21 +289,22 @@ def prefixed(df: DataFrame, key: str, text: str, size: int, similarity: float) -
     def run(batches):
         last = common()
         for b in batches:
-            cls, n, sig, keys = [], [], [], [np.empty(0, np.int64)]
+            cls, n, sig, odd, keys = [], [], [], [], [np.empty(0, np.int64)]
             for t in texts(b.column(1)):
                 found = distinct_shingles(t, size)
                 cls.append(xxhash.xxh3_64_intdigest(found.tobytes(), SEED))
                 n.append(len(found))
                 sig.append(fingerprint(found))
+                odd.append(parities(found))
                 if len(last):
                     late = last[np.minimum(np.searchsorted(last, found), len(last) - 1)] == found
                     found = np.concatenate([found[~late], found[late]])
                 keys.append(found[: len(found) - least_shared(len(found), similarity) + 1])
             numbers = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (cls, sig)]
             lists = list_array(np.concatenate(keys), [len(k) for k in keys[1:]], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), numbers[0], pa.array(n, pa.int64()), numbers[1], lists], names=["id", "cls", "n", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), numbers[0], pa.array(n, pa.int64()), numbers[1], pa.array(odd, pa.binary()), lists], names=["id", "cls", "n", "sig", "odd", "keys"])
 
-    return df.select(F.col(key).cast("long"), text).mapInArrow(run, "id long, cls long, n long, sig long, keys array<long>")
+    return df.select(F.col(key).cast("long"), text).mapInArrow(run, "id long, cls long, n long, sig long, odd binary, keys array<long>")
 
 
 def meetings(classes: DataFrame, similarity: float) -> DataFrame:
@@ -379,6 +387,24 @@ def shingle_sets(df: DataFrame, text: str, size: int) -> DataFrame:
     return df.select(text).mapInArrow(run, "cls long, shingles array<long>")
 
 
+def possible(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs without those whose parities differ in more places than the shingles of similar sets of their sizes do.
+
+    Every place that differs has a shingle that only one of the two has, so no similar pair goes.
+    """
+
+    def run(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(f"odd_{c}").to_pylist()), dtype=np.uint64).reshape(-1, PARITIES // 64) for c in "ab")
+            n = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            yield b.select(["a", "b"]).filter(pa.array(differ <= n - 2 * least_shared(n, similarity / (1 + similarity))))
+
+    one, two = (classes.select(F.col("cls").alias(f"cls_{x}"), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}")) for x in "ab")
+    both = pairs.join(one, F.col("a") == F.col("cls_a")).join(two, F.col("b") == F.col("cls_b"))
+    return both.select("a", "b", "n_a", "n_b", "odd_a", "odd_b").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, df: DataFrame, key: str, text: str, size: int, similarity: float) -> DataFrame:
     """(a, b, good): whether the similarity of a pair, taken exactly, is large enough."""
     ends = pairs.select(F.col("a").alias("end")).unionByName(pairs.select(F.col("b").alias("end"))).distinct()
@@ -412,7 +438,7 @@ def linked(rows: DataFrame, classes: DataFrame, df: DataFrame, key: str, text: s
         if tested is not None:
             done = tested.select(F.col("a").alias("done_a"), F.col("b").alias("done_b"))
             pairs = pairs.join(done, (F.col("a") == F.col("done_a")) & (F.col("b") == F.col("done_b")), "left_anti")
-        pairs = materialize(pairs)
+        pairs = materialize(possible(pairs, classes, similarity))
         passed = 0
         if not pairs.isEmpty():
             now = materialize(verified(pairs, classes, df, key, text, size, similarity))
@@ -435,7 +461,7 @@ def same_text_groups(df: DataFrame, key: str = "doc_id", text: str = "text", siz
     prints = materialize(prefixed(df.where(F.col(key).isNotNull()), key, text, size, similarity))
     firsts = [F.first(c).alias(c) for c in ("n", "sig", "keys")]
     rows = materialize(meetings(prints.groupBy("cls").agg(*firsts), similarity))
-    classes = materialize(prints.groupBy("cls").agg(F.min("id").alias("rep")))
+    classes = materialize(prints.groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("odd").alias("odd")))
     roots = linked(rows, classes, df, key, text, size, similarity)
     member = classes.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
     member = materialize(member.select("cls", "root", "rep"))

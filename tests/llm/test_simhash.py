@@ -202,3 +202,18 @@ def test_hot_keys_of_the_stage_change_nothing(spark):
     rows = S.meetings(classes, 0.01).withColumn("comp", F.col("cls"))
     found = [{tuple(r) for r in S.candidates(rows, 0.01, True, limit).collect()} for limit in (20_000, 3)]
     assert found[0] == found[1] and len(found[0]) > 1000
+
+
+def test_parities_rule_out_no_similar_pair(spark):
+    rng = np.random.default_rng(6)
+    sets, pairs = [], []
+    for i in range(0, 600, 2):
+        n, lost = int(rng.integers(1, 900)), rng.uniform(0, 0.3)
+        a = rng.integers(-(2**62), 2**62, n)
+        sets += [a, a[: max(1, int(n * (1 - lost)))]]
+        pairs.append((i, i + 1))
+    sets, pairs = [*sets, *sets[:2]], [*pairs, (2, 5)]
+    classes = spark.createDataFrame([(i, len(x), S.parities(x)) for i, x in enumerate(sets)], "cls long, n long, odd binary")
+    left = {tuple(r) for r in S.possible(spark.createDataFrame(pairs, "a long, b long"), classes, 0.8).collect()}
+    similar = {(a, b) for a, b in pairs if len(sets[b]) >= 0.8 * len(sets[a]) and b == a + 1}
+    assert similar <= left and len(left) < len(pairs)
