@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, html, linededup, lm, packing, quality, simhash, toxicity, vectors, warc
+from . import bpe, html, language, linededup, lm, negatives, packing, phrases, quality, simhash, toxicity, vectors, warc
 from .common import held, table
 from .registry import ORACLES, QUERIES, query
 
@@ -121,3 +121,57 @@ def op10_backoff_automaton(spark, sf):
     docs = table(spark, sf, "documents")
     out = lm.log_probabilities(docs, ~held(1, 5))
     return out.select(F.col("id").alias("doc_id"), held(1, 5, "id").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query(
+    "op11_phrase_rollup",
+    f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), {_UPPER}, {_LOWER}) AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+t AS (SELECT lang, ws, unnest(generate_series(1, len(ws))) AS i FROM w),
+n AS (SELECT lang, count(*) AS n FROM t GROUP BY lang),
+f AS (SELECT lang, g, count(*) AS f FROM (
+        SELECT lang, unnest([ws[i:i + k] FOR k IN range(4) IF i + k <= len(ws)]) AS g FROM t) GROUP BY lang, g HAVING count(*) >= 30),
+cut AS (SELECT lang, g, f AS a, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1),
+scored AS (SELECT cut.lang, cut.g, a, k, l.f AS l, r.f AS r, (2000000::HUGEINT * a) // (l.f + r.f) AS score
+           FROM cut JOIN f AS l ON l.lang = cut.lang AND l.g = cut.g[1:k] JOIN f AS r ON r.lang = cut.lang AND r.g = cut.g[k + 1:]),
+low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+heads AS (SELECT lang, f, g, unnest(range(1, len(g))) AS i FROM f WHERE len(g) > 2),
+spans AS (SELECT lang, f, g, i, unnest(range(i + 1, len(g) + 1)) AS j FROM heads),
+inside AS (SELECT lang, f, g[i:j] AS g FROM spans WHERE j - i + 1 < len(g)),
+kept AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM low
+         WHERE NOT EXISTS (SELECT 1 FROM inside WHERE inside.lang = low.lang AND inside.g = low.g AND 100::HUGEINT * inside.f >= 80::HUGEINT * low.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n.n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
+)
+def op11_phrase_rollup(spark, sf):
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
+@query("op12_hyper_language")
+def op12_hyper_language(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = language.fit(docs, where=~held(2, 4))
+    done = language.predicted(docs.select("doc_id", "text"), model)
+    return done.select("doc_id", held(2, 4).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
+@query(
+    "op13_anchor_lists",
+    """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  [floor(256 * x::DOUBLE) FOR x IN embedding] AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+      FROM v AS a JOIN v AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.*, id AS negative_id, score AS negative_score,
+             row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank
+      FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
+)
+def op13_anchor_lists(spark, sf):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf, "embeddings"), F.col("id") % 100 == 0, label=label)

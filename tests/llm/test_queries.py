@@ -17,8 +17,8 @@ def test_query_equals_sql(spark, duck, sf, name):
     assert compare(REG.QUERIES[name](spark, sf), duck, REG.ORACLES[name]) == ""
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in REG.QUERIES) == list(range(1, 11))
+def test_all_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in REG.QUERIES) == list(range(1, 14))
 
 
 def test_entry_without_the_subpackage(tmp_path):
