@@ -38,7 +38,7 @@ NO_LANG = "und"
 FOLDED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9)
 BREAK = re.compile(rb"[ \t\n]")
 #: Tokens that a task counts at once, and bytes of a text that are cut into words at once.
-TOKENS, SLICE = 3_000_000, 1 << 20
+TOKENS, SLICE = 1_000_000, 1 << 20
 #: Bits of the filter at least and at most (64 MB), and buckets of it that a task adds up at once.
 LEAST_BITS, BITS, SHARD = 16, 29, 18
 MIX, STEP = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
@@ -84,7 +84,7 @@ class Tokens:
                 out += piece.split()
                 ends.append(len(out))
             out += rest.split()
-            self.codes.append(np.fromiter(map(self.words.__getitem__, out), np.int64, len(out)))
+            self.codes.append(np.fromiter(map(self.words.__getitem__, out), np.int32, len(out)))
             self.ends.append(np.array(ends, dtype=np.int64) + self.size)
             self.size += len(out)
         self.ends.append(np.array([self.size]))
@@ -92,12 +92,12 @@ class Tokens:
 
     def closed(self):
         """(code, last, lang, key of the word, key of the word and the next): arrays over all tokens."""
-        code = np.concatenate([*self.codes, np.zeros(0, dtype=np.int64)])
+        code = np.concatenate([*self.codes, np.zeros(0, dtype=np.int32)])
         last = np.zeros(self.size + 1, dtype=bool)
         # an end behind no token stands at 0, where nothing is marked
         last[np.concatenate(self.ends)] = True
         last = last[1:]
-        lang = np.repeat([x for x, _ in self.owners], [n for _, n in self.owners])
+        lang = np.repeat(np.array([x for x, _ in self.owners], dtype=np.int32), [n for _, n in self.owners])
         of_lang = np.array([xxhash.xxh64_intdigest(x, 1) for x in self.langs], dtype=np.uint64)
         word = np.array(self.words.hashes, dtype=np.uint64)[code] ^ of_lang[lang] if self.size else np.zeros(0, dtype=np.uint64)
         pair = mixed(mixed(word) + STEP + np.roll(word, -1))
@@ -110,13 +110,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def tokenised(batches):
-    """Tokens objects of some millions of tokens; a text is never cut between two."""
+    """Tokens objects of about a million tokens; a text is never cut between two."""
     now = Tokens()
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
             now.add(lang, text)
             if now.size >= TOKENS:
                 yield now
+                del now
                 now = Tokens()
     if now.size:
         yield now
@@ -178,7 +179,7 @@ def often_bits(docs: DataFrame, bits: int, least: int) -> np.ndarray:
 
 def grouped(columns: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """(position of one of them, number) of the rows that agree in all columns; sizes bound the columns' numbers."""
-    key, bound = columns[0], sizes[0]
+    key, bound = columns[0].astype(np.int64), sizes[0]
     for column, size in zip(columns[1:], sizes[1:], strict=True):
         if bound * size >= 1 << 62:
             known, key = np.unique(key, return_inverse=True)
@@ -204,6 +205,7 @@ def windows(docs: DataFrame, bits: int, often: np.ndarray) -> DataFrame:
             code, last, lang, word, pair = t.closed()
             heads = known(word)
             goes_on = heads & ~last & known(pair) & np.roll(heads, -1)
+            del word, pair, last
             columns = [np.where(heads, code, -1)]
             lead = goes_on
             for k in range(1, LONGEST):
