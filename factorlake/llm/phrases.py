@@ -6,11 +6,11 @@ n-grams that are ever made. `ROLLUP (lang, w1, w2, w3, w4)` over their counts su
 an equal beginning, so its levels hold the counts of phrases of 4, 3, 2 and 1 words, and the words
 of a language: a phrase occurs as often as windows begin with it.
 
-A phrase counts only if it occurs `least` times, then so do its words and pairs of words. A first
-pass counts hashed words and pairs in buckets, of which one bit each is kept; a word or pair in a
-bucket below `least` is certainly rarer. A window is padded from the first such word or pair
-on, which changes no count that reaches `least`, and makes windows alike, so that a task sends
-few rows. The bits are broadcast; they number `BITS` at most whatever the size. Where there are so many words that
+A phrase counts only if it occurs `least` times, then so do all its parts. A first pass hashes the
+beginnings of every window into buckets, of which one bit each is kept; a beginning in a
+bucket below `least` is certainly rarer. A window is padded behind its longest beginning that may
+occur often enough, which changes no count that reaches `least`, and makes windows alike, so that a task sends
+few rows. The bits are broadcast; they number 2^`BITS` at most whatever the size. Where there are so many words that
 all buckets are full, windows stay whole and the results are the same.
 
 Defined results: a null text is empty, a null language `und`. Each row is a text of its own, also
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, small
 from .common import texts, tuned
 
 LONGEST = 4
@@ -91,7 +91,7 @@ class Tokens:
         self.owners.append((self.langs.setdefault(lang, len(self.langs)), self.size - before))
 
     def closed(self):
-        """(code, last, lang, key of the word, key of the word and the next): arrays over all tokens."""
+        """(code, lang, [(key, whether it ends in the piece) of the next k words]): arrays over all tokens."""
         code = np.concatenate([*self.codes, np.zeros(0, dtype=np.int32)])
         last = np.zeros(self.size + 1, dtype=bool)
         # an end behind no token stands at 0, where nothing is marked
@@ -100,8 +100,13 @@ class Tokens:
         lang = np.repeat(np.array([x for x, _ in self.owners], dtype=np.int32), [n for _, n in self.owners])
         of_lang = np.array([xxhash.xxh64_intdigest(x, 1) for x in self.langs], dtype=np.uint64)
         word = np.array(self.words.hashes, dtype=np.uint64)[code] ^ of_lang[lang] if self.size else np.zeros(0, dtype=np.uint64)
-        pair = mixed(mixed(word) + STEP + np.roll(word, -1))
-        return code, last, lang, mixed(word), pair
+        key, inside, heads = mixed(word), np.ones(self.size, dtype=bool), []
+        for k in range(LONGEST):
+            if k:
+                key = mixed(key + STEP + np.roll(word, -k))
+                inside = inside & ~np.roll(last, 1 - k)
+            heads.append((key, inside))
+        return code, lang, heads
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -134,14 +139,13 @@ def unplanes(raw: bytes, kind) -> np.ndarray:
 
 
 def often_bits(docs: DataFrame, bits: int, least: int) -> np.ndarray:
-    """One bit for each bucket: whether its words and pairs of words occur `least` times together."""
+    """One bit for each bucket: whether its beginnings of windows occur `least` times together."""
     width = min(bits, SHARD)
 
     def count(batches):
         for t in tokenised(batches):
-            _, last, _, word, pair = t.closed()
             down = np.uint64(64 - bits)
-            bucket, n = np.unique(np.concatenate([word >> down, pair[~last] >> down]).astype(np.uint32), return_counts=True)
+            bucket, n = np.unique(np.concatenate([(key[inside] >> down).astype(np.uint32) for key, inside in t.closed()[2]]), return_counts=True)
             n = np.minimum(n, min(least, 255)).astype(np.uint8)
             shard = bucket >> np.uint32(width)
             cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
@@ -202,15 +206,13 @@ def windows(docs: DataFrame, bits: int, often: np.ndarray) -> DataFrame:
             return (flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
         for t in tokenised(batches):
-            code, last, lang, word, pair = t.closed()
-            heads = known(word)
-            goes_on = heads & ~last & known(pair) & np.roll(heads, -1)
-            del word, pair, last
-            columns = [np.where(heads, code, -1)]
-            lead = goes_on
-            for k in range(1, LONGEST):
-                columns.append(np.where(lead, np.roll(code, -k), -1))
-                lead = lead & np.roll(goes_on, -k)
+            code, lang, heads = t.closed()
+            columns, often = [], None
+            for k, (key, inside) in enumerate(heads):
+                # the beginning without its first word occurs as often at least
+                often = known(key) & inside & (True if often is None else often & np.roll(often, -1))
+                columns.append(np.where(often, np.roll(code, -k), -1))
+            del heads, key, inside
             first, n = grouped([lang, *(c + 1 for c in columns)], [len(t.langs), *[len(t.words) + 1] * LONGEST])
             langs, words = pa.array(list(t.langs)), pa.array(list(t.words), pa.binary()).cast(pa.string(), safe=False)
             for i in range(0, len(first), 50_000):
@@ -225,11 +227,11 @@ def phrase_counts(df: DataFrame, text: str = "text", lang: str = "lang", least:
     """(lang, size, words, f): phrases of 1 to 4 words that occur `least` times; size 0 has all words of a language."""
     tuned(df.sparkSession)
     docs = df.select(F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANG)).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # some six bytes a word, and a bucket for every four words and pairs
+    # some six bytes a word, and a bucket for every four to eight beginnings
     bytes_ = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = min(max(LEAST_BITS, int(bytes_ // 12).bit_length()), most_bits)
     names = [f"w{k + 1}" for k in range(LONGEST)]
-    counted = windows(docs, bits, often_bits(docs, bits, least))
+    counted = windows(docs, bits, often_bits(docs, bits, least)).groupBy("lang", *names).agg(F.sum("c").alias("c"))
     sums = counted.rollup("lang", *names).agg(F.sum("c").alias("f"), F.grouping_id().alias("level"))
     # the level of phrases of `size` words has rolled up the columns behind them
     size = F.lit(None).cast("int")
@@ -273,5 +275,5 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: i
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     first = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     words = found.where("size = 0").select(F.col("lang").alias("c_lang"), F.col("f").alias("n"))
-    first = first.join(words, F.col("lang") == F.col("c_lang"))
+    first = first.join(small(words, words.count()), F.col("lang") == F.col("c_lang"))
     return first.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

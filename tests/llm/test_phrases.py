@@ -82,11 +82,13 @@ def test_texts_in_parts(monkeypatch):
         t = P.Tokens()
         t.add("en", text)
         t.add("de", b"last")
-        code, last, lang, word, pair = t.closed()
-        return [x.tolist() for x in (code, last, lang, word)]
+        code, lang, heads = t.closed()
+        return [x.tolist() for x in (code, lang, *heads[0], *heads[1], *heads[3])]
 
     whole = tokens()
-    assert whole[1][:6] == [False, True, True, False, True, False] and whole[2][-1] == 1
+    assert whole[5][:6] == [True, False, False, True, False, True] and whole[1][-1] == 1
+    # pieces of 2, 1, 2, 2 and, over the seam, 5 words
+    assert sum(whole[5]) == 1 + 40 + 40 + 39 * 4 + 2 and sum(whole[7]) == 39 * 2
     for size in (1, 7, 13, 100):
         monkeypatch.setattr(P, "SLICE", size)
         assert tokens() == whole
