@@ -47,11 +47,12 @@ def dates(spark):
 def composite(spark):
     wide = materialize(frame(spark))
     n = dates(spark)
-    daily = ic.daily_ic(ic.labelled(wide, NAMES, 1, n))
+    names = V.codes(spark, SF).count()
+    daily = ic.daily_ic(ic.labelled(wide, NAMES, 1, n), names=names)
     weights = K.components(daily.groupBy("factor").agg(F.avg("rank_ic").alias("ic")))
     scores = P.melt(wide, NAMES).where("score IS NOT NULL")
-    comp = K.composite_score(K.composite_rank(scores), K.with_order(weights))
-    return K.composite_ic(comp, dates=n)
+    comp = K.composite_score(K.composite_rank(scores, names), K.with_order(weights))
+    return K.composite_ic(comp, dates=n, names=names)
 
 
 def single(spark):
@@ -66,7 +67,7 @@ def registered(name):
 HEADLINE = {
     "bars_monthly": lambda spark: V.bars(spark, SF),
     "factor_frame_20": frame,
-    "factor_analyze_20": lambda spark: ic.factor_analyze(frame(spark), NAMES, dates=dates(spark)),
+    "factor_analyze_20": lambda spark: ic.factor_analyze(frame(spark), NAMES, dates=dates(spark), names=V.codes(spark, SF).count()),
     "pair_spearman_20x20": lambda spark: corr.spearman_matrix(frame(spark), NAMES),
     "composite_20": composite,
     "rank_ic_single_60": single,

@@ -38,6 +38,20 @@ def safe_corr(x, y) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+def rank_corr(rx, ry, most: int | None = None) -> Column:
+    """Correlation aggregate of the average ranks of a group's rows, 1 to their number, NULL for a constant side.
+
+    Twice a rank is whole, and its mean is the number of rows plus one, so all sums are whole: the result does
+    not depend on the order of rows, and ranks without any relation give exactly 0. Up to `most` rows 64 bits hold the sums.
+    """
+    x, y = (2 * _c(r) for r in (rx, ry))
+    kind = "bigint" if most is not None and most <= 1_000_000 else "decimal(19,0)"
+    x, y, n = x.cast(kind), y.cast(kind), F.count(x).cast(kind)
+    mean = n * (n + 1) * (n + 1)
+    sxy, sxx, syy = ((F.sum(a * b) - mean).cast("double") for a, b in ((x, y), (x, x), (y, y)))
+    return F.when((sxx > 0) & (syy > 0), sxy / (F.sqrt(sxx) * F.sqrt(syy)))
+
+
 def rnd(x, digits: int = 6) -> Column:
     """Rounded for output; the added zero removes a negative zero."""
     return F.round(_c(x).cast("double"), digits) + F.lit(0.0)

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import nz, safe_corr
+from ..functions.numeric import nz, rank_corr
 from ..functions.ranks import pct_rank, pooled_ranks
 from . import ic as I
 from .panel import KEYS
@@ -35,7 +35,8 @@ def composite_rank(scores: DataFrame, names: int | None = None) -> DataFrame:
     """Per factor and date the percentile rank minus one half."""
     known = scores.where(nz("score").isNotNull())
     part = ["factor", "trade_time"]
-    if I.largest(known, part, names) <= I.NAMES:
+    known, names = I.sized(known, part, names)
+    if names <= I.NAMES:
         return known.withColumn("rank", pct_rank("score", part) - 0.5)
     sizes = known.groupBy(*part).agg(F.count("*").alias("_n"))
     ranked = pooled_ranks(known, part, "score", "_r").join(sizes, part)
@@ -73,11 +74,8 @@ def composite_ic(
     lab = I.forward_return(composite, horizon, "label", dates, (*part, "code"))
     rows = lab.where("label IS NOT NULL")
     day = [*part, "trade_time"]
-    daily = (
-        I.ranked(rows, day, names)
-        .groupBy(*day)
-        .agg(safe_corr("rx", "ry").alias("rank_ic"))
-    )
+    rows, names = I.sized(rows, day, names)
+    daily = I.ranked(rows, day, names).groupBy(*day).agg(rank_corr("rx", "ry", names).alias("rank_ic"))
     return daily.groupBy(*part).agg(F.avg("rank_ic").alias("rank_ic"), F.count("rank_ic").alias("days"))
 
 

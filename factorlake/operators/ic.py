@@ -9,10 +9,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import div, mean_over_std, nz, safe_corr
+from ..functions.numeric import div, mean_over_std, nz, rank_corr, safe_corr
 from ..functions.ranks import avg_rank, pooled_ranks
 from ..functions.scan import numbered
 from ..session import materialize
@@ -20,6 +21,8 @@ from .corr import spearman_matrix
 from .panel import KEYS, SEGMENT, melt
 
 NAMES = 1_000_000
+#: Numbers of one date (names times columns) that one task holds.
+CELLS = 20_000_000
 LAYERS = 10
 QUANTILES = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
 
@@ -88,22 +91,31 @@ def largest(df: DataFrame, part: Sequence[str], names: int | None = None) -> int
     return names
 
 
-def ranked(df: DataFrame, part: Sequence[str], names: int | None = None) -> DataFrame:
-    """Average ranks of score and label inside `part` as rx and ry; rows without both are dropped."""
+def sized(df: DataFrame, part: Sequence[str], names: int | None) -> tuple[DataFrame, int]:
+    """The table and the bound of a group's rows. Without a known bound the table is stored, so that counting it runs nothing twice."""
+    if names is None:
+        df = materialize(df)
+        names = largest(df, part)
+    return df, names
+
+
+def ranked(df: DataFrame, part: Sequence[str], names: int) -> DataFrame:
+    """Average ranks of score and label inside `part`, of at most `names` rows, as rx and ry; rows without both are dropped."""
     df = df.where(F.col("score").isNotNull() & F.col("label").isNotNull())
-    if largest(df, part, names) <= NAMES:
+    if names <= NAMES:
         return df.withColumns({"rx": avg_rank("score", part), "ry": avg_rank("label", part)})
     return pooled_ranks(pooled_ranks(df, part, "score", "rx"), part, "label", "ry")
 
 
 def daily_ic(long: DataFrame, part: Sequence[str] = ("factor", "trade_time"), names: int | None = None) -> DataFrame:
     """Pearson and Spearman of score and label per factor and date."""
+    long, names = sized(long, part, names)
     return (
         ranked(long, part, names)
         .groupBy(*part)
         .agg(
             safe_corr("score", "label").alias("ic"),
-            safe_corr("rx", "ry").alias("rank_ic"),
+            rank_corr("rx", "ry", names).alias("rank_ic"),
             F.count("*").alias("names"),
         )
     )
@@ -114,7 +126,7 @@ def pooled_ic(long: DataFrame) -> DataFrame:
     r = pooled_ranks(pooled_ranks(long, ["factor"], "score", "rx"), ["factor"], "label", "ry")
     return r.groupBy("factor").agg(
         safe_corr("score", "label").alias("ic"),
-        safe_corr("rx", "ry").alias("rank_ic"),
+        rank_corr("rx", "ry").alias("rank_ic"),
         F.count("*").alias("rows"),
     )
 
@@ -187,11 +199,12 @@ def decile_layer(
 ) -> DataFrame:
     """Equal-count layers per date by first-come rank, layer 1 the highest; none under `layers` names."""
     order = F.col("score").desc() if descending else F.col("score").asc()
-    sizes = long.groupBy(*part).agg(F.count("*").alias("_n"))
-    if largest(long, part, names) <= NAMES:
+    long, names = sized(long, part, names)
+    if names <= NAMES:
         placed = long.withColumn("_r", F.row_number().over(Window.partitionBy(*part).orderBy(order, "code")))
         placed = placed.withColumn("_n", F.count("*").over(Window.partitionBy(*part)))
     else:
+        sizes = long.groupBy(*part).agg(F.count("*").alias("_n"))
         placed = numbered(long, part, [order, F.col("code").asc()], "_r").join(sizes, list(part))
     # ceil((r - 1) * layers / (n - 1)) in integers
     up = F.floor(((F.col("_r") - 1) * layers + F.col("_n") - 2) / (F.col("_n") - 1)).cast("int")
@@ -201,7 +214,7 @@ def decile_layer(
 
 def layered_ic(long: DataFrame, layers: int = LAYERS, names: int | None = None) -> DataFrame:
     """Daily ICs inside each decile layer, summarised; all layer names present."""
-    names = largest(long, ("factor", "trade_time"), names)
+    long, names = sized(long, ("factor", "trade_time"), names)
     cut = decile_layer(long, layers=layers, names=names).where(F.col("layer").isNotNull())
     daily = daily_ic(cut, ("factor", "layer", "trade_time"), names)
     got = daily.groupBy("factor", "layer").agg(*summary_columns(), F.sum("names").alias("rows"))
@@ -228,7 +241,7 @@ def coverage(frame: DataFrame, factors: Sequence[str]) -> DataFrame:
     )
 
 
-def prediction_ic(label: DataFrame, pred: DataFrame) -> DataFrame:
+def prediction_ic(label: DataFrame, pred: DataFrame, names: int | None = None) -> DataFrame:
     """Rank IC of predictions against labels with the reason when there is none.
 
     `label` and `pred` have (trade_time, code, label | score).  One output row.
@@ -236,7 +249,7 @@ def prediction_ic(label: DataFrame, pred: DataFrame) -> DataFrame:
     j = label.join(pred, KEYS, "left")
     both = j.where(nz("score").isNotNull() & nz("label").isNotNull()).withColumn("factor", F.lit("pred"))
     total = pooled_ic(both).select("rank_ic")
-    daily = daily_ic(both).agg(
+    daily = daily_ic(both, names=names).agg(
         F.avg("rank_ic").alias("daily_rank_ic_mean"),
         F.stddev_samp("rank_ic").alias("daily_rank_ic_std"),
         F.count("rank_ic").alias("daily_ic_count"),
@@ -285,7 +298,7 @@ def _correlation(x: np.ndarray, y: np.ndarray) -> float | None:
 def ics_by_date(wide: DataFrame, factors: Sequence[str], layers: int = LAYERS) -> DataFrame:
     """(factor, layer, trade_time, ic, rank_ic, names) of every date, layer 0 being the whole date.
 
-    The wide table is exchanged once, by date, and a date's names fit into a task (`NAMES`).
+    The wide table is exchanged once, by date, and a date's columns fit into a task (`CELLS`).
     There every label ranking is made once per set of rows that a factor has,
     and the same sorted scores give ranks and layers.
     """
@@ -293,8 +306,9 @@ def ics_by_date(wide: DataFrame, factors: Sequence[str], layers: int = LAYERS) -
     time_type = wide.schema["trade_time"].dataType.simpleString()
 
     def run(table):
-        label = table.column("label").to_numpy()
-        code = np.argsort(np.argsort(np.array(table.column("code").to_pylist(), dtype=object), kind="stable"))
+        # by code: sums and first-come layers do not depend on how rows arrive
+        table = table.take(pc.sort_indices(table.column("code")))
+        label, code = table.column("label").to_numpy(), np.arange(len(table))
         known_label, at, ranked_label, rows = np.isfinite(label), table.column("trade_time")[0], {}, []
 
         def add(factor, layer, score, y, ry):
@@ -343,11 +357,12 @@ def factor_analyze(
 
     Panel, factors and label are stored once; every part of the record reads
     that copy, whose rows are already one per (date, code). Daily and layered ICs come
-    out of one exchange by date; beyond `NAMES` names on a date they come from block ranks.
+    out of one exchange by date; beyond `CELLS` numbers on a date they come from windows or block ranks.
     """
     frame = frame.select(*KEYS, "close", *factors)
     frame = materialize(forward_return(frame, horizon, "label", dates))
-    if largest(frame, ["trade_time"], names) <= NAMES:
+    names = largest(frame, ["trade_time"]) if names is None else names
+    if names * (len(factors) + 2) <= CELLS:
         by_date = materialize(ics_by_date(frame, factors))
         daily = by_date.where("layer = 0")
         layered = by_date.where("layer > 0").groupBy("factor", "layer").agg(*summary_columns(), F.sum("names").alias("rows"))

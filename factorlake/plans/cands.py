@@ -26,6 +26,11 @@ def dates(spark, sf) -> int:
     return V.calendar(spark, sf).count()
 
 
+def names(spark, sf) -> int:
+    """Codes of the panel: no date has more names."""
+    return V.codes(spark, sf).count()
+
+
 def long(spark, sf, horizon: int = 1):
     return ic.labelled(frame(spark, sf), NAMES, horizon, dates(spark, sf))
 
@@ -64,9 +69,16 @@ def corr_sql(x, y):
     return f"CASE WHEN stddev_pop({x}) > 0 AND stddev_pop({y}) > 0 THEN covar_pop({x}, {y}) / (stddev_pop({x}) * stddev_pop({y})) END"
 
 
+def rank_corr_sql(rx, ry):
+    """Correlation of average ranks from whole sums: twice a rank is whole, with a mean of count + 1."""
+    x, y, mean = f"CAST(2 * {rx} AS HUGEINT)", f"CAST(2 * {ry} AS HUGEINT)", "CAST(count(*) AS HUGEINT) * (count(*) + 1) * (count(*) + 1)"
+    sxy, sxx, syy = (f"CAST(sum({a} * {b}) - {mean} AS DOUBLE)" for a, b in ((x, y), (x, x), (y, y)))
+    return f"CASE WHEN {sxx} > 0 AND {syy} > 0 THEN {sxy} / (sqrt({sxx}) * sqrt({syy})) END"
+
+
 def daily_sql(part="factor, trade_time", source="long", name="daily") -> str:
     return f"""{name}_r AS (SELECT *, {rank_sql('score', part)} AS rx, {rank_sql('label', part)} AS ry FROM {source}),
-    {name} AS (SELECT {part}, {corr_sql('score', 'label')} AS ic, {corr_sql('rx', 'ry')} AS rank_ic, count(*) AS names
+    {name} AS (SELECT {part}, {corr_sql('score', 'label')} AS ic, {rank_corr_sql('rx', 'ry')} AS rank_ic, count(*) AS names
       FROM {name}_r GROUP BY {part})"""
 
 

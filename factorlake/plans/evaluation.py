@@ -59,7 +59,7 @@ def pooled_ic(spark, sf):
 @query("daily_ic", f"""{C.long_sql()}, {C.daily_sql()}
     SELECT factor, trade_time, {out("ic", "ic")}, {out("rank_ic", "rank_ic")}, names FROM daily""")
 def daily_ic(spark, sf):
-    return rounded(ic.daily_ic(C.long(spark, sf)))
+    return rounded(ic.daily_ic(C.long(spark, sf), names=C.names(spark, sf)))
 
 
 CASE_LONG = f"""{V.dense_sql()}""" + C.case_sql(5, 20, 10) + """,
@@ -75,13 +75,13 @@ def ic_summary(spark, sf):
     """Bars, factor, one-step shift, forward return, daily rank IC, summary."""
     frame = V.factor_frame(spark, sf, [C.lib.case_momentum_vol()], shift=1)
     long = ic.labelled(frame, ["case_momentum_vol"], 1, C.dates(spark, sf))
-    return rounded(ic.ic_summary(ic.daily_ic(long)))
+    return rounded(ic.ic_summary(ic.daily_ic(long, names=C.names(spark, sf))))
 
 
 @query("ic_distribution", f"""{C.long_sql()}, {C.daily_sql()}
     SELECT factor, {C.distribution_sql("rank_ic")} FROM daily GROUP BY factor""")
 def ic_distribution(spark, sf):
-    return rounded(ic.ic_distribution(ic.daily_ic(C.long(spark, sf))))
+    return rounded(ic.ic_distribution(ic.daily_ic(C.long(spark, sf), names=C.names(spark, sf))))
 
 
 def layer_sql(part="factor, trade_time"):
@@ -93,7 +93,7 @@ def layer_sql(part="factor, trade_time"):
 @query("decile_layer", f"""{C.long_sql()}, {layer_sql()}
     SELECT factor, trade_time, code, layer FROM layers""")
 def decile_layer(spark, sf):
-    return rounded(ic.decile_layer(C.long(spark, sf)).select("factor", "trade_time", "code", "layer"))
+    return rounded(ic.decile_layer(C.long(spark, sf), names=C.names(spark, sf)).select("factor", "trade_time", "code", "layer"))
 
 
 LAYERED = f"""{layer_sql()}, cut AS (SELECT * FROM layers WHERE layer IS NOT NULL),
@@ -108,7 +108,7 @@ LAYERED = f"""{layer_sql()}, cut AS (SELECT * FROM layers WHERE layer IS NOT NUL
 
 @query("layered_ic", f"""{C.long_sql()}, {LAYERED} SELECT * FROM layered""")
 def layered_ic(spark, sf):
-    return rounded(ic.layered_ic(C.long(spark, sf)))
+    return rounded(ic.layered_ic(C.long(spark, sf), names=C.names(spark, sf)))
 
 
 @query("coverage", C.frame_sql() + " " + " UNION ALL ".join(
@@ -135,7 +135,7 @@ def prediction_ic(spark, sf):
     frame = C.frame(spark, sf)
     label = ic.forward_return(frame, 1, "label", C.dates(spark, sf)).where("label IS NOT NULL")
     pred = frame.select(*P.KEYS, F.col("case_momentum_vol").alias("score"))
-    return rounded(ic.prediction_ic(label.select(*P.KEYS, "label"), pred))
+    return rounded(ic.prediction_ic(label.select(*P.KEYS, "label"), pred, C.names(spark, sf)))
 
 
 def pairs_sql(names, source="frame"):
@@ -148,7 +148,7 @@ def pairs_sql(names, source="frame"):
     )
     return f"""both_rows AS ({parts}),
     both_ranks AS (SELECT l, r, {C.rank_sql('x', 'l, r')} AS rx, {C.rank_sql('y', 'l, r')} AS ry FROM both_rows),
-    pairs AS (SELECT l, r, count(*) AS n, CASE WHEN count(*) >= 2 THEN {C.corr_sql('rx', 'ry')} END AS spearman
+    pairs AS (SELECT l, r, count(*) AS n, CASE WHEN count(*) >= 2 THEN {C.rank_corr_sql('rx', 'ry')} END AS spearman
       FROM both_ranks GROUP BY l, r)"""
 
 
@@ -210,7 +210,7 @@ def layers_in_blocks(spark, sf):
     FROM byfactor JOIN total USING (factor) JOIN cov USING (factor)
     {" ".join(f"JOIN layered l{i} ON l{i}.factor = byfactor.factor AND l{i}.layer_name = 'Decile{i}'" for i in (1, 5, 10))}""")
 def factor_analyze(spark, sf):
-    rec = ic.factor_analyze(C.frame(spark, sf), C.NAMES, dates=C.dates(spark, sf))
+    rec = ic.factor_analyze(C.frame(spark, sf), C.NAMES, dates=C.dates(spark, sf), names=C.names(spark, sf))
     flat = [c for c in rec.columns if c not in ("ic_distribution", "rank_ic_distribution", "deciles")]
     cols = [F.col(c) for c in flat]
     for p in ("ic", "rank_ic"):

@@ -128,7 +128,7 @@ def metrics_sql():
 def _wide(spark, sf):
     """Materialised factor frame and the daily rank IC of each factor."""
     frame = materialize(C.frame(spark, sf))
-    daily = ic.daily_ic(ic.labelled(frame, C.NAMES, 1, C.dates(spark, sf)))
+    daily = ic.daily_ic(ic.labelled(frame, C.NAMES, 1, C.dates(spark, sf)), names=C.names(spark, sf))
     return frame, daily.groupBy("factor").agg(F.avg("rank_ic").alias("ic"))
 
 
@@ -221,7 +221,7 @@ def _scores(frame):
 @query("composite_rank", f"""{C.frame_sql()}, scores AS ({CELLS})
     SELECT factor, code, trade_time, {out(RANK_SQL, "rank")} FROM scores""")
 def composite_rank(spark, sf):
-    ranked = K.composite_rank(_scores(C.frame(spark, sf)))
+    ranked = K.composite_rank(_scores(C.frame(spark, sf)), C.names(spark, sf))
     return rounded(ranked.select("factor", "code", "trade_time", "rank"))
 
 
@@ -240,7 +240,7 @@ def composite_weights(spark, sf):
     SELECT trade_time, code, {out("score", "score")} FROM composite""")
 def composite_score(spark, sf):
     frame, weights = _components(spark, sf)
-    comp = K.composite_score(K.composite_rank(_scores(frame)), K.with_order(weights))
+    comp = K.composite_score(K.composite_rank(_scores(frame), C.names(spark, sf)), K.with_order(weights))
     return rounded(comp.select("trade_time", "code", "score"))
 
 
@@ -252,8 +252,9 @@ def composite_score(spark, sf):
 def composite_build(spark, sf):
     frame, weights = _components(spark, sf)
     weights = materialize(weights)
-    comp = K.composite_score(K.composite_rank(_scores(frame)), K.with_order(weights))
-    ics = K.composite_ic(comp, dates=C.dates(spark, sf)).withColumn("k", F.lit(1))
+    comp = K.composite_score(K.composite_rank(_scores(frame), C.names(spark, sf)), K.with_order(weights))
+    comp = materialize(comp)
+    ics = K.composite_ic(comp, dates=C.dates(spark, sf), names=C.names(spark, sf)).withColumn("k", F.lit(1))
     sizes = comp.agg(F.count("*").alias("score_rows")).withColumn("k", F.lit(1))
     count = weights.agg(F.count("*").alias("component_count")).withColumn("k", F.lit(1))
     return rounded(ics.join(sizes, "k").join(count, "k").drop("k"))
@@ -262,7 +263,7 @@ def composite_build(spark, sf):
 @query("attach_close", f"""{metrics_sql()}, {WEIGHTS}, {composite_sql()} SELECT trade_time, code, close FROM composite""")
 def attach_close(spark, sf):
     frame, weights = _components(spark, sf)
-    comp = K.composite_score(K.composite_rank(_scores(frame)), K.with_order(weights))
+    comp = K.composite_score(K.composite_rank(_scores(frame), C.names(spark, sf)), K.with_order(weights))
     return comp.select("trade_time", "code", "close")
 
 
@@ -358,7 +359,7 @@ def oos_composite(spark, sf):
     )
     scores = P.melt(K.oos_trim(frame, start), ["liq_6", "mom_3"])
     weights = spark.createDataFrame([("liq_6", 0.04, 1), ("mom_3", 0.02, 2)], "factor string, weight double, ord int")
-    comp = K.composite_score(K.composite_rank(scores), weights)
+    comp = K.composite_score(K.composite_rank(scores, C.names(spark, sf)), weights)
     return rounded(comp.select("trade_time", "code", "score"))
 
 

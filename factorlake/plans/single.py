@@ -23,7 +23,7 @@ PAIRS = f"""{MOM}, known AS (SELECT * FROM panel WHERE x IS NOT NULL AND close I
     pairs_ AS (SELECT code, trade_time, x, y, row_number() OVER (PARTITION BY code ORDER BY trade_time) AS no FROM labelled WHERE y IS NOT NULL)"""
 ROLLED = f"""{PAIRS}, joined AS (SELECT a.code, a.no, a.trade_time AS tt, b.x, b.y FROM pairs_ a JOIN pairs_ b ON a.code = b.code AND b.no > a.no - 60 AND b.no <= a.no WHERE a.no >= 60),
     rr AS (SELECT *, {C.rank_sql("x", "code, no")} AS rx, {C.rank_sql("y", "code, no")} AS ry FROM joined),
-    roll AS (SELECT code, no, any_value(tt) AS trade_time, {C.corr_sql("rx", "ry")} AS rank_ic FROM rr GROUP BY 1, 2)"""
+    roll AS (SELECT code, no, any_value(tt) AS trade_time, {C.rank_corr_sql("rx", "ry")} AS rank_ic FROM rr GROUP BY 1, 2)"""
 
 
 def _panel(spark, sf):
@@ -55,7 +55,7 @@ def rolling_rank_ic_chunks(spark, sf):
 
 @query("rank_ic_single", f"""{ROLLED}, per AS (SELECT code, avg(rank_ic) AS m, stddev_samp(rank_ic) AS s, count(rank_ic) AS k FROM roll GROUP BY 1),
     fr AS (SELECT code, {C.rank_sql("x", "code")} AS rx, {C.rank_sql("y", "code")} AS ry FROM pairs_),
-    full_ AS (SELECT code, {C.corr_sql("rx", "ry")} AS r, count(*) AS n FROM fr GROUP BY 1)
+    full_ AS (SELECT code, {C.rank_corr_sql("rx", "ry")} AS r, count(*) AS n FROM fr GROUP BY 1)
     SELECT c.code, {out("CASE WHEN n >= 60 THEN r END", "rank_ic")}, {out("CASE WHEN k >= 2 THEN m END", "ic_mean")}, {out("CASE WHEN k >= 2 THEN s END", "ic_std")},
       {out("CASE WHEN k >= 2 AND s >= 1e-12 THEN m / s END", "icir")} FROM (SELECT DISTINCT code FROM panel) c LEFT JOIN full_ USING (code) LEFT JOIN per USING (code)""")
 def rank_ic_single(spark, sf):
@@ -129,7 +129,7 @@ HORIZONS = (1, 3, 6)
       {", ".join(f"lead(close, {h}) OVER w / nullif(close, 0) - 1 AS r{h}" for h in HORIZONS)} FROM frame WINDOW w AS (PARTITION BY code ORDER BY trade_time)),
     rows_ AS ({" UNION ALL ".join(f"SELECT code, {h} AS horizon, '{n}' AS signal, {n} AS x, r{h} AS y FROM lagged WHERE mom_1 IS NOT NULL AND vol_6 IS NOT NULL AND r{h} IS NOT NULL" for h in HORIZONS for n in ("mom_1", "vol_6"))}),
     rr AS (SELECT *, {C.rank_sql("x", "code, horizon, signal")} AS rx, {C.rank_sql("y", "code, horizon, signal")} AS ry FROM rows_)
-    SELECT code, CAST(horizon AS BIGINT) AS horizon, signal, {out(C.corr_sql("rx", "ry"), "ic")} FROM rr GROUP BY 1, 2, 3""".replace(", ,", ",").replace(",  ,", ","))
+    SELECT code, CAST(horizon AS BIGINT) AS horizon, signal, {out(C.rank_corr_sql("rx", "ry"), "ic")} FROM rr GROUP BY 1, 2, 3""".replace(", ,", ",").replace(",  ,", ","))
 def ic_curve(spark, sf):
     return rounded(R.ic_curve(C.frame(spark, sf).select(*P.KEYS, "close", "mom_1", "vol_6"), ["mom_1", "vol_6"], HORIZONS, C.dates(spark, sf)))
 
