@@ -13,7 +13,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import mean_over_std, nz, safe_corr
+from ..functions.numeric import mean_over_std, nz, rank_corr
 from ..functions.ranks import avg_rank, exact_percentiles, pooled_ranks
 from ..functions.scan import neighbour, numbered
 from .ic import forward_return
@@ -37,19 +37,41 @@ def chunked(df: DataFrame, part: Sequence[str], order: str, back: int, dates: in
     return both.withColumn("_lead", F.col("_chunk") != F.col("_home")).drop("_home")
 
 
-def _window_ranks(x: np.ndarray) -> np.ndarray:
-    less = (x[:, :, None] > x[:, None, :]).sum(-1)
-    ties = (x[:, :, None] == x[:, None, :]).sum(-1)
-    return less + (ties + 1) / 2.0
+def _places(x: np.ndarray, a: int, b: int, n: int) -> np.ndarray:
+    """Twice the rank, less its mean, of rows a to b in each of the n windows that hold them.
 
+    Entry (i, p) is for the window in which row a + i stands at place p. A row is compared once with the n - 1 rows on
+    either side; a running sum of those comparisons gives its rank in every window as one difference.
+    """
+    pad = np.full(n - 1, np.nan)
+    near = sliding_window_view(np.concatenate([pad, x, pad]), 2 * n - 1)[a:b]
+    own = x[a:b, None]
+    run = np.zeros((b - a, 2 * n), dtype=np.int32)
+    np.cumsum(2 * (near < own) + (near == own), axis=1, dtype=np.int32, out=run[:, 1:])
+    # windows of place p hold the rows from n - 1 - p to 2n - 2 - p
+    return (run[:, n:] - run[:, :n])[:, ::-1].astype(np.int64) - n
+
+
+def _window_sums(product: np.ndarray, n: int) -> np.ndarray:
+    """Sums over each window: window s has the entries (s + p, p)."""
+    row, col = product.strides
+    return np.lib.stride_tricks.as_strided(product, (len(product) - n + 1, n), (row, row + col)).sum(axis=1)
 
-def _spearman_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    rx, ry = _window_ranks(x), _window_ranks(y)
-    mid = (x.shape[1] + 1) / 2.0
-    rx, ry = rx - mid, ry - mid
-    down = np.sqrt((rx * rx).sum(1) * (ry * ry).sum(1))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(down > 0, (rx * ry).sum(1) / down, np.nan)
+
+def sliding_spearman(x: np.ndarray, y: np.ndarray, n: int, cells: int = 2_000_000) -> np.ndarray:
+    """Spearman of every n consecutive rows, NaN for a constant side: n comparisons a row, not n x n a window.
+
+    All sums are whole numbers. Rows are taken some at a time, so that `cells` comparisons are held.
+    """
+    out = np.full(max(0, len(x) - n + 1), np.nan)
+    step = max(1, cells // (2 * n))
+    for s in range(0, len(out), step):
+        e = min(len(out), s + step) + n - 1
+        rx, ry = _places(x, s, e, n), _places(y, s, e, n)
+        sxy, sxx, syy = (_window_sums(p, n).astype(float) for p in (rx * ry, rx * rx, ry * ry))
+        down = np.sqrt(sxx) * np.sqrt(syy)
+        np.divide(sxy, down, out=out[s : s + step], where=down > 0)
+    return out
 
 
 def rolling_rank_ic(
@@ -57,23 +79,18 @@ def rolling_rank_ic(
 ) -> DataFrame:
     """Spearman of x and y over the last n rows, for every row that has n.
 
-    A chunk of rows is shipped once; numpy slides over it, a bounded number of windows at a time.
+    A chunk of rows is shipped once; ranks are counted along it, a bounded number of windows at a time.
     """
     rows = chunked(pairs.select(*part, "trade_time", "x", "y"), part, "trade_time", n - 1, dates, segment)
     keep = [*part, "trade_time"]
     types = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", rank_ic double"
-    step = max(1, 4_000_000 // (n * n))
 
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("_no").to_numpy())
         ends = order[n - 1 :]
         x, y = (table.column(c).to_numpy()[order] for c in ("x", "y"))
-        ic = np.empty(len(ends))
-        if len(ends):
-            xs, ys = sliding_window_view(x, n), sliding_window_view(y, n)
-            for a in range(0, len(ends), step):
-                ic[a : a + step] = _spearman_rows(xs[a : a + step], ys[a : a + step])
+        ic = sliding_spearman(x, y, n)
         own = ~table.column("_lead").to_numpy()[ends]
         return table.select(keep).take(pa.array(ends[own])).append_column("rank_ic", pa.array(ic[own]))
 
@@ -99,7 +116,7 @@ def rank_ic_single(
         ranked = rows.withColumns({"rx": avg_rank("x", ["code"]), "ry": avg_rank("y", ["code"])})
     else:
         ranked = pooled_ranks(pooled_ranks(rows, ["code"], "x", "rx"), ["code"], "y", "ry")
-    full = ranked.groupBy("code").agg(safe_corr("rx", "ry").alias("rank_ic"), F.count("*").alias("n"))
+    full = ranked.groupBy("code").agg(rank_corr("rx", "ry").alias("rank_ic"), F.count("*").alias("n"))
     enough, two = F.col("n") >= window, F.col("k") >= 2
     return (
         panel.select("code")
@@ -117,15 +134,17 @@ def rank_ic_single(
 
 
 def rolling_pairs(df: DataFrame, n: int, part: Sequence[str] = ("code",)) -> DataFrame:
-    """Every row number with the rows of its trailing window: y.no in (x.no - n, x.no].
+    """Every row number as `window_no` with the rows of its trailing window: no in (window_no - n, window_no].
 
-    Each row names the windows it is in, at most n, so there is no range join.
-    `df` has (part..., no, ...).
+    A band join: rows are keyed by blocks of n row numbers. A window lies in its own block and the one before, so a
+    row is at home in one block and copied to the next; at most two copies move, whatever n. `df` has (part..., no, ...).
     """
-    size = df.groupBy(*part).agg(F.max("no").alias("_last"))
-    own = df.join(size, list(part))
-    ends = F.sequence(F.col("no"), F.least(F.col("no") + (n - 1), "_last"))
-    return own.withColumn("window_no", F.explode(ends)).drop("_last")
+    keys, block = [*part, "_blk"], F.floor((F.col("no") - 1) / n)
+    ends = df.select(*part, F.col("no").alias("window_no"), block.alias("_blk"))
+    members = df.withColumn("_blk", F.explode(F.array(block, block + 1)))
+    band = (F.col("no") <= F.col("window_no")) & (F.col("no") > F.col("window_no") - n)
+    on = [ends[c].eqNullSafe(members[c]) for c in part] + [ends["_blk"] == members["_blk"], band]
+    return members.join(ends, on).select(*[members[c] for c in df.columns], "window_no")
 
 
 def describe(panel: DataFrame, signal: str, part: Sequence[str] = ("code",)) -> DataFrame:
@@ -222,7 +241,7 @@ def ic_curve(panel: DataFrame, signals: Sequence[str], horizons: Sequence[int],
         ranked = long.withColumns({"rx": avg_rank("x", part), "ry": avg_rank("y", part)})
     else:
         ranked = pooled_ranks(pooled_ranks(long, part, "x", "rx"), part, "y", "ry")
-    return ranked.groupBy(*part).agg(safe_corr("rx", "ry").alias("ic"))
+    return ranked.groupBy(*part).agg(rank_corr("rx", "ry").alias("ic"))
 
 
 def bucket_test(rows: DataFrame, buckets: int = 5, part: Sequence[str] = ("code",), dates: int | None = None) -> DataFrame:
