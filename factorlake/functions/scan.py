@@ -56,6 +56,61 @@ def scan(
     )
 
 
+def path_summary(
+    blocks: DataFrame, part: Sequence[str], order: Sequence, value: str, stop: str | None = None, extra: Mapping | None = None
+) -> DataFrame:
+    """One row per (part, blk) that tells all about a stretch of a path that its neighbours need.
+
+    The path adds up `value`. total: its sum; high, low: the highest and lowest running sum; fall: the deepest one under
+    an earlier high. A row with `stop` ends a streak: rows, first and last stop, and the longest streak between two of them.
+    Summaries are associative (`merged_paths`). `extra` names further aggregates of a block, which add up.
+    """
+    keys = [*part, "blk"]
+    here = Window.partitionBy(*keys).orderBy(*order)
+    upto = here.rowsBetween(Window.unboundedPreceding, 0)
+    rows = blocks.withColumn("_p", F.sum(value).over(upto)).withColumn("_m", F.max("_p").over(upto))
+    cols = [F.sum(value).alias("total"), F.max("_p").alias("high"), F.min("_p").alias("low"), F.min(F.col("_p") - F.col("_m")).alias("fall")]
+    if stop is not None:
+        rows = rows.withColumn("_i", F.row_number().over(here))
+        ends = F.when(F.col(stop), F.col("_i"))
+        rows = rows.withColumn("_streak", F.col("_i") - F.coalesce(F.max(ends).over(upto), F.lit(0)))
+        cols += [F.count("*").alias("rows"), F.min(ends).alias("first_stop"), F.max(ends).alias("last_stop"), F.max("_streak").alias("streak")]
+    return rows.groupBy(*keys).agg(*cols, *[c.alias(n) for n, c in (extra or {}).items()])
+
+
+def path_offsets(summary: DataFrame, part: Sequence[str], start: bool = False) -> DataFrame:
+    """Adds to each block's summary the path's value (`before`) and highest value (`peak_before`) at its beginning.
+
+    With `start` the beginning of the path, 0, counts as a value of it.
+    """
+    earlier = Window.partitionBy(*(list(part) or [F.lit(0)])).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    placed = summary.withColumn("before", F.coalesce(F.sum("total").over(earlier), F.lit(0.0)))
+    peak = F.max(F.col("before") + F.col("high")).over(earlier)
+    return placed.withColumn("peak_before", F.greatest(peak, F.lit(0.0)) if start else peak)
+
+
+def merged_paths(summary: DataFrame, part: Sequence[str], extra: Sequence[str] = (), start: bool = False) -> DataFrame:
+    """The summary of whole paths from those of their blocks: total, high, low, fall and, if there, streak; one row per part."""
+    placed = path_offsets(summary, part, start)
+    fall = F.least("fall", F.col("before") + F.col("low") - F.col("peak_before"))
+    ends = [F.max(F.col("before") + F.col("high")).alias("high"), F.min(F.col("before") + F.col("low")).alias("low"), F.min(fall).alias("fall")]
+    whole = placed.groupBy(*part).agg(F.sum("total").alias("total"), *ends, *[F.sum(c).alias(c) for c in extra])
+    if "streak" not in summary.columns:
+        return whole
+    # a streak over borders: the tail of a block, whole blocks without a stop, the head of the next one with a stop
+    earlier = Window.partitionBy(*(list(part) or [F.lit(0)])).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    stops = F.coalesce(F.sum(F.col("first_stop").isNotNull().cast("bigint")).over(earlier), F.lit(0))
+    head = F.struct(F.col("run"), F.coalesce(F.col("first_stop") - 1, F.col("rows")).cast("bigint").alias("n"))
+    tail = F.struct((F.col("run") + 1).alias("run"), F.coalesce(F.col("rows") - F.col("last_stop"), F.lit(0)).cast("bigint").alias("n"))
+    pieces = summary.withColumn("run", stops).select(*part, F.col("streak").cast("bigint").alias("streak"), F.explode(F.array(head, tail)).alias("_e"))
+    runs = pieces.groupBy(*part, "_e.run").agg(F.sum("_e.n").alias("n"), F.max("streak").alias("streak"))
+    longest = runs.groupBy(*part).agg(F.greatest(F.max("n"), F.max("streak")).alias("streak"))
+    if part:
+        return whole.join(longest, list(part))
+    key = F.lit(1).alias("_k")
+    return whole.select("*", key).join(longest.select("*", key), "_k").drop("_k")
+
+
 def numbered(df: DataFrame, part: Sequence[str], order: Sequence, out: str = "no") -> DataFrame:
     """Row numbers from 1 inside `part`; `order` must be unique there."""
     blocks = cut(df.withColumn("_one", F.lit(1).cast("bigint")), part, order)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nz, spread
-from ..functions.scan import cut, neighbour, scan
+from ..functions.scan import cut, merged_paths, neighbour, path_summary, scan
 from .ic import forward_return
 from .panel import KEYS, SEGMENT
 
@@ -62,25 +62,27 @@ def return_curve(report: DataFrame) -> DataFrame:
 
 def max_drawdown_ratio(df: DataFrame, order: Sequence[str], col: str) -> DataFrame:
     """min of compounded equity over its running peak - 1; the path starts at 1."""
-    cum = compound(df.select(*order, col), [], order, [col]).withColumn("_w", 1 + F.col(f"{col}_cum"))
-    run = scan(cut(cum, [], order), [], order, maxes={"_peak": "_w"})
-    low = F.min(F.try_divide(F.col("_w"), F.greatest(F.col("_peak"), F.lit(1.0))) - 1)
-    return run.agg(F.least(low, F.lit(0.0)).alias("max_drawdown"))
+    log, dead = _log_growth(col)
+    blocks = cut(df.select(*order, log.alias("_l"), dead.alias("_z")), [], order)
+    whole = merged_paths(path_summary(blocks, [], order, "_l", extra={"dead": F.sum("_z")}), [], ["dead"], start=True)
+    # logarithms: the deepest fall is a difference; a wipe-out is a fall to nothing
+    low = F.when(F.max("dead") > 0, -1.0).otherwise(F.least(F.expm1(F.min("fall")), F.lit(0.0)))
+    return whole.agg(low.alias("max_drawdown"))
 
 
 def risk_table(report: DataFrame, periods: float = 238.0) -> DataFrame:
     """mean, std, annualised return, information ratio, max drawdown of the additive curve, per series."""
     long = daily_series(report).unpivot(["datetime"], SERIES, "series", "r")
-    run = scan(cut(long, ["series"], ["datetime"]), ["series"], ["datetime"], sums={"cum": "r"})
-    top = scan(run, ["series"], ["datetime"], maxes={"peak": "cum"})
+    blocks = cut(long, ["series"], ["datetime"])
+    falls = merged_paths(path_summary(blocks, ["series"], ["datetime"], "r"), ["series"])
     mean, std = F.avg("r"), F.stddev_samp("r")
-    return top.groupBy("series").agg(
+    base = blocks.groupBy("series").agg(
         mean.alias("mean"),
         std.alias("std"),
         (mean * periods).alias("annualized_return"),
         (mean / spread(std, mean) * math.sqrt(periods)).alias("information_ratio"),
-        F.min(F.col("cum") - F.col("peak")).alias("max_drawdown"),
     )
+    return base.join(falls.select("series", F.col("fall").alias("max_drawdown")), "series")
 
 
 def sharpe(df: DataFrame, col: str, periods: int = 365, part: Sequence[str] = ()) -> DataFrame:

@@ -6,60 +6,85 @@ of the sorted log, percentiles use value counts, the rest are plain aggregates.
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nz, safe_corr
 from ..functions.ranks import exact_percentiles
-from ..functions.scan import cut, numbered, scan
+from ..functions.scan import cut, merged_paths, numbered, path_offsets, path_summary
 
 ORDER = ("dt_open", "ref")
 HOLDING = {"median": 0.5, "p25": 0.25, "p75": 0.75, "p90": 0.9, "p99": 0.99}
 
 
-def win_columns(pnl: str = "pnlcomm") -> dict[str, Column]:
+def win_sums(pnl: str = "pnlcomm") -> dict[str, Column]:
+    """Sums that the figures of winners and losers are made of; they add up over parts of a log."""
     x = F.col(pnl)
-    win = F.avg(F.coalesce(x > 0, F.lit(False)).cast("double"))
-    aw, al = F.avg(F.when(x > 0, x)), F.avg(F.when(x < 0, x))
-    gain, loss = F.sum(F.when(x > 0, x)), -F.sum(F.when(x < 0, x))
-    ratio = F.abs(F.try_divide(aw, al))
     return {
         "n_trades": F.count("*"),
+        "wins": F.count(F.when(x > 0, 1)),
+        "losses": F.count(F.when(x < 0, 1)),
+        "gain": F.sum(F.when(x > 0, x)),
+        "loss": -F.sum(F.when(x < 0, x)),
+        "liquidated": F.sum(F.coalesce("is_liq", F.lit(0)).cast("bigint")),
+    }
+
+
+def win_figures() -> dict[str, Column]:
+    """Figures from the columns of `win_sums`."""
+    n, gain, loss = F.col("n_trades"), F.col("gain"), F.col("loss")
+    win = F.try_divide(F.col("wins"), n)
+    aw, al = F.try_divide(gain, F.col("wins")), -F.try_divide(loss, F.col("losses"))
+    ratio = F.abs(F.try_divide(aw, al))
+    return {
+        "n_trades": n,
         "win_rate": win,
         "avg_win": aw,
         "avg_loss": al,
         "profit_factor": F.when(loss > 0, F.coalesce(gain, F.lit(0.0)) / loss).otherwise(float("inf")),
         "expectancy": win * aw + (1 - win) * al,
-        "liq_ratio": F.avg(F.coalesce("is_liq", F.lit(0)).cast("double")),
+        "liq_ratio": F.try_divide(F.col("liquidated"), n),
         "kelly": F.coalesce(F.when(ratio > 0, win - F.try_divide(1 - win, ratio)), F.lit(0.0)),
     }
 
 
+def path_blocks(trades: DataFrame, columns: Sequence[str], order: Sequence = ORDER, pnl: str = "pnlcomm") -> DataFrame:
+    """The log cut and stored once, in time order: `columns`, the profit as `_x`, and whether a trade ends a run of losses."""
+    x = F.coalesce(nz(pnl), F.lit(0.0))
+    return cut(trades.select(*columns, x.alias("_x"), (F.coalesce(F.col(pnl), F.lit(0.0)) >= 0).alias("_stop")), [], order)
+
+
 def equity(trades: DataFrame, initial: float = 1.0, order: Sequence = ORDER, pnl: str = "pnlcomm") -> DataFrame:
     """Running equity, its peak and the drawdown, per trade in time order."""
-    blocks = cut(trades.withColumn("_x", F.coalesce(nz(pnl), F.lit(0.0))), [], order)
-    run = scan(blocks, [], order, sums={"equity": "_x"}).withColumn("equity", F.col("equity") + F.lit(float(initial)))
-    peak = scan(run, [], order, maxes={"peak": "equity"})
-    return peak.withColumn("drawdown", F.col("equity") - F.col("peak")).drop("_x", "blk")
+    blocks = path_blocks(trades, trades.columns, order, pnl)
+    starts = path_offsets(path_summary(blocks, [], order, "_x"), []).select("blk", "before", "peak_before")
+    upto = Window.partitionBy("blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    run = blocks.withColumn("_p", F.sum("_x").over(upto)).withColumn("_m", F.max("_p").over(upto)).join(starts, "blk")
+    first = F.lit(float(initial))
+    run = run.withColumn("equity", first + F.col("before") + F.col("_p"))
+    run = run.withColumn("peak", first + F.greatest("peak_before", F.col("before") + F.col("_m")))
+    return run.select(*trades.columns, "equity", "peak", (F.col("equity") - F.col("peak")).alias("drawdown"))
 
 
 def loss_streak(trades: DataFrame, order: Sequence = ORDER, pnl: str = "pnlcomm") -> DataFrame:
-    """Longest run of losing trades: losses between two other trades share a running count."""
-    flag = (F.coalesce(F.col(pnl), F.lit(0.0)) >= 0).cast("bigint")
-    blocks = cut(trades.select(*order, flag.alias("_stop")), [], order)
-    runs = scan(blocks, [], order, sums={"_run": "_stop"}).where("_stop = 0")
-    return runs.groupBy("_run").agg(F.count("*").alias("n")).agg(
-        F.coalesce(F.max("n"), F.lit(0)).cast("bigint").alias("loss_streak")
+    """Longest run of losing trades."""
+    summary = path_summary(path_blocks(trades, order, order, pnl), [], order, "_x", "_stop")
+    return merged_paths(summary, []).agg(F.coalesce(F.max("streak"), F.lit(0)).cast("bigint").alias("loss_streak"))
+
+
+def trade_report(trades: DataFrame, order: Sequence = ORDER) -> DataFrame:
+    """All figures of a log from one cut and one summary per block of it."""
+    sums = win_sums()
+    blocks = path_blocks(trades, [*order, "pnlcomm", "is_liq"], order)
+    whole = merged_paths(path_summary(blocks, [], order, "_x", "_stop", sums), [], list(sums))
+    # one row also for an empty log
+    whole = whole.agg(*[F.sum(c).alias(c) for c in sums], F.min("fall").alias("fall"), F.max("streak").alias("streak"))
+    whole = whole.fillna(0, ["n_trades", "streak"])
+    return whole.select(
+        *[c.alias(n) for n, c in win_figures().items()], F.col("fall").alias("max_drawdown"), F.col("streak").alias("loss_streak")
     )
 
 
-def trade_report(trades: DataFrame, initial: float = 1.0) -> DataFrame:
-    key = F.lit(1).alias("_k")
-    base = trades.agg(*[c.alias(n) for n, c in win_columns().items()]).select("*", key)
-    dd = equity(trades, initial).agg(F.min("drawdown").alias("max_drawdown")).select("*", key)
-    return base.join(dd, "_k").join(loss_streak(trades).select("*", key), "_k").drop("_k")
-
-
 def moments(df: DataFrame, col: str) -> DataFrame:
     """Bias-corrected skewness and excess kurtosis."""
     x = F.col(col)
