@@ -49,7 +49,7 @@ def rank_corr(rx, ry, most: int | None = None) -> Column:
     x, y, n = x.cast(kind), y.cast(kind), F.count(x).cast(kind)
     mean = n * (n + 1) * (n + 1)
     sxy, sxx, syy = ((F.sum(a * b) - mean).cast("double") for a, b in ((x, y), (x, x), (y, y)))
-    return F.when((sxx > 0) & (syy > 0), sxy / (F.sqrt(sxx) * F.sqrt(syy)))
+    return F.when((sxx > 0) & (syy > 0), sxy / F.sqrt(sxx * syy))
 
 
 def rnd(x, digits: int = 6) -> Column:

@@ -69,7 +69,7 @@ def sliding_spearman(x: np.ndarray, y: np.ndarray, n: int, cells: int = 2_000_00
         e = min(len(out), s + step) + n - 1
         rx, ry = _places(x, s, e, n), _places(y, s, e, n)
         sxy, sxx, syy = (_window_sums(p, n).astype(float) for p in (rx * ry, rx * rx, ry * ry))
-        down = np.sqrt(sxx) * np.sqrt(syy)
+        down = np.sqrt(sxx * syy)
         np.divide(sxy, down, out=out[s : s + step], where=down > 0)
     return out
 

@@ -73,7 +73,7 @@ def rank_corr_sql(rx, ry):
     """Correlation of average ranks from whole sums: twice a rank is whole, with a mean of count + 1."""
     x, y, mean = f"CAST(2 * {rx} AS HUGEINT)", f"CAST(2 * {ry} AS HUGEINT)", "CAST(count(*) AS HUGEINT) * (count(*) + 1) * (count(*) + 1)"
     sxy, sxx, syy = (f"CAST(sum({a} * {b}) - {mean} AS DOUBLE)" for a, b in ((x, y), (x, x), (y, y)))
-    return f"CASE WHEN {sxx} > 0 AND {syy} > 0 THEN {sxy} / (sqrt({sxx}) * sqrt({syy})) END"
+    return f"CASE WHEN {sxx} > 0 AND {syy} > 0 THEN {sxy} / sqrt({sxx} * {syy}) END"
 
 
 def daily_sql(part="factor, trade_time", source="long", name="daily") -> str:

@@ -308,6 +308,7 @@ def marginal_gate(spark, sf):
         ranked.where("pos = 1"),
         ranked.where("pos = 2").select("factor"),
         dates=C.dates(spark, sf),
+        names=C.names(spark, sf),
     )
     return rounded(gate)
 
