@@ -3,7 +3,9 @@
 Metrics, reviews and rank correlations of all candidates come from three Spark
 plans up front.  Only the walk itself is sequential, because each candidate is
 judged against the library its predecessors left: the driver holds one small
-row per factor, and runs one composite plan per candidate that reaches the gate.
+row per factor. The library itself is a stored table of sums per cell; a candidate
+that reaches the gate adds its share and takes away those of what it replaces, so
+a step reads the rows of the changed factors and the sums, whatever the library's size.
 """
 
 import json
@@ -24,9 +26,11 @@ SCHEMA = """attempt int, factor string, ic double, status string, reason string,
  replaced array<string>, blocking array<string>, baseline_rank_ic double, with_candidate_rank_ic double"""
 
 
-def reviewed(frame: DataFrame, factors: Sequence[str], horizon: int = 1, dates: int | None = None) -> DataFrame:
+def reviewed(
+    frame: DataFrame, factors: Sequence[str], horizon: int = 1, dates: int | None = None, names: int | None = None
+) -> DataFrame:
     """One metric row per factor with its review verdict."""
-    record = ic.factor_analyze(frame, factors, horizon, dates)
+    record = ic.factor_analyze(frame, factors, horizon, dates, names)
     flat = record.select(
         "factor",
         F.lit(True).alias("runs_ok"),
@@ -58,9 +62,9 @@ def admit_candidates(
     spark = frame.sparkSession
     names = [*accepted, *[c for c in candidates if c not in accepted]]
     frame = materialize(frame.select(*KEYS, "close", *names))
-    scores, most = melt(frame, names), ic.largest(frame, ["trade_time"])
-    ranked = materialize(C.composite_rank(scores, most))
-    records = {r["factor"]: r for r in reviewed(frame, names, horizon, dates).collect()}
+    most = ic.largest(frame, ["trade_time"])
+    ranked = C.stored_ranks(melt(frame, names), most)
+    records = {r["factor"]: r for r in reviewed(frame, names, horizon, dates, most).collect()}
     near: dict = {}
     pairs = corr.spearman_matrix(frame, names)
     for r in pairs.where(F.abs("spearman") >= corr.LIBRARY_DUPLICATE).collect():
@@ -68,6 +72,11 @@ def admit_candidates(
         near.setdefault(r["right"], {})[r["left"]] = r["spearman"]
     value = lambda n: records[n]["ic"]
     library = [n for n in accepted]
+    weight = lambda n: float(value(n) or 0.0)
+    members = lambda: [m for m in library if weight(m) > decide.FAST_SCREEN]
+    table = spark.createDataFrame([(m, weight(m)) for m in members()], "factor string, weight double")
+    sums = materialize(C.composite_sums(ranked, table))
+    library_ic = C.composite_ic(C.composite_of(sums), (), horizon, dates, most).first()["rank_ic"]
     walk = sorted(candidates, key=lambda n: (value(n) is None, -(value(n) or 0.0), n))
     rows = []
     for attempt, name in enumerate(walk, 1):
@@ -81,16 +90,14 @@ def admit_candidates(
         if value(name) is None or value(name) <= decide.FAST_SCREEN:
             reason = "rank_ic_fast_screen_failed"
         elif own["verdict"] == "accepted" and not blocking:
-            members = [m for m in library if (value(m) or 0.0) > decide.FAST_SCREEN]
-            table = lambda ns: spark.createDataFrame(
-                [(n, float(value(n) or 0.0)) for n in ns], "factor string, weight double"
-            )
-            gate = C.marginal_gate(
-                scores, table(members), table([name]), table(replaced), min_delta, horizon, dates, most, ranked
-            ).first()
+            # what it replaces goes, and its own old row
+            gone = [m for m in members() if m in replaced or m == name]
+            change = [(name, weight(name), 1), *[(m, weight(m), -1) for m in gone]]
+            after, gate = C.judged_change(sums, library_ic, len(members()), ranked, change, min_delta, horizon, dates, most)
             status, reason = ("accepted", "") if gate["passed"] else ("rejected", "marginal_contribution_gate_failed")
         if status == "accepted":
             library = [m for m in library if m not in replaced and m != name] + [name]
+            sums, library_ic = after, gate["with_candidate_rank_ic"]
             if store is not None:
                 archived = {m: {"replaced_factor_ic": value(m), "spearman": near[name][m]} for m in replaced}
                 _record(spark, store, own, gate, archived, {"horizon": horizon} | (record or {}))
@@ -114,7 +121,7 @@ def admit_candidates(
 def _record(spark, store, own, gate, archived: dict, fields: dict) -> None:
     """The accepted factor with its metrics and review, and an archive event for each factor that it replaces."""
     metrics = {k: v for k, v in own.asDict(recursive=True).items() if k not in ("factor", "verdict", "failed_checks")}
-    review = {"verdict": own["verdict"], "failed_checks": own["failed_checks"], "marginal_gate": gate and gate.asDict()}
+    review = {"verdict": own["verdict"], "failed_checks": own["failed_checks"], "marginal_gate": gate}
     row = {"name": own["factor"], "ic": own["ic"], "status": "accepted", "metrics": json.dumps(metrics), **fields}
     schema = ", ".join(f"{k} {TYPES.get(k, 'string')}" for k in row)
     store.save(spark.createDataFrame([tuple(row.values())], schema), overwrite=True)

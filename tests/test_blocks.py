@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorlake.functions.ranks import exact_percentiles, ordered_blocks, pooled_ranks, row_ranks
-from factorlake.functions.scan import asof_backward, cut, neighbour, numbered, scan
-from factorlake.operators import corr, fold, ic, paths, research
+from factorlake.functions.numeric import rank_corr
+from factorlake.functions.scan import asof_backward, cut, merged_paths, neighbour, numbered, path_summary, scan
+from factorlake.operators import composite, corr, fold, ic, paths, research, trades
 from factorlake.operators import ledger as G
 
 
@@ -210,3 +211,170 @@ def test_rolling_rank_ic_with_ties(spark):
     got = research.rolling_rank_ic(spark.createDataFrame(pdf), 20, dates=n).toPandas().sort_values("trade_time")["rank_ic"]
     want = [pdf["x"][i - 20 : i].rank().corr(pdf["y"][i - 20 : i].rank()) for i in range(20, n + 1)]
     np.testing.assert_allclose(got, want)
+
+
+def path_of(x):
+    """total, high, low, deepest fall and longest run of losses of a path."""
+    p = np.cumsum(x)
+    streak = best = 0
+    for v in x:
+        streak = streak + 1 if v < 0 else 0
+        best = max(best, streak)
+    return p[-1], p.max(), p.min(), (p - np.maximum.accumulate(p)).min(), best
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 7, 40])
+def test_path_summary_merges_over_any_cut(spark, blocks):
+    """Blocks of losses only, blocks without a loss, runs over many borders."""
+    rng = np.random.default_rng(blocks)
+    series = {"mixed": rng.normal(size=160), "losses": -rng.random(90), "gains": rng.random(50), "long": np.r_[rng.random(30), -rng.random(100), rng.random(9)], "one": np.array([-1.0])}
+    pdf = pd.DataFrame([(g, i, float(v), v >= 0) for g, x in series.items() for i, v in enumerate(x)], columns=["g", "i", "x", "stop"])
+    stored = ordered_blocks(spark.createDataFrame(pdf), ["g", "i"], blocks)
+    summary = path_summary(stored, ["g"], ["i"], "x", "stop", {"n": F.count("*")})
+    got = {r["g"]: r for r in merged_paths(summary, ["g"], ["n"]).collect()}
+    for g, x in series.items():
+        row = got[g]
+        np.testing.assert_allclose([row["total"], row["high"], row["low"], row["fall"], row["streak"]], path_of(x), atol=1e-9)
+        assert row["n"] == len(x)
+    start = merged_paths(path_summary(stored, ["g"], ["i"], "x"), ["g"], start=True).collect()
+    for r in start:
+        assert r["fall"] == pytest.approx(path_of(np.r_[0.0, series[r["g"]]])[3])
+
+
+def test_trade_report_and_equity(spark):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=300), 2)
+    x[40:70] = -1.0
+    pdf = pd.DataFrame({"dt_open": np.arange(300) // 3, "ref": np.arange(300), "pnlcomm": x, "is_liq": (np.arange(300) % 50 == 0).astype(int)})
+    df = spark.createDataFrame(pdf)
+    row = trades.trade_report(df).first()
+    total, high, low, fall, streak = path_of(x)
+    assert (row["n_trades"], row["loss_streak"]) == (300, streak) and streak >= 30
+    assert row["max_drawdown"] == pytest.approx(fall) and row["win_rate"] == pytest.approx((x > 0).mean()) and row["liq_ratio"] == pytest.approx(6 / 300)
+    assert row["avg_loss"] == pytest.approx(x[x < 0].mean()) and row["profit_factor"] == pytest.approx(x[x > 0].sum() / -x[x < 0].sum())
+    got = trades.equity(df, 100.0).toPandas().sort_values("ref")
+    np.testing.assert_allclose(got["equity"], 100 + np.cumsum(x))
+    np.testing.assert_allclose(got["peak"], np.maximum.accumulate(100 + np.cumsum(x)))
+    none = trades.trade_report(df.limit(0)).first()
+    assert (none["n_trades"], none["loss_streak"], none["max_drawdown"]) == (0, 0, None) and trades.loss_streak(df.limit(0)).first()[0] == 0
+    nulls = spark.createDataFrame([(1, 1, None, 0), (2, 2, -1.0, 0), (3, 3, None, 1)], "dt_open int, ref int, pnlcomm double, is_liq int")
+    assert trades.trade_report(nulls).first()["loss_streak"] == 1
+
+
+@pytest.mark.parametrize("r", [[0.1, -0.2, 0.05, -0.4, 0.9], [-0.3, 0.1], [0.2, 0.1], [0.5, -1.0, 3.0], [-2.0]])
+def test_max_drawdown_ratio(spark, r):
+    w = np.cumprod(1 + np.array(r))
+    if min(r) <= -1:
+        w[int(np.argmax(np.array(r) <= -1)) :] = 0.0
+    want = min(0.0, (w / np.maximum(1, np.maximum.accumulate(w)) - 1).min())
+    df = spark.createDataFrame(list(enumerate(r)), "d int, r double")
+    assert paths.max_drawdown_ratio(df, ["d"], "r").first()[0] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 40])
+def test_sliding_spearman_equals_every_window(n):
+    rng = np.random.default_rng(n)
+    x, y = rng.integers(0, 4, 120) * 1.0, np.round(rng.normal(size=120), 1)
+    y[30:80] = 2.0
+    got = research.sliding_spearman(x, y, n, cells=300)
+    want = [pd.Series(x[i - n : i]).rank().corr(pd.Series(y[i - n : i]).rank()) for i in range(n, 121)]
+    np.testing.assert_allclose(got, want, atol=1e-12)
+    assert len(research.sliding_spearman(x[: n - 1], y[: n - 1], n)) == 0
+    assert all(v == 0 for v, w in zip(got, want) if abs(w) < 1e-14), "no relation is exactly 0"
+
+
+def test_rolling_rank_ic_over_long_windows(spark):
+    """A window of 1,000 rows, over chunks."""
+    rng = np.random.default_rng(6)
+    n, k = 2600, 1000
+    pdf = pd.DataFrame({"code": "a", "trade_time": pd.date_range("2024-01-01", periods=n, freq="h"), "x": rng.normal(size=n), "y": rng.integers(0, 9, n) * 1.0})
+    got = research.rolling_rank_ic(spark.createDataFrame(pdf), k, dates=None, segment=1200).toPandas().sort_values("trade_time")["rank_ic"].to_numpy()
+    assert len(got) == n - k + 1
+    for i in (0, 1, 777, n - k):
+        part = pdf[i : i + k]
+        assert got[i] == pytest.approx(part["x"].rank().corr(part["y"].rank()), abs=1e-12)
+
+
+@pytest.mark.parametrize("n", [1, 3, 60])
+def test_rolling_pairs_is_a_band_join(spark, n):
+    pdf = pd.DataFrame([(c, i, float(i * i)) for c, size in (("a", 100), ("b", 2), (None, 7)) for i in range(1, size + 1)], columns=["code", "no", "x"])
+    df = spark.createDataFrame(pdf, "code string, no long, x double")
+    got = sorted(((r.code or "", r.window_no, r.no, r.x) for r in research.rolling_pairs(df, n).collect()))
+    want = sorted((a.code or "", a.no, b.no, b.x) for a in pdf.itertuples() for b in pdf.itertuples() if (a.code or "") == (b.code or "") and a.no - n < b.no <= a.no)
+    assert got == want
+
+
+def test_rank_corr_is_exact(spark):
+    rows = [("zero", 1.0, 2.0), ("zero", 2.0, 4.0), ("zero", 3.0, 1.0), ("zero", 4.0, 3.0), ("flat", 1.5, 1.0), ("flat", 1.5, 2.0), ("one", 1.0, 1.0), ("same", 1.5, 1.5), ("same", 1.5, 1.5), ("same", 3.0, 3.0)]
+    df = spark.createDataFrame(rows, "g string, rx double, ry double")
+    for most in (None, 10):
+        got = dict(df.groupBy("g").agg(rank_corr("rx", "ry", most)).collect())
+        assert got == {"zero": 0.0, "flat": None, "one": None, "same": 1.0}
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_factor_analyze_does_not_depend_on_partitions(spark, parts):
+    """The same record to the last bit, however rows are dealt."""
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame([(t, str(c), 10.0 + rng.random()) for t in pd.date_range("2024-01-01", periods=25) for c in range(12)], columns=["trade_time", "code", "close"])
+    pdf["f"], pdf["g"] = rng.integers(0, 4, len(pdf)) * 1.0, rng.normal(size=len(pdf))
+    df = spark.createDataFrame(pdf)
+    fields = ["daily_ic_mean", "rank_ic", "daily_rank_ic_mean", "rank_ic_distribution.zero_rate", "rank_ic_distribution.negative_rate", "ic_distribution.positive_rate"]
+    want = sorted(ic.factor_analyze(df.repartition(5), ["f", "g"], dates=25).select("factor", *fields).collect())
+    got = sorted(ic.factor_analyze(df.repartition(parts, "close"), ["f", "g"], dates=25).select("factor", *fields).collect())
+    assert [tuple(r)[4:] for r in got] == [tuple(r)[4:] for r in want]
+    for a, b in zip(got, want):
+        assert tuple(a)[1:4] == pytest.approx(tuple(b)[1:4], abs=1e-12)
+    by_hand = pdf.assign(y=pdf.groupby("code")["close"].shift(-1) / pdf["close"] - 1).dropna().groupby("trade_time").apply(lambda d: np.cov(d["f"].rank(), d["y"].rank())[0, 1])
+    assert got[0][4] == pytest.approx((by_hand.abs() < 1e-12).mean())
+
+
+def library_panel(spark, factors=6, seed=11):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for t in pd.date_range("2024-01-01", periods=12):
+        for c in range(9):
+            close = float(10 + rng.random())
+            for f in range(factors):
+                # some cells have one factor only
+                if rng.random() < 0.8 and not (c == 8 and f != 2):
+                    rows.append((f"f{f}", t.to_pydatetime(), str(c), float(rng.integers(0, 7)), close))
+    return spark.createDataFrame(rows, "factor string, trade_time timestamp_ntz, code string, score double, close double")
+
+
+def test_composite_change_equals_a_new_library(spark):
+    """Factors come and go one after another: the sums are those of a library built from nothing, to the last bit."""
+    scores = library_panel(spark)
+    ranked = composite.stored_ranks(scores, 9)
+    table = lambda ws: spark.createDataFrame(list(ws.items()), "factor string, weight double")
+    library = {"f0": 0.031, "f1": -0.2, "f2": 0.11}
+    sums = composite.composite_sums(ranked, table(library))
+    for come, go in (({"f3": 0.07}, []), ({"f4": 0.3}, ["f2"]), ({"f2": 0.9, "f5": 0.013}, ["f0", "f1"]), ({}, ["f3", "f4"])):
+        change = [(f, w, 1) for f, w in come.items()] + [(f, library[f], -1) for f in go]
+        sums = composite.composite_change(sums, ranked, spark.createDataFrame(change, "factor string, weight double, sign int"))
+        library = {f: w for f, w in library.items() if f not in go} | come
+        rows = lambda df: sorted(map(str, df.select("trade_time", "code", "top", "bottom", "members", "close").collect()))
+        assert rows(sums) == rows(composite.composite_sums(ranked, table(library)))
+        plain = composite.composite_score(ranked, composite.with_order(table(library))).toPandas().sort_values(["trade_time", "code"])
+        got = composite.composite_of(sums).toPandas().sort_values(["trade_time", "code"])
+        np.testing.assert_allclose(got["score"], plain["score"], atol=1e-12)
+        assert (got["close"].to_numpy() == plain["close"].to_numpy()).all() and len(got) == len(plain)
+
+
+def test_judged_change_reads_the_changed_factors_only(spark):
+    scores = library_panel(spark, factors=9)
+    ranked = composite.stored_ranks(scores, 9)
+    table = lambda ws: spark.createDataFrame(ws, "factor string, weight double")
+    base = [(f"f{i}", 0.05 + i / 100) for i in range(7)]
+    sums = composite.composite_sums(ranked, table(base))
+    before = composite.composite_ic(composite.composite_of(sums), (), 1, 12, 9).first()["rank_ic"]
+    change = [("f8", 0.4, 1), ("f3", 0.08, -1)]
+    after, gate = composite.judged_change(sums, before, 7, ranked, change, dates=12, names=9)
+    full = composite.marginal_gate(scores, table(base), table([("f8", 0.4)]), table([("f3", 0.0)]), dates=12, names=9).first().asDict()
+    assert gate.keys() == full.keys() and gate["with_candidate_count"] == 7
+    for k, v in full.items():
+        assert gate[k] == (pytest.approx(v, abs=1e-12) if isinstance(v, float) else v)
+    plan = ranked.where(F.col("factor").isin(["f8", "f3"]))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(factor" in plan
+    empty = composite.composite_sums(ranked, table([]))
+    assert composite.judged_change(empty, None, 0, ranked, [("f1", 0.2, 1)], dates=12, names=9)[1]["verdict"] == "skipped"
