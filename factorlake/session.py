@@ -39,6 +39,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Deletes the stored table that `materialize` gave, once nothing reads it any more."""
+    names = {p.rsplit("/", 2)[1] for p in df.inputFiles()}
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for path in [p for p in WRITTEN if p.rsplit("/", 1)[1] in names]:
+        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        WRITTEN.remove(path)
+
+
 def drop_tables(spark: SparkSession) -> int:
     """Deletes the intermediate tables of this process, at the end of a run; results read from them must be stored before."""
     jvm, count = spark.sparkContext._jvm, 0
