@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, small
+from . import buckets
 from .common import texts, tuned
 
 LONGEST = 4
@@ -39,8 +40,8 @@ FOLDED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdef
 BREAK = re.compile(rb"[ \t\n]")
 #: Tokens that a task counts at once, and bytes of a text that are cut into words at once.
 TOKENS, SLICE = 1_000_000, 1 << 20
-#: Bits of the filter at least and at most (64 MB), and buckets of it that a task adds up at once.
-LEAST_BITS, BITS, SHARD = 16, 29, 18
+#: Bits of the filter at least and at most (64 MB), as powers of two.
+LEAST_BITS, BITS = 16, 29
 MIX, STEP = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -128,57 +129,14 @@ def tokenised(batches):
         yield now
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Little-endian numbers, byte by byte: sorted numbers compress well so."""
-    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
-
-
-def unplanes(raw: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
 def often_bits(docs: DataFrame, bits: int, least: int) -> np.ndarray:
     """One bit for each bucket: whether its beginnings of windows occur `least` times together."""
-    width = min(bits, SHARD)
 
     def count(batches):
         for t in tokenised(batches):
-            down = np.uint64(64 - bits)
-            bucket, n = np.unique(np.concatenate([(key[inside] >> down).astype(np.uint32) for key, inside in t.closed()[2]]), return_counts=True)
-            n = np.minimum(n, min(least, 255)).astype(np.uint8)
-            shard = bucket >> np.uint32(width)
-            cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
-            inner = (bucket & np.uint32((1 << width) - 1)).astype("<u4")
-            for k in range(0, len(cuts) - 1, 200):
-                spans = list(zip(cuts[k:], cuts[k + 1 : k + 201], strict=False))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard[[i for i, _ in spans]].astype(np.int32)), pa.array([planes(inner[i:j]) for i, j in spans]), pa.array([n[i:j].tobytes() for i, j in spans])],
-                    names=["shard", "buckets", "counts"],
-                )
-
-    def add(batches):
-        now, total = None, None
-        for b in batches:
-            for shard, buckets, counts in zip(*(b.column(c).to_pylist() for c in ("shard", "buckets", "counts")), strict=True):
-                if shard != now:
-                    if now is not None:
-                        yield summed(now, total)
-                    now, total = shard, np.zeros(1 << width, dtype=np.int64)
-                total[unplanes(buckets, "<u4")] += np.frombuffer(counts, dtype=np.uint8)
-        if now is not None:
-            yield summed(now, total)
-
-    def summed(shard, total):
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([np.packbits(total >= min(least, 255)).tobytes()])], names=["shard", "bits"])
-
-    sent = docs.mapInArrow(count, "shard int, buckets binary, counts binary")
-    sent = sent.repartition("shard").sortWithinPartitions("shard")
-    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    part = 1 << (width - 3)
-    for row in sent.mapInArrow(add, "shard int, bits binary").collect():
-        out[row["shard"] * part : (row["shard"] + 1) * part] = np.frombuffer(row["bits"], dtype=np.uint8)
-    return out
+            yield from buckets.sent([key[inside] for key, inside in t.closed()[2]], bits, least)
+
+    return buckets.often(docs.mapInArrow(count, buckets.SCHEMA), bits, least)
 
 
 def grouped(columns: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -200,17 +158,12 @@ def windows(docs: DataFrame, bits: int, often: np.ndarray) -> DataFrame:
 
     def run(batches):
         flags = np.frombuffer(shipped.value, dtype=np.uint8)
-
-        def known(key):
-            at = (key >> np.uint64(64 - bits)).astype(np.int64)
-            return (flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
-
         for t in tokenised(batches):
             code, lang, heads = t.closed()
             columns, often = [], None
             for k, (key, inside) in enumerate(heads):
                 # the beginning without its first word occurs as often at least
-                often = known(key) & inside & (True if often is None else often & np.roll(often, -1))
+                often = buckets.has(flags, key, bits) & inside & (True if often is None else often & np.roll(often, -1))
                 columns.append(np.where(often, np.roll(code, -k), -1))
             del heads, key, inside
             first, n = grouped([lang, *(c + 1 for c in columns)], [len(t.langs), *[len(t.words) + 1] * LONGEST])

@@ -22,8 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, small
-from .common import list_array, ship, texts, tuned
+from ..session import drop_table, materialize, small
+from . import buckets
+from .common import fresh, list_array, ship, texts, tuned
 from .components import components, forest, strongest_at
 
 SEED = 42
@@ -240,8 +241,9 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: in
 
 #: The near-duplicate stage: words in a shingle, and similarity from which texts are near-duplicates.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Texts looked at for common shingles, times one must occur in them, and the most that are told apart. These steer only the work.
-LOOKED_AT, COMMON, MOST_COMMON = 20_000, 8, 200_000
+#: One text in so many is looked at for common shingles, times one must occur in them, and bits of the
+#: filter at least and at most (32 MB), as powers of two. These steer only the work.
+LOOKED_AT, COMMON, LEAST_BITS, MOST_BITS = 4, 4, 12, 28
 #: Parities by which pairs are ruled out, a multiple of 8.
 PARITIES = 1024
 #: Rounds that test the strongest candidates only, before all that are left are tested.
@@ -263,19 +265,31 @@ def parities(found: np.ndarray) -> bytes:
     return np.packbits(np.bincount((found & (PARITIES - 1)), minlength=PARITIES) & 1).tobytes()
 
 
-def common_shingles(df: DataFrame, key: str, text: str, size: int) -> np.ndarray:
-    """Shingles that many texts of a sample have, in order."""
-    n = df.count()
-    sample = df.where(F.pmod(F.xxhash64(key), F.lit(max(1, n // LOOKED_AT))) == 0)
+def common_shingles(df: DataFrame, key: str, text: str, size: int) -> tuple[np.ndarray, int]:
+    """Bits of the buckets whose shingles many texts have, and their number as a power of two.
+
+    One text in `LOOKED_AT` is counted whatever the size of the table, so that a shingle of some 16 texts is common. Only
+    where their shingles are more than the bits is it one in more.
+    """
+    chars = df.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0
+    shingles = chars // 6
+    share = max(LOOKED_AT, -(-shingles >> MOST_BITS))
+    bits = min(max(LEAST_BITS, int(shingles // share).bit_length()), MOST_BITS)
+    sample = df.where(F.pmod(F.xxhash64(key), F.lit(share)) == 0)
 
     def run(batches):
+        some, n = [], 0
         for b in batches:
-            found = [np.empty(0, np.int64), *[distinct_shingles(t, size) for t in texts(b.column(0))]]
-            yield pa.RecordBatch.from_pydict({"shingle": np.concatenate(found)})
+            for t in texts(b.column(0)):
+                some.append(distinct_shingles(t, size).view(np.uint64))
+                n += len(some[-1])
+                if n >= AT_ONCE:
+                    yield from buckets.sent(some, bits, COMMON)
+                    some, n = [], 0
+        if n:
+            yield from buckets.sent(some, bits, COMMON)
 
-    counts = sample.select(text).mapInArrow(run, "shingle long").groupBy("shingle").count().where(F.col("count") >= COMMON)
-    counts = counts.orderBy(F.col("count").desc(), "shingle").limit(MOST_COMMON)
-    return np.sort(np.array([r[0] for r in counts.select("shingle").collect()], dtype=np.int64))
+    return buckets.often(sample.select(text).mapInArrow(run, buckets.SCHEMA), bits, COMMON), bits
 
 
 def prefixed(df: DataFrame, key: str, text: str, size: int, similarity: float) -> DataFrame:
@@ -287,7 +301,7 @@ def prefixed(df: DataFrame, key: str, text: str, size: int, similarity: float) -
     common = ship(df.sparkSession, common_shingles(df, key, text, size))
 
     def run(batches):
-        last = common()
+        flags, bits = common()
         for b in batches:
             cls, n, sig, odd, keys = [], [], [], [], [np.empty(0, np.int64)]
             for t in texts(b.column(1)):
@@ -296,9 +310,8 @@ def prefixed(df: DataFrame, key: str, text: str, size: int, similarity: float) -
                 n.append(len(found))
                 sig.append(fingerprint(found))
                 odd.append(parities(found))
-                if len(last):
-                    late = last[np.minimum(np.searchsorted(last, found), len(last) - 1)] == found
-                    found = np.concatenate([found[~late], found[late]])
+                late = buckets.has(flags, found.view(np.uint64), bits)
+                found = np.concatenate([found[~late], found[late]])
                 keys.append(found[: len(found) - least_shared(len(found), similarity) + 1])
             numbers = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (cls, sig)]
             lists = list_array(np.concatenate(keys), [len(k) for k in keys[1:]], pa.int64())
@@ -415,7 +428,10 @@ def verified(pairs: DataFrame, classes: DataFrame, df: DataFrame, key: str, text
     one, two = (sets.select(F.col("cls").alias(f"cls_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab")
     both = pairs.join(one, F.col("a") == F.col("cls_a")).join(two, F.col("b") == F.col("cls_b"))
     shared = F.size(F.array_intersect("s_a", "s_b"))
-    return both.select("a", "b", (shared >= similarity * (F.size("s_a") + F.size("s_b") - shared)).alias("good"))
+    both = materialize(both.select("a", "b", (shared >= similarity * (F.size("s_a") + F.size("s_b") - shared)).alias("good")))
+    drop_table(sets)
+    drop_table(ends)
+    return both
 
 
 def linked(rows: DataFrame, classes: DataFrame, df: DataFrame, key: str, text: str, size: int, similarity: float) -> DataFrame:
@@ -427,13 +443,12 @@ def linked(rows: DataFrame, classes: DataFrame, df: DataFrame, key: str, text: s
     roots = tested = None
     rounds, whole = 0, False
     while True:
+        # keys whose texts are all in one component give no pair; rows are only read, never stored anew
         if roots is None:
             here = rows.withColumn("comp", F.col("cls"))
         else:
-            here = rows.join(roots, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cls")).drop("node", "root")
-            here = materialize(here)
-            open_keys = here.groupBy("anchor").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-            here = here.join(open_keys.select(F.col("anchor").alias("open")), F.col("anchor") == F.col("open"), "left_semi")
+            here = rows.join(small(roots, roots.count()), F.col("cls") == F.col("node"), "left")
+            here = here.withColumn("comp", F.coalesce("root", "cls")).drop("node", "root")
         pairs = candidates(here, similarity, whole)
         if tested is not None:
             done = tested.select(F.col("a").alias("done_a"), F.col("b").alias("done_b"))
@@ -441,7 +456,7 @@ def linked(rows: DataFrame, classes: DataFrame, df: DataFrame, key: str, text: s
         pairs = materialize(possible(pairs, classes, similarity))
         passed = 0
         if not pairs.isEmpty():
-            now = materialize(verified(pairs, classes, df, key, text, size, similarity))
+            now = verified(pairs, classes, df, key, text, size, similarity)
             passed = now.where("good").count()
             tested = now if tested is None else tested.unionByName(now)
         if passed or roots is None:
@@ -463,6 +478,7 @@ def same_text_groups(df: DataFrame, key: str = "doc_id", text: str = "text", siz
     rows = materialize(meetings(prints.groupBy("cls").agg(*firsts), similarity))
     classes = materialize(prints.groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("odd").alias("odd")))
     roots = linked(rows, classes, df, key, text, size, similarity)
+    drop_table(rows)
     member = classes.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
     member = materialize(member.select("cls", "root", "rep"))
     least = member.groupBy("root").agg(F.min("rep").alias("component"))
@@ -475,6 +491,6 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     Rows of one id are one document; rows with a null id stay.
     """
-    groups = same_text_groups(df, key, text)
-    gone = materialize(groups.groupBy(F.col("id").alias("gone")).agg(F.min("component").alias("c")).where("c < gone").select("gone"))
-    return df.join(gone, F.col(key) == F.col("gone"), "left_anti")
+    groups, name = same_text_groups(df.select(key, text), key, text), fresh(df, "gone")
+    gone = groups.groupBy("id").agg(F.min("component").alias("c")).where("c < id").select(F.col("id").alias(name))
+    return df.join(materialize(gone), F.col(key) == F.col(name), "left_anti")

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from factorlake.llm import buckets
 from factorlake.llm import phrases as P
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -96,7 +97,7 @@ def test_texts_in_parts(monkeypatch):
 
 def test_planes():
     x = np.array([0, 1, 70000, 1 << 20], dtype="<u4")
-    assert P.unplanes(P.planes(x), "<u4").tolist() == x.tolist()
+    assert buckets.unplanes(buckets.planes(x), "<u4").tolist() == x.tolist()
 
 
 def test_large_keys_are_grouped():

@@ -217,3 +217,24 @@ def test_parities_rule_out_no_similar_pair(spark):
     left = {tuple(r) for r in S.possible(spark.createDataFrame(pairs, "a long, b long"), classes, 0.8).collect()}
     similar = {(a, b) for a, b in pairs if len(sets[b]) >= 0.8 * len(sets[a]) and b == a + 1}
     assert similar <= left and len(left) < len(pairs)
+
+
+def test_stage_with_clashing_columns(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, words, 1, "a", 2, 3, 4, 0), (7, words + " more", 1, "b", 2, 3, 4, 0), (9, "other " * 20, 1, "c", 2, 3, 4, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone int, rep string, node int, root int, cls int, id int")
+    out = S.deduplicated(df)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [5, 9]
+
+
+def test_common_shingles_come_last(spark):
+    """A passage of many texts is common, whatever the size of the table."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [(i, f"{passage} " + " ".join(f"x{i}y{j}" for j in range(40))) for i in range(200)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    flags, bits = S.common_shingles(df, "doc_id", "text", 5)
+    shared, own = S.distinct_shingles(passage.encode(), 5), S.distinct_shingles(" ".join(f"x7y{j}" for j in range(40)).encode(), 5)
+    late = lambda x: S.buckets.has(flags, x.view(np.uint64), bits)
+    assert late(shared).all() and late(own).mean() < 0.5
+    keys = S.prefixed(df, "doc_id", "text", 5, 0.8)
+    assert keys.selectExpr("explode(keys) AS k").where(F.col("k").isin([int(x) for x in shared])).count() == 0
