@@ -19,7 +19,7 @@ equal ids share a component only where their fingerprints do; the id stands for
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import drop_table, materialize, small
@@ -178,6 +178,7 @@ def met(rows: DataFrame, limit: int, pairs, found, schema: str) -> DataFrame:
 
     Rows stream through a task in order of anchors, homes first: a block of them is held, and the homes of its last anchor.
     """
+    names = [c.split()[0] for c in schema.split(", ")]
     rows = split_hot(rows, limit)
     rows = rows.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "role")
 
@@ -201,7 +202,7 @@ def met(rows: DataFrame, limit: int, pairs, found, schema: str) -> DataFrame:
             anchor, part = now["anchor"], now["part"]
             group = np.cumsum(np.r_[0, (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])])
             for out in found(now, pairs(now, group)):
-                yield pa.RecordBatch.from_pydict(dict(zip(("a", "b"), out, strict=True)))
+                yield pa.RecordBatch.from_pydict(dict(zip(names, out, strict=True)))
             last = (group == group[-1]) & (now["role"] == 0)
             left = {c: v[last] for c, v in now.items()} if last.any() else None
 
@@ -248,6 +249,8 @@ LOOKED_AT, COMMON, LEAST_BITS, MOST_BITS = 4, 4, 12, 28
 PARITIES = 1024
 #: Rounds that test the strongest candidates only, before all that are left are tested.
 FOREST_ROUNDS = 3
+#: Candidates that a set takes in such a round.
+NEAREST = 6
 
 
 def least_shared(n, share: float):
@@ -359,7 +362,8 @@ def meetings(classes: DataFrame, similarity: float) -> DataFrame:
 def candidates(rows: DataFrame, similarity: float, whole: bool, limit: int = HOT_ROWS) -> DataFrame:
     """(a, b) pairs of different components that may be similar by their sizes and places.
 
-    All of them if whole, else of each key's pairs the strongest ones that connect their components.
+    All of them if whole. Else each task gives the strongest ones that connect its components, and of all those each
+    set takes its `NEAREST` ones, so that a group costs as many pairs however many tasks hold its keys.
     """
 
     def pairs(now, group):
@@ -381,9 +385,16 @@ def candidates(rows: DataFrame, similarity: float, whole: bool, limit: int = HOT
             d = np.bitwise_count(now["sig"][x].view(np.uint64) ^ now["sig"][y].view(np.uint64)).astype(np.int64)
             taken = strongest_at(now["comp"][x], now["comp"][y], d)
             kept = x[taken], y[taken]
-        yield now["cls"][kept[0]], now["cls"][kept[1]]
-
-    found = met(rows, limit, pairs, found, "a long, b long")
+        if not whole:
+            sig = now["sig"].view(np.uint64)
+            d = np.bitwise_count(sig[kept[0]] ^ sig[kept[1]]).astype(np.int64)
+            yield now["cls"][kept[0]], now["cls"][kept[1]], d
+
+    found = met(rows, limit, pairs, found, "a long, b long" if whole else "a long, b long, d long")
+    if not whole:
+        both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).distinct()
+        near = Window.partitionBy("a").orderBy("d", "b")
+        found = both.withColumn("no", F.row_number().over(near)).where(F.col("no") <= NEAREST)
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
