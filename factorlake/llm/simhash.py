@@ -247,6 +247,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 LOOKED_AT, COMMON, LEAST_BITS, MOST_BITS = 4, 4, 12, 28
 #: Parities by which pairs are ruled out, a multiple of 8.
 PARITIES = 1024
+#: Columns of a quarter as many parities, which go with every meeting.
+SHORT = ("o0", "o1", "o2", "o3")
 #: Rounds that test the strongest candidates only, before all that are left are tested.
 FOREST_ROUNDS = 3
 #: Candidates that a set takes in such a round.
@@ -296,7 +298,7 @@ def common_shingles(df: DataFrame, key: str, text: str, size: int) -> tuple[np.n
 
 
 def prefixed(df: DataFrame, key: str, text: str, size: int, similarity: float) -> DataFrame:
-    """(id, cls, n, sig, odd, keys): hash, size, fingerprint and parities of the set of shingles, and its first shingles in one order of all.
+    """(id, cls, n, sig, odd, *SHORT, keys): hash, size, fingerprint and parities of the set of shingles, and its first shingles in one order of all.
 
     Common shingles come last in the order. The keys are so many that a similar set, not larger, has one of them.
     """
@@ -318,9 +320,14 @@ def prefixed(df: DataFrame, key: str, text: str, size: int, similarity: float) -
                 keys.append(found[: len(found) - least_shared(len(found), similarity) + 1])
             numbers = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (cls, sig)]
             lists = list_array(np.concatenate(keys), [len(k) for k in keys[1:]], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), numbers[0], pa.array(n, pa.int64()), numbers[1], pa.array(odd, pa.binary()), lists], names=["id", "cls", "n", "sig", "odd", "keys"])
+            short = np.bitwise_xor.reduce(np.frombuffer(b"".join(odd), dtype=np.int64).reshape(len(odd), -1, len(SHORT)), axis=1)
+            few = [pa.array(np.ascontiguousarray(short[:, k])) for k in range(len(SHORT))]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), numbers[0], pa.array(n, pa.int64()), numbers[1], pa.array(odd, pa.binary()), *few, lists], names=["id", "cls", "n", "sig", "odd", *SHORT, "keys"]
+            )
 
-    return df.select(F.col(key).cast("long"), text).mapInArrow(run, "id long, cls long, n long, sig long, odd binary, keys array<long>")
+    short = ", ".join(f"{c} long" for c in SHORT)
+    return df.select(F.col(key).cast("long"), text).mapInArrow(run, f"id long, cls long, n long, sig long, odd binary, {short}, keys array<long>")
 
 
 def meetings(classes: DataFrame, similarity: float) -> DataFrame:
@@ -360,7 +367,7 @@ def meetings(classes: DataFrame, similarity: float) -> DataFrame:
 
 
 def candidates(rows: DataFrame, similarity: float, whole: bool, limit: int = HOT_ROWS) -> DataFrame:
-    """(a, b) pairs of different components that may be similar by their sizes and places.
+    """(a, b) pairs of different components that may be similar by their sizes, places and short parities.
 
     All of them if whole. Else each task gives the strongest ones that connect its components, and of all those each
     set takes its `NEAREST` ones, so that a group costs as many pairs however many tasks hold its keys.
@@ -369,9 +376,17 @@ def candidates(rows: DataFrame, similarity: float, whole: bool, limit: int = HOT
     def pairs(now, group):
         n, place, comp = now["n"], now["place"], now["comp"]
 
+        odd = [now[c].view(np.uint64) for c in SHORT if c in now]
+
         def close(x, y):
             most = np.minimum(place[x], place[y]) + np.minimum(n[x] - place[x], n[y] - place[y])
-            return (comp[x] != comp[y]) & (n[x] >= n[y]) & (most >= least_shared(n[x] + n[y], similarity / (1 + similarity)))
+            least = least_shared(n[x] + n[y], similarity / (1 + similarity))
+            hit = (comp[x] != comp[y]) & (n[x] >= n[y]) & (most >= least)
+            at = np.flatnonzero(hit)
+            x, y = x[at], y[at]
+            differ = sum((np.bitwise_count(o[x] ^ o[y]).astype(np.int64) for o in odd), np.zeros(len(at), dtype=np.int64))
+            hit[at] = differ <= n[x] + n[y] - 2 * least[at]
+            return hit
 
         return compared(group, now["role"], close)
 
@@ -486,8 +501,10 @@ def same_text_groups(df: DataFrame, key: str = "doc_id", text: str = "text", siz
     """
     prints = materialize(prefixed(df.where(F.col(key).isNotNull()), key, text, size, similarity))
     firsts = [F.first(c).alias(c) for c in ("n", "sig", "keys")]
-    rows = materialize(meetings(prints.groupBy("cls").agg(*firsts), similarity))
-    classes = materialize(prints.groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("odd").alias("odd")))
+    classes = materialize(prints.groupBy("cls").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "odd", *SHORT)]))
+    short = classes.select(F.col("cls").alias("of"), *SHORT)
+    met = meetings(prints.groupBy("cls").agg(*firsts), similarity)
+    rows = materialize(met.join(short, F.col("cls") == F.col("of")).drop("of"))
     roots = linked(rows, classes, df, key, text, size, similarity)
     drop_table(rows)
     member = classes.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))

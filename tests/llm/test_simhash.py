@@ -238,3 +238,18 @@ def test_common_shingles_come_last(spark):
     assert late(shared).all() and late(own).mean() < 0.5
     keys = S.prefixed(df, "doc_id", "text", 5, 0.8)
     assert keys.selectExpr("explode(keys) AS k").where(F.col("k").isin([int(x) for x in shared])).count() == 0
+
+
+def test_short_parities_rule_out_no_similar_pair(spark):
+    """Sets at one key: unlike ones of equal size give no pair, all similar ones do."""
+    rng = np.random.default_rng(9)
+    sets = []
+    for _ in range(60):
+        a = np.unique(rng.integers(-(2**62), 2**62, int(rng.integers(50, 700))))
+        sets += [a, a[: max(1, int(len(a) * rng.uniform(0.8, 1)))]]
+    fold = lambda x: np.bitwise_xor.reduce(np.frombuffer(S.parities(x), dtype=np.int64).reshape(-1, 4), axis=0).tolist()
+    rows = spark.createDataFrame([(1, 0, i, len(x), 0, 0, i, *fold(x)) for i, x in enumerate(sets)], "anchor long, role tinyint, cls long, n long, sig long, place long, comp long, o0 long, o1 long, o2 long, o3 long")
+    found = {tuple(r) for r in S.candidates(rows, 0.8, True).collect()}
+    similar = {(i + 1, i) for i in range(0, len(sets), 2) if len(sets[i + 1]) >= 0.8 * len(sets[i])}
+    without = S.candidates(rows.drop("o0", "o1", "o2", "o3"), 0.8, True).count()
+    assert similar <= found and len(found) < 0.2 * without
