@@ -245,7 +245,7 @@ def test_short_parities_rule_out_no_similar_pair(spark):
     rng = np.random.default_rng(9)
     sets = []
     for _ in range(60):
-        a = np.unique(rng.integers(-(2**62), 2**62, int(rng.integers(50, 700))))
+        a = np.unique(rng.integers(-(2**62), 2**62, int(rng.integers(50, 350))))
         sets += [a, a[: max(1, int(len(a) * rng.uniform(0.8, 1)))]]
     fold = lambda x: np.bitwise_xor.reduce(np.frombuffer(S.parities(x), dtype=np.int64).reshape(-1, 4), axis=0).tolist()
     rows = spark.createDataFrame([(1, 0, i, len(x), 0, 0, i, *fold(x)) for i, x in enumerate(sets)], "anchor long, role tinyint, cls long, n long, sig long, place long, comp long, o0 long, o1 long, o2 long, o3 long")
