@@ -20,9 +20,12 @@ from .panel import KEYS
 
 BATCH_DUPLICATE = 0.98
 LIBRARY_DUPLICATE = 0.95
-# cells whose ranks one task holds at a time
+# cells whose ranks one task holds at a time at most, and ranks in all (128 MB, of which there are some three copies)
 CELLS_PER_BUCKET = 20_000
-PAIR_SCHEMA = "i int, j int, sxy double, sxx double, syy double"
+NUMBERS_PER_TASK = 1 << 24
+# pairs and cells multiplied at once where they make no rectangle
+LOOSE_PAIRS, LOOSE_CELLS = 4_096, 512
+PAIR_SCHEMA = "i int, j int, n double, sxy double, sxx double, syy double"
 
 
 def widen(long: DataFrame, factors: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
@@ -105,9 +108,41 @@ def _rank_block(keys: Sequence[str], need: list[list[int]]):
     return run
 
 
-def _pair_sums(keys: Sequence[str], k: int, need: list[list[int]], cls: list[int], pairs: np.ndarray, shared: np.ndarray):
-    """Rank rows of one bucket of cells to partial sums per pair, ranks centred on their known mean."""
-    slot = [{c: n for n, c in enumerate(need[i])} for i in range(k)]
+def _tiles(pairs: np.ndarray, cls: list[int], columns: list[dict]) -> list[tuple]:
+    """The pairs as tiles (positions, columns of ranks at the left, at the right, whether it is a full rectangle).
+
+    Pairs of the same two classes share their rows, so a rectangle of them is one product of two matrices. What is
+    left goes by lists of pairs.
+    """
+    kind = np.array([[cls[i], cls[j]] for i, j in pairs]).reshape(-1, 2)
+    left = np.array([columns[i][cls[j]] for i, j in pairs])
+    right = np.array([columns[j][cls[i]] for i, j in pairs])
+    order = np.lexsort((kind[:, 1], kind[:, 0]))
+    cuts = np.flatnonzero((np.diff(kind[order], axis=0) != 0).any(axis=1)) + 1
+    tiles, loose = [], []
+    for at in np.split(order, cuts):
+        rows, r = np.unique(left[at], return_inverse=True)
+        cols, c = np.unique(right[at], return_inverse=True)
+        if len(at) > 1 and len(rows) * len(cols) <= 3 * len(at):
+            tiles.append((at, rows, cols, (r, c)))
+        else:
+            loose.append(at)
+    loose = np.concatenate([np.empty(0, dtype="int64"), *loose]).astype("int64")
+    tiles += [(at, left[at], right[at], None) for at in np.split(loose, range(LOOSE_PAIRS, len(loose), LOOSE_PAIRS)) if len(at)]
+    return tiles
+
+
+def _pair_sums(keys: Sequence[str], k: int, need: list[list[int]], cls: list[int], reps: list[int], pairs: np.ndarray, shared: np.ndarray):
+    """Rank rows of one bucket of cells to partial sums per pair, ranks centred on their known mean.
+
+    A column of ranks is a factor among the rows of one class. Its squares are summed once for all its pairs.
+    """
+    reps, lows = np.array(reps), np.cumsum([0, *map(len, need)])
+    columns = [{c: lows[i] + n for n, c in enumerate(need[i])} for i in range(k)]
+    mids = np.concatenate([(shared[i, reps[need[i]]] + 1) / 2 for i in range(k)])
+    tiles = _tiles(pairs, cls, columns)
+    left = np.array([columns[i][cls[j]] for i, j in pairs])
+    right = np.array([columns[j][cls[i]] for i, j in pairs])
 
     def run(table: pa.Table) -> pa.Table:
         cell = np.zeros(len(table), dtype="int64")
@@ -119,26 +154,38 @@ def _pair_sums(keys: Sequence[str], k: int, need: list[list[int]], cls: list[int
         starts, flat = ranks.offsets.to_numpy()[:-1], ranks.values.to_numpy()
         column = table.column("i").to_numpy()
         size = int(cell.max()) + 1
-        dense: dict = {}
+        dense = np.zeros((len(mids), size))
+        known = np.zeros((k, size), dtype=bool)
+        order = np.argsort(column, kind="stable")
+        edges = np.searchsorted(column[order], np.arange(k + 1))
+        for i in range(k):
+            rows = order[edges[i] : edges[i + 1]]
+            known[i, cell[rows]] = True
+            at = np.arange(len(need[i]))[:, None]
+            dense[lows[i] : lows[i + 1], cell[rows]] = flat[starts[rows] + at] - mids[lows[i] : lows[i + 1], None]
         for i in range(k):
-            rows = column == i
-            for c, n in slot[i].items():
-                v = np.full(size, np.nan)
-                v[cell[rows]] = flat[starts[rows] + n]
-                dense[i, c] = v
-        sums = np.zeros((3, len(pairs)))
-        for p, (i, j) in enumerate(pairs):
-            mid = (shared[i, j] + 1) / 2
-            x, y = dense[i, cls[j]] - mid, dense[j, cls[i]] - mid
-            both = ~(np.isnan(x) | np.isnan(y))
-            x, y = x[both], y[both]
-            sums[:, p] = x @ y, x @ x, y @ y
-        cols = [pairs[:, 0].astype("int32"), pairs[:, 1].astype("int32"), *sums]
-        return pa.table([pa.array(v) for v in cols], names=["i", "j", "sxy", "sxx", "syy"])
+            dense[lows[i] : lows[i + 1]] *= known[reps[need[i]]]
+        squares = np.einsum("cs,cs->c", dense, dense)
+        sxy = np.empty(len(pairs))
+        for at, a, b, rectangle in tiles:
+            if rectangle:
+                sxy[at] = (dense[a] @ dense[b].T)[rectangle]
+            else:
+                for s in range(0, size, LOOSE_CELLS):
+                    part = np.einsum("ps,ps->p", dense[a, s : s + LOOSE_CELLS], dense[b, s : s + LOOSE_CELLS])
+                    sxy[at] = part if s == 0 else sxy[at] + part
+        i, j = pairs.T
+        cols = [i.astype("int32"), j.astype("int32"), shared[i, j], sxy, squares[left], squares[right]]
+        return pa.table([pa.array(v) for v in cols], names=["i", "j", "n", "sxy", "sxx", "syy"])
 
     return run
 
 
+def bucket_cells(columns: int) -> int:
+    """Cells whose ranks one task holds: fewer, the more columns of ranks a cell has."""
+    return max(1, min(CELLS_PER_BUCKET, NUMBERS_PER_TASK // max(columns, 1)))
+
+
 def spearman_matrix(
     frame: DataFrame,
     factors: Sequence[str],
@@ -150,7 +197,8 @@ def spearman_matrix(
 
     Needs unique keys.  `spearman` is NULL below two shared rows or for a
     constant side.  The work is N rows per column: sorted into blocks once,
-    ranked block by block, then brought together by cell in buckets.  The columns
+    ranked block by block, then brought together by cell in buckets, whose size falls with
+    the number of factors and classes.  The columns
     are read three times, so they are stored first unless the caller has done so.
     """
     used = {f for pair in pairs for f in pair} if pairs else set(factors)
@@ -180,24 +228,24 @@ def spearman_matrix(
     columns = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f).alias("x")) for i, f in enumerate(factors)])
     long = frame.select(*keys, *bits, F.explode(columns).alias("c")).select(*keys, "c.i", "c.x", *words)
     long = long.where(F.col("x").isNotNull()).withColumn("_salt", F.xxhash64(*keys))
-    cut = ordered_blocks(long, ["i", "x", "_salt"]).drop("_salt")
+    tasks = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = -(-int(shared.trace()) * max(map(len, need)) // NUMBERS_PER_TASK)
+    cut = ordered_blocks(long, ["i", "x", "_salt"], blocks if blocks > tasks else None).drop("_salt")
     right = _block_facts(cut, len(reps))
     types = dict(cut.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", i int, ranks array<double>"
     ranked = (
         cut.groupBy("i", "blk").cogroup(right.groupBy("i", "blk")).applyInArrow(_rank_block(keys, need), schema)
     )
-    tasks = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(tasks, -(-cells // CELLS_PER_BUCKET))
+    buckets = max(tasks, -(-cells // bucket_cells(sum(map(len, need)))))
     sums = (
         ranked.groupBy(F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("bucket"))
-        .applyInArrow(_pair_sums(keys, k, need, cls, np.array(wanted), shared), PAIR_SCHEMA)
+        .applyInArrow(_pair_sums(keys, k, need, cls, reps, np.array(wanted), shared), PAIR_SCHEMA)
         .groupBy("i", "j")
-        .agg(F.sum("sxy").alias("sxy"), F.sum("sxx").alias("sxx"), F.sum("syy").alias("syy"))
+        .agg(F.max("n").alias("n"), F.sum("sxy").alias("sxy"), F.sum("sxx").alias("sxx"), F.sum("syy").alias("syy"))
     )
     name = F.array(*[F.lit(f) for f in factors])
-    counts = F.array(*[F.array(*[F.lit(int(v)) for v in line]) for line in shared])
-    n = F.get(F.get(counts, F.col("i")), F.col("j"))
+    n = F.col("n")
     return sums.select(
         F.get(name, F.col("i")).alias("left"),
         F.get(name, F.col("j")).alias("right"),

@@ -1,9 +1,11 @@
 """Block-wise ranks, scans, percentiles and folds against plain pandas, with hot groups and heavy ties."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +121,54 @@ def test_rank_matrix_with_different_nulls_and_ties(spark):
         assert r.spearman == pytest.approx(want.loc[r.left, r.right], abs=1e-12)
 
 
+def test_rank_matrix_of_many_classes_in_small_buckets(spark, monkeypatch):
+    """Buckets of a few cells and blocks of a few ranks give the same matrix; most factors have a null mask of their own."""
+    monkeypatch.setattr(corr, "NUMBERS_PER_TASK", 4000)
+    rng = np.random.default_rng(5)
+    n, k = 300, 24
+    pdf = pd.DataFrame({"trade_time": np.arange(n) // 10, "code": [str(i % 10) for i in range(n)]})
+    names = [f"f{i}" for i in range(k)]
+    for i, f in enumerate(names):
+        pdf[f] = np.round(rng.normal(size=n), 1)
+        if i % 4:
+            pdf[f] = pdf[f].where(rng.random(n) < 0.8)
+    got = corr.spearman_matrix(spark.createDataFrame(pdf), names).toPandas()
+    want = pdf[names].corr(method="spearman")
+    assert len(got) == k * (k - 1) // 2
+    for r in got.itertuples():
+        assert r.spearman == pytest.approx(want.loc[r.left, r.right], abs=1e-12)
+        assert r.n == pdf[[r.left, r.right]].dropna().shape[0]
+
+
+@pytest.mark.parametrize("classes", [1, 500])
+def test_rank_matrix_of_500_factors_stays_within_a_gigabyte(classes):
+    """A whole bucket of one task, with one null mask for all factors and with a mask each."""
+    k = 500
+    cls = [i % classes for i in range(k)]
+    need = [list(range(classes))] * k
+    cells = min(corr.bucket_cells(k * classes), 2000)
+    wanted = np.array([(i, j) for i in range(k) for j in range(i + 1, k)])
+    per = classes * cells
+    rows = {
+        "code": pa.array(np.tile(np.arange(cells), k)),
+        "i": pa.array(np.repeat(np.arange(k), cells), pa.int32()),
+        "ranks": pa.ListArray.from_arrays(
+            pa.array(np.arange(0, k * per + 1, classes), pa.int32()), pa.array(np.random.default_rng(0).permutation(k * per) % 997.0)
+        ),
+    }
+    run = corr._pair_sums(["code"], k, need, cls, list(range(classes)), wanted, np.full((k, k), 996.0))
+    tracemalloc.start()
+    got = run(pa.table(rows)).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1] + rows["ranks"].nbytes
+    tracemalloc.stop()
+    assert len(got["i"]) == len(wanted) and peak < 1 << 30
+    flat = np.asarray(rows["ranks"].values).reshape(k, cells, classes) - 498.5
+    for p in (0, 700, len(wanted) - 1):
+        i, j = wanted[p]
+        x, y = flat[i, :, cls[j]], flat[j, :, cls[i]]
+        assert (got["sxy"][p], got["sxx"][p], got["syy"][p]) == (x @ y, x @ x, y @ y)
+
+
 def greedy(order, rho, limit):
     kept, of = [], {}
     for f in order:
