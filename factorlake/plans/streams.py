@@ -8,6 +8,7 @@ from ..functions.ranks import ordered_blocks
 from ..session import materialize, shared_dir
 from ..sources import lake as L
 from ..streaming import bars as B
+from ..streaming import gaps as G
 from . import barlake as K
 from . import views as V
 from .evaluation import rounded
@@ -89,12 +90,13 @@ def stream_lake_sink(spark, sf):
 @query("stream_gap_alert", f"""{K.WITH}, step AS (SELECT symbol, open_time, lag(open_time) OVER (PARTITION BY symbol ORDER BY open_time) AS prev FROM bars)
     SELECT symbol, prev + 60000 AS gap_start, open_time - 60000 AS gap_end FROM step WHERE open_time - prev > 60000""")
 def stream_gap_alert(spark, sf):
-    """Bars in time order; every fifth one is delivered again a week later."""
-    path, marks, check = _dir(spark, "alerts"), _dir(spark, "marks"), _dir(spark, "checkpoint")
-    bars = _klines(spark, sf).drop("ts").withColumn("arrival", F.col("open_time"))
-    again = bars.where("ingest % 5 = 0").withColumn("arrival", F.col("open_time") + 7 * L.DAY_MS)
-    _deliver(spark, bars.unionByName(again), "arrival", lambda s: B.gap_alerts(s, path, marks, check))
-    return spark.read.parquet(path).select("symbol", "gap_start", "gap_end")
+    """Every seventh bar comes a week late and closes the gap it had left; every fifth one comes again."""
+    path, check = _dir(spark, "alerts"), _dir(spark, "checkpoint")
+    late = F.when(F.col("ingest") % 7 == 3, 7 * L.DAY_MS).otherwise(0)
+    bars = _klines(spark, sf).drop("ts").withColumn("arrival", F.col("open_time") + late)
+    again = bars.where("ingest % 5 = 0").withColumn("arrival", F.col("open_time") + 9 * L.DAY_MS)
+    _deliver(spark, bars.unionByName(again), "arrival", lambda s: G.gap_alerts(s, path, check))
+    return G.open_gaps(spark.read.parquet(path)).select("symbol", "gap_start", "gap_end")
 
 
 @query("stream_resample", f"{K.WITH} {K.resampled_sql(3_600_000, '1h')}")

@@ -7,7 +7,6 @@ stored under its number, or into the lake where the latest copy of a key wins.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scan import neighbour
 from ..sources import lake as L
 
 
@@ -93,38 +92,3 @@ def lake_sink(bars: DataFrame, path: str, marks: str, checkpoint: str):
 
 def read_marks(spark: SparkSession, marks: str) -> DataFrame:
     return spark.read.parquet(marks).groupBy(*L.SERIES).agg(F.max("last_open_time").alias("last_open_time"))
-
-
-def gap_alerts(bars: DataFrame, path: str, marks: str, checkpoint: str):
-    """A row for every gap over one step, as bars arrive in time order.
-
-    A batch is judged together with the last time of each series before it. Only times behind
-    that mark count: a bar that comes again, or late, makes no gap (whether a late bar fills
-    one is a question to the lake). Each batch writes one table with the marks of all series.
-    """
-
-    def put(df: DataFrame, epoch: int) -> None:
-        spark = df.sparkSession
-        times = df.select(*L.SERIES, "open_time").distinct().persist()
-        try:
-            known, reached = times, L.watermark(times)
-            if epoch:
-                old = spark.read.parquet(f"{marks}/epoch={epoch - 1}")
-                reached = L.watermark_advance(old, reached)
-                known = L.new_rows(times, old).unionByName(old.withColumnRenamed("last_open_time", "open_time"))
-            day = F.floor(F.col("open_time") / L.DAY_MS)
-            steps = neighbour(known, L.SERIES, "open_time", day, ["open_time"])
-            size = F.create_map(*[F.lit(x) for kv in L.INTERVAL_MS.items() for x in kv])[F.col("interval")]
-            gaps = steps.where(F.col("open_time") - F.col("open_time_prev") > size).select(
-                *L.SERIES,
-                (F.col("open_time_prev") + size).alias("gap_start"),
-                (F.col("open_time") - size).alias("gap_end"),
-            )
-            gaps.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-            reached.write.mode("overwrite").parquet(f"{marks}/epoch={epoch}")
-        finally:
-            times.unpersist()
-
-    return (
-        bars.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
-    )
