@@ -180,6 +180,20 @@ class Factor:
     lookback: int = 0
 
 
+def factors_on(frame: DataFrame, factors: Sequence[Factor], shift: int = 0) -> DataFrame:
+    """A dense frame plus one column per factor, shifted after compute; the n-th stages of all go into one select."""
+    names = [f.name for f in factors]
+    plans = [f.stages() for f in factors]
+    for level in range(max(len(p) for p in plans)):
+        new = {k: v for p in plans if level < len(p) for k, v in p[level].items()}
+        frame = frame.withColumns(new)
+    frame = frame.select(
+        *["code", "t", "seg", "trade_time", *FIELDS, "observed", "halo"],
+        *[nz(n).alias(n) for n in names],
+    )
+    return frame.withColumns({n: ts_shift(n, shift) for n in names}) if shift else frame
+
+
 def compute_factors(
     bars: DataFrame,
     factors: Sequence[Factor],
@@ -202,16 +216,7 @@ def compute_factors(
     names = [f.name for f in factors]
     lookback = max(f.lookback for f in factors) + shift
     frame = densify(bars, times, codes, lookback=lookback, segment=segment)
-    plans = [f.stages() for f in factors]
-    for level in range(max(len(p) for p in plans)):
-        new = {k: v for p in plans if level < len(p) for k, v in p[level].items()}
-        frame = frame.withColumns(new)
-    frame = frame.select(
-        *["code", "t", "seg", "trade_time", *FIELDS, "observed", "halo"],
-        *[nz(n).alias(n) for n in names],
-    )
-    if shift:
-        frame = frame.withColumns({n: ts_shift(n, shift) for n in names})
+    frame = factors_on(frame, factors, shift)
     keep = ~F.col("halo") if dense_rows else (~F.col("halo") & F.col("observed"))
     out = frame.where(keep).select(*KEYS, *FIELDS, *names)
     return out if score in names else out.withColumn(score, row_mean(names))

@@ -15,6 +15,7 @@ from ..operators import ic
 from ..operators import library_factors as lib
 from ..session import materialize, shared_dir
 from ..sources import market as M
+from ..sources import panels as B
 from . import cands as C
 from . import views as V
 from .evaluation import rounded
@@ -51,6 +52,18 @@ def panel_segments(spark, sf):
     return df.where(~F.col("halo")).select("code", "trade_time", rnd("volume_8").alias("volume_8"))
 
 
+@query("panel_stored", f"""{V.dense_sql("week")} SELECT code, trade_time, close, {out("sum(volume) OVER w", "volume_8")} FROM dense
+    WINDOW w AS (PARTITION BY code ORDER BY trade_time ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)""")
+def panel_stored(spark, sf):
+    """A rolling sum computed on a stored panel, stored beside it and joined to it by cell."""
+    df = P.densify(V.bars(spark, sf, "week"), V.calendar(spark, sf, "week"), V.codes(spark, sf), lookback=7, segment=50)
+    panel = B.store(df, 7)
+    with B.as_stored(spark):
+        sums = B.read(spark, panel).select(*B.CELL, ts.ts_sum("volume", 8, 1).alias("volume_8"))
+        both = B.attach(B.read(spark, panel), B.read(spark, B.store(sums, placed=panel)), ["volume_8"])
+        return materialize(both.where(~F.col("halo")).select("code", "trade_time", "close", rnd("volume_8").alias("volume_8")))
+
+
 @query("attach_factor", f"""{BW} SELECT b.code, b.trade_time, b.close, f.value AS weight FROM bars b
     LEFT JOIN (SELECT code, trade_time, high - low AS value FROM bars WHERE volume > 150) f USING (code, trade_time)""")
 def attach_factor(spark, sf):
