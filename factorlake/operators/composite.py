@@ -219,8 +219,20 @@ def oos_period(end: Column, start: Column | None = None, stop: Column | None = N
     return begin, stop, warm, F.datediff(begin, warm)
 
 
-def oos_valid(begin: Column, stop: Column, warm: Column) -> Column:
-    return (begin <= stop) & (warm <= begin)
+def oos_problem(begin: Column, stop: Column, warm: Column) -> Column:
+    """What is wrong with the order of a window's dates, the first that applies; NULL where nothing is."""
+    return F.when(begin > stop, "start is after the end").when(warm > begin, "warm-up begins after the start")
+
+
+def oos_window(end: Column, start: Column | None = None, stop: Column | None = None, warmup: Column | None = None) -> dict[str, Column]:
+    """Columns of the out-of-sample window by name, with where each date comes from and what is wrong with their order."""
+    begin, until, warm, days = oos_period(end, start, stop, warmup)
+    given = {"start": start, "stop": stop, "warmup": warmup}
+    source = {
+        f"{n}_source": F.lit("default") if c is None else F.when(c.isNull(), "default").otherwise("configured") for n, c in given.items()
+    }
+    dates = {"in_sample_end": end, "start": begin, "stop": until, "warmup": warm, "warmup_days": days.cast("bigint")}
+    return dates | source | {"problem": oos_problem(begin, until, warm)}
 
 
 def oos_trim(frame: DataFrame, start) -> DataFrame:

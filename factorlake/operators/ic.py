@@ -221,6 +221,32 @@ def layered_ic(long: DataFrame, layers: int = LAYERS, names: int | None = None)
     return with_all_layers(got, long.select("factor").distinct(), layers)
 
 
+def layer_diagnostics(long: DataFrame, factors: Sequence[str] | None = None, layers: int = LAYERS) -> DataFrame:
+    """Per factor: rows with score and label, rows in a layer and in none, dates, dates with too few names, and the reason where no row has a layer.
+
+    A date has layers if `layers` names have both, so the counts per date are enough: no row is ranked. `factors`
+    adds those without any row.
+    """
+    known = F.col("score").isNotNull() & F.col("label").isNotNull()
+    daily = long.groupBy("factor", "trade_time").agg(F.count(F.when(known, 1)).alias("n")).where("n > 0")
+    enough = F.col("n") >= layers
+    got = daily.groupBy("factor").agg(
+        F.sum("n").alias("joined_rows"),
+        F.sum(F.when(enough, F.col("n")).otherwise(0)).alias("layered_rows"),
+        F.sum(F.when(enough, 0).otherwise(F.col("n"))).alias("unlayered_rows"),
+        F.count("*").alias("dates"),
+        F.count(F.when(~enough, 1)).alias("thin_dates"),
+    )
+    names = long.select("factor").distinct()
+    if factors is not None:
+        slots = F.explode(F.array(*[F.lit(f) for f in factors]).cast("array<string>")).alias("factor")
+        names = long.sparkSession.range(1).select(slots)
+    reason = F.when(F.col("joined_rows") == 0, "no non-null score/label rows").when(
+        F.col("layered_rows") == 0, f"no date has {layers} names with score and label"
+    )
+    return names.join(got, "factor", "left").fillna(0).withColumn("reason", reason)
+
+
 def with_all_layers(got: DataFrame, factors: DataFrame, layers: int) -> DataFrame:
     """One row for every layer of every factor; counts of a layer without rows are zero."""
     slots = factors.select("factor", F.explode(F.sequence(F.lit(1), F.lit(layers))).alias("layer"))

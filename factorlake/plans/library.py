@@ -382,6 +382,22 @@ def oos_period(spark, sf):
     )
 
 
+@query("oos_window", """WITH c AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(o_orderkey % 60 AS INTEGER) AS k FROM orders),
+    g AS (SELECT *, CASE WHEN k % 4 = 1 THEN d + (10 + k) END AS start_in, CASE WHEN k % 4 < 2 THEN d + (k - 20) END AS stop_in,
+      CASE WHEN k % 3 = 0 THEN d + (k - 30) END AS warm_in FROM c),
+    s AS (SELECT *, coalesce(start_in, d + 1) AS start FROM g),
+    w AS (SELECT *, coalesce(stop_in, CAST(start + INTERVAL 12 MONTH AS DATE) - 1) AS stop, coalesce(warm_in, CAST(start - INTERVAL 12 MONTH AS DATE)) AS warmup FROM s)
+    SELECT o_orderkey, d AS in_sample_end, start, stop, warmup, date_diff('day', warmup, start) AS warmup_days,
+      CASE WHEN start_in IS NULL THEN 'default' ELSE 'configured' END AS start_source, CASE WHEN stop_in IS NULL THEN 'default' ELSE 'configured' END AS stop_source,
+      CASE WHEN warm_in IS NULL THEN 'default' ELSE 'configured' END AS warmup_source,
+      CASE WHEN start > stop THEN 'start is after the end' WHEN warmup > start THEN 'warm-up begins after the start' END AS problem FROM w""")
+def oos_window(spark, sf):
+    """Windows of which some dates are given, some of them in the wrong order."""
+    end, k = F.to_date("o_orderdate"), (F.col("o_orderkey") % 60).cast("int")
+    given = (F.when(k % 4 == 1, F.date_add(end, 10 + k)), F.when(k % 4 < 2, F.date_add(end, k - 20)), F.when(k % 3 == 0, F.date_add(end, k - 30)))
+    return V.table(spark, sf, "orders").select("o_orderkey", *[c.alias(n) for n, c in K.oos_window(end, *given).items()])
+
+
 @query("oos_trim", f"""{V.dense_sql("week")}, f AS (SELECT code, trade_time, {C._ret("close", 5)} AS mom_5 FROM dense WHERE true
     WINDOW w AS (PARTITION BY code ORDER BY trade_time))
     SELECT code, trade_time, {out("mom_5", "mom_5")} FROM f WHERE trade_time >= '2000-01-01'""")

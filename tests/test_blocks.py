@@ -169,6 +169,25 @@ def test_rank_matrix_of_500_factors_stays_within_a_gigabyte(classes):
         assert (got["sxy"][p], got["sxx"][p], got["syy"][p]) == (x @ y, x @ x, y @ y)
 
 
+def test_layer_diagnostics_equal_the_layers(spark):
+    rng = np.random.default_rng(8)
+    rows = [
+        (f, d, str(c), None if rng.random() < 0.1 else float(c), None if rng.random() < 0.1 else 1.0)
+        for f in ("wide", "thin") for d in range(20) for c in range(int(rng.integers(9, 15)) if f == "wide" else 6)
+    ]
+    long = spark.createDataFrame([*rows, ("null", 0, "a", None, 1.0)], "factor string, trade_time int, code string, score double, label double")
+    got = {r["factor"]: r.asDict() for r in ic.layer_diagnostics(long, ["wide", "thin", "null", "absent"]).collect()}
+    placed = ic.decile_layer(long.dropna(), names=100).groupBy("factor").agg(F.count("layer").alias("n"), F.count("*").alias("all")).collect()
+    for r in placed:
+        g = got[r["factor"]]
+        assert (g["layered_rows"], g["joined_rows"], g["unlayered_rows"]) == (r["n"], r["all"], r["all"] - r["n"])
+    assert 0 < got["wide"]["thin_dates"] < got["wide"]["dates"] == 20 and got["wide"]["reason"] is None
+    assert got["thin"]["thin_dates"] == 20 and got["thin"]["reason"] == "no date has 10 names with score and label"
+    for f in ("null", "absent"):
+        assert got[f]["joined_rows"] == got[f]["dates"] == 0 and got[f]["reason"] == "no non-null score/label rows"
+    assert ic.layer_diagnostics(long.limit(0)).count() == 0
+
+
 def greedy(order, rho, limit):
     kept, of = [], {}
     for f in order:
