@@ -111,7 +111,7 @@ def layered_ic(spark, sf):
     return rounded(ic.layered_ic(C.long(spark, sf), names=C.names(spark, sf)))
 
 
-@query("layer_diagnostics", f"""{C.long_sql()}, thin AS (SELECT * FROM long WHERE NOT (factor = 'mom_20' AND CAST(code AS BIGINT) % 10 > 0)),
+@query("layer_diagnostics", f"""{C.long_sql()}, thin AS (SELECT * FROM long WHERE NOT (factor = 'mom_12' AND CAST(code AS BIGINT) % 10 > 0)),
     d AS (SELECT factor, trade_time, count(*) AS n FROM thin GROUP BY ALL)
     SELECT f.factor, CAST(coalesce(sum(n), 0) AS BIGINT) AS joined_rows, CAST(coalesce(sum(n) FILTER (n >= 10), 0) AS BIGINT) AS layered_rows,
       CAST(coalesce(sum(n) FILTER (n < 10), 0) AS BIGINT) AS unlayered_rows, count(n) AS dates, count(n) FILTER (n < 10) AS thin_dates,
@@ -119,7 +119,7 @@ def layered_ic(spark, sf):
     FROM (SELECT unnest({[*C.NAMES, "absent"]}) AS factor) f LEFT JOIN d USING (factor) GROUP BY f.factor""")
 def layer_diagnostics(spark, sf):
     """One factor is known for a tenth of the codes only, one has no row."""
-    thin = C.long(spark, sf).where("NOT (factor = 'mom_20' AND CAST(code AS BIGINT) % 10 > 0)")
+    thin = C.long(spark, sf).where("NOT (factor = 'mom_12' AND CAST(code AS BIGINT) % 10 > 0)")
     return ic.layer_diagnostics(thin, [*C.NAMES, "absent"])
 
 
