@@ -66,8 +66,7 @@ def admit_candidates(
     ranked = C.stored_ranks(melt(frame, names), most)
     records = {r["factor"]: r for r in reviewed(frame, names, horizon, dates, most).collect()}
     near: dict = {}
-    pairs = corr.spearman_matrix(frame, names)
-    for r in pairs.where(F.abs("spearman") >= corr.LIBRARY_DUPLICATE).collect():
+    for r in corr.close_pairs(frame, names, corr.LIBRARY_DUPLICATE, stored=True).pairs.collect():
         near.setdefault(r["left"], {})[r["right"]] = r["spearman"]
         near.setdefault(r["right"], {})[r["left"]] = r["spearman"]
     value = lambda n: records[n]["ic"]

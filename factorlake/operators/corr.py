@@ -7,10 +7,11 @@ pairs: each task adds up its own pair sums and only those are shuffled.
 """
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nz, safe_corr
@@ -25,6 +26,10 @@ CELLS_PER_BUCKET = 20_000
 NUMBERS_PER_TASK = 1 << 24
 # pairs and cells multiplied at once where they make no rectangle
 LOOSE_PAIRS, LOOSE_CELLS = 4_096, 512
+# cells of a search for close pairs by the end of each round, out of the last number
+SEARCH_CELLS = (1, 4, 16)
+# what rounding of the sums may take from a bound
+SEARCH_SLACK = 1e-9
 PAIR_SCHEMA = "i int, j int, n double, sxy double, sxx double, syy double"
 
 
@@ -100,9 +105,9 @@ def _rank_block(keys: Sequence[str], need: list[list[int]]):
                 if f["x"] is not None:
                     at = np.searchsorted(sx[starts], f["x"])
                     per[at] = f["a"][cls] + (f["b"][cls] + 1) / 2.0
-            ranks[order, c] = per[group]
-        offsets = np.arange(0, ranks.size + 1, len(need[i]), dtype="int32")
-        lists = pa.ListArray.from_arrays(offsets[: len(x) + 1], pa.array(ranks.ravel()))
+            ranks[order, c] = np.where((word >> (cls % WORD)) & 1, per[group], np.nan)
+        offsets = np.arange(len(x) + 1, dtype="int32") * len(need[i])
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ranks.ravel()))
         return pa.table([*[left.column(c) for c in keys], left.column("i"), lists], names=[*keys, "i", "ranks"])
 
     return run
@@ -115,8 +120,8 @@ def _tiles(pairs: np.ndarray, cls: list[int], columns: list[dict]) -> list[tuple
     left goes by lists of pairs.
     """
     kind = np.array([[cls[i], cls[j]] for i, j in pairs]).reshape(-1, 2)
-    left = np.array([columns[i][cls[j]] for i, j in pairs])
-    right = np.array([columns[j][cls[i]] for i, j in pairs])
+    left = np.array([columns[i][cls[j]] for i, j in pairs], dtype="int64")
+    right = np.array([columns[j][cls[i]] for i, j in pairs], dtype="int64")
     order = np.lexsort((kind[:, 1], kind[:, 0]))
     cuts = np.flatnonzero((np.diff(kind[order], axis=0) != 0).any(axis=1)) + 1
     tiles, loose = [], []
@@ -132,17 +137,18 @@ def _tiles(pairs: np.ndarray, cls: list[int], columns: list[dict]) -> list[tuple
     return tiles
 
 
-def _pair_sums(keys: Sequence[str], k: int, need: list[list[int]], cls: list[int], reps: list[int], pairs: np.ndarray, shared: np.ndarray):
+def _pair_sums(keys: Sequence[str], k: int, need: list[list[int]], cls: list[int], reps: list[int], pairs: np.ndarray, shared: np.ndarray, totals: np.ndarray | None = None):
     """Rank rows of one bucket of cells to partial sums per pair, ranks centred on their known mean.
 
     A column of ranks is a factor among the rows of one class. Its squares are summed once for all its pairs.
+    `totals` are its squares over all buckets, given back with each pair.
     """
     reps, lows = np.array(reps), np.cumsum([0, *map(len, need)])
     columns = [{c: lows[i] + n for n, c in enumerate(need[i])} for i in range(k)]
     mids = np.concatenate([(shared[i, reps[need[i]]] + 1) / 2 for i in range(k)])
     tiles = _tiles(pairs, cls, columns)
-    left = np.array([columns[i][cls[j]] for i, j in pairs])
-    right = np.array([columns[j][cls[i]] for i, j in pairs])
+    left = np.array([columns[i][cls[j]] for i, j in pairs], dtype="int64")
+    right = np.array([columns[j][cls[i]] for i, j in pairs], dtype="int64")
 
     def run(table: pa.Table) -> pa.Table:
         cell = np.zeros(len(table), dtype="int64")
@@ -155,16 +161,12 @@ def _pair_sums(keys: Sequence[str], k: int, need: list[list[int]], cls: list[int
         column = table.column("i").to_numpy()
         size = int(cell.max()) + 1
         dense = np.zeros((len(mids), size))
-        known = np.zeros((k, size), dtype=bool)
         order = np.argsort(column, kind="stable")
         edges = np.searchsorted(column[order], np.arange(k + 1))
         for i in range(k):
             rows = order[edges[i] : edges[i + 1]]
-            known[i, cell[rows]] = True
             at = np.arange(len(need[i]))[:, None]
-            dense[lows[i] : lows[i + 1], cell[rows]] = flat[starts[rows] + at] - mids[lows[i] : lows[i + 1], None]
-        for i in range(k):
-            dense[lows[i] : lows[i + 1]] *= known[reps[need[i]]]
+            dense[lows[i] : lows[i + 1], cell[rows]] = np.nan_to_num(flat[starts[rows] + at] - mids[lows[i] : lows[i + 1], None])
         squares = np.einsum("cs,cs->c", dense, dense)
         sxy = np.empty(len(pairs))
         for at, a, b, rectangle in tiles:
@@ -176,7 +178,10 @@ def _pair_sums(keys: Sequence[str], k: int, need: list[list[int]], cls: list[int
                     sxy[at] = part if s == 0 else sxy[at] + part
         i, j = pairs.T
         cols = [i.astype("int32"), j.astype("int32"), shared[i, j], sxy, squares[left], squares[right]]
-        return pa.table([pa.array(v) for v in cols], names=["i", "j", "n", "sxy", "sxx", "syy"])
+        names = ["i", "j", "n", "sxy", "sxx", "syy"]
+        if totals is not None:
+            cols, names = [*cols, totals[left], totals[right]], [*names, "tx", "ty"]
+        return pa.table([pa.array(v) for v in cols], names=names)
 
     return run
 
@@ -186,21 +191,25 @@ def bucket_cells(columns: int) -> int:
     return max(1, min(CELLS_PER_BUCKET, NUMBERS_PER_TASK // max(columns, 1)))
 
 
-def spearman_matrix(
-    frame: DataFrame,
-    factors: Sequence[str],
-    keys: Sequence[str] = KEYS,
-    pairs: Sequence[tuple[str, str]] | None = None,
-    stored: bool = False,
-) -> DataFrame:
-    """(left, right, n, spearman) for every pair of columns, left before right, or for chosen pairs.
+@dataclass
+class Ranked:
+    """Ranks of every factor among the rows of each null mask that a pair asks for, NaN at rows outside that mask."""
 
-    Needs unique keys.  `spearman` is NULL below two shared rows or for a
-    constant side.  The work is N rows per column: sorted into blocks once,
-    ranked block by block, then brought together by cell in buckets, whose size falls with
-    the number of factors and classes.  The columns
-    are read three times, so they are stored first unless the caller has done so.
-    """
+    rows: DataFrame
+    keys: list[str]
+    factors: list[str]
+    wanted: np.ndarray
+    need: list[list[int]]
+    cls: list[int]
+    reps: list[int]
+    shared: np.ndarray
+    buckets: int
+
+
+def ranked_columns(
+    frame: DataFrame, factors: Sequence[str], keys: Sequence[str], pairs: Sequence[tuple[str, str]] | None, stored: bool
+) -> Ranked:
+    """Each column ranked once per row class it needs. The columns are read three times, so they are stored first unless the caller did."""
     used = {f for pair in pairs for f in pair} if pairs else set(factors)
     factors, keys = [f for f in factors if f in used], list(keys)
     k = len(factors)
@@ -217,7 +226,11 @@ def spearman_matrix(
         cls.append(same)
     place = {f: i for i, f in enumerate(factors)}
     wanted = [(place[a], place[b]) for a, b in pairs] if pairs else [(i, j) for i in range(k) for j in range(i + 1, k)]
-    need = [sorted({cls[b] for a, b in wanted if a == i} | {cls[a] for a, b in wanted if b == i}) for i in range(k)]
+    need = [set() for _ in range(k)]
+    for a, b in wanted:
+        need[a].add(cls[b])
+        need[b].add(cls[a])
+    need = [sorted(n) for n in need]
     words = [f"b{w}" for w in range(-(-len(reps) // WORD))]
     bits = []
     for w in range(len(words)):
@@ -229,29 +242,148 @@ def spearman_matrix(
     long = frame.select(*keys, *bits, F.explode(columns).alias("c")).select(*keys, "c.i", "c.x", *words)
     long = long.where(F.col("x").isNotNull()).withColumn("_salt", F.xxhash64(*keys))
     tasks = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = -(-int(shared.trace()) * max(map(len, need)) // NUMBERS_PER_TASK)
+    blocks = -(-int(shared.trace()) * max(map(len, need), default=0) // NUMBERS_PER_TASK)
     cut = ordered_blocks(long, ["i", "x", "_salt"], blocks if blocks > tasks else None).drop("_salt")
     right = _block_facts(cut, len(reps))
     types = dict(cut.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", i int, ranks array<double>"
-    ranked = (
-        cut.groupBy("i", "blk").cogroup(right.groupBy("i", "blk")).applyInArrow(_rank_block(keys, need), schema)
-    )
+    rows = cut.groupBy("i", "blk").cogroup(right.groupBy("i", "blk")).applyInArrow(_rank_block(keys, need), schema)
     buckets = max(tasks, -(-cells // bucket_cells(sum(map(len, need)))))
-    sums = (
-        ranked.groupBy(F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("bucket"))
-        .applyInArrow(_pair_sums(keys, k, need, cls, reps, np.array(wanted), shared), PAIR_SCHEMA)
-        .groupBy("i", "j")
-        .agg(F.max("n").alias("n"), F.sum("sxy").alias("sxy"), F.sum("sxx").alias("sxx"), F.sum("syy").alias("syy"))
-    )
-    name = F.array(*[F.lit(f) for f in factors])
+    return Ranked(rows, keys, factors, np.array(wanted).reshape(-1, 2), need, cls, reps, shared, buckets)
+
+
+def _middles(ranked: Ranked) -> np.ndarray:
+    reps = np.array(ranked.reps, dtype="int64")
+    return np.concatenate([np.empty(0), *[(ranked.shared[i, reps[need]] + 1) / 2 for i, need in enumerate(ranked.need)]])
+
+
+def _added(totals: bool = False) -> list[Column]:
+    sums = [F.max("n").alias("n"), *[F.sum(c).alias(c) for c in ("sxy", "sxx", "syy")]]
+    return sums + [F.max(c).alias(c) for c in ("tx", "ty")] if totals else sums
+
+
+def _bucket_sums(ranked: Ranked, pairs: np.ndarray, cells: tuple[int, int] | None = None, totals: np.ndarray | None = None) -> DataFrame:
+    """Sums per pair of positions over all cells or a slice of them; ranks of factors in none of the pairs are not moved."""
+    r, used = ranked, np.unique(pairs)
+    rows = r.rows if len(used) == len(r.factors) else r.rows.where(F.col("i").isin(used.tolist()))
+    cell, buckets = F.xxhash64(*r.keys), r.buckets
+    if cells is not None:
+        low, high = cells
+        rows = rows.where(F.pmod(cell, F.lit(SEARCH_CELLS[-1])).between(low, high - 1))
+        cell, buckets = F.floor(cell / SEARCH_CELLS[-1]), -(-r.buckets * (high - low) // SEARCH_CELLS[-1])
+    run = _pair_sums(r.keys, len(r.factors), r.need, r.cls, r.reps, pairs, r.shared, totals)
+    schema = PAIR_SCHEMA if totals is None else f"{PAIR_SCHEMA}, tx double, ty double"
+    parts = rows.groupBy(F.pmod(cell, F.lit(buckets)).alias("bucket")).applyInArrow(run, schema)
+    return parts.groupBy("i", "j").agg(*_added(totals is not None))
+
+
+def _coefficients(sums: DataFrame) -> DataFrame:
     n = F.col("n")
-    return sums.select(
-        F.get(name, F.col("i")).alias("left"),
-        F.get(name, F.col("j")).alias("right"),
-        n.cast("bigint").alias("n"),
-        F.when(n >= 2, F.try_divide(F.col("sxy"), F.sqrt("sxx") * F.sqrt("syy"))).alias("spearman"),
-    )
+    rho = F.when(n >= 2, F.try_divide(F.col("sxy"), F.sqrt("sxx") * F.sqrt("syy")))
+    return sums.select("i", "j", n.cast("bigint").alias("n"), rho.alias("spearman"))
+
+
+def _named(found: DataFrame, factors: Sequence[str]) -> DataFrame:
+    name = F.array(*[F.lit(f) for f in factors])
+    return found.select(F.get(name, F.col("i")).alias("left"), F.get(name, F.col("j")).alias("right"), "n", "spearman")
+
+
+def spearman_matrix(
+    frame: DataFrame,
+    factors: Sequence[str],
+    keys: Sequence[str] = KEYS,
+    pairs: Sequence[tuple[str, str]] | None = None,
+    stored: bool = False,
+) -> DataFrame:
+    """(left, right, n, spearman) for every pair of columns, left before right, or for chosen pairs.
+
+    Needs unique keys.  `spearman` is NULL below two shared rows or for a
+    constant side.  The work is N rows per column: sorted into blocks once,
+    ranked block by block, then brought together by cell in buckets, whose size falls with
+    the number of factors and classes.
+    """
+    ranked = ranked_columns(frame, factors, keys, pairs, stored)
+    return _named(_coefficients(_bucket_sums(ranked, ranked.wanted)), ranked.factors)
+
+
+@dataclass
+class ClosePairs:
+    """Pairs at or past a threshold, how many pairs were asked for, and (share of all cells, pairs still open) of each round."""
+
+    pairs: DataFrame
+    asked: int
+    rounds: list[tuple[float, int]]
+
+    @property
+    def work(self) -> float:
+        """Share of the products of all asked pairs over all cells that was computed."""
+        return sum(share * pairs for share, pairs in self.rounds) / max(self.asked, 1)
+
+
+def close_pairs(
+    frame: DataFrame,
+    factors: Sequence[str],
+    threshold: float,
+    keys: Sequence[str] = KEYS,
+    pairs: Sequence[tuple[str, str]] | None = None,
+    stored: bool = False,
+) -> ClosePairs:
+    """The rows of `spearman_matrix` with |spearman| >= threshold, where most pairs are given up after a share of the cells.
+
+    A coefficient is a sum of products over cells, divided by the roots of two sums of squares that are known per column
+    before any pair is looked at. After some of the cells the rest of the products is at most the root of the two
+    remaining sums of squares (Cauchy-Schwarz), whatever the cells hold; a pair that cannot reach the threshold
+    any more is certain not to and is left out of the cells to come. Cells are dealt to rounds by a hash, so a pair with coefficient r
+    goes after about (1 - threshold) / (1 - r) of them. Each rank is moved once at most. This holds for any null masks, as the
+    sums are over the rows that both columns know. The driver holds the open pairs, as the tasks do.
+    """
+    spark = frame.sparkSession
+    ranked = ranked_columns(frame, factors, keys, pairs, stored)
+    ranked.rows = materialize(ranked.rows)
+    totals = _square_totals(ranked)
+    wanted, rounds, state = ranked.wanted, [], None
+    for low, high in zip((0, *SEARCH_CELLS), SEARCH_CELLS):
+        if not len(wanted):
+            break
+        rounds.append(((high - low) / SEARCH_CELLS[-1], len(wanted)))
+        sums = _bucket_sums(ranked, wanted, (low, high), totals)
+        if state is not None:
+            sums = state.unionByName(sums).groupBy("i", "j").agg(*_added(totals=True))
+        left = F.sqrt(F.greatest(F.col("tx") - F.col("sxx"), F.lit(0.0))) * F.sqrt(F.greatest(F.col("ty") - F.col("syy"), F.lit(0.0)))
+        most = F.abs("sxy") + left
+        reach = F.sqrt("tx") * F.sqrt("ty")
+        sums = materialize(sums)
+        if sums.isEmpty():
+            # no cell fell into the slice, so it says nothing of any pair
+            continue
+        state = sums.where((reach > 0) & (most >= (threshold - SEARCH_SLACK) * reach))
+        wanted = np.array([(r["i"], r["j"]) for r in state.select("i", "j").collect()], dtype="int64").reshape(-1, 2)
+    if state is None:
+        state = spark.createDataFrame([], PAIR_SCHEMA)
+    done = _named(_coefficients(state), ranked.factors).where(F.abs("spearman") >= threshold)
+    return ClosePairs(done, len(ranked.wanted), rounds)
+
+
+def _square_totals(ranked: Ranked) -> np.ndarray:
+    """Sum of squares of each column of ranks (a factor among the rows of one class) about its known mean."""
+    lows = np.cumsum([0, *map(len, ranked.need)])
+    mids = _middles(ranked)
+
+    def run(batches):
+        sums = np.zeros(lows[-1])
+        for batch in batches:
+            column, ranks = batch.column(0).to_numpy(), batch.column(1)
+            starts, flat = ranks.offsets.to_numpy()[:-1], ranks.values.to_numpy()
+            for i in np.unique(column):
+                at = starts[column == i][:, None] + np.arange(lows[i + 1] - lows[i])
+                sums[lows[i] : lows[i + 1]] += np.nansum((flat[at] - mids[lows[i] : lows[i + 1]]) ** 2, axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums), dtype="int32")), pa.array(sums)], names=["c", "s"])
+
+    parts = ranked.rows.select("i", "ranks").mapInArrow(run, "c int, s double")
+    totals = np.zeros(lows[-1])
+    for r in parts.groupBy("c").agg(F.sum("s").alias("s")).collect():
+        totals[r["c"]] = r["s"]
+    return totals
 
 
 def _block_facts(cut: DataFrame, classes: int) -> DataFrame:

@@ -150,7 +150,8 @@ RANKING = """ranking AS (SELECT factor, ic, row_number() OVER (ORDER BY ic DESC,
 def batch_dedup(spark, sf):
     frame, metrics = _wide(spark, sf)
     ranking = numbered(metrics.where("ic IS NOT NULL"), [], [F.desc("ic"), F.asc("factor")], "pos")
-    return rounded(corr.dedup_batch(ranking.select("factor", "pos"), corr.spearman_matrix(frame, C.NAMES)))
+    close = corr.close_pairs(frame, C.NAMES, corr.BATCH_DUPLICATE, stored=True).pairs
+    return rounded(corr.dedup_batch(ranking.select("factor", "pos"), close))
 
 
 LIB = ["mom_1", "mom_3", "rev_6", "vol_6", "liq_6"]
@@ -167,10 +168,15 @@ MATCHES = f"""matches AS (SELECT s.l AS candidate, s.r AS factor, s.spearman, ab
     WHERE s.l IN ({_lists(CAND)}) AND s.r IN ({_lists(LIB)}) AND s.spearman IS NOT NULL)"""
 
 
-def _matches(spark, sf):
+def _matches(spark, sf, near: bool = False):
+    """Candidates, and their correlations with the library: all of them, or those past the threshold."""
     frame, metrics = _wide(spark, sf)
     metrics = materialize(metrics)
-    pairs = corr.spearman_matrix(frame, C.NAMES)
+    asked = [(c, f) for c in CAND for f in LIB]
+    if near:
+        pairs = corr.close_pairs(frame, C.NAMES, corr.LIBRARY_DUPLICATE, pairs=asked, stored=True).pairs
+    else:
+        pairs = corr.spearman_matrix(frame, C.NAMES, pairs=asked, stored=True)
     cand = metrics.where(F.col("factor").isin(CAND))
     return cand, corr.library_corr(pairs, cand, metrics.where(F.col("factor").isin(LIB)))
 
@@ -190,7 +196,7 @@ def library_corr(spark, sf):
       coalesce(blocking, 0) AS blocking, CASE WHEN blocking > 0 THEN 'rejected' WHEN replaceable > 0 THEN 'replacement_candidate'
       ELSE 'accepted' END AS verdict FROM metrics c LEFT JOIN per ON per.candidate = c.factor WHERE c.factor IN ({_lists(CAND)})""")
 def replace_or_block(spark, sf):
-    cand, matches = _matches(spark, sf)
+    cand, matches = _matches(spark, sf, near=True)
     return rounded(corr.replace_or_block(cand, matches))
 
 

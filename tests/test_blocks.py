@@ -447,3 +447,63 @@ def test_judged_change_reads_the_changed_factors_only(spark):
     assert "PushedFilters: [In(factor" in plan
     empty = composite.composite_sums(ranked, table([]))
     assert composite.judged_change(empty, None, 0, ranked, [("f1", 0.2, 1)], dates=12, names=9)[1]["verdict"] == "skipped"
+
+
+@pytest.fixture(scope="module")
+def graded():
+    """Groups of graded copies, negatives, ties, masks of several kinds, a constant, an empty and a nearly empty column."""
+    rng = np.random.default_rng(11)
+    n, k = 1500, 28
+    pdf = pd.DataFrame({"trade_time": np.arange(n) // 10, "code": [str(i % 10) for i in range(n)]})
+    base = rng.normal(size=(n, 4))
+    for i in range(k):
+        noise = 0 if i % 9 == 0 else 10.0 ** rng.uniform(-2, 1)
+        x = (-1) ** (i % 3) * base[:, i % 4] + noise * rng.normal(size=n)
+        pdf[f"f{i:02d}"] = np.round(x, 1) if i % 5 == 0 else x
+        if i % 7 == 0:
+            pdf[f"f{i:02d}"] = pdf[f"f{i:02d}"].where(rng.random(n) < 0.6)
+    pdf["same"], pdf["none"] = 3.0, np.nan
+    pdf["two"] = pdf["f01"].where(pdf.index < 2)
+    return pdf
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.95, 0.98, 1.0])
+def test_close_pairs_equal_the_matrix(spark, graded, threshold):
+    names = [c for c in graded.columns if c not in ("trade_time", "code")]
+    frame = spark.createDataFrame(graded)
+    found = corr.close_pairs(frame, names, threshold)
+    got = {(r.left, r.right): (r.n, r.spearman) for r in found.pairs.collect()}
+    want = graded[names].corr(method="spearman")
+    rho = {(a, b): want.loc[a, b] for i, a in enumerate(names) for b in names[i + 1 :]}
+    # pandas and the sums may fall on different sides of a coefficient that is the threshold but for rounding
+    sure = {p for p, r in rho.items() if abs(r) >= threshold + 1e-12}
+    assert sure <= set(got) <= {p for p, r in rho.items() if abs(r) >= threshold - 1e-12}
+    for p, (n, r) in got.items():
+        assert r == pytest.approx(rho[p], abs=1e-12)
+        assert n == graded[list(p)].dropna().shape[0]
+    assert found.asked == len(rho) and found.work < (0.9 if threshold == 0.5 else 0.35)
+
+
+def test_close_pairs_of_chosen_pairs_and_small_tables(spark, graded):
+    frame = spark.createDataFrame(graded)
+    asked = [("f09", "f01"), ("f00", "f04"), ("f18", "f02"), ("f05", "f09")]
+    got = corr.close_pairs(frame, ["f00", "f01", "f02", "f04", "f05", "f09", "f18"], 0.9, pairs=asked)
+    want = graded.drop(columns=["trade_time", "code"]).corr(method="spearman")
+    assert {(r.left, r.right) for r in got.pairs.collect()} == {p for p in asked if abs(want.loc[p]) >= 0.9}
+    for rows in (0, 1, 2):
+        few = corr.close_pairs(frame.limit(rows), ["f01", "f02", "f03"], 0.9)
+        assert few.pairs.count() == (3 if rows == 2 else 0)
+    assert corr.close_pairs(frame, ["f01"], 0.9).pairs.count() == 0
+    assert corr.spearman_matrix(frame, ["f01"]).count() == 0
+
+
+def test_pairs_without_relation_go_after_a_sixteenth_of_the_cells(spark):
+    rng = np.random.default_rng(2)
+    n, k = 3000, 40
+    pdf = pd.DataFrame({"trade_time": np.arange(n) // 10, "code": [str(i % 10) for i in range(n)]})
+    names = [f"f{i}" for i in range(k)]
+    pdf = pd.concat([pdf, pd.DataFrame(rng.normal(size=(n, k)), columns=names)], axis=1)
+    pdf["f7"] = pdf["f3"] ** 3
+    found = corr.close_pairs(spark.createDataFrame(pdf), names, 0.98)
+    assert [(r.left, r.right, round(r.spearman, 12)) for r in found.pairs.collect()] == [("f3", "f7", 1.0)]
+    assert [pairs for _, pairs in found.rounds] == [k * (k - 1) // 2, 1, 1] and found.work < 0.07
