@@ -12,7 +12,10 @@ containers of various names, between menus, headers, footers, sidebars, notices,
 sharing bars, related links and reader comments, also inside the article.
 
 Defined results: null or empty html gives an empty text. Unclosed tags, cut-off tags and entities,
-and text outside any tag do no harm. Repeated rows get equal results.
+and text outside any tag do no harm; only an unclosed script or style reaches to the end of the page, as HTML has it.
+Text in noscript, object, canvas, audio, video, template, svg and math is read like any other and left to the labeller;
+what an iframe holds for browsers without frames, and the name of a drawing, are not shown and not read.
+Repeated rows get equal results.
 """
 
 import html
@@ -43,8 +46,12 @@ BLOCK = set(
 )
 #: Elements without content. Fixed by HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page. Fixed by HTML.
-RAW = set("script style noscript template iframe svg math object canvas audio video".split())
+#: Elements whose content is code, to their closing tag or the end of the page. Fixed by HTML.
+RAW = {"script", "style"}
+#: Elements that name a drawing and are not shown. Fixed by SVG.
+DRAWING_NAMES = {"title", "desc"}
+#: Path word of a noscript that stands in the body itself: a block of its own. Elsewhere its text is part of what it stands in.
+NOTICE = ".noscript"
 #: Elements that an opening tag of the same kind closes. Fixed by HTML.
 CLOSES = {
     "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -86,7 +93,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
 
     def close(i):
         nonlocal links, path
-        if any(name in BLOCK for name, _ in stack[i:]):
+        if any(name in BLOCK or words[0] == NOTICE for name, words in stack[i:]):
             flush()
         links -= sum(name == "a" for name, _ in stack[i:])
         del stack[i:]
@@ -112,10 +119,14 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 if name in BLOCK:
                     flush()
             continue
-        if name in RAW:
-            if not found[3].rstrip().endswith("/"):
+        empty = found[3].rstrip().endswith("/")
+        drawing = name in ("svg", "math") or any(n in ("svg", "math") for n, _ in stack)
+        if name in RAW or name == "iframe" or drawing and name in DRAWING_NAMES:
+            if not empty:
                 end = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                at = end.end() if end else len(page) if name in RAW else at
+            continue
+        if drawing and empty and name not in BLOCK:
             continue
         if name in VOID:
             if name == "hr":
@@ -136,6 +147,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         words = [name]
         for value in NAMES.findall(found[3]) if found[3] else ():
             words += [named(w) for w in SPLIT_NAME.split(value.lower().strip("\"'")) if w]
+        if name == "noscript" and all(n in ("html", "body") for n, _ in stack):
+            flush()
+            words[0] = NOTICE
         stack.append((name, words))
         links += name == "a"
         path = tuple(w for _, ws in stack for w in ws if w in BLOCK or w[0] == "." or w == "a")
@@ -285,6 +299,7 @@ PARTS = [
     ("div", 'id="nav"', "ul"), ("ul", 'class="menu"', "li"), ("ol", 'class="breadcrumb"', "li"), ("section", 'id="reader-comments"', "p"),
     ("div", 'class="user-comment"', "p"), ("aside", 'class="ad"', "p"), ("p", 'class="notice"', ""), ("p", 'class="ad"', ""),
     ("section", 'class="related"', "p"), ("dialog", "", "p"), ("div", 'class="ads"', ""), ("header", 'class="masthead"', "p"), ("footer", "", "p"),
+    ("noscript", "", "p"), ("noscript", "", ""),
 ]
 
 

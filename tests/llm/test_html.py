@@ -52,6 +52,30 @@ def test_blocks():
     assert [t for _, t, _ in H.blocks("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>")] == ["a", "b", "c", "d"]
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<article><p>one</p><svg><p>two</p><p>three</p></article>", ["one", "two", "three"]),
+    ("<article><p>one</p><object><p>two</p><canvas>three</article><p>four", ["one", "two", "three", "four"]),
+    ("<p>one <math><mi>x</mi><mo/>+<mn>1</mn></math> two</p><p>three", ["one x+1 two", "three"]),
+    ("<p>one<svg viewBox='0'><title>icon</title><path d='M0'/><text>two</text></svg> three</p>", ["onetwo three"]),
+    ("<p>one</p><noscript><p>two</p></noscript><video>three</video><p>four<svg/>five</p>", ["one", "two", "three", "fourfive"]),
+    ("<p>one</p><iframe src=x><p>two</p></iframe><p>three</p><iframe src=y><p>four</p>", ["one", "three", "four"]),
+    ("<p>one</p><svg><title>open<p>two</p>", ["one", "open", "two"]),
+    ("<p>one</p><style>p { }</style><p>two</p><script>x<p>three</p>", ["one", "two"]),
+])
+def test_only_code_is_no_text(page, want):
+    assert [t for _, t, _ in H.blocks(page)] == want
+
+
+def test_text_of_embedded_elements_stays(labeller):
+    texts = ["And therhean is the is esndha reedes ha.", "Ble oninti oner thheathe. Thedanon thea.", "Retiwh erre thntbleea from erreou."]
+    for kind in ("noscript", "svg", "object", "canvas", "template"):
+        for close in (f"</{kind}>", ""):
+            page = f"<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><p>{texts[0]}</p><{kind}><p>{texts[1]}</p>{close}<p>{texts[2]}</p></article><footer><p>Imprint</p></footer></body></html>"
+            assert H.main_texts(labeller, [page]) == ["\n\n".join(texts)], (kind, close)
+    page = f"<html><body><noscript>Please enable JavaScript.</noscript><nav><a href=/>Home</a></nav><article><p>{texts[0]}</p><p>{texts[1]}</p></article></body></html>"
+    assert H.main_texts(labeller, [page]) == ["\n\n".join(texts[:2])]
+
+
 def test_odd_rows(spark, labeller):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "no tags at all"), (None, "u", "<article><p>x</p>"), (3, "u", "no tags at all"), (4, "u", "<article>" + "<p>A long text, again.</p>" * 5000 + "</article>")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, n int")
