@@ -113,7 +113,9 @@ def drop_repeated(
     gone = gone.select(F.col("id").alias("gone_id"), F.col("row").alias("gone_row"), "gone")
     joined = docs.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("row") == F.col("gone_row")), "left")
     full = joined.withColumn("lines", lines_of(F.col("doc")[text])).withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    kept = F.array_join(F.filter("lines", lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    # a set difference of places, so that a text costs its lines and not lines x dropped lines
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.array_join(F.transform(places, lambda i: F.get(F.col("lines"), i)), "\n")
     return full.select(
         *[(kept if c == text else F.col("doc")[c]).alias(c) for c in df.columns],
         F.size("lines").cast("long").alias(fresh(df, "n_lines")),

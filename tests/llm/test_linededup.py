@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import defaultdict
 
 from factorlake.llm import linededup as L
@@ -58,3 +59,16 @@ def test_runs_keep_levels(spark):
     lines = spark.createDataFrame([(i % 7, i) for i in range(70)], "h long, id long")
     runs = {r.h: (r.docs, r.keeper) for r in L.line_runs(lines, batches=5).collect()}
     assert runs == {h: (10, 63 + h) for h in range(7)}
+
+
+def test_texts_of_many_lines(spark):
+    """The time of a text goes with its lines: five texts of 100,000 lines that are all dropped but in one, and a very long line."""
+    lines = [f"line number {i} of a text that is longer than forty characters" for i in range(100_000)]
+    long_line = "x" * 2_000_000
+    rows = [(i, "\n".join(lines)) for i in range(5)] + [(5, "\n".join([*lines[::2], "own line"])), (6, long_line), (7, f"{long_line}\nend")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    start = time.monotonic()
+    got = {r.doc_id: r for r in L.drop_repeated(df).collect()}
+    assert time.monotonic() - start < 120
+    want = {i: (t, n, d) for i, t, n, d in brute(rows, 40, 5)}
+    assert {i: (r.text, r.n_lines, r.n_dropped) for i, r in got.items()} == want
