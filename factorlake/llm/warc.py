@@ -202,7 +202,8 @@ def reassemble(records: DataFrame) -> DataFrame:
         F.sort_array(F.collect_set(part)).alias("parts"),
     )
     numbers = F.transform("parts", lambda p: p["segment"])
-    block = F.aggregate("parts", F.lit(b""), lambda acc, p: F.concat(acc, p["block"]))
+    # through hex digits: one pass however many segments there are
+    block = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["block"])), ""))
     groups = groups.withColumn("block", block)
     good = (F.array_max(F.transform("parts", lambda p: p["total"])) == F.length("block")) & (numbers == F.sequence(F.lit(1), F.size("parts")))
     checked = F.when(good, F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments missing of "), "origin")).cast("binary"))

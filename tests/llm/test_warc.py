@@ -35,6 +35,13 @@ def test_round_trip(spark):
         assert all(bytes(r.payload) == bodies[r.payload_digest] for r in back if r.record_type == "response")
 
 
+def test_record_of_many_segments(spark):
+    page = LONG * 60
+    df = spark.createDataFrame([(1, "u", page), (2, "u", LONG)], "page_id long, url string, html string")
+    back = {r.page: bytes(r.payload) for r in W.round_trip(df, 200).collect()}
+    assert back == {"1": page.encode(), "2": LONG.encode()}
+
+
 def test_empty_table(spark):
     assert W.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
