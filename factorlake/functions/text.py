@@ -27,7 +27,9 @@ def name_valid(x) -> Column:
 
 
 def safe_token(x, fallback: str = "pattern", limit: int = 64) -> Column:
-    raw = strip(F.regexp_replace(F.lower(strip(x)), "[^0-9A-Za-z]+", "_"), "_")
+    """Letters and digits of a text, runs of others as `_`; the token has `limit` characters, so no more letters and digits reach it."""
+    reach = F.regexp_extract(F.lower(_c(x)), rf"^(?:[^0-9A-Za-z]*+[0-9A-Za-z]){{0,{limit}}}", 0)
+    raw = strip(F.regexp_replace(reach, "[^0-9A-Za-z]+", "_"), "_")
     cut = F.regexp_replace(F.substring(raw, 1, limit), "_+$", "")
     return F.when(F.length(cut) > 0, cut).otherwise(fallback)
 
