@@ -71,16 +71,25 @@ def _named(heading: str) -> str:
     return "[# \\t]*" + "".join("\\" + c if not c.isalnum() and c != " " else c for c in heading) + "[# \\t]*$"
 
 
+def _section(heading: str, run: bool) -> str:
+    other = f"(?!{_named(heading)})" if run else ""
+    return rf"(?ims)^[ \t]*##[ ]{_named(heading)}\n?(.*?)(?=^[ \t]*##[ ]{other}|\z)"
+
+
 def section(x, heading: str, run: bool = False) -> Column:
     """Text between a `## heading` line and the next `## ` line, NULL if absent.
 
     With `run` directly following sections of that name belong to it; their heading lines stay in the text.
     """
-    other = f"(?!{_named(heading)})" if run else ""
-    pattern = rf"(?ims)^[ \t]*##[ ]{_named(heading)}\n?(.*?)(?=^[ \t]*##[ ]{other}|\z)"
+    pattern = _section(heading, run)
     return F.when(_c(x).rlike(pattern), F.regexp_extract(_c(x), pattern, 1))
 
 
+def section_body(x, heading: str) -> Column:
+    """`section` with `run`, in one search of the text; empty if absent."""
+    return F.regexp_extract(_c(x), _section(heading, True), 1)
+
+
 def sections(x, heading: str) -> Column:
     """Texts of all sections of a name, in order."""
     pattern = rf"(?ims)^[ \t]*##[ ]{_named(heading)}\n?(.*?)(?=^[ \t]*##[ ]|\z)"

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import INLINE_MARGIN, compact, compact_lines, list_items, section, sections, strip
+from ..functions.text import INLINE_MARGIN, compact, compact_lines, list_items, section, section_body, sections, strip
 
 # Keys whose value is a list, keys that belong to a record, fields of an error line, words that name no error.
 LIST_KEYS = ("keywords", "operators", "data_fields", "failure_types", "tools_or_functions", "data_contracts")
@@ -27,6 +27,8 @@ RECORD_KEYS = (
     "forbidden_construction",
     "allowed_exception",
 )
+# texts whose lines one task sorts
+TEXTS_PER_TASK = 25_000
 ERROR_FIELDS = ("error_type", "count", "frequency", "cause", "evidence", "fix")
 NO_ERROR = ("", "error_type", "repeated failure classes", "none", "n/a", "na", "unknown")
 # Headings of the direction sections, and the metadata list that each record key fills;
@@ -50,18 +52,37 @@ DIRECTION_LISTS = {
 }
 
 
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """The rows by their key, in tasks of a bounded number of texts: no few input splits hold up the work, and nothing later is shuffled by key."""
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(max(tasks, -(-df.count() // TEXTS_PER_TASK)), key)
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once a row: a plain one is computed anew in each filter and column that reads it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def stripped_lines(body: Column) -> Column:
+    return F.transform(F.split(body, "\n"), lambda x: strip(x))
+
+
 def section_lines(df: DataFrame, key: str, text: str, heading: str) -> DataFrame:
     """(key, pos, line) of the first section of a name and those of the same name right behind it."""
-    body = section(text, heading, run=True)
-    lines = df.where(body.isNotNull()).select(key, F.posexplode(F.split(body, "\n")).alias("pos", "line"))
-    return lines.withColumn("line", strip("line")).where((F.length("line") > 0) & ~F.col("line").startswith("## "))
+    lines = df.select(key, F.posexplode(stripped_lines(section_body(text, heading))).alias("pos", "line"))
+    return lines.where((F.length("line") > 0) & ~F.col("line").startswith("## "))
 
 
-def all_section_lines(df: DataFrame, key: str, text: str, heading: str) -> DataFrame:
-    """(key, part, pos, line) of all sections of a name, numbered by part."""
-    parts = df.select(key, F.posexplode(sections(text, heading)).alias("part", "body"))
-    lines = parts.select(key, "part", F.posexplode(F.split("body", "\n")).alias("pos", "line"))
-    return lines.withColumn("line", strip("line")).where(F.length("line") > 0)
+def all_section_lines(df: DataFrame, key: str, text: str, headings: dict[str, str]) -> DataFrame:
+    """(key, section, part, pos, line) of all sections of the names, numbered by part."""
+    found = [
+        F.transform(sections(text, heading), lambda body, i: F.struct(F.lit(name).alias("section"), i.alias("part"), body.alias("body")))  # noqa: B023
+        for name, heading in headings.items()
+    ]
+    parts = df.select(key, F.inline(F.concat(*found)))
+    lines = parts.select(key, "section", "part", F.posexplode(stripped_lines(F.col("body"))).alias("pos", "line"))
+    return lines.where(F.length("line") > 0)
 
 
 def _entry(line: Column) -> Column:
@@ -83,8 +104,9 @@ def _named(entry: Column) -> Column:
         F.filter(pieces, lambda p: p.rlike(before)),
         lambda p: F.struct(F.lower(F.regexp_extract(p, before, 1)).alias("k"), strip(F.regexp_replace(p, before, ""), " ,;").alias("v")),
     )
-    names = F.transform(pairs, lambda s: s["k"])
-    return F.map_from_entries(F.filter(pairs, lambda s, i: F.array_position(names, s["k"]) == i + 1))
+    # the pairs are the one element of an array, so that they are found once and not anew for each of their names
+    first = lambda found: F.map_from_entries(F.filter(found, lambda s, i: F.array_position(found["k"], s["k"]) == i + 1))
+    return F.transform(F.array(pairs), first)[0]
 
 
 def error_reports(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -102,15 +124,14 @@ def error_reports(df: DataFrame, key: str, text: str) -> DataFrame:
     kind = F.when(has, explicit).when(prefixed, strip(F.substring_index(e, ":", 1))).otherwise("")
     rest = F.when(~has & prefixed, strip(e.substr(F.locate(":", e) + 1, F.length(e)))).otherwise(e)
     cause = text_of("cause")
+    entries = once(section_lines(by_key(df, key), key, text, "error frequency"), "entry", _entry(F.col("line")))
+    read = once(entries.where(F.length("entry") > 0), "named", _named(e))
     lines = (
-        section_lines(df, key, text, "error frequency")
-        .withColumn("entry", _entry(F.col("line")))
-        .where(F.length("entry") > 0)
-        .withColumn("named", _named(e))
+        once(read, "error_type", kind)
         .select(
             key,
             "pos",
-            kind.alias("error_type"),
+            "error_type",
             F.coalesce(F.regexp_extract(number("count"), r"^\d+", 0).try_cast("bigint"), F.lit(1)).alias("count"),
             number("frequency").try_cast("double").alias("frequency"),
             F.when(F.length(cause) > 0, cause).otherwise(rest).alias("cause"),
@@ -178,17 +199,14 @@ def direction_reports(df: DataFrame, key: str, text: str) -> DataFrame:
     `key: value` lines fill it, plain lines become its notes. A heading closes it, so
     the first such line under a heading opens a record too.
     """
-    parts = []
-    for name, heading in DIRECTION_HEADINGS.items():
-        parts.append(all_section_lines(df, key, text, heading).withColumn("section", F.lit(name)))
-    lines = parts[0].unionByName(parts[1])
+    lines = all_section_lines(by_key(df, key), key, text, DIRECTION_HEADINGS)
     line = F.col("line")
     bullet = line.rlike(r"^[-*] ")
     entry = F.when(bullet, strip(F.regexp_replace(line, r"^[-*] ", ""))).otherwise(line)
-    rows = lines.select(key, "section", "part", "pos", bullet.alias("bullet"), entry.alias("entry")).where(F.length("entry") > 0)
+    rows = once(once(lines, "bullet", bullet), "entry", entry).where(F.length("entry") > 0)
     e = F.col("entry")
     pair = e.contains(":")
-    name = _key(F.regexp_extract(e, r"^([^:]*):", 1))
+    rows, name = once(rows, "name", _key(F.regexp_extract(e, r"^([^:]*):", 1))), F.col("name")
     value = strip(F.regexp_extract(e, r"^[^:]*:(.*)$", 1))
     whole = F.col("bullet") & (~pair | ~name.isin(*RECORD_KEYS))
     opens = whole | (pair & (name == "hypothesis"))
