@@ -514,6 +514,16 @@ def same_text_groups(df: DataFrame, key: str = "doc_id", text: str = "text", siz
     return prints.join(known, F.col("cls") == F.col("of")).select("id", "component")
 
 
+def first_of_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int | None = 3, bits: int = 3) -> DataFrame:
+    """The rows of which one text of each group that `near_groups` links by fingerprints stays, the one with the smallest id.
+
+    Rows of one id are one document; rows with a null id stay.
+    """
+    groups, name = near_groups(df.select(key, text), key, text, size, bits), fresh(df, "gone")
+    gone = groups.where("component < id").select(F.col("id").alias(name)).distinct()
+    return df.join(materialize(gone), F.col(key) == F.col(name), "left_anti")
+
+
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of which one text of each group of near-duplicates stays, the one with the smallest id.
 
