@@ -5,8 +5,30 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from factorlake.operators import ic
+from factorlake.operators import corr, ic
 from factorlake.operators.panel import KEYS
+from factorlake.plans import library as L
+
+
+@pytest.fixture(scope="module")
+def wide(spark):
+    rows = []
+    for t in range(6):
+        for c in range(25):
+            x = (c * 7 + t * 3) % 25
+            a = None if c % 6 == 5 else float("nan") if c == 3 else float(x // 2)
+            rows.append((dt.datetime(2024, 1, 1 + t), f"c{c}", a, 1.0 if t == 2 else float(x), None if c == 9 else float((x * x + c) % 11)))
+    return spark.createDataFrame(rows, "trade_time timestamp_ntz, code string, a double, b double, label double")
+
+
+def test_daily_ics_by_date_equal_windows(wide, monkeypatch):
+    by_date = {(r.factor, r.trade_time): r for r in ic.daily_ic_wide(wide, ["a", "b"], 25).collect()}
+    monkeypatch.setattr(ic, "CELLS", 0)
+    windows = {(r.factor, r.trade_time): r for r in ic.daily_ic_wide(wide, ["a", "b"], 25).collect()}
+    assert by_date.keys() == windows.keys() and len(by_date) == 12
+    for k, r in windows.items():
+        for c in ("ic", "rank_ic", "names"):
+            assert by_date[k][c] == (None if r[c] is None else pytest.approx(r[c], abs=1e-9))
 
 
 def test_prediction_ic_reads_its_tables_once(spark):
@@ -15,3 +37,22 @@ def test_prediction_ic_reads_its_tables_once(spark):
     assert "Range (" not in got._jdf.queryExecution().executedPlan().toString()
     row = got.first()
     assert (row.test_label_rows, row.joined_rows, row.daily_ic_count) == (60, 60, 3) and row.rank_ic == pytest.approx(1)
+
+
+def test_rank_blocks_are_bounded(spark, wide, monkeypatch):
+    monkeypatch.setattr(corr, "NUMBERS_PER_BLOCK", 10)
+    cuts, cut = [], corr.ordered_blocks
+    monkeypatch.setattr(corr, "ordered_blocks", lambda df, order, blocks=None: cuts.append(blocks) or cut(df, order, blocks))
+    got = corr.spearman_matrix(wide, ["a", "b", "label"]).collect()
+    values = wide.toPandas()
+    for r in got:
+        both = values[[r.left, r.right]].dropna()
+        assert r.n == len(both) and r.spearman == pytest.approx(both[r.left].rank().corr(both[r.right].rank()))
+    known = int(values[["a", "b", "label"]].notna().sum().sum())
+    assert len(got) == 3 and cuts[0] >= known / 10
+
+
+def test_only_factors_with_weights_are_ranked(spark):
+    scores = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("b", 3.0), ("c", 4.0)], "factor string, score double")
+    weights = spark.createDataFrame([("b", 0.5, 1), ("b", 0.5, 2), ("d", 1.0, 3)], "factor string, weight double, ord int")
+    assert sorted(r.score for r in L._of(weights, scores).collect()) == [2.0, 3.0]
