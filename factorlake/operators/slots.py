@@ -2,13 +2,13 @@
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ts
 from ..functions.numeric import nz
-from ..functions.ts import SERIES
 from .panel import FIELDS, KEYS, SEGMENT, Factor, attach_factor, compute_factors, densify, require
 
 EMPTY = -1
@@ -106,13 +106,30 @@ def ts_udf(
     dense = densify(bars, lookback=lookback, segment=segment, **lists)
     schema = f"code string, trade_time timestamp_ntz, observed boolean, halo boolean, `{name}` double"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
+    def values(pdf: pd.DataFrame) -> pd.DataFrame:
         out = pdf[["code", "trade_time", "observed", "halo"]].copy()
-        out[name] = pd.Series(fn(pdf), index=pdf.index).astype(float)
+        cuts = [*np.flatnonzero(pdf.pop("_no") == 1), len(pdf)]
+        parts = (pdf.iloc[i:j].reset_index(drop=True) for i, j in zip(cuts, cuts[1:], strict=False))
+        out[name] = np.concatenate([pd.Series(fn(p), index=p.index).astype(float) for p in parts])
         return out
 
-    got = dense.groupBy(*SERIES).applyInPandas(run, schema)
+    def run(batches):
+        held = []
+        for pdf in batches:
+            starts = np.flatnonzero(pdf["_no"] == 1)
+            if len(starts):
+                # the last series of a batch may go on in the next one
+                held.append(pdf.iloc[: starts[-1]])
+                if sum(map(len, held)):
+                    yield values(pd.concat(held, ignore_index=True))
+                held = []
+                pdf = pdf.iloc[starts[-1] :]
+            held.append(pdf)
+        if sum(map(len, held)):
+            yield values(pd.concat(held, ignore_index=True))
+
+    # the window puts a series into one task, in time order; many short series share a batch
+    got = dense.withColumn("_no", F.row_number().over(ts.series())).mapInPandas(run, schema)
     return got.where(F.col("observed") & ~F.col("halo")).select(*KEYS, nz(name).alias(name))
 
 
