@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from factorlake.operators import corr, ic
+from factorlake.operators import corr, ic, panel, slots
 from factorlake.operators.panel import KEYS
 from factorlake.plans import library as L
 
@@ -56,3 +56,44 @@ def test_only_factors_with_weights_are_ranked(spark):
     scores = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("b", 3.0), ("c", 4.0)], "factor string, score double")
     weights = spark.createDataFrame([("b", 0.5, 1), ("b", 0.5, 2), ("d", 1.0, 3)], "factor string, weight double, ord int")
     assert sorted(r.score for r in L._of(weights, scores).collect()) == [2.0, 3.0]
+
+
+def test_cells_of_a_task_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(panel, "CELLS_PER_TASK", 20)
+    rows = [(dt.datetime(2024, 1, 1 + t), f"c{c}", float(t * c)) for t in range(10) for c in range(30) if (t + c) % 3]
+    bars = spark.createDataFrame(rows, "trade_time timestamp_ntz, code string, close double")
+    dense = panel.densify(bars, fields=["close"])
+    assert dense.count() == 300 and "hashpartitioning(code" in (plan := dense._jdf.queryExecution().toString()) and ", 15)" in plan
+
+
+def test_ewm_of_one_segment_computes_its_frame_once(spark):
+    rows = [(dt.datetime(2024, 1, 1 + t), c, float(t * t)) for t in range(9) for c in ("a", "b") if c == "a" or t in (1, 4)]
+    bars = spark.createDataFrame(rows, "trade_time timestamp_ntz, code string, close double")
+    dense = panel.densify(bars, fields=["close"], lookback=10)
+    one, two = panel.ewm(dense, "close", "e", 0.3, dates=9), panel.ewm(dense, "close", "e", 0.3)
+    key = lambda df: sorted((r.code, r.t, r.e) for r in df.collect() if r.e is not None)
+    assert key(one) == key(two) and len(key(one)) == 17
+    assert one._jdf.queryExecution().toString().count("Union") < two._jdf.queryExecution().toString().count("Union")
+
+
+def test_many_series_share_a_batch(spark):
+    rows = [(dt.datetime(2024, 1, 1 + t), f"c{c}" if c else None, float((t * 7 + c) % 5)) for t in range(10) for c in range(12) if (t * c) % 4 != 1]
+    bars = spark.createDataFrame(rows, "trade_time timestamp_ntz, code string, close double")
+    bars = bars.withColumns({c: F.col("close") for c in panel.FIELDS})
+    seen = lambda pdf: pdf["close"].fillna(0).rolling(3, min_periods=1).sum() + 100 * len(pdf)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for c in range(12):
+        close = {t: x for t, (_, code, x) in ((r[0].day - 1, r) for r in rows) if code == (f"c{c}" if c else None)}
+        for t in close:
+            # segments of four dates with two leading rows
+            length = (4, 6, 4)[t // 4]
+            want[f"c{c}" if c else None, t] = sum(close.get(i, 0.0) for i in range(max(t - 2, 0), t + 1)) + 100 * length
+    try:
+        for size in ("1", "5", "1000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            df = slots.ts_udf(bars, seen, "v", 2, segment=4)
+            assert {(r.code, r.trade_time.day - 1): r.v for r in df.collect()} == want
+            assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
