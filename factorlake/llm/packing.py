@@ -123,13 +123,16 @@ class Index:
         pairs, counts = np.unique(np.repeat(np.arange(len(docs)), sizes) << 32 | ids, return_counts=True)
         self.doc, term = pairs >> 32, pairs & 0xFFFFFFFF
         self.first = np.searchsorted(self.doc, np.arange(len(docs) + 1))
-        terms, self.term = np.unique(term, return_inverse=True)
-        df = np.bincount(self.term)
+        # ids are small numbers, so the terms of the shard are numbered by a table, not by sorting
+        df = np.bincount(term)
+        known = df > 0
+        self.term, df = (np.cumsum(known) - 1)[term], df[known]
         idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * sizes[self.doc] / sizes.mean())
         self.weight = idf[self.term] * counts * (K1 + 1) / (counts + norm)
         self.df = df
-        order = np.argsort(self.term, kind="stable")
+        # numbers of 16 bits are sorted by radix
+        order = np.argsort(self.term.astype(np.uint16) if len(df) <= 1 << 16 else self.term, kind="stable")
         self.posted, self.posted_weight = self.doc[order], self.weight[order]
         self.posted_first = np.concatenate([[0], np.cumsum(df)])
 

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from factorlake.llm import packing
@@ -53,3 +54,19 @@ def test_odd_rows(odd_docs, no_docs):
     rows = packing.pack(odd_docs, WORD).collect()
     assert sum(r.start == 0 for r in rows) == odd_docs.count()
     assert packing.pack(no_docs, WORD).count() == 0
+
+
+@pytest.mark.parametrize("step", [1, 70_001])
+def test_index_numbers_terms_without_sorting_them(step, monkeypatch):
+    rng = np.random.default_rng(4)
+    docs = [(rng.integers(0, 300, rng.integers(1, 60)) * step).astype("<u4").tobytes() for _ in range(50)]
+    sorts, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda x, **kw: sorts.append(kw) or unique(x, **kw))
+    index = packing.Index(docs)
+    ids = [np.frombuffer(d, dtype="<u4") for d in docs]
+    terms = unique(np.concatenate(ids))
+    assert len(sorts) == 1 and len(index.df) == len(terms)
+    for t, term in enumerate(terms):
+        holders = [d for d, x in enumerate(ids) if term in x]
+        assert index.df[t] == len(holders)
+        assert index.posted[index.posted_first[t] : index.posted_first[t + 1]].tolist() == holders
