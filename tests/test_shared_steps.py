@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from factorlake.functions import ranks
 from factorlake.operators import corr, ic, panel, slots
 from factorlake.operators.panel import KEYS
 from factorlake.plans import library as L
@@ -97,3 +98,20 @@ def test_many_series_share_a_batch(spark):
             assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_ranked_rows_are_not_shuffled_for_their_offsets(spark):
+    df = spark.range(200).select((F.col("id") % 2).alias("g"), (F.col("id") % 7).cast("double").alias("x"), "id")
+    ranked = ranks.pooled_ranks(df, ["g"], "x", "r")
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "LeftOuter" in plan
+    want = df.toPandas().assign(r=lambda p: p.groupby("g")["x"].rank()).set_index("id")["r"].to_dict()
+    assert {r.id: r.r for r in ranked.collect()} == want
+
+
+def test_rows_of_equal_or_null_keys_are_cells_of_their_own(spark):
+    rows = [(None if i % 3 == 0 else dt.datetime(2024, 1, 1), None if i % 4 == 0 else "c", float(i), float(i * i % 11)) for i in range(40)]
+    frame = spark.createDataFrame(rows, "trade_time timestamp_ntz, code string, a double, b double")
+    got = corr.spearman_matrix(frame, ["a", "b"]).first()
+    values = frame.toPandas()
+    assert got.n == 40 and got.spearman == pytest.approx(values["a"].rank().corr(values["b"].rank()))
