@@ -9,8 +9,10 @@ Documents are dealt into buckets of about `BUCKET_CHARS` characters. A bucket co
 n-grams, and sends keys and counts, sorted and cut by shard, as blocks. A shard adds up the
 counts of its keys over all buckets, and answers each block with the totals in the same
 order. With the answers a bucket builds that part of the automaton that its documents can
-reach (which is exact: no other n-gram occurs in them), and walks every text from
-left to right, carrying the state. A key occurs once per bucket at most, so frequent
+reach (which is exact: no other n-gram occurs in them). All its texts walk at once, as arrays
+over their tokens: the state before a token is the longest known context, to which the arc of the
+token before leads; tokens without an arc follow failures, from the longest contexts
+down. A key occurs once per bucket at most, so frequent
 n-grams make no hot task; no task ever holds the whole model.
 
 Keys are 64-bit hashes of n-grams. Defined results: null and empty texts have the end token only.
@@ -20,12 +22,13 @@ are 0, all tokens are unknown.
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import texts, tuned, worker_state
+from .common import tuned
 
 ORDER = 2
 #: Weight of the shorter context, by order from 2 on.
@@ -34,17 +37,6 @@ BUCKET_CHARS = 6_000_000
 SHARD_KEYS = 1_000_000
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 MIX = np.uint64(0xD6E8FEB86659FD93)
-REMEMBERED = 400_000
-
-
-class Hashes(dict):
-    """64-bit hash of a word."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word, 11)
-        return found
 
 
 def joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -57,33 +49,40 @@ def joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 class Counted:
     """N-grams of a bucket: distinct keys by order, counts in training texts, and where each token's n-gram stands."""
 
-    def __init__(self, raw: list[bytes], train: np.ndarray, order: int):
-        known = worker_state("lm words", Hashes)
-        split = [t.lower().split() for t in raw]
-        self.sizes = np.array([len(w) + 1 for w in split])
-        n = int(self.sizes.sum())
-        word = np.empty(n, dtype=np.uint64)
-        ends = np.cumsum(self.sizes)
-        for w, e in zip(split, ends, strict=True):
-            word[e - len(w) - 1 : e - 1] = [known[x] for x in w]
-        word[ends - 1] = END
-        place = np.arange(n) - np.repeat(ends - self.sizes, self.sizes)
-        weight = np.repeat(train, self.sizes).astype(np.int64)
-        self.keys, self.counts, self.at = [], [], []
-        key, context = word, None
-        for k in range(order):
-            if k:
-                # the first tokens of a text have the start as their context
-                before = np.roll(key, 1)
-                before[place == 0] = START
-                context = before if k == 1 else np.where(place < k - 1, START, before)
-                key = joined(context, word)
-                use = place >= k - 1
-            else:
-                use = np.ones(n, dtype=bool)
+    def __init__(self, column: pa.Array, train: np.ndarray, order: int):
+        # empty texts and blanks at the ends leave empty words
+        split = pc.ascii_split_whitespace(pc.ascii_lower(column.fill_null("")))
+        flat = split.flatten()
+        real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+        row = np.repeat(np.arange(len(split)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        self.sizes = np.bincount(row[real], minlength=len(split)) + 1
+        coded = flat.filter(pa.array(real)).dictionary_encode()
+        n, ends = int(self.sizes.sum()), np.cumsum(self.sizes)
+        self.begins = ends - self.sizes
+        distinct = coded.dictionary.cast(pa.binary())
+        spaced = pc.binary_join(pa.ListArray.from_arrays([0, len(distinct)], distinct), b" ")[0].as_py()
+        hashes = [xxhash.xxh64_intdigest(x, 11) for x in spaced.split()]
+        keys, at = np.unique(np.array([*hashes, END], dtype=np.uint64), return_inverse=True)
+        code = np.full(n, len(hashes))
+        inner = np.ones(n, dtype=bool)
+        inner[ends - 1] = False
+        code[inner] = coded.indices.to_numpy(zero_copy_only=False)
+        at = at[code]
+        place = np.arange(n) - np.repeat(self.begins, self.sizes)
+        learned = np.repeat(train, self.sizes)
+        self.keys, self.counts, self.at = [keys], [np.bincount(at[learned], minlength=len(keys))], [at]
+        word = keys[at]
+        key = word
+        for k in range(1, order):
+            # the first tokens of a text have the start as their context
+            before = np.roll(key, 1)
+            before[place == 0] = START
+            context = before if k == 1 else np.where(place < k - 1, START, before)
+            key = joined(context, word)
+            use = place >= k - 1
             keys, at = np.unique(key[use], return_inverse=True)
             self.keys.append(keys)
-            self.counts.append(np.bincount(at, weights=weight[use], minlength=len(keys)).astype(np.int64))
+            self.counts.append(np.bincount(at[learned[use]], minlength=len(keys)))
             where = np.full(n, -1)
             where[use] = at
             self.at.append(where)
@@ -123,7 +122,7 @@ def counted_blocks(docs: DataFrame, order: int, shards: int) -> DataFrame:
     """(k, shard, bucket, keys, counts): each bucket's own counts."""
 
     def run(table):
-        c = Counted(texts(table.column("text").combine_chunks()), table.column("train").to_numpy(), order)
+        c = Counted(table.column("text").combine_chunks(), table.column("train").to_numpy(), order)
         bucket, rows = table.column("bucket")[0].as_py(), []
         for k in range(order):
             for shard, at in blocks(c.keys[k], shards):
@@ -168,66 +167,69 @@ class Automaton:
     """States are contexts seen in training; arcs are n-grams; a state without an arc for a word fails to a shorter one."""
 
     def __init__(self, counted: Counted, totals: list[np.ndarray], tokens: int, kinds: int, prior: float):
-        self.words = len(counted.keys[0])
         order = len(totals)
+        self.counted, self.known = counted, [t > 0 for t in totals]
         base = (totals[0] + 0.5) / (tokens + 0.5 * (kinds + 1))
         # states: 0 without context, then known n-grams of each shorter order, and the start
         self.state_of, states = [], 1
-        for k in range(order - 1):
-            known = totals[k] > 0
+        for known in self.known[:-1]:
             self.state_of.append(np.where(known, states + np.cumsum(known) - 1, 0))
             states += int(known.sum())
         self.start = states if order > 1 else 0
-        seen = np.zeros(states + 1)
-        fail = np.zeros(states + 1, dtype=np.int64)
-        for k in range(order - 1):
-            known = totals[k] > 0
-            seen[self.state_of[k][known]] = totals[k][known]
-        end = int(np.searchsorted(counted.keys[0], END))
-        has_end = end < self.words and counted.keys[0][end] == END
-        seen[self.start] = totals[0][end] if has_end else 0
-        self.arcs: dict[int, int] = {w: w for w in range(self.words)}
+        seen, self.depth = np.zeros(states + 1), np.zeros(states + 1, dtype=np.int64)
+        self.fail = np.zeros(states + 1, dtype=np.int64)
+        for k, (known, state) in enumerate(zip(self.known, self.state_of, strict=False)):
+            seen[state[known]] = totals[k][known]
+            self.depth[state[known]] = k + 1
+        if order > 1:
+            seen[self.start] = totals[0][np.searchsorted(counted.keys[0], END)]
+            self.depth[self.start] = 1
+        starts = np.zeros(len(counted.at[0]), dtype=bool)
+        starts[counted.begins] = True
         chance = [base]
-        target = [self.state_of[0].copy() if order > 1 else np.zeros(self.words, dtype=np.int64)]
         for k in range(1, order):
             n = len(counted.keys[k])
-            context, word, short = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+            context, short = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
             place = np.flatnonzero(counted.at[k] >= 0)
             g = counted.at[k][place]
-            word[g] = counted.at[0][place]
             short[g] = counted.at[k - 1][place]
-            begins = np.r_[0, np.cumsum(counted.sizes)[:-1]]
-            first = np.isin(place, begins) if k == 1 else np.zeros(len(place), dtype=bool)
+            first = starts[place] if k == 1 else np.zeros(len(place), dtype=bool)
             before = np.where(first, 0, counted.at[k - 1][np.maximum(place - 1, 0)])
             context[g] = np.where(first, self.start, self.state_of[k - 1][np.maximum(before, 0)])
             if k > 1:
-                fail[context[g]] = self.state_of[k - 2][counted.at[k - 2][np.maximum(place - 1, 0)]]
-            known = totals[k] > 0
-            p = (totals[k] + prior * chance[k - 1][short]) / (seen[context] + prior)
-            chance.append(p)
-            first_arc = sum(len(t) for t in target)
-            codes = context * self.words + word
-            self.arcs.update(zip(codes[known].tolist(), (first_arc + np.flatnonzero(known)).tolist(), strict=True))
-            target.append(self.state_of[k] if k < order - 1 else self.state_of[k - 1][short])
-        self.log = np.log10(np.concatenate(chance)).tolist()
-        self.next = np.concatenate(target).tolist()
-        self.fail, self.fail_log = fail.tolist(), np.log10(prior / (seen + prior)).tolist()
-        self.base_log = np.log10(base)
-        self.known = totals[0] > 0
-
-    def walk(self, tokens: list[int]) -> float:
-        """Log probability of a text: one pass that carries the state."""
-        arcs, log, following, fail, fail_log, words = self.arcs, self.log, self.next, self.fail, self.fail_log, self.words
-        state, total = self.start, 0.0
-        for w in tokens:
-            arc = arcs.get(state * words + w)
-            while arc is None:
-                total += fail_log[state]
-                state = fail[state]
-                arc = arcs.get(state * words + w)
-            total += log[arc]
-            state = following[arc]
-        return total
+                self.fail[context[g]] = self.state_of[k - 2][counted.at[k - 2][np.maximum(place - 1, 0)]]
+            chance.append((totals[k] + prior * chance[k - 1][short]) / (seen[context] + prior))
+        self.log = [np.log10(c) for c in chance]
+        self.fail_log = np.log10(prior / (seen + prior))
+
+    def states(self) -> np.ndarray:
+        """The state before each token, the longest known context there; the start before the first token of a text."""
+        at = self.counted.at
+        if not self.state_of:
+            return np.zeros(len(at[0]), dtype=np.int64)
+        after = self.state_of[0][at[0]]
+        for known, state, g in zip(self.known[1:], self.state_of[1:], at[1:], strict=False):
+            here = np.flatnonzero(g >= 0)
+            here = here[known[g[here]]]
+            after[here] = state[g[here]]
+        before = np.roll(after, 1)
+        before[self.counted.begins] = self.start
+        return before
+
+    def walk(self) -> np.ndarray:
+        """Log probability of each token: all texts follow their arcs at once, and failures from the longest contexts down."""
+        state, total = self.states(), np.zeros(len(self.counted.at[0]))
+        arc = np.full(len(total), True)
+        for k in range(len(self.known) - 1, 0, -1):
+            here = np.flatnonzero(arc & (self.depth[state] == k))
+            g = self.counted.at[k][here]
+            hit = self.known[k][g]
+            total[here[hit]] += self.log[k][g[hit]]
+            arc[here[hit]] = False
+            lost = here[~hit]
+            total[lost] += self.fail_log[state[lost]]
+            state[lost] = self.fail[state[lost]]
+        return total + np.where(arc, self.log[0][self.counted.at[0]], 0.0)
 
 
 def scored(docs: DataFrame, answers: DataFrame, order: int, shards: int, tokens: int, kinds: int, prior: float) -> DataFrame:
@@ -235,7 +237,7 @@ def scored(docs: DataFrame, answers: DataFrame, order: int, shards: int, tokens:
     id_type = docs.schema["id"].dataType
 
     def run(mine, totals):
-        c = Counted(texts(mine.column("text").combine_chunks()), mine.column("train").to_numpy(), order)
+        c = Counted(mine.column("text").combine_chunks(), mine.column("train").to_numpy(), order)
         got = {(r["k"], r["shard"]): r["totals"] for r in totals.select(["k", "shard", "totals"]).to_pylist()}
         full = []
         for k in range(order):
@@ -244,14 +246,10 @@ def scored(docs: DataFrame, answers: DataFrame, order: int, shards: int, tokens:
                 total[at] = unpacked(got[k, shard], len(at))
             full.append(total)
         a = Automaton(c, full, tokens, kinds, prior)
-        first = np.cumsum(c.sizes) - c.sizes
-        word = c.at[0]
-        flat = word.tolist()
+        known = a.known[0][c.at[0]].astype(np.int64)
         return pa.table({
-            "id": mine.column("id"), "n_tokens": pa.array(c.sizes, pa.int64()),
-            "n_known": pa.array(np.add.reduceat(a.known[word].astype(np.int64), first)),
-            "base_score": pa.array(np.add.reduceat(a.base_log[word], first)),
-            "score": pa.array([a.walk(flat[i : i + n]) for i, n in zip(first.tolist(), c.sizes.tolist(), strict=True)], pa.float64()),
+            "id": mine.column("id"), "n_tokens": pa.array(c.sizes, pa.int64()), "n_known": pa.array(np.add.reduceat(known, c.begins)),
+            "base_score": pa.array(np.add.reduceat(a.log[0][c.at[0]], c.begins)), "score": pa.array(np.add.reduceat(a.walk(), c.begins)),
         })
 
     left = docs.select("bucket", "id", "train", "text").groupBy("bucket")

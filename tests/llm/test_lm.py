@@ -2,10 +2,12 @@
 
 import math
 import re
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from factorlake.llm import lm as M
@@ -78,3 +80,49 @@ def test_odd_rows(spark, odd_docs, no_docs):
     none = spark.createDataFrame([(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1), "only held out")], "doc_id long, text string")
     (row,) = run(none)
     assert row[3:5] == (0, 0) and row[5] == pytest.approx(0.0)
+
+
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_odd_rows_of_other_orders(spark, odd_docs, order):
+    same(run(odd_docs, order=order), brute([(r.doc_id, r.text) for r in odd_docs.collect()], order, M.PRIOR))
+
+
+def scores(texts, order):
+    """Score of each text by a model of all of them, without Spark."""
+    counted = M.Counted(pa.array(texts), np.ones(len(texts), dtype=bool), order)
+    single = counted.counts[0]
+    automaton = M.Automaton(counted, counted.counts, int(single.sum()), int((single > 0).sum()), M.PRIOR)
+    return np.add.reduceat(automaton.walk(), counted.begins).tolist()
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_python_steps_follow_the_words_not_the_tokens(order):
+    """A bucket with more tokens of the same words takes no more lines of Python."""
+
+    def lines(texts):
+        count = 0
+
+        def tracer(frame, event, arg):
+            nonlocal count
+            if frame.f_globals.get("__name__") != M.__name__:
+                return None
+            count += event == "line"
+            return tracer
+
+        old = sys.gettrace()
+        sys.settrace(tracer)
+        try:
+            scores(texts, order)
+        finally:
+            sys.settrace(old)
+        return count
+
+    texts = ["a b c a b d ", " b  a\tC\n", "", "d " * 40]
+    scores(texts, order)
+    assert lines(texts * 50) == lines([t * 7 for t in texts] * 50) == lines(texts)
+
+
+def test_texts_of_a_bucket_do_not_touch():
+    """The state of a text is lost at its end: two texts score as they do in the other order."""
+    one, two, three = scores(["a b a", "b a b b", ""], 3)
+    assert scores(["", "b a b b", "a b a"], 3) == pytest.approx([three, two, one], rel=1e-12)
