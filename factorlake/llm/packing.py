@@ -8,8 +8,8 @@ its seed, so windows are full; where no neighbour is left, the next unused docum
 The open window is handed on from shard to shard; what is left of it at the end of a
 partition is cut into sequences whose lengths are powers of two, so no padding is needed.
 
-Tokens come from a vocabulary that drops white space, so a text is cut at white space and a
-worker remembers the ids of the pieces it has seen.
+Tokens come from a vocabulary that drops white space, so the texts of a batch are cut at white space
+and each distinct piece, then each distinct word in it, is encoded once; the ids are gathered from there.
 
 Defined results: null and empty texts have the closing id only. Every row is a document of its own,
 also rows of equal or null ids. Sequence numbers are unique; which documents share a
@@ -19,9 +19,12 @@ sequence depends on how the input is partitioned.
 import json
 import unicodedata
 import zlib
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark import TaskContext
@@ -37,13 +40,26 @@ END_ID = 2
 #: Heaviest terms of a seed that are looked up.
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
-#: Pieces of text whose ids a worker remembers; beyond, it starts again.
-REMEMBERED = 300_000
+#: Bytes of text whose pieces are held at a time; a longer text is taken alone.
+AT_ONCE = 1 << 22
+#: How the vocabulary cuts a text into words; what it does not find is dropped.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ENDING = regex.compile("s|t|re|ve|m|ll|d").match
+SPACE, LETTER, NUMBER, OTHER, UNSEEN = range(5)
+KINDS = [(SPACE, regex.compile(r"\s").match), (LETTER, regex.compile(r"\p{L}").match), (NUMBER, regex.compile(r"\p{N}").match), (OTHER, bool)]
 #: Stands for the end of a word inside the encoder; pieces that hold it are left to the library.
 END_SIGN = "\x01"
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def joined(strings: pa.StringArray, sign: str) -> str:
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(strings)], strings), sign)[0].as_py()
+
+
+def lists(offsets: np.ndarray, ids) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.uint32()))
+
+
 class WordIds:
     """Ids of texts under a vocabulary that never joins over white space.
 
@@ -69,49 +85,72 @@ class WordIds:
         self.ends = np.zeros(len(self.id_of), dtype=bool)
         self.ends[[r for t, r in ranks.items() if t.endswith(END_SIGN.encode())]] = True
         self.ranked = tiktoken.Encoding("words", pat_str=f"[^{END_SIGN}]*{END_SIGN}", mergeable_ranks=ranks, special_tokens={})
-        self.odd = [t["content"].encode() for t in spec["added_tokens"]] + [END_SIGN.encode()]
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.split = regex.compile(rf"{pattern}|\n").findall
+        self.odd = [t["content"] for t in spec["added_tokens"]] + [END_SIGN]
+        if (pattern := spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]) != PATTERN:
+            raise ValueError(f"{path} cuts words by {pattern}")
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.seen: dict[bytes, bytes] = {}
-
-    def learn_words(self, words: set[str]) -> None:
+        self.kinds = np.full(0x110000, UNSEEN, dtype=np.uint8)
+
+    def split(self, text: str) -> tuple[pa.StringArray, np.ndarray]:
+        """What `PATTERN` finds in a text, and how many words stand before each line break."""
+        points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+        kind = self.kinds[points]
+        if len(new := np.unique(points[kind == UNSEEN])):
+            self.kinds[new] = [next(k for k, is_kind in KINDS if is_kind(chr(c))) for c in new]
+            kind = self.kinds[points]
+        starts = np.ones(len(points), dtype=bool)
+        starts[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+        # a word that begins with an apostrophe takes some endings along and stops behind them
+        for at in np.flatnonzero(starts & (points == ord("'"))).tolist():
+            if ending := ENDING(text, at + 1):
+                starts[at + 1], starts[ending.end() : ending.end() + 1] = False, True
+        shown = kind != SPACE
+        starts &= shown
+        width = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)[np.repeat(shown, width)]
+        width *= shown
+        first = np.append((np.cumsum(width) - width)[starts], len(raw)).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(first) - 1, pa.py_buffer(first), pa.py_buffer(raw))
+        return words, np.cumsum(starts)[points == ord("\n")]
+
+    def word_ids(self, words: pa.StringArray) -> pa.ListArray:
         """Ids of normalised words, each encoded on its own in one call."""
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        new = list(words.difference(self.words))
-        if new:
-            ranks = np.array(self.ranked.encode_ordinary(END_SIGN.join(new) + END_SIGN))
-            flat = self.id_of[ranks].tobytes()
-            cuts = (4 * np.flatnonzero(self.ends[ranks]) + 4).tolist()
-            self.words.update((w, flat[i:j]) for w, i, j in zip(new, [0, *cuts], cuts, strict=False))
-
-    def learn(self, pieces: set[bytes]) -> None:
-        """Ids of pieces between white space: normalised, cut into words, each word encoded."""
-        new = pieces.difference(self.seen)
-        if len(self.seen) + len(new) > REMEMBERED:
-            self.seen.clear()
-            new = pieces
+        ranks = np.array(self.ranked.encode_ordinary(joined(words, END_SIGN) + END_SIGN * (len(words) > 0)), dtype=np.int64)
+        return lists(np.append(0, np.flatnonzero(self.ends[ranks]) + 1), self.id_of[ranks])
+
+    def line_ids(self, text: str) -> pa.ListArray:
+        """Ids of the lines of a text: normalised, cut into words, each distinct word encoded once."""
+        # sign by sign, as the library does: only the capital sigma looks at what stands beside it
+        words, before = self.split(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        coded = words.dictionary_encode()
+        ids = self.word_ids(coded.dictionary).take(coded.indices)
+        return lists(ids.offsets.to_numpy()[np.concatenate([[0], before, [len(words)]])], ids.values)
+
+    def piece_ids(self, pieces: pa.StringArray) -> pa.ListArray:
+        """Ids of pieces between white space."""
+        text = joined(pieces, "\n")
+        if not any(x in text for x in self.odd):
+            return self.line_ids(text)
         # sign strings of the vocabulary inside a piece are the library's matter
-        odd = [p for x in self.odd if x in b" ".join(new) for p in new if x in p]
-        for p in odd:
-            self.seen[p] = np.array(self.tokenizer.encode(p.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-        rest = list(new.difference(odd))
-        text = b"\n".join(rest).decode()
-        words = self.split(text.lower() if text.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", text))))
-        self.learn_words(set(words) - {"\n"})
-        at = [-1, *[i for i, w in enumerate(words) if w == "\n"], len(words)]
-        known = self.words
-        for p, i, j in zip(rest, at, at[1:], strict=False):
-            self.seen[p] = known[words[i + 1]] if j == i + 2 else b"".join([known[w] for w in words[i + 1 : j]])
+        alone, odd = pieces.to_pylist(), np.array([any(x in p for x in self.odd) for p in pieces.to_pylist()])
+        plain = self.line_ids("\n".join(["" if o else p for p, o in zip(alone, odd, strict=True)]))
+        found = [self.tokenizer.encode(p, add_special_tokens=False).ids if o else [] for p, o in zip(alone, odd, strict=True)]
+        both = pa.concat_arrays([plain, pa.array(found, plain.type)])
+        return both.take(pa.array(np.arange(len(alone)) + len(alone) * odd))
+
+    def encode_some(self, batch: list[bytes]) -> list[bytes]:
+        """Ids of some texts; each distinct piece is encoded once."""
+        split = pc.ascii_split_whitespace(pa.array(batch, pa.binary()).cast(pa.string()))
+        coded = split.values.dictionary_encode()
+        ids = self.piece_ids(coded.dictionary).take(coded.indices)
+        flat, cuts = ids.values.to_numpy().tobytes(), (4 * ids.offsets.to_numpy().astype(np.int64)[split.offsets.to_numpy()]).tolist()
+        return [flat[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
 
     def encode(self, batch: list[bytes]) -> list[bytes]:
-        """Ids of some texts as little-endian unsigned 32-bit numbers; their new pieces are encoded together."""
-        split = [t.split() for t in batch]
-        self.learn(set().union(*split))
-        seen = self.seen
-        return [b"".join([seen[p] for p in pieces]) for pieces in split]
+        """Ids of some texts as little-endian unsigned 32-bit numbers; about `AT_ONCE` bytes of text are cut into pieces at a time."""
+        part = (np.cumsum([len(t) for t in batch], dtype=np.int64) // AT_ONCE).tolist()
+        parts = groupby(zip(part, batch, strict=True), key=itemgetter(0))
+        return [ids for _, some in parts for ids in self.encode_some([t for _, t in some])]
 
 
 class Index:

@@ -1,5 +1,7 @@
 """Pieces against the library's ids; windows are full, sequences without gaps or padding."""
 
+import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -70,3 +72,26 @@ def test_index_numbers_terms_without_sorting_them(step, monkeypatch):
         holders = [d for d, x in enumerate(ids) if term in x]
         assert index.df[t] == len(holders)
         assert index.posted[index.posted_first[t] : index.posted_first[t + 1]].tolist() == holders
+
+
+def test_an_occurrence_of_a_word_is_no_object_of_its_own():
+    words, rng = packing.WordIds(WORD), random.Random(5)
+    kinds = [f"{a}{b}" for a in ("the", "Straße", "añadir,", "l'été", "x1'll") for b in ("", "s", "ung.", "!!")]
+    batch = [" ".join(rng.choices(kinds, k=1000)).encode() for _ in range(200)]
+    words.encode(batch[:1])
+    tracemalloc.start()
+    coded = words.encode(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * sum(map(len, coded))
+
+
+@pytest.mark.parametrize("at_once", [1, 300, 1 << 22])
+def test_words_equal_library_however_texts_are_taken_together(at_once, monkeypatch):
+    monkeypatch.setattr(packing, "AT_ONCE", at_once)
+    library, words, rng = Tokenizer.from_file(WORD), packing.WordIds(WORD), random.Random(6)
+    bits = ["'s", "'S", "''s", "'s's", "'ss", "5's", "'re", "'rE", "'r", "'ll've", "'", "!'d", "é'm", "ΟΔΟΣ", "Σ", "ʼs", "12", "²", "…", "<|endoftext|>", "\x01", *" \n\t\x0b\x1f\u00a0\u2003"]
+    texts = ["", " ", "\n\n", "'", "x", *["".join(rng.choices(bits, k=rng.randint(1, 9))) for _ in range(500)]]
+    coded = words.encode([t.encode() for t in texts])
+    assert [np.frombuffer(c, dtype="<u4").tolist() for c in coded] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert words.encode([]) == []
