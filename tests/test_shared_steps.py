@@ -1,10 +1,12 @@
 """Steps that several panel queries share: what is computed once, and how large a task's share is."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from factorlake import session
 from factorlake.functions import ranks
 from factorlake.operators import corr, ic, panel, slots
 from factorlake.operators.panel import KEYS
@@ -115,3 +117,88 @@ def test_rows_of_equal_or_null_keys_are_cells_of_their_own(spark):
     got = corr.spearman_matrix(frame, ["a", "b"]).first()
     values = frame.toPandas()
     assert got.n == 40 and got.spearman == pytest.approx(values["a"].rank().corr(values["b"].rank()))
+
+
+def layered_rows(spark, names):
+    """Dates of one up to `names` names; ties, constant sides, missing numbers and a name without a code."""
+    rows = []
+    for f in ("a", "b", "flat"):
+        for t, n in enumerate((1, 9, 10, 11, names)):
+            for c in range(n):
+                x = 1.0 if f == "flat" else float((c * 37 + t) % 101 // 3) - 9.0
+                x = None if c % 17 == 5 else -0.0 if c % 13 == 4 else float("nan") if f == "b" and c % 29 == 8 else x
+                y = None if f == "a" and c % 11 == 3 else float((c * c + t) % 23)
+                rows.append((f, dt.datetime(2024, 1, 1 + t), None if c == 7 else f"c{c}", x, y))
+    return spark.createDataFrame(rows, "factor string, trade_time timestamp_ntz, code string, score double, label double")
+
+
+@pytest.mark.parametrize("piece", [1, 7, 64, 1000])
+def test_layers_in_pieces_equal_windows(spark, monkeypatch, piece):
+    long = layered_rows(spark, 400)
+    windows = {(r.factor, r.layer_name): r for r in ic.layered_ic(long, names=400).collect()}
+    monkeypatch.setattr(ic, "NAMES", 3)
+    monkeypatch.setattr(ic, "PIECE", piece)
+    pieces = {(r.factor, r.layer_name): r for r in ic.layered_ic(long, names=400).collect()}
+    assert pieces.keys() == windows.keys() and len(pieces) == 30
+    assert sum(r["rows"] for r in windows.values()) > 1100
+    for k, r in windows.items():
+        for c in r.asDict():
+            if c not in ("factor", "layer_name"):
+                assert pieces[k][c] == (None if r[c] is None else pytest.approx(r[c], abs=1e-9, nan_ok=True)), (k, c)
+
+
+def test_layers_in_pieces_store_their_rows_once(spark, monkeypatch):
+    rows = spark.range(4000, numPartitions=2).select(
+        F.concat(F.lit("f"), F.col("id") % 2).alias("factor"), F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz").alias("trade_time"),
+        F.col("id").cast("string").alias("code"), (F.col("id") * 7 % 4001).cast("double").alias("score"), (F.col("id") * 11 % 997).cast("double").alias("label"))
+    stored, keep = [], session.materialize
+
+    def spy(df):
+        table = keep(df)
+        stored.append((dict(table.dtypes), table.count()))
+        return table
+
+    for module in (session, ic, ranks):
+        monkeypatch.setattr(module, "materialize", spy)
+    monkeypatch.setattr(ic, "NAMES", 3)
+    got = ic.layered_ic(rows, names=2000)
+    assert "Range (" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sum(r["rows"] for r in got.collect()) == 4000
+    # once as they come; again only those of layers that reach over the borders of eight blocks, for themselves and two block ranks
+    assert sum(n for types, n in stored if types.get("score") == "double") < 2.5 * 4000
+
+
+def test_a_table_stored_alone_leaves_no_shuffle_files(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get(session.CLEANUP_KEY)
+    df = spark.range(1000).repartition(7)
+    assert session.materialize_alone(df).count() == 1000 and spark.conf.get(session.CLEANUP_KEY) == setting
+    # numbers of shuffles rise, and the count made one of its own
+    written = lambda: {f.split("_")[1] for f in files() - before}
+    until = time.time() + 20
+    while len(written()) > 1 and time.time() < until:
+        time.sleep(0.2)
+    assert len(written()) <= 1
+
+
+def test_rows_sorted_by_a_task_for_pieces_are_bounded(spark, monkeypatch):
+    seen, keep = [], session.materialize
+    monkeypatch.setattr(session, "materialize", lambda df: seen.append(keep(df)) or (seen[-1].cache() if "blk" in df.columns else seen[-1]))
+    monkeypatch.setattr(ic, "NAMES", 3)
+    monkeypatch.setattr(ic, "BLOCK", 50)
+    ic.layered_ic(layered_rows(spark, 300), names=300)
+    pieces = next(df for df in seen if "blk" in df.columns)
+    sizes = [r.n for r in pieces.groupBy("blk").agg(F.sum("n").alias("n")).collect()]
+    pieces.unpersist()
+    assert sum(sizes) == 3 * (31 + 300) and max(sizes) <= 2 * 50
+
+
+def test_layers_in_pieces_of_no_rows(spark, monkeypatch):
+    long = layered_rows(spark, 12)
+    monkeypatch.setattr(ic, "NAMES", 3)
+    assert ic.layered_ic(long.limit(0), names=12).count() == 0
+    few = ic.layered_ic(long.where("trade_time < '2024-01-03'"), names=12).collect()
+    assert len(few) == 30 and all(r["rows"] == 0 and r["daily_rank_ic_mean"] is None for r in few)
